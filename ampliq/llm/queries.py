@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .packing import op9_configuration_packing
 from .quality import op6_risk_controlled_quality
 from .sharding import op7_two_pass_shuffle
+from .simhash import op3_pivot_simhash
 from .substring_dedup import op8_repeated_passages
 from .token_count import op1_pretoken_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pretoken_counts, op6_risk_controlled_quality, op7_two_pass_shuffle, op8_repeated_passages, op9_configuration_packing]
+    found = [op1_pretoken_counts, op3_pivot_simhash, op6_risk_controlled_quality, op7_two_pass_shuffle, op8_repeated_passages, op9_configuration_packing]
     return {f.__name__: f for f in found}
 
 
