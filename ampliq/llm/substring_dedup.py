@@ -4,8 +4,8 @@ Every window of every text gets a polynomial hash modulo 2^64 of its words' 64-b
 keeps, of windows that its texts share, only the first (smallest doc_id, then start), which bounds any hash to one entry per
 task however often a passage occurs; the later ones are already known to be repeats. Entries are dealt by hash to buckets, packed as hashes,
 gaps between starts and a list of documents, about ten bytes a window. A bucket sorts its hashes, finds the first occurrence of each
-and returns the starts of all others, packed per document. A document's starts meet its text, overlapping windows merge into maximal intervals
-and their words are removed. Everything is judged on the input, whatever is removed elsewhere.
+and returns the starts of all others, packed per group of documents. Starts and texts of a group meet, overlapping windows merge into maximal
+intervals and their words are removed. Everything is judged on the input, whatever is removed elsewhere.
 
 Two different windows share a 64-bit hash with probability 2^-64; among n windows n^2 / 2^65 such pairs are expected.
 
@@ -28,10 +28,12 @@ from .shared import steps, table, text_bytes
 
 WINDOW = 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: Text bytes per bucket: about 2 million windows, some 60 MB while it is sorted.
-BUCKET_TEXT = 12 << 20
+#: Text bytes per bucket: about a million windows, some 50 MB while it is sorted.
+BUCKET_TEXT = 6 << 20
+#: Text bytes per group of documents, in which starts and texts meet.
+GROUP_TEXT = 8 << 20
 #: Windows that a task holds before it hands them on.
-HELD = 1_500_000
+HELD = 1_000_000
 NO_ID = -(1 << 63)
 
 
@@ -61,30 +63,40 @@ def window_hashes(words: list[bytes], window: int = WINDOW) -> np.ndarray:
     return out
 
 
+def _narrow(values: np.ndarray, kind: str) -> list[bytes]:
+    """Whole numbers in a short type; what doesn't fit follows at full length."""
+    most = np.iinfo(kind).max
+    wide = (values >= most) | (values < 0)
+    return [np.where(wide, most, values).astype(kind).tobytes(), struct.pack("<I", int(wide.sum())), values[wide].astype("<i8").tobytes()]
+
+
+def _widened(held: bytes, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
+    out = np.frombuffer(held, kind, n, at).astype(np.int64)
+    at += n * np.dtype(kind).itemsize
+    (k,) = struct.unpack_from("<I", held, at)
+    out[out == np.iinfo(kind).max] = np.frombuffer(held, "<i8", k, at + 4)
+    return out, at + 4 + 8 * k
+
+
 def _packed(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> bytes:
-    """Windows ordered by document and start, as hashes, gaps between starts and a list of documents."""
+    """Windows ordered by document and start, as hashes, gaps between starts, and the documents with their numbers of windows."""
     new = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1))
     gaps = np.diff(starts, prepend=0)
     gaps[new] = starts[new]
-    wide = gaps >= 0xFFFF
-    small = np.where(wide, 0xFFFF, gaps).astype("<u2")
-    counts = np.diff(np.append(new, len(docs))).astype("<u4")
-    far = gaps[wide].astype("<u8")
-    return b"".join([struct.pack("<III", len(docs), len(new), len(far)), hashes.astype("<u8").tobytes(), small.tobytes(), docs[new].astype("<i8").tobytes(), counts.tobytes(), far.tobytes()])
+    counts = np.diff(np.append(new, len(docs)))
+    ids = docs[new]
+    return b"".join([struct.pack("<IIIq", len(docs), len(hashes), len(new), ids[0]), hashes.astype("<u8").tobytes(), *_narrow(gaps, "<u2"), *_narrow(np.diff(ids), "<u4"), *_narrow(counts, "<u2")])
 
 
 def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, d, k = struct.unpack_from("<III", held)
-    at = 12
-    hashes = np.frombuffer(held, "<u8", n, at)
-    at += 8 * n
-    gaps = np.frombuffer(held, "<u2", n, at).astype(np.int64)
-    at += 2 * n
-    ids = np.frombuffer(held, "<i8", d, at)
-    at += 8 * d
-    counts = np.frombuffer(held, "<u4", d, at).astype(np.int64)
-    at += 4 * d
-    gaps[gaps == 0xFFFF] = np.frombuffer(held, "<u8", k, at).astype(np.int64)
+    n, with_hash, d, first_id = struct.unpack_from("<IIIq", held)
+    at = struct.calcsize("<IIIq")
+    hashes = np.frombuffer(held, "<u8", with_hash, at)
+    gaps, at = _widened(held, at + 8 * with_hash, n, "<u2")
+    steps, at = _widened(held, at, d - 1, "<u4")
+    counts, at = _widened(held, at, d, "<u2")
+    with np.errstate(over="ignore"):
+        ids = first_id + np.concatenate([[0], np.cumsum(steps)])
     sums = np.cumsum(gaps)
     first = np.cumsum(counts) - counts
     return hashes, np.repeat(ids, counts), sums - np.repeat(sums[first] - gaps[first], counts)
@@ -100,36 +112,44 @@ def _later(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarr
     return out
 
 
-def _starts_by_document(docs: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[bytes]]:
+def _by_group(docs: np.ndarray, starts: np.ndarray, groups: int) -> tuple[list[int], list[bytes]]:
+    """Starts packed per group of documents, in the order of documents and starts."""
     if not len(docs):
         return [], []
-    order = np.lexsort((starts, docs))
-    docs, starts = docs[order], starts[order].astype("<u4")
-    cuts = np.flatnonzero(np.diff(docs)) + 1
-    return docs[np.concatenate([[0], cuts])].tolist(), [x.tobytes() for x in np.split(starts, cuts)]
+    group = _group(docs, groups)
+    order = np.lexsort((starts, docs, group))
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1, [len(docs)]])
+    none = np.empty(0, np.uint64)
+    return group[order][cuts[:-1]].tolist(), [_packed(none, docs[order[a:b]], starts[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, starts binary): packed starts of the windows of ``docs`` (doc_id, text) whose words also start earlier."""
-    total = docs.select(F.sum(text_bytes("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(total / BUCKET_TEXT))
-    schema = pa.schema([("bucket", pa.int32()), ("held", pa.binary()), ("doc_id", pa.int64()), ("starts", pa.binary())])
+def _group(docs: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each document, by its id."""
+    with np.errstate(over="ignore"):
+        x = docs.astype(np.int64).view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x94D049BB133111EB)
+    return ((x >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+
+
+def repeated_starts(docs: DataFrame, buckets: int, groups: int, window: int = WINDOW) -> DataFrame:
+    """(group, held): per group of documents, the packed starts of windows of ``docs`` (doc_id, text) whose words also start earlier."""
+    schema = pa.schema([("bucket", pa.int32()), ("held", pa.binary()), ("group", pa.int32()), ("starts", pa.binary())])
 
     def scatter(batches):
         def out(hashes, ids, starts):
             hashes, ids, starts = np.concatenate(hashes), np.concatenate(ids), np.concatenate(starts)
             later = _later(hashes, ids, starts)
-            known, where = _starts_by_document(ids[later], starts[later])
+            known, where = _by_group(ids[later], starts[later], groups)
             hashes, ids, starts = hashes[~later], ids[~later], starts[~later]
             bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             order = np.lexsort((starts, ids, bucket))
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            groups = [g for g in np.split(order, cuts) if len(g)]
-            n, m = len(groups), len(known)
-            spread = [(x % buckets) for x in range(m)]
+            parts = [g for g in np.split(order, cuts) if len(g)]
+            n, m = len(parts), len(known)
             yield pa.record_batch([
-                pa.array([int(bucket[g[0]]) for g in groups] + spread, pa.int32()), pa.array([_packed(hashes[g], ids[g], starts[g]) for g in groups] + [None] * m, pa.binary()),
-                pa.array([None] * n + known, pa.int64()), pa.array([None] * n + where, pa.binary())], schema=schema)
+                pa.array([int(bucket[g[0]]) for g in parts] + [x % buckets for x in range(m)], pa.int32()), pa.array([_packed(hashes[g], ids[g], starts[g]) for g in parts] + [None] * m, pa.binary()),
+                pa.array([None] * n + known, pa.int32()), pa.array([None] * n + where, pa.binary())], schema=schema)
 
         held, hashes, ids, starts = 0, [], [], []
         for part, texts in steps(batches):
@@ -145,58 +165,63 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield from out(hashes, ids, starts)
 
     def match(bucket: pa.Table) -> pa.Table:
-        held, doc_id, starts = (bucket.column(c).to_pylist() for c in ("held", "doc_id", "starts"))
+        held, group, starts = (bucket.column(c).to_pylist() for c in ("held", "group", "starts"))
         found = [_unpacked(x) for x in held if x is not None]
-        ids = [d for d, x in zip(doc_id, starts, strict=True) if x is not None]
+        to = [d for d, x in zip(group, starts, strict=True) if x is not None]
         where = [x for x in starts if x is not None]
         if found:
-            hashes, docs, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            hashes, ids, at = (np.concatenate(x) for x in zip(*found, strict=True))
             del found
-            later = _later(hashes, docs, at)
-            more, at = _starts_by_document(docs[later], at[later])
-            ids, where = ids + more, where + at
-        return pa.table([pa.array(ids, pa.int64()), pa.array(where, pa.binary())], ["doc_id", "starts"])
+            later = _later(hashes, ids, at)
+            more, at = _by_group(ids[later], at[later], groups)
+            to, where = to + more, where + at
+        return pa.table([pa.array(to, pa.int32()), pa.array(where, pa.binary())], ["group", "held"])
 
-    dealt = docs.select("doc_id", "text").mapInArrow(scatter, "bucket int, held binary, doc_id long, starts binary")
-    return dealt.groupBy("bucket").applyInArrow(match, "doc_id long, starts binary")
+    dealt = docs.select("doc_id", "text").mapInArrow(scatter, "bucket int, held binary, group int, starts binary")
+    return dealt.groupBy("bucket").applyInArrow(match, "group int, held binary")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The columns of ``docs`` but for text, with n_words, n_removed, and kept_text: the words that stay, joined by one space."""
     from zstandard import ZstdCompressor, ZstdDecompressor
 
+    total = docs.select(F.sum(text_bytes("text"))).first()[0] or 0
+    buckets, groups = max(1, math.ceil(total / BUCKET_TEXT)), max(1, math.ceil(total / GROUP_TEXT))
     kept = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_text")]
     types = dict(docs.dtypes)
     columns = ", ".join(f"`{c}` {types[c]}" for c in kept)
 
     def compress(batches):
         for part, texts in steps(batches):
-            z = ZstdCompressor(level=1)
-            yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array([z.compress(t) for t in texts], pa.binary())], [*kept, "_z"])
-
-    def remove(batches):
-        z = ZstdDecompressor()
-        for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                counts, gone, texts = [], [], []
-                for packed, starts in zip(part.column(part.schema.get_field_index("_z")).to_pylist(), part.column(part.schema.get_field_index("_starts")).to_pylist(), strict=True):
-                    words = z.decompress(packed).split() if packed else []
-                    inside = np.zeros(len(words) + window + 1, np.int64)
-                    for s in starts or []:
-                        at = np.frombuffer(s, "<u4")
-                        at = at[at.astype(np.int64) + window <= len(words)]
-                        np.add.at(inside, at, 1)
-                        np.add.at(inside, at.astype(np.int64) + window, -1)
-                    stay = (np.cumsum(inside)[: len(words)] == 0).tolist()
-                    left = [w for w, ok in zip(words, stay, strict=True) if ok]
-                    counts.append(len(words)), gone.append(len(words) - len(left)), texts.append(b" ".join(left).decode())
-                yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], [*kept, "n_words", "n_removed", "kept_text"])
-
-    starts = repeated_starts(docs, window).groupBy("doc_id").agg(F.collect_list("starts").alias("_starts")).withColumnRenamed("doc_id", "_id")
-    packed = docs.mapInArrow(compress, f"{columns}, _z binary").withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    met = packed.join(starts, "_id", "left").select(*kept, "_z", "_starts")
-    return met.mapInArrow(remove, f"{columns}, n_words long, n_removed long, kept_text string")
+            z, ids = ZstdCompressor(level=1), part.column(part.schema.get_field_index("doc_id")).fill_null(NO_ID).to_numpy()
+            yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(_group(ids, groups), pa.int32()), pa.array([z.compress(t) for t in texts], pa.binary())], [*kept, "_group", "_z"])
+
+    def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+        z, by_id = ZstdDecompressor(), {}
+        found = [_unpacked(x)[1:] for x in right.column("held").to_pylist()]
+        if found:
+            ids, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(ids, kind="stable")
+            ids, at = ids[order], at[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]])
+            by_id = {int(ids[a]): at[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
+        counts, gone, texts = [], [], []
+        for doc_id, packed in zip(left.column("doc_id").to_pylist(), left.column("_z").to_pylist(), strict=True):
+            words = z.decompress(packed).split() if packed else []
+            starts = by_id.get(NO_ID if doc_id is None else doc_id)
+            if starts is not None:
+                inside = np.zeros(len(words) + 1, np.int64)
+                starts = starts[starts + window <= len(words)]
+                np.add.at(inside, starts, 1)
+                np.add.at(inside, starts + window, -1)
+                stay = (np.cumsum(inside)[:-1] == 0).tolist()
+            held = words if starts is None else [w for w, ok in zip(words, stay, strict=True) if ok]
+            counts.append(len(words)), gone.append(len(words) - len(held)), texts.append(b" ".join(held).decode())
+        return pa.table([*(left.column(c) for c in kept), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], [*kept, "n_words", "n_removed", "kept_text"])
+
+    starts = repeated_starts(docs, buckets, groups, window).withColumnRenamed("group", "_group")
+    packed = docs.mapInArrow(compress, f"{columns}, _group int, _z binary")
+    return packed.groupBy("_group").cogroup(starts.groupBy("_group")).applyInArrow(remove, f"{columns}, n_words long, n_removed long, kept_text string")
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
