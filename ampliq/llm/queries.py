@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op2_additive_quantisation
 from .line_dedup import OP4_SQL, op4_site_spread_lines
 from .packing import op9_configuration_packing
 from .pii import op5_surrogates
@@ -17,7 +18,7 @@ from .token_count import op1_pretoken_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pretoken_counts, op3_pivot_simhash, op4_site_spread_lines, op5_surrogates, op6_risk_controlled_quality, op7_two_pass_shuffle, op8_repeated_passages, op9_configuration_packing]
+    found = [op1_pretoken_counts, op2_additive_quantisation, op3_pivot_simhash, op4_site_spread_lines, op5_surrogates, op6_risk_controlled_quality, op7_two_pass_shuffle, op8_repeated_passages, op9_configuration_packing]
     return {f.__name__: f for f in found}
 
 
