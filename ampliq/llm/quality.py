@@ -161,22 +161,38 @@ def certified_cutoffs(values: DataFrame, labels: DataFrame, rules: list[str], st
     return bins.groupBy("stratum").applyInPandas(f, "stratum string" + "".join(f", {r} int" for r in rules))
 
 
-def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """``docs`` without its text but with the statistics, base_failed and kept."""
-    spark = docs.sparkSession
-    carried = [c for c in docs.columns if c != "text"]
-    stats = text_statistics(docs).drop("text").withColumn("base_failed", base_failed())
-    stats = written(stats, spark, "statistics")
-    rules = rule_values()
-    values = stats.withColumns({f"rule_{k}": v for k, v in rules.items()})
-    cut = written(certified_cutoffs(values, labels, [f"rule_{k}" for k in rules], stratum, risk, level), spark, "cutoffs")
-    cut = cut.select("stratum", *[F.col(f"rule_{k}").alias(f"cut_{k}") for k in rules])
-    cut = F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut
-    met = values.join(cut, F.col(stratum).eqNullSafe(F.col("stratum")), "left")
+def with_rules(stats: DataFrame) -> DataFrame:
+    return stats.withColumn("base_failed", base_failed()).withColumns({f"rule_{k}": v for k, v in rule_values().items()})
+
+
+def cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """The table of certified cutoffs, written; broadcast where it has at most ``BROADCAST_ROWS`` rows."""
+    rules = list(rule_values())
+    cut = written(certified_cutoffs(with_rules(stats), labels, [f"rule_{k}" for k in rules], stratum, risk, level), stats.sparkSession, "cutoffs")
+    cut = cut.select(F.col("stratum").alias("_stratum"), *[F.col(f"rule_{k}").alias(f"cut_{k}") for k in rules])
+    return F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut
+
+
+def verdicts(stats: DataFrame, cut: DataFrame, stratum: str = "lang") -> DataFrame:
+    """``stats`` with base_failed and kept."""
     rejected = F.lit(False)
-    for k in rules:
+    for k in rule_values():
         rejected = rejected | F.coalesce(F.col(f"rule_{k}") > F.col(f"cut_{k}"), F.lit(False))
-    return met.select(*carried, *STATISTICS, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
+    met = with_rules(stats).join(cut, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    return met.select(*stats.columns, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """``docs`` without its text but with the statistics, base_failed and kept."""
+    docs = docs.drop("base_failed", "kept")
+    stats = written(text_statistics(docs).drop("text"), docs.sparkSession, "statistics")
+    return verdicts(stats, cutoffs(stats, labels, stratum, risk, level), stratum)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """The rows of ``docs`` that are kept. Statistics are counted twice, which costs less than moving all texts to meet their verdicts."""
+    cut = cutoffs(text_statistics(docs).drop("text"), labels, stratum, risk, level)
+    return verdicts(text_statistics(docs), cut, stratum).where("kept").select(*docs.columns)
 
 
 def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .ann import op2_additive_quantisation
 from .line_dedup import OP4_SQL, op4_site_spread_lines
 from .packing import op9_configuration_packing
 from .pii import op5_surrogates
 from .quality import op6_risk_controlled_quality
+from .sentencepiece_codec import op10_max_plus_pieces
 from .sharding import op7_two_pass_shuffle
 from .simhash import op3_pivot_simhash
 from .substring_dedup import op8_repeated_passages
@@ -18,8 +21,8 @@ from .token_count import op1_pretoken_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pretoken_counts, op2_additive_quantisation, op3_pivot_simhash, op4_site_spread_lines, op5_surrogates, op6_risk_controlled_quality, op7_two_pass_shuffle, op8_repeated_passages, op9_configuration_packing]
-    return {f.__name__: f for f in found}
+    found = [op1_pretoken_counts, op2_additive_quantisation, op3_pivot_simhash, op4_site_spread_lines, op5_surrogates, op6_risk_controlled_quality, op7_two_pass_shuffle, op8_repeated_passages, op9_configuration_packing, op10_max_plus_pieces]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

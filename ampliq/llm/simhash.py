@@ -271,6 +271,15 @@ def near_copies(docs: DataFrame, shingle: int = 3, words: int = 1, scheme: Schem
     return marked.join(named, "fp").select(*[c for c in marked.columns if c != "component_id"], "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 5, words: int = 8, scheme: Scheme = WIDE) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of each group of near copies; a row without an id goes by its text's hash."""
+    names = docs.columns
+    keyed = docs.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text")))
+    found = near_copies(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle, words, scheme)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*names)
+
+
 def op3_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
