@@ -151,12 +151,13 @@ def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
         drawn = written(drawn.withColumn("new", surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key)), spark, "surrogates")
         # how often a surrogate is drawn, who keeps it, and whether it is an entity itself
         uses = drawn.select("kind", F.col("new").alias("value"), "normal", F.lit(False).alias("found")).union(drawn.select("kind", F.col("normal").alias("value"), F.lit(None).cast("string"), F.lit(True)))
-        uses = uses.groupBy("kind", "value").agg(F.count("normal").alias("times"), F.min("normal").alias("keeper"), F.max("found").alias("found")).where("times > 0 AND (times > 1 OR found)")
+        uses = uses.groupBy(F.col("kind").alias("used_kind"), "value").agg(F.count("normal").alias("times"), F.min("normal").alias("keeper"), F.max("found").alias("found")).where("times > 0 AND (times > 1 OR found)")
         if not uses.head(1):
             break
-        met = drawn.join(uses, (drawn["kind"] == uses["kind"]) & (drawn["new"] == uses["value"]), "left")
+        uses = uses.withColumnRenamed("value", "used")
+        met = drawn.join(uses, (F.col("kind") == F.col("used_kind")) & (F.col("new") == F.col("used")), "left")
         clash = F.coalesce(F.col("found") | (F.col("keeper") != F.col("normal")), F.lit(False))
-        drawn = met.select(drawn["kind"], "normal", (F.col("attempt") + F.when(clash, 1).otherwise(0)).alias("attempt"))
+        drawn = met.select("kind", "normal", (F.col("attempt") + F.when(clash, 1).otherwise(0)).alias("attempt"))
     else:
         raise ValueError(f"surrogates still clash after {MOST_ATTEMPTS} attempts")
     return drawn.select("kind", "normal", "new")
