@@ -191,8 +191,10 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: floa
 
 def accepted(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """The rows of ``docs`` that are kept. Statistics are counted twice, which costs less than moving all texts to meet their verdicts."""
-    cut = cutoffs(text_statistics(docs).drop("text"), labels, stratum, risk, level)
-    return verdicts(text_statistics(docs), cut, stratum).where("kept").select(*docs.columns)
+    own = {c: f"_own_{c}" for c in docs.columns if c in (*STATISTICS, "base_failed", "kept")}  # columns of the same names stay as they are
+    apart = docs.withColumnsRenamed(own)
+    cut = cutoffs(text_statistics(apart).drop("text"), labels, stratum, risk, level)
+    return verdicts(text_statistics(apart), cut, stratum).where("kept").select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,12 @@ def written(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes all tables that ``written`` left in the shared folder. For after the results that come from them are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/ampliq")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -213,6 +213,7 @@ def test_quality_verdicts(spark, docs_of):
     got = {r.doc_id: r.kept for r in quality.judged(docs_of(rows), labels, risk=0.02).collect()}
     assert all(got[k] == (k % 5 != 0) for k in range(3000))
     assert {r.kept for r in quality.judged(docs_of(rows[:30]), labels.where("false")).collect()} == {True}
+    assert {r.n_words for r in quality.accepted(docs_of(rows[:30]), labels.where("false")).collect()} == {"x"}  # the table's own column
     assert {r.doc_id for r in quality.accepted(docs_of(AWKWARD), labels.where("false")).collect()} == {r.doc_id for r in quality.judged(docs_of(AWKWARD), labels.where("false")).where("kept").collect()}
 
 
@@ -306,7 +307,7 @@ def test_max_plus_scan(docs_of):
     for i, t in rows:
         assert whole[i].decoded and whole[i].n_library == len(lattice.library.encode(t or ""))
     for chunk in (33, 100):
-        for r in sentencepiece_codec.encode_documents(docs_of(rows), path, chunk=chunk, keep_ids=True).collect():
+        for r in sentencepiece_codec.encode_documents(docs_of(rows), path, chunk=chunk, giant=chunk, keep_ids=True).collect():
             assert bytes(r.ids) == bytes(whole[r.doc_id].ids) and abs(r.score - whole[r.doc_id].score) < 1e-6 and r.decoded
 
 
@@ -318,3 +319,13 @@ def test_segmentation_is_the_best(docs_of):
             return 0.0 if not text else max(best(text[n:]) + (lattice.piece[text[:n]][1] if text[:n] in lattice.piece else lattice.unknown) for n in range(1, len(text) + 1) if text[:n] in lattice.piece or (n == 1 and text[0] not in lattice.piece))
 
         assert lattice.word(word)[0] == best(word)
+
+
+def test_written_tables_can_be_deleted(spark):
+    from ampliq.llm.shared import forget, shared_folder, written
+
+    assert written(spark.range(3), spark, "three").count() == 3
+    forget(spark)
+    import os
+
+    assert not os.path.exists(shared_folder(spark).removeprefix("file://") + "/ampliq")
