@@ -1,6 +1,6 @@
 """Global alignment with affine gaps and an incentive for gaps at each reference position.
 
-Reads of one length are aligned together. The recurrences of the match and deletion layers look at the row above, so a row is one vector step. The
+Reads of about one length are aligned together; shorter ones are padded, and what is computed behind their ends is not used. The recurrences of the match and deletion layers look at the row above, so a row is one vector step. The
 insertion layer is linear along the row: with c its cost per base, I[j] - c j is a running maximum, one ``maximum.accumulate``. Layers
 and ties: a gap is extended rather than opened at equal scores; insertion wins over deletion, and either over a match, as the layer
 before and as the layer to start from at the end. Gaps at the ends cost extension only.
@@ -48,40 +48,42 @@ def parse_matrix(text: str) -> np.ndarray:
 def align(reads: list[str], ref: str, matrix: np.ndarray, incentive: np.ndarray, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> list[tuple[str, str, float]]:
     """(aligned read, aligned reference, score) for each of ``reads``; score = 100 * equal columns / columns, to 3 places."""
     out: list = [None] * len(reads)
-    by_length: dict[int, list[int]] = {}
-    for k, s in enumerate(reads):
-        by_length.setdefault(len(s), []).append(k)
-    for m, rows in by_length.items():
-        most = max(1, 16_000_000 // ((m + 1) * (len(ref) + 1)))
-        for a in range(0, len(rows), most):
-            part = rows[a : a + most]
-            if not m or not ref:
-                for k in part:
-                    out[k] = ("-" * len(ref), ref, 0.0) if ref else (reads[k], "-" * m, 0.0)
-                continue
-            q = np.frombuffer("".join(reads[k] for k in part).encode(), np.uint8).reshape(len(part), m)
-            for k, found in zip(part, _aligned(q, np.frombuffer(ref.encode(), np.uint8), matrix, incentive, gap_open, gap_extend), strict=True):
-                out[k] = found
+    order = sorted(range(len(reads)), key=lambda k: len(reads[k]))
+    for k in order:
+        if not reads[k] or not ref:
+            out[k] = ("-" * len(ref), ref, 0.0) if ref else (reads[k], "-" * len(reads[k]), 0.0)
+    order = [k for k in order if out[k] is None]
+    while order:
+        # as many as fit into about 16 MB of pointers, no more than an eighth longer than the first
+        widest = len(reads[order[0]]) * 9 // 8 + 4
+        most = max(1, 16_000_000 // ((widest + 1) * (len(ref) + 1)))
+        part = [k for k in order[:most] if len(reads[k]) <= widest]
+        order = order[len(part) :]
+        lengths = np.array([len(reads[k]) for k in part])
+        width = int(lengths.max())
+        q = np.frombuffer("".join(reads[k].ljust(width, "N") for k in part).encode(), np.uint8).reshape(len(part), width)
+        for k, found in zip(part, _aligned(q, lengths, np.frombuffer(ref.encode(), np.uint8), matrix, incentive, gap_open, gap_extend), strict=True):
+            out[k] = found
     return out
 
 
-def _aligned(q: np.ndarray, r: np.ndarray, matrix: np.ndarray, incentive: np.ndarray, gap_open: int, gap_extend: int):
+def _aligned(q: np.ndarray, lengths: np.ndarray, r: np.ndarray, matrix: np.ndarray, incentive: np.ndarray, gap_open: int, gap_extend: int):
     (count, m), n = q.shape, len(r)
-    never = np.int32(max(gap_open * m * n, -(2**30)))
+    never = np.maximum(gap_open * lengths * n, -(2**30)).astype(np.int32)
     columns = np.arange(m + 1, dtype=np.int32)
     g = incentive.astype(np.int32)
-    match = np.full((count, m + 1), never)
+    match = np.repeat(never[:, None], m + 1, axis=1)
+    delete = match.copy()
     match[:, 0] = 0
     insert = np.broadcast_to(gap_extend * columns + g[0], (count, m + 1)).astype(np.int32)
     insert[:, 0] = never
-    delete = np.full((count, m + 1), never)
+    # a gap behind a read's last base only costs extension
+    inner = np.where(columns == lengths[:, None], gap_extend, gap_open).astype(np.int32)
     # two bits a layer: from which layer each cell of the layer came
     came = np.zeros((n + 1, count, m + 1), np.uint8)
     came[0] = INSERT | INSERT << 2 | INSERT << 4
     for i in range(1, n + 1):
-        last = i == n
-        opening = np.full(m + 1, gap_extend if last else gap_open, np.int32)
-        opening[m] = gap_extend
+        opening = inner if i < n else np.full((1, m + 1), gap_extend, np.int32)
         opened = match + (opening + g[i - 1])
         extended = delete + gap_extend
         from_match = opened > extended
@@ -94,7 +96,7 @@ def _aligned(q: np.ndarray, r: np.ndarray, matrix: np.ndarray, incentive: np.nda
         new_match[:, 0] = never
         new_match[:, 1:] = best[:, :-1] + matrix[r[i - 1]][q]
         cost = gap_extend + g[i]
-        start = new_match[:, :-1] + (opening[1:] + g[i])
+        start = new_match[:, :-1] + (opening[:, 1:] + g[i])
         run = np.empty_like(match)
         run[:, 0] = never
         run[:, 1:] = start - cost * columns[1:]
@@ -105,9 +107,10 @@ def _aligned(q: np.ndarray, r: np.ndarray, matrix: np.ndarray, incentive: np.nda
         code[:, 1:] = before[:, :-1] | np.where(inserted, MATCH, INSERT).astype(np.uint8) << 2
         came[i] = code | np.where(from_match, MATCH, DELETE).astype(np.uint8) << 4
         match, insert, delete = new_match, new_insert, new_delete
-    a, b, c = match[:, m], insert[:, m], delete[:, m]
+    rows = np.arange(count)
+    a, b, c = match[rows, lengths], insert[rows, lengths], delete[rows, lengths]
     layer = np.where(a > c, np.where(a > b, MATCH, INSERT), np.where(c > b, DELETE, INSERT))
-    i, j, rows = np.full(count, n), np.full(count, m), np.arange(count)
+    i, j = np.full(count, n), lengths.copy()
     read, ref, live = np.zeros((n + m, count), np.uint8), np.zeros((n + m, count), np.uint8), np.ones(count, bool)
     gap, step = ord("-"), 0
     while live.any():
@@ -136,6 +139,9 @@ def alignments(reads: DataFrame, refs: list[dict], gap_open: int = GAP_OPEN, gap
     ``seed_min`` seeds of one strand and none of the other, only that strand is aligned. Reads should be distinct: the work is per row.
     """
     names, types = reads.columns, reads.schema
+    spark = reads.sparkSession
+    # few bytes but much work: a fixed number of partitions isn't merged into one for its size
+    reads = reads.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), seq)
     given = reads.sparkSession.sparkContext.broadcast((refs, scoring_matrix() if matrix is None else matrix))
 
     def f(batches):
