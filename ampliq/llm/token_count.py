@@ -71,7 +71,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, head: int = HEA
     docs = docs.select("doc_id", "text")
     runs = docs.select("text").mapInArrow(_run_counts, "run string, n long").groupBy("run").agg(F.sum("n").alias("n"))
     pieces = written(count_pieces(runs, path), spark, "pieces")
-    frequent = pieces.where(F.length("run") <= HEAD_CHARS).orderBy(F.desc("n"), "run").limit(head).select("run", "pieces").toPandas()
+    # which frequencies the frequent runs have, from counts by steps of a logarithm (some two thousand rows at most)
+    scale = pieces.where(F.length("run") <= HEAD_CHARS).withColumn("step", F.floor(32 * F.log2("n")))
+    least, taken = None, 0
+    for r in scale.groupBy("step").agg(F.count(F.lit(1)).alias("runs")).orderBy(F.desc("step")).collect():
+        taken += r["runs"]
+        if taken > head:
+            break
+        least = r["step"]
+    frequent = scale.where(F.lit(False) if least is None else F.col("step") >= least).select("run", "pieces").toPandas()
     known = spark.sparkContext.broadcast(dict(zip(frequent["run"].tolist(), frequent["pieces"].tolist(), strict=True)))
 
     def frequencies(batches):
