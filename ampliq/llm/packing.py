@@ -17,6 +17,8 @@ Null and empty texts: the end token alone. Repeated rows and shared ids: each ro
 
 from __future__ import annotations
 
+import string
+import sys
 import zlib
 from collections import defaultdict
 
@@ -36,28 +38,46 @@ END = 0
 ROUNDS = 400
 STEP = 0.25
 #: Units whose ids a Python task remembers.
-REMEMBERED = 300_000
-#: Blocks that pieces of one length are numbered in.
-BLOCKS = 256
+REMEMBERED = 600_000
+#: Pieces of one length that are numbered together.
+BLOCK_ROWS = 20_000
 
 
 class UnitEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    Byte-level splitting puts a single space in front of the word that follows, so a text may be cut before every space that stands between two
-    other characters that are not white space, and the units are encoded one by one. Frequent units are remembered."""
+    Byte-level splitting puts a single space in front of the word that follows and leaves a single line end by itself, and letters never share
+    a piece with the punctuation behind them. So a text falls into words with their space, line ends, and cores and tails of words, each encoded by
+    itself. Where white space meets white space, the run and what touches it stay together. Frequent units are remembered, up to ``REMEMBERED``."""
 
     def __init__(self, path: str):
         self.tokenizer, self.known = load_tokenizer(path), {}
 
+    @classmethod
+    def of_process(cls, path: str) -> UnitEncoder:
+        """One for all tasks that this Python process runs, so that what it remembers lasts."""
+        held = sys.__dict__.setdefault("_ampliq_unit_encoders", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
     def units(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
-        first, *rest = parts
+        spaces = [c for c in _SPACES if c in text]
+        if not text or text[0].isspace() or text[-1].isspace() or any(a + b in text for a in spaces for b in spaces if " " in (a, b) or "\n" in (a, b)):
+            return self._careful_units(text)
+        out: list[str] = []
+        for line in text.split("\n"):
+            if out:
+                out.append("\n")
+            first, *rest = line.split(" ")
+            out.append(first)
+            out += [" " + w for w in rest]
+        return out
+
+    def _careful_units(self, text: str) -> list[str]:
+        first, *rest = text.split(" ")
         out, last = [], first
         for p in rest:
-            # a cut is safe where neither neighbour of the space is white space
             if last and p and not last[-1].isspace() and not p[0].isspace():
                 out.append(last)
                 last = " " + p
@@ -68,14 +88,33 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known, split = self.known, [self.units(t) for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [u for u in {u for s in split for u in s} if u not in known]
-        for k in range(0, len(new), 2000):
-            part = new[k : k + 2000]
-            for u, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[u] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join([known[u] for u in s]) for s in split]
+        new: dict[str, bytes] = {}
+        missing = {u for s in split for u in s if u not in known}
+        if missing:
+            cores = {u: _core(u) for u in missing}
+            wanted = {x for u, n in cores.items() for x in ((u[:n], u[n:]) if n else (u,)) if x not in known}
+            listed = list(wanted)
+            for k in range(0, len(listed), 2000):
+                part = listed[k : k + 2000]
+                for u, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                    new[u] = np.asarray(e.ids, "<u4").tobytes()
+            get = lambda u: known.get(u) or new[u]
+            new |= {u: get(u[:n]) + get(u[n:]) for u, n in cores.items() if n}
+            if len(known) < REMEMBERED:
+                known.update(new)
+        if not missing or missing <= known.keys():
+            return [b"".join([known[u] for u in s]) for s in split]
+        return [b"".join([known[u] if u in known else new[u] for u in s]) for s in split]
+
+
+#: Everything that Python or the vocabulary's pattern takes for white space.
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
+
+
+def _core(unit: str) -> int:
+    """How much of a unit is a word of letters (with its space) before a tail of punctuation; 0 if it isn't made like that."""
+    core = unit.rstrip(string.punctuation)
+    return len(core) if len(core) < len(unit) and (core[1:] if core[:1] == " " else core).isalpha() else 0
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
@@ -84,7 +123,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep_ids
 
     def f(batches):
-        encoder, tail = UnitEncoder(path), np.asarray([end], "<u4").tobytes()
+        encoder, tail = UnitEncoder.of_process(path), np.asarray([end], "<u4").tobytes()
         for part, texts in steps(batches, most=1 << 20):
             rows = []
             for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t.decode() for t in texts]), strict=True):
@@ -208,7 +247,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Da
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per length: at most ``capacity``
     places = _places(plan_sequences(histogram, capacity, rounds))
     key = [F.col(c) for c in names]
-    blocked = found.withColumn("_block", F.pmod(F.xxhash64(*key), F.lit(BLOCKS)))
+    blocks = -(-max(histogram.values(), default=1) // BLOCK_ROWS)
+    blocked = found.withColumn("_block", F.pmod(F.xxhash64(*key), F.lit(blocks)))
     counts = blocked.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_block")) - F.col("_n")).drop("_n")
     numbered = blocked.withColumn("_in", F.row_number().over(W.partitionBy("length", "_block").orderBy("doc_id", "piece")) - 1)
