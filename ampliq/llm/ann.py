@@ -130,7 +130,9 @@ def search(index: DataFrame, queries: DataFrame, codebooks: np.ndarray, depth: i
     blocks = max(1, -(-n // QUERY_BLOCK))
     asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"), "query_id", F.col("query").alias("q"))
     asked = asked.groupBy("qb").agg(F.sort_array(F.collect_list(F.struct("query_id", "q"))).alias("asked"))
-    dealt = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "qb").repartition(blocks, "qb").sortWithinPartitions("qb")
+    dealt = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "qb")
+    # the hash keeps this exchange apart from the join's, whose partitions Spark may split
+    dealt = dealt.repartition(blocks, F.hash("qb")).sortWithinPartitions("qb")
 
     def best(ids, scores, more_ids, more_scores):
         ids, scores = np.concatenate([ids, more_ids], axis=1), np.concatenate([scores, more_scores], axis=1)
