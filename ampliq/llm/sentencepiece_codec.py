@@ -2,7 +2,7 @@
 
 A text's best segmentation maximises the sum of its pieces' scores. The best score V of each position is a linear recurrence in max-plus
 algebra over the last ``reach`` positions (the longest piece), so a stretch of text is a reach-by-reach transfer matrix from the scores
-before it to the scores at its end, and matrices combine associatively. A giant document is cut into chunks of ``CHUNK`` characters; each gives
+before it to the scores at its end, and matrices combine associatively. A document of more than ``GIANT`` characters is cut into chunks of ``CHUNK``; each gives
 its matrix, blocks of matrices are multiplied up, and each chunk gets the scores at its start. From these a chunk knows, for each
 position at which the last piece over its end may begin, where its own first piece begins; these maps combine from the last chunk to the
 first, and each chunk is then backtraced by itself. Other documents are one chunk.
@@ -20,6 +20,8 @@ empty table gives no rows; other columns are carried.
 
 from __future__ import annotations
 
+import os
+import sys
 import zlib
 
 import numpy as np
@@ -32,9 +34,11 @@ from .shared import steps, table, tokenizer_path, written
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = 16_384
+#: Characters from which on a document is cut into chunks.
+GIANT = 65_536
 #: Chunks whose matrices one task multiplies.
 BLOCK = 64
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 NEVER = -np.inf
 #: What an unknown character costs beyond the lowest score.
 UNKNOWN = 10.0
@@ -52,9 +56,21 @@ class Lattice:
         self.piece = {lib.id_to_piece(i): (i, float(lib.get_score(i))) for i in plain if set(lib.id_to_piece(i)) != {MARK} or lib.id_to_piece(i) == MARK}
         self.byte = {int(lib.id_to_piece(i)[1:-1], 16): i for i in range(n) if lib.is_byte(i)}
         self.reach = max(map(len, self.piece))
+        self.prefixes = {p[:k] for p in self.piece for k in range(1, len(p) + 1)}
+        self.plain = [lib.id_to_piece(i).replace(MARK, " ") for i in range(n)]
+        self.is_byte = np.zeros(n, bool)
+        self.is_byte[list(self.byte.values())] = True
         self.unknown = min(s for _, s in self.piece.values()) - UNKNOWN
         self.known: dict[str, tuple[float, bytes]] = {}
 
+    @classmethod
+    def of_process(cls, path: str) -> Lattice:
+        """One for all tasks that this Python process runs, so that what it remembers lasts."""
+        held = sys.__dict__.setdefault("_ampliq_lattices", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
     def arcs(self, text: str, end: int, least: int):
         """(start, id or None, score) of the pieces that end at ``end``, longest first; None: an unknown character."""
         get, single = self.piece.get, False
@@ -70,29 +86,38 @@ class Lattice:
         return [number] if number is not None else [self.byte[b] for b in text[start:end].encode()]
 
     def word(self, word: str) -> tuple[float, bytes]:
-        """Best score and ids of a word."""
+        """Best score and ids of a word. Pieces are tried from each start on, starts in order: of equals the longer last piece stays."""
         found = self.known.get(word)
         if found is None:
-            best, back = [0.0] + [NEVER] * len(word), [None] * (len(word) + 1)
-            for end in range(1, len(word) + 1):
-                for start, number, score in self.arcs(word, end, 0):
-                    if best[start] + score > best[end]:
-                        best[end], back[end] = best[start] + score, (start, number)
-            out, end = [], len(word)
+            n, get, prefixes = len(word), self.piece.get, self.prefixes
+            best, back = [0.0] + [NEVER] * n, [None] * (n + 1)
+            for start in range(n):
+                so_far = best[start]
+                for end in range(start + 1, n + 1):
+                    part = word[start:end]
+                    if part not in prefixes:
+                        break
+                    hit = get(part)
+                    if hit is not None and so_far + hit[1] > best[end]:
+                        best[end], back[end] = so_far + hit[1], (start, hit[0])
+                if word[start] not in self.piece and so_far + self.unknown > best[start + 1]:
+                    best[start + 1], back[start + 1] = so_far + self.unknown, (start, None)
+            out, end = [], n
             while end:
                 start, number = back[end]
                 out.append(self.ids(word, start, end, number))
                 end = start
             found = best[-1], np.array([x for p in reversed(out) for x in p], "<u4").tobytes()
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = found
+            if len(self.known) < REMEMBERED:
+                self.known[word] = found
         return found
 
     def whole(self, marked: str) -> tuple[float, bytes]:
         words = _words(marked)
-        scores = [self.word(w) for w in words]
-        return sum(s for s, _ in scores), b"".join([x for _, x in scores])
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [self.word(w) if f is None else f for w, f in zip(words, found, strict=True)]
+        return sum([f[0] for f in found]), b"".join([f[1] for f in found])
 
     def advance(self, text: str, first: int, scores: np.ndarray) -> tuple[np.ndarray, list]:
         """From scores (reach, k) at positions first - reach + 1 to first: scores at the last ``reach`` positions of ``text``, and for every position
@@ -148,17 +173,19 @@ def marked(text: bytes) -> str:
 
 def decode(ids: np.ndarray, lattice: Lattice) -> str:
     """The text of a row of ids."""
-    lib, out, held = lattice.library, [], bytearray()
+    if not lattice.is_byte[ids].any():
+        return "".join(map(lattice.plain.__getitem__, ids.tolist()))[1:]
+    out, held = [], bytearray()
     for i in ids.tolist():
-        if lib.is_byte(i):
-            held.append(int(lib.id_to_piece(i)[1:-1], 16))
+        if lattice.is_byte[i]:
+            held.append(int(lattice.library.id_to_piece(i)[1:-1], 16))
             continue
         if held:
             out.append(held.decode(errors="replace"))
             held = bytearray()
-        out.append(lib.id_to_piece(i))
+        out.append(lattice.plain[i])
     out.append(held.decode(errors="replace"))
-    return "".join(out).replace(MARK, " ")[1:]
+    return "".join(out)[1:]
 
 
 _DIGEST = "n_ids long, ids_crc32 long, score double, n_library long, decoded boolean"
@@ -174,7 +201,7 @@ class Library:
     """Numbers of ids that the library gives, word by word: a merge never crosses a word start behind a character of another word."""
 
     def __init__(self, lattice: Lattice):
-        self.lattice, self.known = lattice, {}
+        self.lattice, self.known = lattice, lattice.__dict__.setdefault("library_counts", {})
 
     def count(self, text: str) -> int:
         # a run of spaces may merge, so it stays with the word behind it
@@ -188,23 +215,24 @@ class Library:
         lone = held == " "  # one space at the end is a mark alone
         if held and not lone:
             words.append(held[:-1])
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            for w, ids in zip(new, self.lattice.library.encode(new, num_threads=1), strict=True):
-                self.known[w] = len(ids)
-        return sum(map(self.known.__getitem__, words)) + lone if text else 0
+        counts = list(map(self.known.get, words))
+        if None in counts:
+            new = [w for w, n in zip(words, counts, strict=True) if n is None]
+            found = dict(zip(new, map(len, self.lattice.library.encode(new, num_threads=1)), strict=True))
+            counts = [found[w] if n is None else n for w, n in zip(words, counts, strict=True)]
+            if len(self.known) < REMEMBERED:
+                self.known.update(found)
+        return sum(counts) + lone if text else 0
 
 
-def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, giant: int = GIANT, keep_ids: bool = False) -> DataFrame:
     """``docs`` without its text, with n_ids, ids_crc32, score, n_library and decoded (and with ``keep_ids`` the ids as bytes)."""
     kept = [c for c in docs.columns if c not in ("text", "ids", *_NAMES)]
     types = dict(docs.dtypes)
     columns = "".join(f"`{c}` {types[c]}, " for c in kept)
 
     def one_chunk(batches):
-        lattice = Lattice(path)
+        lattice = Lattice.of_process(path)
         library = Library(lattice)
         for part, texts in steps(batches, most=1 << 20):
             rows, held = [], []
@@ -214,9 +242,9 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep_ids: b
                 held.append(ids)
             yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in kept), *_digest(rows), *([pa.array(held, pa.binary())] if keep_ids else [])], [*kept, *_NAMES, *["ids"] * keep_ids])
 
-    giant = F.length(F.coalesce("text", F.lit(""))) > chunk
-    small = docs.where(~giant).select(*kept, "text").mapInArrow(one_chunk, columns + _DIGEST + ", ids binary" * keep_ids)
-    return small.unionByName(_giants(docs.where(giant).select(*kept, "text"), path, chunk, kept, columns, keep_ids))
+    is_giant = F.length(F.coalesce("text", F.lit(""))) > giant
+    small = docs.where(~is_giant).select(*kept, "text").mapInArrow(one_chunk, columns + _DIGEST + ", ids binary" * keep_ids)
+    return small.unionByName(_giants(docs.where(is_giant).select(*kept, "text"), path, chunk, kept, columns, keep_ids))
 
 
 def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: str, keep_ids: bool) -> DataFrame:
@@ -226,7 +254,7 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
     of_row = ["_row", "chunk"]
 
     def cut(batches):
-        lattice = Lattice(path)
+        lattice = Lattice.of_process(path)
         for part, texts in steps(batches):
             for row, t in zip(part.column(part.schema.get_field_index("_row")).to_pylist(), texts, strict=True):
                 m = marked(t)
@@ -238,7 +266,7 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
     chunks = written(rows.select("_row", "text").mapInArrow(cut, "_row long, chunk int, block int, first int, piece string, last boolean").repartition("_row", "block", "chunk"), spark, "chunks")
 
     def matrices(batches):
-        lattice = Lattice(path)
+        lattice = Lattice.of_process(path)
         for b in batches:
             for r in b.to_pylist():
                 yield pa.record_batch([pa.array([r["_row"]]), pa.array([r["chunk"]], pa.int32()), pa.array([r["block"]], pa.int32()), pa.array([lattice.transfer(r["piece"], r["first"]).tobytes()])], [*of_row, "block", "matrix"])
@@ -277,7 +305,7 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
 
     def traces(batches):
         """For each state a chunk may be left in: the state it is entered in, its ids, and its score."""
-        lattice = Lattice(path)
+        lattice = Lattice.of_process(path)
         reach = lattice.reach
         for b in batches:
             for r in b.to_pylist():
@@ -319,9 +347,12 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
                         entered.append(first - end if ok else -1)
                         ids.append(x)
                         total.append(float(tail[reach - 1 - s, 0]) if ok else NEVER)
-                yield pa.record_batch([pa.array([r["_row"]]), pa.array([r["chunk"]], pa.int32()), pa.array([entered], pa.list_(pa.int32())), pa.array([ids], pa.list_(pa.binary())), pa.array([total[0]])], [*of_row, "entered", "ids", "score"])
+                # all backtraces run together before long: what they share is kept once
+                open_ids = [x for x, e in zip(ids, entered, strict=True) if e >= 0]
+                n = len(os.path.commonprefix(open_ids)) // 4 * 4
+                yield pa.record_batch([pa.array([r["_row"]]), pa.array([r["chunk"]], pa.int32()), pa.array([entered], pa.list_(pa.int32())), pa.array([open_ids[0][:n]], pa.binary()), pa.array([[x[n:] for x in ids]], pa.list_(pa.binary())), pa.array([total[0]])], [*of_row, "entered", "shared", "ids", "score"])
 
-    traced = written(chunks.join(entries, of_row).select(*of_row, "piece", "first", "before").mapInArrow(traces, "_row long, chunk int, entered array<int>, ids array<binary>, score double"), spark, "traces")
+    traced = written(chunks.join(entries, of_row).select(*of_row, "piece", "first", "before").mapInArrow(traces, "_row long, chunk int, entered array<int>, shared binary, ids array<binary>, score double"), spark, "traces")
 
     def states(t: pa.Table) -> pa.Table:  # a few small numbers for each chunk of one document
         found = sorted(t.to_pylist(), key=lambda r: -r["chunk"])
@@ -332,11 +363,11 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
         return pa.table([pa.array([r["_row"] for r in found]), pa.array([r["chunk"] for r in found], pa.int32()), pa.array(out, pa.int32())], [*of_row, "state"])
 
     left = traced.select(*of_row, "entered").groupBy("_row").applyInArrow(states, "_row long, chunk int, state int")
-    picked = traced.join(left, of_row).select(*of_row, F.element_at("ids", F.col("state") + 1).alias("ids"), "score")
+    picked = traced.join(left, of_row).select(*of_row, F.concat("shared", F.element_at("ids", F.col("state") + 1)).alias("ids"), "score")
     ids = picked.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("ids"), F.max_by("score", "chunk").alias("score"))
 
     def finish(batches):
-        lattice = Lattice(path)
+        lattice = Lattice.of_process(path)
         library = Library(lattice)
         for b in batches:
             for k in range(b.num_rows):

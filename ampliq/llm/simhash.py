@@ -244,6 +244,11 @@ def _matched(met: DataFrame, scheme: Scheme) -> DataFrame:
     return met.select("key", "fp").mapInArrow(f, "a binary, b binary")
 
 
+def _gathered(met: DataFrame) -> DataFrame:
+    """Each place in one partition, in order. The hash keeps this exchange apart from a join on the key, whose partitions Spark may split."""
+    return met.repartition(F.hash("key")).sortWithinPartitions("key", "fp")
+
+
 def linked_fingerprints(distinct: DataFrame, scheme: Scheme) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints (column fp) within the scheme's radius."""
     spark = distinct.sparkSession
@@ -251,12 +256,12 @@ def linked_fingerprints(distinct: DataFrame, scheme: Scheme) -> DataFrame:
     sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = met.join(sizes, "key")
     small = shared.where(F.col("n") <= BIG) if scheme.exact else shared
-    links = _matched(small.repartition("key").sortWithinPartitions("key", "fp"), scheme)
+    links = _matched(_gathered(small), scheme)
     if scheme.exact:
         crowded = written(shared.where(F.col("n") > BIG).select("fp").distinct(), spark, "crowded")
         if crowded.head(1):
             finer = meeting_places(crowded, FINE)
-            links = links.union(_matched(finer.repartition("key").sortWithinPartitions("key", "fp"), FINE))
+            links = links.union(_matched(_gathered(finer), FINE))
     return links
 
 
