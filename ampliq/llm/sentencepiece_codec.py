@@ -21,6 +21,7 @@ empty table gives no rows; other columns are carried.
 from __future__ import annotations
 
 import os
+import struct
 import sys
 import zlib
 
@@ -56,12 +57,17 @@ class Lattice:
         self.piece = {lib.id_to_piece(i): (i, float(lib.get_score(i))) for i in plain if set(lib.id_to_piece(i)) != {MARK} or lib.id_to_piece(i) == MARK}
         self.byte = {int(lib.id_to_piece(i)[1:-1], 16): i for i in range(n) if lib.is_byte(i)}
         self.reach = max(map(len, self.piece))
-        self.prefixes = {p[:k] for p in self.piece for k in range(1, len(p) + 1)}
+        #: The pieces as a tree of characters: of each the branches behind it, and (id, score) where a piece ends.
+        self.tree: dict[str, tuple[dict, tuple[int, float] | None]] = {}
+        for p in sorted(self.piece):
+            at = self.tree
+            for k, c in enumerate(p, 1):
+                at = at.setdefault(c, ({}, self.piece.get(p[:k])))[0]
         self.plain = [lib.id_to_piece(i).replace(MARK, " ") for i in range(n)]
-        self.is_byte = np.zeros(n, bool)
-        self.is_byte[list(self.byte.values())] = True
+        self.byte_ids = frozenset(self.byte.values())
         self.unknown = min(s for _, s in self.piece.values()) - UNKNOWN
-        self.known: dict[str, tuple[float, bytes]] = {}
+        self.known: dict[str, tuple[float, bytes, bool, int]] = {}
+        self.known_runs: dict[str, int] = {}
 
     @classmethod
     def of_process(cls, path: str) -> Lattice:
@@ -85,40 +91,88 @@ class Lattice:
     def ids(self, text: str, start: int, end: int, number) -> list[int]:
         return [number] if number is not None else [self.byte[b] for b in text[start:end].encode()]
 
-    def word(self, word: str) -> tuple[float, bytes]:
+    def word(self, word: str) -> tuple[float, list[int]]:
         """Best score and ids of a word. Pieces are tried from each start on, starts in order: of equals the longer last piece stays."""
-        found = self.known.get(word)
-        if found is None:
-            n, get, prefixes = len(word), self.piece.get, self.prefixes
-            best, back = [0.0] + [NEVER] * n, [None] * (n + 1)
-            for start in range(n):
-                so_far = best[start]
-                for end in range(start + 1, n + 1):
-                    part = word[start:end]
-                    if part not in prefixes:
-                        break
-                    hit = get(part)
-                    if hit is not None and so_far + hit[1] > best[end]:
-                        best[end], back[end] = so_far + hit[1], (start, hit[0])
-                if word[start] not in self.piece and so_far + self.unknown > best[start + 1]:
-                    best[start + 1], back[start + 1] = so_far + self.unknown, (start, None)
-            out, end = [], n
-            while end:
-                start, number = back[end]
-                out.append(self.ids(word, start, end, number))
-                end = start
-            found = best[-1], np.array([x for p in reversed(out) for x in p], "<u4").tobytes()
+        n, piece = len(word), self.piece
+        best, back = [0.0] + [NEVER] * n, [None] * (n + 1)
+        for start in range(n):
+            so_far, branches, end = best[start], self.tree, start
+            for c in word[start:]:
+                found = branches.get(c)
+                if found is None:
+                    break
+                branches, hit = found
+                end += 1
+                if hit:
+                    score = so_far + hit[1]
+                    if score > best[end]:
+                        best[end], back[end] = score, (start, hit[0])
+            if word[start] not in piece and so_far + self.unknown > best[start + 1]:
+                best[start + 1], back[start + 1] = so_far + self.unknown, (start, None)
+        out, end = [], n
+        while end:
+            start, number = back[end]
+            if number is None:
+                out += reversed(self.ids(word, start, end, None))
+            else:
+                out.append(number)
+            end = start
+        out.reverse()
+        return best[-1], out
+
+    def entries(self, words: list[str]) -> list[tuple[float, bytes, bool, int]]:
+        """For each word, given without its mark: best score, ids, whether these decode to it, and how many ids the library gives."""
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = list(dict.fromkeys(w for w, f in zip(words, found, strict=True) if f is None))
+            made = {}
+            for w, counted in zip(new, self.library.encode(new, num_threads=1), strict=True):
+                score, ids = self.word(MARK + w)
+                made[w] = score, struct.pack(f"<{len(ids)}I", *ids), decode(ids, self) == w, len(counted)
+            found = [made[w] if f is None else f for w, f in zip(words, found, strict=True)]
             if len(self.known) < REMEMBERED:
-                self.known[word] = found
+                self.known.update(made)
         return found
 
     def whole(self, marked: str) -> tuple[float, bytes]:
-        words = _words(marked)
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = [self.word(w) if f is None else f for w, f in zip(words, found, strict=True)]
+        """Best score and ids of a text that begins with a mark, or is empty."""
+        found = self.entries(marked[1:].split(MARK)) if marked else []
         return sum([f[0] for f in found]), b"".join([f[1] for f in found])
 
+    def digest(self, text: str) -> tuple[bytes, float, int, bool]:
+        """Ids, score, the library's number of ids, and whether the ids decode to the text. Words decode one by one: each begins with a piece."""
+        words = text.split(" ")
+        if MARK not in text and "" not in words:
+            scores, ids, same, counts = zip(*self.entries(words), strict=True)
+            joined = b"".join(ids)
+            return joined, sum(scores), sum(counts), all(same) or decode(unpacked(joined), self) == text
+        score, joined = self.whole(marked(text.encode()))
+        return joined, score, self.library_count(text), decode(unpacked(joined), self) == text
+
+    def library_count(self, text: str) -> int:
+        """How many ids the library gives, word by word: a merge never crosses a word start behind a character of another word."""
+        # a run of spaces may merge, so it stays with the word behind it
+        words, runs, held = [], [], ""
+        for w in text.split(" "):
+            if not w:
+                held += " "
+            elif held or MARK in w:
+                runs.append(held + w)
+                held = ""
+            else:
+                words.append(w)
+        lone = held == " "  # one space at the end is a mark alone
+        if held and not lone:
+            runs.append(held[:-1])
+        counts = list(map(self.known_runs.get, runs))
+        if None in counts:
+            new = list(dict.fromkeys(w for w, n in zip(runs, counts, strict=True) if n is None))
+            found = dict(zip(new, map(len, self.library.encode(new, num_threads=1)), strict=True))
+            counts = [found[w] if n is None else n for w, n in zip(runs, counts, strict=True)]
+            if len(self.known_runs) < REMEMBERED:
+                self.known_runs.update(found)
+        return sum(f[3] for f in self.entries(words)) + sum(counts) + lone if text else 0
+
     def advance(self, text: str, first: int, scores: np.ndarray) -> tuple[np.ndarray, list]:
         """From scores (reach, k) at positions first - reach + 1 to first: scores at the last ``reach`` positions of ``text``, and for every position
         the arc that each of the k columns took."""
@@ -155,12 +209,6 @@ class Lattice:
         return leave[:, None] + inner + entry[None, :]
 
 
-def _words(marked: str) -> list[str]:
-    """Words with their mark in front; each mark starts a word."""
-    parts = marked.split(MARK)
-    return ([parts[0]] if parts[0] else []) + [MARK + p for p in parts[1:]]
-
-
 def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product of two matrices: first ``b``, then ``a``."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
@@ -171,13 +219,17 @@ def marked(text: bytes) -> str:
     return MARK + t.replace(" ", MARK) if t else ""
 
 
-def decode(ids: np.ndarray, lattice: Lattice) -> str:
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<u4").tolist()
+
+
+def decode(ids: list[int], lattice: Lattice) -> str:
     """The text of a row of ids."""
-    if not lattice.is_byte[ids].any():
-        return "".join(map(lattice.plain.__getitem__, ids.tolist()))[1:]
+    if lattice.byte_ids.isdisjoint(ids):
+        return "".join(map(lattice.plain.__getitem__, ids))[1:]
     out, held = [], bytearray()
-    for i in ids.tolist():
-        if lattice.is_byte[i]:
+    for i in ids:
+        if i in lattice.byte_ids:
             held.append(int(lattice.library.id_to_piece(i)[1:-1], 16))
             continue
         if held:
@@ -197,34 +249,6 @@ def _digest(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()), strict=True)]
 
 
-class Library:
-    """Numbers of ids that the library gives, word by word: a merge never crosses a word start behind a character of another word."""
-
-    def __init__(self, lattice: Lattice):
-        self.lattice, self.known = lattice, lattice.__dict__.setdefault("library_counts", {})
-
-    def count(self, text: str) -> int:
-        # a run of spaces may merge, so it stays with the word behind it
-        words, held = [], ""
-        for w in text.split(" "):
-            if w:
-                words.append(held + w)
-                held = ""
-            else:
-                held += " "
-        lone = held == " "  # one space at the end is a mark alone
-        if held and not lone:
-            words.append(held[:-1])
-        counts = list(map(self.known.get, words))
-        if None in counts:
-            new = [w for w, n in zip(words, counts, strict=True) if n is None]
-            found = dict(zip(new, map(len, self.lattice.library.encode(new, num_threads=1)), strict=True))
-            counts = [found[w] if n is None else n for w, n in zip(words, counts, strict=True)]
-            if len(self.known) < REMEMBERED:
-                self.known.update(found)
-        return sum(counts) + lone if text else 0
-
-
 def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, giant: int = GIANT, keep_ids: bool = False) -> DataFrame:
     """``docs`` without its text, with n_ids, ids_crc32, score, n_library and decoded (and with ``keep_ids`` the ids as bytes)."""
     kept = [c for c in docs.columns if c not in ("text", "ids", *_NAMES)]
@@ -233,12 +257,11 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, giant: int
 
     def one_chunk(batches):
         lattice = Lattice.of_process(path)
-        library = Library(lattice)
         for part, texts in steps(batches, most=1 << 20):
             rows, held = [], []
             for t in texts:
-                score, ids = lattice.whole(marked(t))
-                rows.append((len(ids) // 4, zlib.crc32(ids), float(score), library.count(t.decode()), decode(np.frombuffer(ids, "<u4"), lattice) == t.decode()))
+                ids, score, counted, same = lattice.digest(t.decode())
+                rows.append((len(ids) // 4, zlib.crc32(ids), float(score), counted, same))
                 held.append(ids)
             yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in kept), *_digest(rows), *([pa.array(held, pa.binary())] if keep_ids else [])], [*kept, *_NAMES, *["ids"] * keep_ids])
 
@@ -368,13 +391,12 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
 
     def finish(batches):
         lattice = Lattice.of_process(path)
-        library = Library(lattice)
         for b in batches:
             for k in range(b.num_rows):
                 r = b.slice(k, 1)
                 at = {c: r.column(r.schema.get_field_index(c))[0].as_py() for c in ("text", "ids", "score")}
                 held = b"".join([x["ids"] for x in at["ids"]])
-                row = (len(held) // 4, zlib.crc32(held), at["score"], library.count(at["text"]), decode(np.frombuffer(held, "<u4"), lattice) == at["text"])
+                row = (len(held) // 4, zlib.crc32(held), at["score"], lattice.library_count(at["text"]), decode(unpacked(held), lattice) == at["text"])
                 yield pa.record_batch([*(r.column(r.schema.get_field_index(c)) for c in kept), *_digest([row]), *([pa.array([held], pa.binary())] if keep_ids else [])], [*kept, *_NAMES, *["ids"] * keep_ids])
 
     return rows.join(ids, "_row").mapInArrow(finish, columns + _DIGEST + ", ids binary" * keep_ids)
