@@ -12,7 +12,7 @@ words, which are remembered, and only the characters before a chunk's first and
 Ties go to the longer last piece, as in the library. Scores are added in double precision.
 
 The given vocabulary is a merge (BPE) model. Its merges are no sum of scores, so the scan can't give the library's ids for it: the scan gives the ids
-of the library's unigram decoder over the same pieces and scores. ``library_pieces`` counts what the merges give; both are in the query.
+of the library's unigram decoder over the same pieces and scores. ``Lattice.library_count`` counts what the merges give; both are in the query.
 
 Characters outside the vocabulary become byte pieces. Null and empty texts have no ids. Repeated rows each get their line; an
 empty table gives no rows; other columns are carried.
