@@ -302,11 +302,12 @@ def guide_specific_edits(spark, sf):
 
 @query("E02_best_reference")
 def best_reference(spark, sf):
-    """The aligner on distinct reads against three references, with the best of them."""
+    """The aligner on distinct reads against all references, with the best of them."""
     from ..operators.align import alignments, best_references
 
-    r = A.unique_reads(reads(spark, sf).where(F.col("ref_name").isin("R0", "R1", "R2")), ["sample"], "read_seq")
-    return best_references(alignments(r, _reference_dicts(spark, sf, ["R0", "R1", "R2"]), seq="read_seq"), ["sample", "read_seq"])
+    r = A.unique_reads(reads(spark, sf), ["sample"], "read_seq")
+    best = best_references(alignments(r.select("read_seq").distinct(), _reference_dicts(spark, sf, [f"R{k}" for k in range(20)]), seq="read_seq"), ["read_seq"])
+    return r.join(best, "read_seq").select(*r.columns, *[c for c in best.columns if c != "read_seq"])
 
 
 def _reference_dicts(spark, sf, names):
@@ -329,8 +330,8 @@ def variants_by_alignment(spark, sf):
     """Reads aligned, edits called, and rates per reference: the whole core on raw reads."""
     from .analysis import quantified
 
-    names = [f"R{k}" for k in range(4)]
-    r = reads(spark, sf).where(F.col("ref_name").isin(names)).select("sample", F.col("read_seq").alias("seq"))
+    names = [f"R{k}" for k in range(20)]
+    r = reads(spark, sf).select("sample", F.col("read_seq").alias("seq"))
     return quantified(r, _reference_dicts(spark, sf, names), {n: WINDOW for n in names}, ["sample"])
 
 

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import amino, guess, prime
 from ..operators import references as R
-from ..operators.align import alignments
+from ..operators.align import alignments, best_references
 from ..operators.alleles import allele_table, unique_reads
-from .derived import WINDOW, reads, references, variants
+from .derived import REFS, WINDOW, reads, references, variants
 from .modes import batch, compared, paired, pooled
 from .registry import query
 
+NAMES = [f"R{k}" for k in range(REFS)]
+
 
 def _refs(spark, sf, names):
     """References of 64 bases whose guide cuts between positions 31 and 32."""
@@ -19,47 +21,46 @@ def _refs(spark, sf, names):
     return [R.build(n, seqs[n], [seqs[n][15:35]], skip_left=5, skip_right=5, plot=10) for n in names]
 
 
-def _raw(spark, sf, names):
-    return reads(spark, sf).where(F.col("ref_name").isin(names)).select("sample", F.col("read_seq").alias("seq"))
+def _raw(spark, sf):
+    return reads(spark, sf).select("sample", F.col("read_seq").alias("seq"))
 
 
 @query("J08_pooled")
 def pooled_rates(spark, sf):
-    names = ["R0", "R1", "R2"]
-    return pooled(_raw(spark, sf, names), _refs(spark, sf, names), 100)["editing"]
+    return pooled(_raw(spark, sf), _refs(spark, sf, NAMES), 100)["editing"]
 
 
 @query("J05_batch_from_reads")
 def batch_rates(spark, sf):
-    names = ["R3", "R4"]
-    return batch(_raw(spark, sf, names), _refs(spark, sf, names))["editing"]
+    return batch(_raw(spark, sf), _refs(spark, sf, NAMES))["editing"]
 
 
 @query("J10_compare")
 def compare_samples(spark, sf):
-    refs = _refs(spark, sf, [f"R{k}" for k in range(20)])
+    refs = _refs(spark, sf, NAMES)
     return compared(variants(spark, sf), refs, "O", "F")["significant"]
 
 
 @query("E08_paired_variants")
 def paired_variants(spark, sf):
-    r = reads(spark, sf).where("ref_name = 'R5'").select("sample", F.substring("read_seq", 1, 45).alias("seq1"), F.expr("substr(read_seq, 20)").alias("seq2"), F.substring("qual", 1, 45).alias("qual1"), F.expr("substr(qual, 20)").alias("qual2"))
-    found = paired(r, _refs(spark, sf, ["R5"]), ["sample"])
+    r = reads(spark, sf).select("sample", F.substring("read_seq", 1, 45).alias("seq1"), F.expr("substr(read_seq, 20)").alias("seq2"), F.substring("qual", 1, 45).alias("qual1"), F.expr("substr(qual, 20)").alias("qual2"))
+    found = paired(r, _refs(spark, sf, NAMES), ["sample"])
     return found.groupBy("sample", "ref_name").agg(F.sum("n_reads").alias("n_reads"), F.sum(F.when(F.col("edits.mods_in_window") > 0, F.col("n_reads")).otherwise(0)).alias("modified"))
 
 
 @query("F14_from_first_reference")
 def from_first_reference(spark, sf):
-    refs = [r.as_row() for r in _refs(spark, sf, ["R6", "R7"])]
-    counts = unique_reads(_raw(spark, sf, ["R6", "R7"]), [], "seq")
-    both = alignments(counts.select("seq"), refs)
-    owned = counts.withColumn("ref_name", F.lit("R7"))
-    return prime.from_first(both, owned, "R6", WINDOW).groupBy("assigned_ref").agg(F.sum("n_reads").alias("n_reads"), F.sum(F.col("edits.substitution_n") * F.col("n_reads")).alias("substitutions"))
+    """Reads under the reference they fit best, with their edits seen from the first one; ambiguous reads count for none."""
+    refs = [r.as_row() for r in _refs(spark, sf, NAMES)]
+    counts = unique_reads(_raw(spark, sf), [], "seq")
+    best = best_references(alignments(counts.select("seq"), refs), ["seq"]).where("n_best = 1")
+    owned = counts.join(best.select("seq", "ref_name"), "seq")
+    return prime.from_first(alignments(counts.select("seq"), refs[:1]), owned, NAMES[0], WINDOW).groupBy("assigned_ref").agg(F.sum("n_reads").alias("n_reads"), F.sum(F.col("edits.substitution_n") * F.col("n_reads")).alias("substitutions"))
 
 
 @query("F19_amino_acid_alleles")
 def amino_acid_alleles(spark, sf):
-    return amino.amino_alleles(allele_table(variants(spark, sf).where("ref_name IN ('R8', 'R9')"), ["sample"]), ["sample", "ref_name"], 10, 15, 7)
+    return amino.amino_alleles(allele_table(variants(spark, sf), ["sample"]), ["sample", "ref_name"], 10, 15, 7)
 
 
 @query("F28_scaffold_sizes")
@@ -69,20 +70,21 @@ def scaffold_sizes(spark, sf):
 
 @query("E23_guessed_amplicons")
 def guessed_amplicons(spark, sf):
-    r = _raw(spark, sf, ["R0", "R1"]).withColumn("ord", F.xxhash64("seq"))
-    counted = [(x["seq"], x["n_reads"]) for x in guess.most_frequent(r, rows=50).collect()]  # at most 50 sequences
-    return spark.createDataFrame([(k, s) for k, s in enumerate(guess.amplicons(counted, guess.READS, 0.02))], "rank int, amplicon string")
+    """From all reads: at a share of 0.02 only the 50 most frequent ones can be looked at."""
+    r = _raw(spark, sf)
+    counted = [(x["seq"], x["n_reads"]) for x in guess.most_frequent(r, None).collect()]  # at most 1,000 sequences
+    return spark.createDataFrame([(k, s) for k, s in enumerate(guess.amplicons(counted, r.count(), 0.02))], "rank int, amplicon string")
 
 
 @query("E24_guessed_guide")
 def guessed_guide(spark, sf):
-    r = _raw(spark, sf, ["R0"]).withColumn("ord", F.xxhash64("seq"))
-    counted = [(x["seq"], x["n_reads"]) for x in guess.most_frequent(r, rows=200).collect()]
-    (ref,) = _refs(spark, sf, ["R0"])
-    return spark.createDataFrame([guess.guide(ref.seq, counted, min_share=0.001, min_fold=1.0)], "guide string, base_editor boolean")
+    """One guide per reference, from all of its reads."""
+    r = reads(spark, sf).select("ref_name", F.col("read_seq").alias("seq"))
+    found = guess.guides(r, {x.name: x.seq for x in _refs(spark, sf, NAMES)}, min_share=0.001, min_fold=1.0)
+    return spark.createDataFrame(found, "ref_name string, guide string, base_editor boolean")
 
 
 @query("E12_guide_placement")
 def guide_placement(spark, sf):
-    rows = [(r.name, g.name, g.start, g.end, g.cut, r.window) for r in _refs(spark, sf, [f"R{k}" for k in range(20)]) for g in r.guides]
+    rows = [(r.name, g.name, g.start, g.end, g.cut, r.window) for r in _refs(spark, sf, NAMES) for g in r.guides]
     return spark.createDataFrame(rows, "ref_name string, guide string, start int, stop int, cut int, window array<int>")

@@ -1,9 +1,12 @@
 """Whole analyses on small made-up experiments."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ampliq.operators import amino, guess, prime
 from ampliq.operators import references as R
 from ampliq.operators.align import alignments
@@ -96,3 +99,59 @@ def test_edits_from_the_first_reference(spark):
     out = prime.from_first(both, spark.createDataFrame([(edited(A, 4), "b", 7)], "seq string, ref_name string, n_reads long"), "a", REFS[0].window)
     (row,) = out.select("assigned_ref", "n_reads", F.col("edits.deletion_n").alias("d")).collect()
     assert (row.assigned_ref, row.n_reads, row.d) == ("b", 7, 4)
+
+
+def test_pairs_find_the_best_of_all_references(spark):
+    """The pruned candidates give what a consensus of every pair with every reference and strand gives."""
+    from ampliq.operators.align import align, rc, scoring_matrix
+    from ampliq.operators.pairs import consensus
+
+    rows = []
+    for k in range(60):
+        s = edited((A, B, rc(A))[k % 3], k % 5)
+        one, two = s[:80], s[30:]
+        two = two[:10] + "".join(RNG.choice(list("ACGT"), 8)) + two[18:] if k % 2 else two
+        rows.append((one, two, "".join(RNG.choice(list("#5I"), len(one))), "".join(RNG.choice(list("#5I"), len(two)))))
+    want = {}
+    for one, two, p, q in rows:
+        per_ref = []
+        for r in (x.as_row() for x in REFS):
+            sides = []
+            for x, y, u, v in ((one, two, p, q), (rc(one), rc(two), p[::-1], q[::-1])):
+                a, b = (align([t], r["seq"], scoring_matrix(), r["incentive"])[0] for t in (x, y))
+                sides.append(consensus((*a, u), (*b, v)))
+            m = sides[1] if sides[1][3] > sides[0][3] else sides[0]
+            per_ref.append((m[3], r["name"], m[0], m[2], float(r["min_score"])))
+        top = max((x for x in per_ref if x[0] > x[4]), default=None, key=lambda x: x[0])
+        if top:
+            want[one, two, p, q] = top[1:4]
+    df = spark.createDataFrame(rows, "seq1 string, seq2 string, qual1 string, qual2 string")
+    got = {(r.seq1, r.seq2, r.qual1, r.qual2): (r.ref_name, r.aln_seq, r.aln_ref) for r in modes.paired(df, REFS, []).collect()}
+    assert got == want and len(want) > 40
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+@pytest.mark.parametrize("name", ["J08_pooled", "J05_batch_from_reads", "E02_best_reference", "E07_variants_by_alignment", "E08_paired_variants", "F14_from_first_reference"])
+def test_queries_take_all_reads(spark, name):
+    """Every read of the table is in the result, under the reference it was made from."""
+    from ampliq.plans.derived import reads
+
+    found = entry.queries()[name](spark, SF)
+    column = "assigned_ref" if name.startswith("F14") else "ref_name"
+    want = {r.ref_name: r["count"] for r in reads(spark, SF).groupBy("ref_name").count().collect()}
+    assert {r[column]: r.n for r in found.groupBy(column).agg(F.sum("n_reads").alias("n")).collect()} == want and len(want) == 20
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_amino_acids_and_guesses_take_all_references(spark):
+    from ampliq.plans.derived import reads, references
+
+    q, seqs = entry.queries(), {r.ref_name: r.ref_seq for r in references(spark, SF).collect()}
+    assert q["F19_amino_acid_alleles"](spark, SF).agg(F.sum("n_reads")).first()[0] == reads(spark, SF).count()
+    counts = {r.read_seq: r["count"] for r in reads(spark, SF).groupBy("read_seq").count().collect()}
+    share = 0.02 * sum(counts.values())
+    assert {s for s in seqs.values() if counts[s] > share} <= {r.amplicon for r in q["E23_guessed_amplicons"](spark, SF).collect()}
+    assert {r.ref_name for r in q["E24_guessed_guide"](spark, SF).collect()} == set(seqs)
