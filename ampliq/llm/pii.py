@@ -4,12 +4,14 @@ Detected are e-mail addresses, phone numbers, IPv4 addresses, payment cards, soc
 password, token and the like) and names behind a form of address. An entity is reduced to a normal form (an address in lower case,
 a number's digits), so that all its spellings refer to one thing. The surrogate of a normal form is drawn from a keyed SHA-256 and keeps
 the type and format: digits for digits, letters for letters of the same case, hexadecimal for hexadecimal, valid octets, a valid check digit for
-a valid card, country code and top-level domain as they were; a name gets one of the same gender and script, word by word,
-so that a surname alone still refers to the same person. It is written back into each occurrence's own spelling.
+a valid card, country code and top-level domain as they were; a name's given name and surname are drawn each by itself, of the same gender and
+script, so that a surname alone still refers to the same person. It is written back into each occurrence's own spelling.
 
 Collision checks: no two entities of a type get one surrogate, and no surrogate equals an entity found in the corpus. Entities in a
-clash (all but the smallest) are drawn again with the next attempt number, until there is none. Given names and surnames come from short
-lists, so distinct people may share them; a name in a clash gets a numbered surname.
+clash (all but the smallest) are drawn again with the next attempt number, until there is none. Given names and surnames are checked word by
+word, whatever their capitals: distinct words get distinct surrogates in all names that hold them, so distinct names do. Their first draw is from short lists; each
+further attempt adds a syllable, and so has 80 times the space. Secrets and addresses grow after LONGER attempts, as very short ones may
+have no free surrogate of their length. What holds no letter or digit to be drawn is not detected.
 
 Null texts stay null. Repeated rows and shared or null ids are treated alike, text by text. Empty tables give empty results. Other
 columns are carried.
@@ -25,6 +27,7 @@ from .shared import table, written
 KEY = "change me: the deployment's secret"
 NO_ID = -(1 << 63)
 MOST_ATTEMPTS = 50
+LONGER = 8
 
 # Forms of address by gender, and names by script and gender.
 MALE = "Mr|Herr|Monsieur|Señor|Sr"
@@ -41,13 +44,13 @@ SURNAMES = {
     "cyrillic": ["Смирнов", "Кузнецов", "Попов", "Соколов", "Лебедев", "Козлов", "Новиков", "Морозов"],
 }
 
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,256}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}"
+EMAIL = r"(?<![A-Za-z0-9._%+\-])(?=[._%+\-]*[A-Za-z0-9]|[._%+\-]+@[\-.]*[A-Za-z0-9][A-Za-z0-9\-.]*\.[A-Za-z])[A-Za-z0-9._%+\-]{1,256}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 PHONE = r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3}[ .\-]?\d{2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<!\d)\d{3}[.\-]\d{3}[.\-]\d{4}(?!\d)"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
 CARD = r"(?<!\d)\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4}(?!\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 CLOUD = r"AKIA[A-Z0-9]{16}"
-SECRET = r"(?<=\b(?:password|passwd|pwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_\-]{6,}"
+SECRET = r"(?<=\b(?:password|passwd|pwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)(?=[_\-]*[A-Za-z0-9])[A-Za-z0-9_\-]{6,}"
 NAME = rf"\b(?:{MALE}|{FEMALE}|{OTHER})\.? \p{{Lu}}[\p{{L}}'\-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'\-]{{1,40}})?"
 ANY = "|".join((SECRET, EMAIL, PHONE, SSN, CARD, IP, CLOUD, NAME))
 
@@ -96,21 +99,27 @@ def _luhn(digits: Column, weigh_last: bool) -> Column:
     return F.aggregate(rest, F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
 
 
-def _choice(seed: Column, names: list[str]) -> Column:
-    return F.element_at(F.array(*map(F.lit, names)), _draw(seed, F.lit(0), len(names)) + 1)
+def _name_words(entity: Column) -> Column:
+    """The words of a name as entities of their own: its surname and, where there is one, its given name behind its gender."""
+    words = F.split(entity, " ")
+    address, given, last = F.element_at(words, 1), F.lower(F.element_at(words, 2)), F.lower(F.element_at(words, -1))
+    female = address.rlike(rf"^(?:{FEMALE})\.?$") | (~address.rlike(rf"^(?:{MALE})\.?$") & (F.pmod(F.xxhash64(given), F.lit(2)) == 0))
+    pair = lambda kind, normal: F.struct(F.lit(kind).alias("kind"), normal.alias("normal"))
+    surname = pair("surname", last)
+    return F.when(F.size(words) > 2, F.array(surname, pair("given", F.concat(F.when(female, "f").otherwise("m"), F.lit("|"), given)))).otherwise(F.array(surname))
 
 
-def _name(entity: Column, key: Column, attempt: Column) -> Column:
-    words = F.split(entity, " ")
-    address, given, last = F.element_at(words, 1), F.element_at(words, 2), F.element_at(words, -1)
-    cyrillic = last.rlike(r"\p{IsCyrillic}")
-    seed = lambda word: F.sha2(F.concat_ws("|", key, F.lit("name"), F.lower(word)), 256)
-    female = address.rlike(rf"^(?:{FEMALE})\.?$") | (~address.rlike(rf"^(?:{MALE})\.?$") & (F.pmod(F.xxhash64(entity), F.lit(2)) == 0))
-    pick = lambda script: F.when(female, _choice(seed(given), GIVEN[f"{script}_f"])).otherwise(_choice(seed(given), GIVEN[f"{script}_m"]))
-    surname = F.when(cyrillic, _choice(seed(last), SURNAMES["cyrillic"])).otherwise(_choice(seed(last), SURNAMES["latin"]))
-    surname = F.when(attempt > 0, F.concat(surname, F.lit("-"), attempt.cast("string"))).otherwise(surname)
-    first = F.when(cyrillic, pick("cyrillic")).otherwise(pick("latin"))
-    return F.when(F.size(words) > 2, F.concat_ws(" ", address, first, surname)).otherwise(F.concat_ws(" ", address, surname))
+def _word(kind: Column, normal: Column, attempt: Column, seed: Column) -> Column:
+    """A given name or surname in lower case: one of a list and a syllable for each attempt."""
+    pick = lambda names: F.element_at(F.array(*[F.lit(x.lower()) for x in names]), _draw(seed, F.lit(0), len(names)) + 1)
+    letter = lambda letters, i: F.substring(F.lit(letters), _draw(seed, i, len(letters)) + 1, F.lit(1))
+
+    def drawn(script, consonants, vowels):
+        stem = F.when(kind == "surname", pick(SURNAMES[script])).when(normal.startswith("f|"), pick(GIVEN[f"{script}_f"])).otherwise(pick(GIVEN[f"{script}_m"]))
+        syllables = F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: F.concat(letter(consonants, 2 * i), letter(vowels, 2 * i + 1)))
+        return F.concat(stem, F.when(attempt > 0, F.array_join(syllables, "")).otherwise(""))
+
+    return F.when(normal.rlike(r"\p{IsCyrillic}"), drawn("cyrillic", "бвгдзклмнпрстфхш", "аеиоу")).otherwise(drawn("latin", "bdfghklmnprstvwz", "aeiou"))
 
 
 def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
@@ -128,10 +137,11 @@ def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column
     body = F.concat(F.substring(normal, 1, 1), F.substring(digits, F.lit(2), F.length(normal) - 2))
     check = F.pmod(10 - F.pmod(_luhn(body, True), F.lit(10)), F.lit(10))
     card = F.concat(body, F.when(F.pmod(_luhn(normal, False), F.lit(10)) == 0, check).otherwise(F.pmod(check + 1 + _draw(seed, F.lit(98), 9), F.lit(10))).cast("string"))
+    longer = F.substring(seed, F.lit(1), F.greatest(attempt - LONGER, F.lit(0)))
     cloud = F.concat(F.lit("AKIA"), F.substring(plain, F.lit(5), F.lit(99)))
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", digits).when(kind == "card", card)
-        .when(kind == "name", _name(normal, F.lit(key), attempt)).when(normal.rlike(f"^{CLOUD}$"), cloud).otherwise(plain)
+        F.when(kind == "email", F.concat(longer, email)).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", digits).when(kind == "card", card)
+        .when(kind.isin("given", "surname"), _word(kind, normal, attempt, seed)).when(normal.rlike(f"^{CLOUD}$"), cloud).otherwise(F.concat(plain, longer))
     )
 
 
@@ -146,11 +156,13 @@ def _spelled(kind: Column, entity: Column, new: Column) -> Column:
 def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, normal) -> (kind, normal, new): surrogates without clashes."""
     spark = entities.sparkSession
-    drawn = entities.select("kind", "normal").distinct().withColumn("attempt", F.lit(0))
+    named, other = (entities.where(x).select("kind", "normal").distinct() for x in (F.col("kind") == "name", F.col("kind") != "name"))
+    named = named.withColumn("words", _name_words(F.col("normal")))
+    drawn = other.union(named.select(F.inline("words")).distinct()).withColumn("attempt", F.lit(0))
     for _ in range(MOST_ATTEMPTS):
         drawn = written(drawn.withColumn("new", surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key)), spark, "surrogates")
         # how often a surrogate is drawn, who keeps it, and whether it is an entity itself
-        uses = drawn.select("kind", F.col("new").alias("value"), "normal", F.lit(False).alias("found")).union(drawn.select("kind", F.col("normal").alias("value"), F.lit(None).cast("string"), F.lit(True)))
+        uses = drawn.select("kind", F.col("new").alias("value"), "normal", F.lit(False).alias("found")).union(drawn.select("kind", F.when(F.col("kind") == "given", F.substring("normal", 3, 100)).otherwise(F.col("normal")).alias("value"), F.lit(None).cast("string"), F.lit(True)))
         uses = uses.groupBy(F.col("kind").alias("used_kind"), "value").agg(F.count("normal").alias("times"), F.min("normal").alias("keeper"), F.max("found").alias("found")).where("times > 0 AND (times > 1 OR found)")
         if not uses.head(1):
             break
@@ -160,7 +172,11 @@ def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
         drawn = met.select("kind", "normal", (F.col("attempt") + F.when(clash, 1).otherwise(0)).alias("attempt"))
     else:
         raise ValueError(f"surrogates still clash after {MOST_ATTEMPTS} attempts")
-    return drawn.select("kind", "normal", "new")
+    surnames, given = (drawn.where(F.col("kind") == k).select(F.col("normal").alias(k), F.initcap("new").alias(f"new_{k}")) for k in ("surname", "given"))
+    named = named.withColumn("surname", F.col("words")[0]["normal"]).withColumn("given", F.get("words", F.lit(1))["normal"])
+    named = named.join(surnames, "surname").join(given, "given", "left")
+    names = named.select("kind", "normal", F.concat_ws(" ", F.element_at(F.split("normal", " "), 1), "new_given", "new_surname").alias("new"))
+    return drawn.where(~F.col("kind").isin("given", "surname")).select("kind", "normal", "new").union(names)
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -176,6 +176,25 @@ def test_surrogates_stay_distinct(spark):
     assert new.select("new").distinct().count() == 60_000 and new.join(entities.select(F.col("normal").alias("new")), "new").count() == 0
 
 
+def test_names_stay_distinct_and_the_same_person(spark):
+    from pyspark.sql import functions as F
+
+    words = [f"{a}{b}{c}" for a in ("Bra", "Cle", "Dro", "Fri", "Gru", "Kla", "Mey", "Nor", "Pol", "Rus", "Sta", "Tom", "Ulm") for b in "abcdefghij" for c in "abcdefghij"]
+    names = [f"Mr {w}" for w in words] + [f"Mr John {w}" for w in words[:300]] + [f"Mr {g}{w} Smith" for g in ("Ja", "Jo") for w in words[:50]] + ["Mr Smith"] + ["Dr Smith"] + [f"Mr Петр{x}{y}" for x in "абвгдежзиклмнопрстуф" for y in "абвгдежзиклмнопрстуф"]
+    new = {r.normal: r.new for r in pii.assigned(spark.createDataFrame([("name", n) for n in names], "kind string, normal string")).collect()}
+    assert set(new) == set(names) and len(set(new.values())) == len(names) and not set(new.values()) & set(names)
+    assert all(new[f"Mr John {w}"].split()[-1] == new[f"Mr {w}"].split()[-1] for w in words[:300])
+    assert new["Mr Smith"].split()[-1] == new["Dr Smith"].split()[-1] == new["Mr JaBraaa Smith"].split()[-1]
+    few = spark.range(10).select(F.lit("secret").alias("kind"), F.concat(F.lit("_____"), F.col("id").cast("string")).alias("normal"))
+    assert {r.new for r in pii.assigned(few).collect()}.isdisjoint({f"_____{k}" for k in range(10)})
+
+
+def test_values_without_a_letter_or_digit_are_left(docs_of):
+    rows = [(1, "password: ------ and token=______ but -@-.com. End"), (2, "password: --abc1")]
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.pseudonymised(docs_of(rows)).collect()}
+    assert got[1] == (rows[0][1], 0) and got[2][1] == 1 and "abc1" not in got[2][0]
+
+
 def test_quality_statistics(docs_of, corpus):
     got = collections.Counter()
     for r in quality.text_statistics(docs_of(corpus)).collect():
