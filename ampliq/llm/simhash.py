@@ -265,24 +265,26 @@ def linked_fingerprints(distinct: DataFrame, scheme: Scheme) -> DataFrame:
     return links
 
 
-def near_copies(docs: DataFrame, shingle: int = 3, words: int = 1, scheme: Scheme = EXACT) -> DataFrame:
-    """``docs`` (doc_id, text, ...) without its text, with fp and component_id: the smallest doc_id that links lead to."""
+def near_copies(docs: DataFrame, shingle: int = 3, words: int = 1, scheme: Scheme = EXACT, with_root: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text, ...) without its text, with fp and component_id: the smallest doc_id that links lead to. ``with_root`` adds root, the
+    component's own fingerprint, as components whose rows share an id share a component_id."""
     spark = docs.sparkSession
     marked = written(fingerprints(docs, shingle, words), spark, "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), spark, "distinct")
     roots = components(linked_fingerprints(distinct, scheme))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(*[c for c in marked.columns if c != "component_id"], "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select(*[c for c in marked.columns if c not in ("root", "component_id")], "component_id", *(["root"] if with_root else []))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, words: int = 8, scheme: Scheme = WIDE) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each group of near copies; a row without an id goes by its text's hash."""
+    """Of each group of near copies the row of ``docs`` with the smallest doc_id (and, of rows that share it, the smallest hash of its text); a row
+    without an id goes by its text's hash. Rows that share an id but not a group are kept apart by their texts."""
     names = docs.columns
-    keyed = docs.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text")))
-    found = near_copies(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle, words, scheme)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*names)
+    keyed = docs.withColumn("_text", F.xxhash64("text")).withColumn("_key", F.coalesce("doc_id", F.col("_text")))
+    found = near_copies(keyed.select(F.col("_key").alias("doc_id"), "text", "_text"), shingle, words, scheme, with_root=True)
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "_text")).alias("least")).select(F.col("least.doc_id").alias("_key"), "least._text")
+    return keyed.join(first, ["_key", "_text"], "left_semi").dropDuplicates(["_key", "_text"]).select(*names)
 
 
 def op3_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

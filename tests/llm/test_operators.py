@@ -123,6 +123,13 @@ def test_one_of_each_group_stays(docs_of):
     assert {r.doc_id for r in simhash.one_of_each(docs_of(rows)).collect()} == {1, 4, None}
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(docs_of):
+    one, two = (" ".join(f"{c}{k * k % 97}" for k in range(80)) for c in "ab")
+    rows = [(1, one), (1, two), (1, one), (2, two), (None, one)]
+    got = collections.Counter((r.doc_id, r.text) for r in simhash.one_of_each(docs_of(rows)).collect())
+    assert sum(got.values()) == 2 and {t for _, t in got} == {one, two} and got[1, two] == 1
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (100, 100)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
