@@ -1,6 +1,6 @@
 """Token counts without token ids: pieces are counted once per distinct pre-token and joined to each document's pre-token frequencies.
 
-A pre-token is a maximal run without white space (``str.split``). The vocabulary's normaliser turns white space into one space and
+A pre-token is a maximal run without white space as the vocabulary sees it (Unicode's: ``str.split`` parts at U+001C to U+001F as well). The vocabulary's normaliser turns white space into one space and
 its splitter drops it, so no piece and no composed character crosses such a run, and special strings hold no white space: a
 text's count is the sum over its runs. The library itself counts the pieces of each distinct run, so special strings, case and
 composition are handled as it handles them.
@@ -15,6 +15,7 @@ within the task tells them apart, so each input row gives one output row.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -32,6 +33,14 @@ HEAD = 262_144
 HEAD_CHARS = 64
 #: Distinct runs that a task holds before it hands its counts on.
 FLUSH = 200_000
+RUNS = re.compile("[^\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: What ``str.split`` takes for white space and the vocabulary does not.
+CONTROLS = re.compile("[\x1c-\x1f]")
+
+
+def _runs(text: str) -> list[str]:
+    """The runs of ``RUNS``: by ``str.split``, which is faster, where the two agree."""
+    return RUNS.findall(text) if CONTROLS.search(text) else text.split()
 
 
 def _run_counts(batches):
@@ -43,7 +52,7 @@ def _run_counts(batches):
     held: Counter = Counter()
     for _, texts in steps(batches):
         for t in texts:
-            held.update(t.decode().split())
+            held.update(_runs(t.decode()))
         if len(held) >= FLUSH:
             yield out(held)
             held = Counter()
@@ -92,7 +101,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, head: int = HEA
             ids = part.column(0).to_pylist()
             rows, keys, sizes, tail, n, here = [], [], [], [], [], []
             for doc_id, t in zip(ids, texts, strict=True):
-                counts, total, at = Counter(t.decode().split()), 0, at + 1
+                counts, total, at = Counter(_runs(t.decode())), 0, at + 1
                 for run, k in counts.items():
                     found = get(run)
                     if found is None:

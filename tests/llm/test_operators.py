@@ -39,6 +39,17 @@ def test_token_counts(docs_of, corpus):
         assert collections.Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == collections.Counter(want)
 
 
+def test_token_counts_with_control_characters(docs_of):
+    path = tokenizer_path(token_count.VOCABULARY)
+    library = load_tokenizer(path)
+    spaces = [c for c in map(chr, range(1, 0x3001)) if c.isspace()]
+    rows = [(k, f"ab{c}cd {c} ef{c}") for k, c in enumerate(spaces)]
+    got = {r.doc_id: r.n_tokens for r in token_count.token_counts(docs_of(rows), path).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows} and "\x1c" in spaces
+    text = "a" + "b".join(spaces) + "c"
+    assert token_count.RUNS.findall(text.translate({k: None for k in range(28, 32)})) == text.translate({k: None for k in range(28, 32)}).split()
+
+
 def test_token_counts_of_nothing(docs_of):
     assert token_count.token_counts(docs_of([]), tokenizer_path(token_count.VOCABULARY)).count() == 0
 
