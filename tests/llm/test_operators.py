@@ -121,12 +121,47 @@ def test_crowded_meeting_places_lose_no_link(spark):
             for b in rng.integers(0, 26, int(rng.integers(0, 5))).tolist():
                 x ^= 1 << b
             fps.add(x)
-    df = spark.createDataFrame([(bytearray(x.to_bytes(8, "big")),) for x in fps], "fp binary")
-    roots = {bytes(r.node): bytes(r.root) for r in components(simhash.linked_fingerprints(df, simhash.EXACT)).collect()}
+    df = simhash.pivot_table(spark.createDataFrame([(bytearray(x.to_bytes(8, "big")),) for x in fps], "fp binary"), 1)
+    roots = {bytes(r.node): bytes(r.root) for r in simhash.rooted_fingerprints(df, simhash.EXACT).collect()}
     want = _groups(sorted(fps), lambda a, b: (a ^ b).bit_count() <= 2)
     assert all(roots.get(x.to_bytes(8, "big"), x.to_bytes(8, "big")) == want[x].to_bytes(8, "big") for x in fps)
 
 
+def test_crowded_places_of_wide_fingerprints_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BIG", 64), monkeypatch.setattr(simhash, "LEADERS", 8)
+    rng = np.random.default_rng(4)
+    flip = lambda x, n: x ^ np.bitwise_or.reduce([np.packbits(np.eye(512, dtype=np.uint8)[b]) for b in rng.choice(512, n, replace=False)])
+    first = rng.integers(0, 256, 64, dtype=np.uint8)
+    second = flip(first, 150)
+    fps = [flip(first, int(n)) for n in rng.integers(20, 60, 700)] + [flip(second, int(n)) for n in rng.integers(20, 60, 500)] + [flip(first, int(n)) for n in rng.integers(90, 140, 200)]
+    fps += list(rng.integers(0, 256, (300, 64), dtype=np.uint8))
+    fps = np.unique(np.array(fps), axis=0)
+    scheme = simhash.Sampled(radius=96, changed=0.1515, recall=0.98)
+    pivots = simhash.pivot_table(spark.createDataFrame([(bytearray(x.tobytes()),) for x in fps], "fp binary"), 8)
+    roots = {bytes(r.node): bytes(r.root) for r in simhash.rooted_fingerprints(pivots, scheme).collect()}
+    words = fps.view(">u8").astype(np.uint64)
+    keys = simhash._keys(words, scheme.sized(len(fps)))
+    assert max(collections.Counter(keys[:, 0].tolist()).values()) > 2 * simhash.BIG
+    near = np.stack([(np.bitwise_count(words ^ x).sum(axis=1) <= 96) & (keys == k).any(axis=1) for x, k in zip(words, keys, strict=True)])
+    want = _groups(list(range(len(fps))), lambda a, b: near[a, b])
+    assert all(roots.get(fps[k].tobytes(), fps[k].tobytes()) == fps[want[k]].tobytes() for k in range(len(fps)))
+
+
+def test_near_copies_are_found_at_a_similarity_of_four_fifths(docs_of):
+    rng = np.random.default_rng(12)
+    texts, shingles = [], lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    for _ in range(120):
+        base = rng.integers(0, 5000, int(rng.integers(60, 500))).tolist()
+        texts.append(" ".join(f"w{x}" for x in base))
+        for changed in (0.01, 0.02, 0.03):
+            texts.append(" ".join(f"w{rng.integers(5000) if rng.random() < changed else x}" for x in base))
+    sets = [shingles(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, min(a + 4, len(texts))) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs_of(list(enumerate(texts))), 5, 8, simhash.WIDE).collect()}
+    assert len(pairs) > 200 and sum(found[a] == found[b] for a, b in pairs) >= 0.97 * len(pairs)
+    assert all(v // 4 == k // 4 for k, v in found.items())
+
+
 def test_one_of_each_group_stays(docs_of):
     base = " ".join(f"word{k}" for k in range(300))
     near = base.replace("word150", "changed")
