@@ -351,12 +351,12 @@ def near_copies(docs: DataFrame, shingle: int = 3, words: int = 1, scheme: Schem
     """``docs`` (doc_id, text, ...) without its text, with fp and component_id: the smallest doc_id that links lead to. ``with_root`` adds root, the
     component's own fingerprint, as components whose rows share an id share a component_id."""
     spark = docs.sparkSession
-    marked = written(fingerprints(docs, shingle, words), spark, "fingerprints")
+    marked = written(fingerprints(docs.drop("component_id", "root"), shingle, words), spark, "fingerprints")
     distinct = written(pivot_table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), words), spark, "pivots")
     roots = rooted_fingerprints(distinct, scheme)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    return marked.join(named, "fp").select(*[c for c in marked.columns if c not in ("root", "component_id")], "component_id", *(["root"] if with_root else []))
+    return marked.join(named, "fp").select(*marked.columns, "component_id", *(["root"] if with_root else []))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, words: int = 8, scheme: Sampled = WIDE) -> DataFrame:
