@@ -1,15 +1,16 @@
 """Removal of lines that many sites share, in DataFrame operations.
 
 A line (its spaces at both ends cut off, at least ``min_chars`` characters) is known by two hashes, 128 bits together. Its spread is
-the number of distinct sites it occurs on. HyperLogLog sketches of the sites, one per line, are built within tasks and merge by
-aggregation. A line whose estimate is well above ``min_sites`` is boilerplate and one well below isn't; where the estimate is near the
-threshold (within three standard errors, at least one site), the distinct sites are counted exactly.
+the number of distinct sites it occurs on. HyperLogLog sketches of the sites, one per line, are built from the lines within tasks and merge by
+aggregation; no table of lines and sites is made. A line whose estimate is well above ``min_sites`` is boilerplate and one well below isn't; only
+for the lines whose estimate is near the threshold (within three standard errors, at least one site) the documents are read again and the distinct sites
+counted exactly.
 
 Boilerplate goes from every document in which it makes up at most ``max_share`` of the characters of its lines. A document that
 consists mostly of such lines is a copy of others rather than a page with boilerplate, and stays as it is for the stage that finds near copies.
 
-Null text: stays null, no lines. A null site is a site of its own; rows with a null or repeated doc_id are handled by their lines
-like any other. Repeated rows are changed alike. Empty tables give empty results. Other columns are carried.
+Null text: stays null, no lines. A null site is a site of its own. A row is known by a hash of its id and text, so rows with a null or repeated
+doc_id are handled like any other (rows that shared a hash would only look for each other's boilerplate, too). Repeated rows are changed alike. Empty tables give empty results. Other columns are carried.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ MIN_SITES = 12
 MIN_CHARS = 10
 MAX_SHARE = 0.5
 LG_K = 12
-NO_ID = -(1 << 63)
 
 
 def _lines(text: str) -> Column:
@@ -42,14 +42,12 @@ def shared_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SIT
     """(line: the two hashes) of every line on at least ``min_sites`` distinct sites."""
     spark = docs.sparkSession
     lines = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(F.array_distinct(F.filter(_lines("text"), lambda x: _known(x, min_chars)))).alias("line"))
-    seen = lines.select(_hashes(F.trim("line")).alias("line"), "site").groupBy("line", "site").agg(F.count(F.lit(1)).alias("n"))
-    seen = written(seen, spark, "lines")
-    # a line on so many sites has as many rows of (line, site); the others need no sketch
-    estimates = seen.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
+    lines = lines.select(_hashes(F.trim("line")).alias("line"), "site")
+    estimates = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
     band = max(1.0, 3 * 1.04 * min_sites / 2 ** (LG_K / 2))
     estimates = written(estimates.where(F.col("sites") >= min_sites - band), spark, "estimates")
     near = estimates.where(F.col("sites") <= min_sites + band)
-    exact = seen.join(near.select("line"), "line").groupBy("line").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    exact = lines.join(near.select("line"), "line").groupBy("line").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
     return estimates.where(F.col("sites") > min_sites + band).select("line").union(exact.select("line"))
 
 
@@ -58,10 +56,11 @@ def without_shared_lines(docs: DataFrame, site: str = "source", min_sites: int =
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     boilerplate = written(shared_lines(docs, site, min_sites, min_chars), spark, "boilerplate")
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.explode(F.array_distinct(F.filter(_lines("text"), lambda x: _known(x, min_chars)))).alias("line"))
+    row = F.xxhash64("doc_id", "text")
+    keyed = docs.select(row.alias("_id"), F.explode(F.array_distinct(F.filter(_lines("text"), lambda x: _known(x, min_chars)))).alias("line"))
     hit = keyed.select("_id", _hashes(F.trim("line")).alias("line")).join(boilerplate, "line")
     gone = hit.groupBy("_id").agg(F.collect_set("line").alias("_gone"))
-    met = docs.select(*names).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(gone, "_id", "left")
+    met = docs.select(*names).withColumn("_id", row).join(gone, "_id", "left")
     is_gone = lambda x: _known(x, min_chars) & F.coalesce(F.array_contains("_gone", _hashes(F.trim(x))), F.lit(False))
     chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.length(F.trim(x)))
     parts = met.withColumn("_lines", _lines("text")).withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~is_gone(x))))
