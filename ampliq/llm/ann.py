@@ -1,8 +1,7 @@
 """Nearest neighbours by additive quantisation.
 
 A vector is approximated by the sum of one code vector from each of ``BOOKS`` codebooks over all dimensions. Codebooks are fitted on a bounded
-sample (at most ``SAMPLE`` vectors, those with the smallest hashes of their ids): residual k-means first, then, where the sample has eight
-vectors or more for each code vector (fewer would be learnt by heart), rounds of beam-search encoding and least squares for all code vectors together. Every vector is encoded by beam search and stored as its codes and the ratio of its norm
+sample (at most ``SAMPLE`` vectors, those with the smallest hashes of their ids) by residual k-means, each on what the ones before leave. Every vector is encoded by beam search and stored as its codes and the ratio of its norm
 to its approximation's norm, which corrects the approximation's length.
 
 Equal vectors form one class with its smallest ids, so that copies don't fill a query's list. Codes are packed into blocks, queries into
@@ -26,22 +25,11 @@ from pyspark.sql import functions as F
 from .shared import table, written
 
 BOOKS, CODES, BEAM = 24, 256, 4
-SAMPLE, ROUNDS = 16384, 1
+SAMPLE = 16384
 TOP, DEPTH = 20, 200
 CODE_BLOCK, QUERY_BLOCK = 8192, 256
 
 
-def _least_squares(x: np.ndarray, codes: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
-    """The code vectors that best rebuild ``x`` from its codes."""
-    books, size, d = shape
-    hot = np.zeros((len(x), books * size), np.float32)
-    for m in range(books):
-        hot[np.arange(len(x)), m * size + codes[:, m]] = 1
-    gram = hot.T @ hot
-    gram[np.diag_indices_from(gram)] += 1e-2
-    return np.linalg.solve(gram.astype(np.float64), (hot.T @ x).astype(np.float64)).astype(np.float32).reshape(shape)
-
-
 def encode(x: np.ndarray, codebooks: np.ndarray, beam: int = BEAM) -> np.ndarray:
     """The codes of each row of ``x`` by beam search over the codebooks in turn."""
     books, size, _ = codebooks.shape
@@ -62,7 +50,7 @@ def encode(x: np.ndarray, codebooks: np.ndarray, beam: int = BEAM) -> np.ndarray
     return codes[np.arange(n), cost.argmin(axis=1)]
 
 
-def fit(x: np.ndarray, books: int = BOOKS, size: int = CODES, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
+def fit(x: np.ndarray, books: int = BOOKS, size: int = CODES, seed: int = 7) -> np.ndarray:
     """Codebooks (books, size, dimensions) for the rows of ``x``."""
     rng, x = np.random.default_rng(seed), x.astype(np.float32)
     size = min(size, max(1, len(x)))
@@ -78,10 +66,7 @@ def fit(x: np.ndarray, books: int = BOOKS, size: int = CODES, rounds: int = ROUN
         near = ((c**2).sum(1) - 2 * residual @ c.T).argmin(1)
         residual = residual - c[near]
         found.append(c)
-    codebooks = np.stack(found)
-    for _ in range(rounds if len(x) >= 8 * books * size else 0):
-        codebooks = _least_squares(x, encode(x, codebooks), codebooks.shape)
-    return codebooks
+    return np.stack(found)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
