@@ -9,8 +9,9 @@ intervals and their words are removed. Everything is judged on the input, whatev
 
 Two different windows share a 64-bit hash with probability 2^-64; among n windows n^2 / 2^65 such pairs are expected.
 
-Null and empty texts: no words, nothing removed. A null doc_id counts as smaller than any other. Rows that repeat a doc_id count as one
-document: windows at the same start are the same place, and starts beyond the end of a row's text are ignored. Other columns are carried.
+Null and empty texts: no words, nothing removed. A document is known by its id and a hash of its text, so rows that share an id but not their text are
+documents of their own, in the order of that hash, and rows that repeat both are one document, of which none is an earlier copy of the other. A null doc_id
+counts as smaller than any other (its place is taken by a number from the text's hash, below -2^61). Other columns are carried.
 """
 
 from __future__ import annotations
@@ -78,55 +79,62 @@ def _widened(held: bytes, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
     return out, at + 4 + 8 * k
 
 
-def _packed(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> bytes:
+def _key(doc_id: int | None, text: bytes) -> tuple[int, int]:
+    """A document's number and the hash of its text that tells it from others with this number."""
+    h = xxhash.xxh64_intdigest(text)
+    return (NO_ID + (h >> 2) if doc_id is None else doc_id), h & 0xFFFFFFFF
+
+
+def _packed(hashes: np.ndarray, docs: np.ndarray, tags: np.ndarray, starts: np.ndarray) -> bytes:
     """Windows ordered by document and start, as hashes, gaps between starts, and the documents with their numbers of windows."""
-    new = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1))
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(docs) != 0) | (np.diff(tags) != 0)]))
     gaps = np.diff(starts, prepend=0)
     gaps[new] = starts[new]
     counts = np.diff(np.append(new, len(docs)))
     ids = docs[new]
-    return b"".join([struct.pack("<IIIq", len(docs), len(hashes), len(new), ids[0]), hashes.astype("<u8").tobytes(), *_narrow(gaps, "<u2"), *_narrow(np.diff(ids), "<u4"), *_narrow(counts, "<u2")])
+    return b"".join([struct.pack("<IIIq", len(docs), len(hashes), len(new), ids[0]), hashes.astype("<u8").tobytes(), *_narrow(gaps, "<u2"), *_narrow(np.diff(ids), "<u4"), *_narrow(counts, "<u2"), tags[new].astype("<u4").tobytes()])
 
 
-def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, with_hash, d, first_id = struct.unpack_from("<IIIq", held)
     at = struct.calcsize("<IIIq")
     hashes = np.frombuffer(held, "<u8", with_hash, at)
     gaps, at = _widened(held, at + 8 * with_hash, n, "<u2")
     steps, at = _widened(held, at, d - 1, "<u4")
     counts, at = _widened(held, at, d, "<u2")
+    tags = np.frombuffer(held, "<u4", d, at).astype(np.int64)
     with np.errstate(over="ignore"):
         ids = first_id + np.concatenate([[0], np.cumsum(steps)])
     sums = np.cumsum(gaps)
     first = np.cumsum(counts) - counts
-    return hashes, np.repeat(ids, counts), sums - np.repeat(sums[first] - gaps[first], counts)
+    return hashes, np.repeat(ids, counts), np.repeat(tags, counts), sums - np.repeat(sums[first] - gaps[first], counts)
 
 
-def _later(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _later(hashes: np.ndarray, docs: np.ndarray, tags: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """True for each window with the hash of one that starts earlier."""
-    order = np.lexsort((starts, docs, hashes))
-    h, d, s = hashes[order], docs[order], starts[order]
+    order = np.lexsort((starts, tags, docs, hashes))
+    h, d, t, s = hashes[order], docs[order], tags[order], starts[order]
     head = np.maximum.accumulate(np.where(np.diff(h, prepend=h[:1] + np.uint64(1)) != 0, np.arange(len(h)), 0)) if len(h) else np.empty(0, np.int64)
     out = np.zeros(len(h), bool)
-    out[order] = (d != d[head]) | (s != s[head])
+    out[order] = (d != d[head]) | (t != t[head]) | (s != s[head])
     return out
 
 
-def _by_group(docs: np.ndarray, starts: np.ndarray, groups: int) -> tuple[list[int], list[bytes]]:
+def _by_group(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, groups: int) -> tuple[list[int], list[bytes]]:
     """Starts packed per group of documents, in the order of documents and starts."""
     if not len(docs):
         return [], []
-    group = _group(docs, groups)
-    order = np.lexsort((starts, docs, group))
+    group = _group(docs, tags, groups)
+    order = np.lexsort((starts, tags, docs, group))
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1, [len(docs)]])
     none = np.empty(0, np.uint64)
-    return group[order][cuts[:-1]].tolist(), [_packed(none, docs[order[a:b]], starts[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return group[order][cuts[:-1]].tolist(), [_packed(none, docs[order[a:b]], tags[order[a:b]], starts[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _group(docs: np.ndarray, groups: int) -> np.ndarray:
-    """The group of each document, by its id."""
+def _group(docs: np.ndarray, tags: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each document, by its id and its text's hash."""
     with np.errstate(over="ignore"):
-        x = docs.astype(np.int64).view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (docs.astype(np.int64).view(np.uint64) ^ (tags.astype(np.uint64) << np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(31)
         x *= np.uint64(0x94D049BB133111EB)
     return ((x >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
@@ -137,32 +145,33 @@ def repeated_starts(docs: DataFrame, buckets: int, groups: int, window: int = WI
     schema = pa.schema([("bucket", pa.int32()), ("held", pa.binary()), ("group", pa.int32()), ("starts", pa.binary())])
 
     def scatter(batches):
-        def out(hashes, ids, starts):
-            hashes, ids, starts = np.concatenate(hashes), np.concatenate(ids), np.concatenate(starts)
-            later = _later(hashes, ids, starts)
-            known, where = _by_group(ids[later], starts[later], groups)
-            hashes, ids, starts = hashes[~later], ids[~later], starts[~later]
+        def out(hashes, ids, tags, starts):
+            hashes, ids, tags, starts = np.concatenate(hashes), np.concatenate(ids), np.concatenate(tags), np.concatenate(starts)
+            later = _later(hashes, ids, tags, starts)
+            known, where = _by_group(ids[later], tags[later], starts[later], groups)
+            hashes, ids, tags, starts = hashes[~later], ids[~later], tags[~later], starts[~later]
             bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            order = np.lexsort((starts, ids, bucket))
+            order = np.lexsort((starts, tags, ids, bucket))
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             parts = [g for g in np.split(order, cuts) if len(g)]
             n, m = len(parts), len(known)
             yield pa.record_batch([
-                pa.array([int(bucket[g[0]]) for g in parts] + [x % buckets for x in range(m)], pa.int32()), pa.array([_packed(hashes[g], ids[g], starts[g]) for g in parts] + [None] * m, pa.binary()),
+                pa.array([int(bucket[g[0]]) for g in parts] + [x % buckets for x in range(m)], pa.int32()), pa.array([_packed(hashes[g], ids[g], tags[g], starts[g]) for g in parts] + [None] * m, pa.binary()),
                 pa.array([None] * n + known, pa.int32()), pa.array([None] * n + where, pa.binary())], schema=schema)
 
-        held, hashes, ids, starts = 0, [], [], []
+        held, hashes, ids, tags, starts = 0, [], [], [], []
         for part, texts in steps(batches):
             for doc_id, t in zip(part.column(0).to_pylist(), texts, strict=True):
                 h = window_hashes(t.split(), window)
                 if len(h):
-                    hashes.append(h), ids.append(np.full(len(h), NO_ID if doc_id is None else doc_id, np.int64)), starts.append(np.arange(len(h)))
+                    number, tag = _key(doc_id, t)
+                    hashes.append(h), ids.append(np.full(len(h), number, np.int64)), tags.append(np.full(len(h), tag, np.int64)), starts.append(np.arange(len(h)))
                     held += len(h)
                 if held >= HELD:
-                    yield from out(hashes, ids, starts)
-                    held, hashes, ids, starts = 0, [], [], []
+                    yield from out(hashes, ids, tags, starts)
+                    held, hashes, ids, tags, starts = 0, [], [], [], []
         if held:
-            yield from out(hashes, ids, starts)
+            yield from out(hashes, ids, tags, starts)
 
     def match(bucket: pa.Table) -> pa.Table:
         held, group, starts = (bucket.column(c).to_pylist() for c in ("held", "group", "starts"))
@@ -170,10 +179,10 @@ def repeated_starts(docs: DataFrame, buckets: int, groups: int, window: int = WI
         to = [d for d, x in zip(group, starts, strict=True) if x is not None]
         where = [x for x in starts if x is not None]
         if found:
-            hashes, ids, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            hashes, ids, tags, at = (np.concatenate(x) for x in zip(*found, strict=True))
             del found
-            later = _later(hashes, ids, at)
-            more, at = _by_group(ids[later], at[later], groups)
+            later = _later(hashes, ids, tags, at)
+            more, at = _by_group(ids[later], tags[later], at[later], groups)
             to, where = to + more, where + at
         return pa.table([pa.array(to, pa.int32()), pa.array(where, pa.binary())], ["group", "held"])
 
@@ -193,22 +202,25 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def compress(batches):
         for part, texts in steps(batches):
-            z, ids = ZstdCompressor(level=1), part.column(part.schema.get_field_index("doc_id")).fill_null(NO_ID).to_numpy()
-            yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(_group(ids, groups), pa.int32()), pa.array([z.compress(t) for t in texts], pa.binary())], [*kept, "_group", "_z"])
+            z = ZstdCompressor(level=1)
+            keys = [_key(i, t) for i, t in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), texts, strict=True)]
+            ids, tags = (np.array(x, np.int64) for x in zip(*keys, strict=True))
+            yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(_group(ids, tags, groups), pa.int32()), pa.array([z.compress(t) for t in texts], pa.binary())], [*kept, "_group", "_z"])
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         z, by_id = ZstdDecompressor(), {}
         found = [_unpacked(x)[1:] for x in right.column("held").to_pylist()]
         if found:
-            ids, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(ids, kind="stable")
-            ids, at = ids[order], at[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]])
-            by_id = {int(ids[a]): at[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
+            ids, tags, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((tags, ids))
+            ids, tags, at = ids[order], tags[order], at[order]
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(ids) != 0) | (np.diff(tags) != 0)) + 1, [len(ids)]])
+            by_id = {(int(ids[a]), int(tags[a])): at[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
         counts, gone, texts = [], [], []
         for doc_id, packed in zip(left.column("doc_id").to_pylist(), left.column("_z").to_pylist(), strict=True):
-            words = z.decompress(packed).split() if packed else []
-            starts = by_id.get(NO_ID if doc_id is None else doc_id)
+            text = z.decompress(packed) if packed else b""
+            words = text.split()
+            starts = by_id.get(_key(doc_id, text))
             if starts is not None:
                 inside = np.zeros(len(words) + 1, np.int64)
                 starts = starts[starts + window <= len(words)]
