@@ -6,9 +6,12 @@ left over. Only the histogram of piece lengths (at most ``capacity`` numbers) re
     min sum_c x_c   with   sum_c c_l x_c >= b_l for every length l,   c: a multiset of lengths that fits one sequence
 
 is solved by multiplicative weights: each round prices the lengths, finds the best configuration by an unbounded-knapsack dynamic
-program, adds it and lowers the prices of what it holds. The averaged solution, scaled to cover, is rounded down; the lengths still
-uncovered are placed by best fit, longest first, over groups of sequences with the same free room. Where best fit of the whole histogram
-needs fewer sequences than the rounded program, its plan is taken. The plan says how many sequences
+program, adds it and lowers the prices of what it holds. The averaged solution, scaled to cover the whole volume, is rounded down and placed. What is
+left over (less than one sequence a configuration, and lengths that were priced too low) is placed in whole numbers: each dive finds, by a knapsack bounded by
+the pieces there are, a configuration that fills its sequence, and places it for up to half of what they allow, at least once. After ``DIVES`` dives, or where no
+configuration is full any more, the rest is placed by best fit, longest first, over groups of sequences with the same free room. Only where best fit of
+the whole histogram needs fewer sequences is its plan taken.
+The plan says how many sequences
 have which configuration, so its size depends on the number of lengths, not on the corpus. Pieces of one length are then numbered in Spark (counts
 per block, offsets, numbers within the block) and each number finds its sequence and place by a range of the plan.
 
@@ -18,6 +21,7 @@ Null and empty texts: the end token alone. Repeated rows and shared ids: each ro
 from __future__ import annotations
 
 import string
+import struct
 import sys
 import zlib
 from collections import defaultdict
@@ -34,9 +38,11 @@ from .shared import load_tokenizer, steps, table, tokenizer_path, written
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
 END = 0
-#: Rounds of multiplicative weights and their step.
-ROUNDS = 400
+#: Rounds of multiplicative weights and their step, dives after them, and the lengths that a dive looks at: the largest, and those with most left.
+ROUNDS = 200
 STEP = 0.25
+DIVES = 1500
+DIVE_LARGEST, DIVE_MOST = 64, 128
 #: Units whose ids a Python task remembers.
 REMEMBERED = 600_000
 #: Pieces of one length that are numbered together.
@@ -88,23 +94,29 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known, split = self.known, [self.units(t) for t in texts]
-        new: dict[str, bytes] = {}
-        missing = {u for s in split for u in s if u not in known}
-        if missing:
-            cores = {u: _core(u) for u in missing}
-            wanted = {x for u, n in cores.items() for x in ((u[:n], u[n:]) if n else (u,)) if x not in known}
-            listed = list(wanted)
-            for k in range(0, len(listed), 2000):
-                part = listed[k : k + 2000]
-                for u, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    new[u] = np.asarray(e.ids, "<u4").tobytes()
-            get = lambda u: known.get(u) or new[u]
-            new |= {u: get(u[:n]) + get(u[n:]) for u, n in cores.items() if n}
+        found = [list(map(known.get, s)) for s in split]
+        gaps = [k for k, f in enumerate(found) if None in f]
+        if gaps:
+            new = self._encoded({u for k in gaps for u, x in zip(split[k], found[k], strict=True) if x is None})
+            for k in gaps:
+                found[k] = [new[u] if x is None else x for u, x in zip(split[k], found[k], strict=True)]
             if len(known) < REMEMBERED:
                 known.update(new)
-        if not missing or missing <= known.keys():
-            return [b"".join([known[u] for u in s]) for s in split]
-        return [b"".join([known[u] if u in known else new[u] for u in s]) for s in split]
+        return [b"".join(f) for f in found]
+
+    def _encoded(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of units that aren't remembered: cores and tails of words apart, each part once."""
+        known, new = self.known, {}
+        cores = {u: _core(u) for u in missing}
+        wanted = {x for u, n in cores.items() for x in ((u[:n], u[n:]) if n else (u,)) if x not in known}
+        listed = list(wanted)
+        for k in range(0, len(listed), 2000):
+            part = listed[k : k + 2000]
+            for u, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                ids = e.ids
+                new[u] = struct.pack(f"<{len(ids)}I", *ids)
+        either = lambda u: known[u] if u in known else new[u]
+        return new | {u: either(u[:n]) + either(u[n:]) for u, n in cores.items() if n}
 
 
 #: Everything that Python or the vocabulary's pattern takes for white space.
@@ -163,36 +175,91 @@ def _best_configuration(price: np.ndarray, sizes: np.ndarray, capacity: int) ->
     return held
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """[(number of sequences, ((length, times), ...)), ...] that hold every piece of the histogram exactly once."""
-    left = {int(k): int(v) for k, v in histogram.items() if v}
-    if not left:
-        return []
-    plan: dict[tuple, int] = defaultdict(int)
-    sizes = np.array(sorted(left), np.int64)
-    need = np.array([left[int(s)] for s in sizes], float)
-    log_price, used, picked = np.log(sizes / capacity), np.zeros(len(sizes)), []
+def _fractional(left: np.ndarray, sizes: np.ndarray, capacity: int, rounds: int, step: float) -> list[tuple[dict[int, int], float]]:
+    """Configurations and how often each is taken, scaled to the volume of what is left."""
+    need = left.astype(float)
+    log_price, used, picked = np.log(sizes / capacity), np.zeros(len(sizes)), defaultdict(float)
     for _ in range(rounds):
         # worth of one piece of a length in the covering program, per unit of its demand
-        price = np.exp(log_price - log_price.max())
-        held = _best_configuration(price, sizes, capacity)
+        held = _best_configuration(np.exp(log_price - log_price.max()), sizes, capacity)
         take = min(need[k] / n for k, n in held.items()) / 8
         for k, n in held.items():
             used[k] += n * take
             log_price[k] -= step * n * take / need[k]
-        picked.append((held, take))
-    covered = used / need
-    scale = 1 / max(covered.max(), 1e-12)
-    for held, take in picked:
-        times = int(min(min(left[int(sizes[k])] // n for k, n in held.items()), np.floor(take * max(scale, 0.0))))
+        picked[tuple(sorted(held.items()))] += take
+    scale = (need @ sizes) / max(used @ sizes, 1e-12)
+    return [(dict(held), take * scale) for held, take in picked.items()]
+
+
+def _full_configuration(left: np.ndarray, sizes: np.ndarray, capacity: int, most: int) -> dict[int, int]:
+    """Bounded knapsack: pieces that fill a sequence, worth a little more by length the larger they are, so that small ones stay for the last gaps.
+    Looked at are the largest lengths, and ``most`` with the most left."""
+    some = np.flatnonzero(left)
+    some = np.union1d(some[-DIVE_LARGEST:], some[np.argsort(-(left[some] * sizes[some]), kind="stable")[:most]])
+    items = []
+    for k in some[::-1].tolist():
+        n, part = min(int(left[k]), capacity // int(sizes[k])), 1
+        while n > 0:
+            items.append((k, min(part, n)))
+            n, part = n - part, part * 2
+    best, took = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
+    for i, (k, n) in enumerate(items):
+        weight = n * int(sizes[k])
+        worth = best[:-weight] + weight * (1 + 1e-3 * int(sizes[k]) / capacity)
+        took[i, weight:] = worth > best[weight:]
+        best[weight:] = np.maximum(best[weight:], worth)
+    out, room = defaultdict(int), capacity
+    for i in range(len(items) - 1, -1, -1):
+        if took[i, room]:
+            k, n = items[i]
+            out[k] += n
+            room -= n * int(sizes[k])
+    return out
+
+
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP, dives: int = DIVES) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """[(number of sequences, ((length, times), ...)), ...] that hold every piece of the histogram exactly once."""
+    whole = {int(k): int(v) for k, v in histogram.items() if v}
+    if not whole:
+        return []
+    plan, _ = _program_plan(whole, capacity, rounds, step, dives)
+    alone = _best_fit(dict(whole), capacity)
+    return sorted((times, c) for c, times in min(plan, alone, key=lambda p: sum(p.values())).items())
+
+
+def _program_plan(whole: dict[int, int], capacity: int, rounds: int, step: float, dives: int) -> tuple[dict[tuple, int], int]:
+    """The program's plan with its residue by best fit, and how many pieces the program placed."""
+    plan: dict[tuple, int] = defaultdict(int)
+    sizes = np.array(sorted(whole), np.int64)
+    left = np.array([whole[int(s)] for s in sizes], np.int64)
+
+    def place(held: dict[int, int], times: int) -> None:
+        plan[tuple(sorted((int(sizes[k]), n) for k, n in held.items()))] += times
+        for k, n in held.items():
+            left[k] -= times * n
+
+    for held, take in sorted(_fractional(left, sizes, capacity, rounds, step), key=lambda x: -x[1]):
+        times = min(int(take), *(int(left[k]) // n for k, n in held.items()))
         if times:
-            plan[tuple(sorted((int(sizes[k]), n) for k, n in held.items()))] += times
-            for k, n in held.items():
-                left[int(sizes[k])] -= times * n
-    for c, times in _best_fit(left, capacity).items():
+            place(held, times)
+    total = int(left @ sizes)
+    slack = -total % capacity  # what as few sequences as can be leave empty
+    for _ in range(dives if total else 0):
+        for most in (DIVE_MOST, 4 * DIVE_MOST):
+            held = _full_configuration(left, sizes, capacity, most)
+            waste = capacity - sum(int(sizes[k]) * n for k, n in held.items())
+            if not waste:
+                break
+        if not held or waste > slack:
+            break
+        times = max(1, min(int(left[k]) // n for k, n in held.items()) // 2)
+        times = min(times, slack // waste) if waste else times
+        slack -= waste * times
+        place(held, times)
+    placed = sum(whole.values()) - int(left.sum())
+    for c, times in _best_fit({int(s): int(n) for s, n in zip(sizes, left, strict=True) if n}, capacity).items():
         plan[c] += times
-    alone = _best_fit({int(k): int(v) for k, v in histogram.items()}, capacity)
-    return sorted((times, c) for c, times in min(plan, alone, key=lambda p: sum(p.values())).items())
+    return plan, placed
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> dict[tuple, int]:
