@@ -2,13 +2,15 @@
 
 A text's best segmentation maximises the sum of its pieces' scores. The best score V of each position is a linear recurrence in max-plus
 algebra over the last ``reach`` positions (the longest piece), so a stretch of text is a reach-by-reach transfer matrix from the scores
-before it to the scores at its end, and matrices combine associatively. A document of more than ``GIANT`` characters is cut into chunks of ``CHUNK``; each gives
+before it to the scores at its end, and matrices combine associatively. A document of more than ``CHUNK`` characters is cut into chunks; each gives
 its matrix, blocks of matrices are multiplied up, and each chunk gets the scores at its start. From these a chunk knows, for each
 position at which the last piece over its end may begin, where its own first piece begins; these maps combine from the last chunk to the
-first, and each chunk is then backtraced by itself. Other documents are one chunk.
+first, and each chunk is then backtraced by itself. Its ids are counted, checked and digested by themselves, too; the digests of a document's chunks combine,
+so that its ids never meet in one place (unless they are asked for). Other documents are one chunk.
 
 No piece has a word mark inside, so every path passes every start of a word. Scores between two word starts are therefore sums of best scores of
-words, which are remembered, and only the characters before a chunk's first and behind its last word start need the full matrix.
+words, which are remembered, and only the characters before a chunk's first and behind its last word start need the full matrix; what lies between
+adds the same to all its entries, and is added once at the end.
 Ties go to the longer last piece, as in the library. Scores are added in double precision.
 
 The given vocabulary is a merge (BPE) model. Its merges are no sum of scores, so the scan can't give the library's ids for it: the scan gives the ids
@@ -34,9 +36,8 @@ from .shared import steps, table, tokenizer_path, written
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-CHUNK = 16_384
-#: Characters from which on a document is cut into chunks.
-GIANT = 65_536
+#: Characters of a chunk; longer documents are cut.
+CHUNK = 8_192
 #: Chunks whose matrices one task multiplies.
 BLOCK = 64
 REMEMBERED = 500_000
@@ -192,7 +193,8 @@ class Lattice:
         return [i for i in range(max(first, 1), len(text)) if text[i] == MARK]
 
     def transfer(self, text: str, first: int) -> np.ndarray:
-        """The matrix (state at the end, state at the start) of ``text`` behind its first ``first`` characters (context)."""
+        """The matrix (state at the end, state at the start) of ``text`` behind its first ``first`` characters (context), without the score of what lies
+        between its first and its last word start."""
         unit = np.full((self.reach, self.reach), NEVER)
         np.fill_diagonal(unit, 0.0)
         gates = self.gates(text, first)
@@ -200,13 +202,18 @@ class Lattice:
             return self.advance(text, first, unit)[0]
         a, b = gates[0], gates[-1]
         entry = self.advance(text[:a], first, unit)[0][-1]
-        inner = self.whole(text[a:b])[0] if b > a else 0.0
         at = np.full((self.reach, 1), NEVER)
         at[-1] = 0.0
         leave = self.advance(text[b:], 0, at)[0][:, 0]
         if len(text) - b < self.reach:  # positions before the last gate can't be crossed any more
             leave[: self.reach - (len(text) - b) - 1] = NEVER
-        return leave[:, None] + inner + entry[None, :]
+        return leave[:, None] + entry[None, :]
+
+    def between(self, text: str) -> tuple[float, bytes, bool, int]:
+        """Score and ids of whole words in a row, each with its mark, whether the ids decode to them, and the library's number of ids."""
+        words = text[1:].split(MARK)
+        scores, ids, same, counts = zip(*self.entries(words), strict=True)
+        return sum(scores), b"".join(ids), all(same), sum(counts) if "" not in words else int(text == MARK) or self.library_count(" ".join(words))
 
 
 def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,6 +221,23 @@ def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
+def joined_crc(first: int, second: int, length: int) -> int:
+    """The CRC-32 of two texts in a row, from theirs and the second one's bytes: the first is shifted by as many bytes, as a polynomial modulo the CRC's."""
+
+    def times(a: int, b: int) -> int:
+        out = 0
+        for k in range(31, -1, -1):  # the highest bit is the lowest power
+            out ^= b if a >> k & 1 else 0
+            b = (b >> 1) ^ (0xEDB88320 if b & 1 else 0)
+        return out
+
+    shift, power = 1 << 31, 1 << 23  # 1, and the polynomial of one byte
+    while length:
+        shift = times(shift, power) if length & 1 else shift
+        power, length = times(power, power), length >> 1
+    return times(shift, first) ^ second
+
+
 def marked(text: bytes) -> str:
     t = text.decode()
     return MARK + t.replace(" ", MARK) if t else ""
@@ -249,7 +273,7 @@ def _digest(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()), strict=True)]
 
 
-def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, giant: int = GIANT, keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep_ids: bool = False) -> DataFrame:
     """``docs`` without its text, with n_ids, ids_crc32, score, n_library and decoded (and with ``keep_ids`` the ids as bytes)."""
     kept = [c for c in docs.columns if c not in ("text", "ids", *_NAMES)]
     types = dict(docs.dtypes)
@@ -265,7 +289,7 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, giant: int
                 held.append(ids)
             yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in kept), *_digest(rows), *([pa.array(held, pa.binary())] if keep_ids else [])], [*kept, *_NAMES, *["ids"] * keep_ids])
 
-    is_giant = F.length(F.coalesce("text", F.lit(""))) > giant
+    is_giant = F.length(F.coalesce("text", F.lit(""))) > chunk
     small = docs.where(~is_giant).select(*kept, "text").mapInArrow(one_chunk, columns + _DIGEST + ", ids binary" * keep_ids)
     return small.unionByName(_giants(docs.where(is_giant).select(*kept, "text"), path, chunk, kept, columns, keep_ids))
 
@@ -280,13 +304,14 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
         lattice = Lattice.of_process(path)
         for part, texts in steps(batches):
             for row, t in zip(part.column(part.schema.get_field_index("_row")).to_pylist(), texts, strict=True):
-                m = marked(t)
+                m, odd = marked(t), MARK in t.decode()
                 for k, start in enumerate(range(0, len(m), chunk)):
                     first = min(start, lattice.reach - 1)
                     text = m[start - first : start + chunk]
-                    yield pa.record_batch([pa.array([row]), pa.array([k], pa.int32()), pa.array([k // BLOCK], pa.int32()), pa.array([first], pa.int32()), pa.array([text]), pa.array([start + chunk >= len(m)])], [*of_row, "block", "first", "piece", "last"])
+                    yield pa.record_batch([pa.array([row]), pa.array([k], pa.int32()), pa.array([k // BLOCK], pa.int32()), pa.array([first], pa.int32()), pa.array([text]), pa.array([odd])], [*of_row, "block", "first", "piece", "odd"])
 
-    chunks = written(rows.select("_row", "text").mapInArrow(cut, "_row long, chunk int, block int, first int, piece string, last boolean").repartition("_row", "block", "chunk"), spark, "chunks")
+    # odd: the text has marks of its own, which ids can't tell from spaces
+    chunks = written(rows.select("_row", "text").mapInArrow(cut, "_row long, chunk int, block int, first int, piece string, odd boolean").repartition("_row", "block", "chunk"), spark, "chunks")
 
     def matrices(batches):
         lattice = Lattice.of_process(path)
@@ -348,11 +373,18 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
                         end = start
                     return end, np.array([x for p in reversed(out) for x in p], "<u4").tobytes()
 
+                # whole words from one run of marks to another: counted here; what is before and behind them meets the neighbours' words
+                clean = [g for g in gates if text[g - 1] != MARK]
+                head_text, tail_text, counted, same = (text[first : clean[0]], text[clean[-1] :], 0, True) if clean else (text[first:], None, 0, True)
                 entered, ids, total = [], [], []
                 if gates:
                     end, head = trace(text[:a], back, a, first)
                     g = gates[-1]
-                    inner, middle = lattice.whole(text[a:g]) if g > a else (0.0, b"")
+                    inner, middle, same, counted = lattice.between(text[a:g]) if g > a else (0.0, b"", True, 0)
+                    if clean and (clean[0], clean[-1]) != (a, g):
+                        _, _, same, counted = lattice.between(text[clean[0] : clean[-1]]) if clean[-1] > clean[0] else (0.0, b"", True, 0)
+                    elif not clean:
+                        same, counted = True, 0
                     at = np.full((reach, 1), NEVER)
                     at[-1] = 0.0
                     leave, back2 = lattice.advance(text[g:], 0, at)
@@ -361,8 +393,9 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
                         ok = stop >= 0 and leave[reach - 1 - s, 0] > NEVER
                         entered.append(first - end if ok else -1)
                         ids.append(head + middle + trace(text[g:], back2, stop, 0)[1] if ok else b"")
-                        total.append(float(tail[-1, 0] + inner + leave[reach - 1 - s, 0]) if ok else NEVER)
+                        total.append(float(tail[-1, 0] + leave[reach - 1 - s, 0]) if ok else NEVER)
                 else:
+                    inner = 0.0
                     for s in range(reach):
                         stop = len(text) - s
                         ok = stop >= first and tail[reach - 1 - s, 0] > NEVER
@@ -373,9 +406,10 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
                 # all backtraces run together before long: what they share is kept once
                 open_ids = [x for x, e in zip(ids, entered, strict=True) if e >= 0]
                 n = len(os.path.commonprefix(open_ids)) // 4 * 4
-                yield pa.record_batch([pa.array([r["_row"]]), pa.array([r["chunk"]], pa.int32()), pa.array([entered], pa.list_(pa.int32())), pa.array([open_ids[0][:n]], pa.binary()), pa.array([[x[n:] for x in ids]], pa.list_(pa.binary())), pa.array([total[0]])], [*of_row, "entered", "shared", "ids", "score"])
+                yield pa.record_batch([pa.array([r["_row"]]), pa.array([r["chunk"]], pa.int32()), pa.array([entered], pa.list_(pa.int32())), pa.array([open_ids[0][:n]], pa.binary()), pa.array([[x[n:] for x in ids]], pa.list_(pa.binary())), pa.array([total[0]]), pa.array([float(inner)]), pa.array([head_text]), pa.array([tail_text], pa.string()), pa.array([counted]), pa.array([same and not r["odd"]])], [*of_row, "entered", "shared", "ids", "end_score", "inner", "head", "tail", "counted", "same"])
 
-    traced = written(chunks.join(entries, of_row).select(*of_row, "piece", "first", "before").mapInArrow(traces, "_row long, chunk int, entered array<int>, shared binary, ids array<binary>, score double"), spark, "traces")
+    traced = "_row long, chunk int, entered array<int>, shared binary, ids array<binary>, end_score double, inner double, head string, tail string, counted long, same boolean"
+    traced = written(chunks.join(entries, of_row).select(*of_row, "piece", "first", "before", "odd").mapInArrow(traces, traced), spark, "traces")
 
     def states(t: pa.Table) -> pa.Table:  # a few small numbers for each chunk of one document
         found = sorted(t.to_pylist(), key=lambda r: -r["chunk"])
@@ -386,20 +420,31 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
         return pa.table([pa.array([r["_row"] for r in found]), pa.array([r["chunk"] for r in found], pa.int32()), pa.array(out, pa.int32())], [*of_row, "state"])
 
     left = traced.select(*of_row, "entered").groupBy("_row").applyInArrow(states, "_row long, chunk int, state int")
-    picked = traced.join(left, of_row).select(*of_row, F.concat("shared", F.element_at("ids", F.col("state") + 1)).alias("ids"), "score")
-    ids = picked.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("ids"), F.max_by("score", "chunk").alias("score"))
+    picked = traced.join(left, of_row).withColumn("_ids", F.concat("shared", F.element_at("ids", F.col("state") + 1)))
+    picked = picked.select(*of_row, "end_score", "inner", "head", "tail", "counted", "same", F.octet_length("_ids").cast("long").alias("bytes"), F.crc32("_ids").alias("crc"), *([F.col("_ids").alias("ids")] if keep_ids else []))
 
-    def finish(batches):
+    def folded(t: pa.Table) -> pa.Table:  # a few numbers for each chunk of one document, and the words over its ends
         lattice = Lattice.of_process(path)
-        for b in batches:
-            for k in range(b.num_rows):
-                r = b.slice(k, 1)
-                at = {c: r.column(r.schema.get_field_index(c))[0].as_py() for c in ("text", "ids", "score")}
-                held = b"".join([x["ids"] for x in at["ids"]])
-                row = (len(held) // 4, zlib.crc32(held), at["score"], lattice.library_count(at["text"]), decode(unpacked(held), lattice) == at["text"])
-                yield pa.record_batch([*(r.column(r.schema.get_field_index(c)) for c in kept), *_digest([row]), *([pa.array([held], pa.binary())] if keep_ids else [])], [*kept, *_NAMES, *["ids"] * keep_ids])
-
-    return rows.join(ids, "_row").mapInArrow(finish, columns + _DIGEST + ", ids binary" * keep_ids)
+        found = sorted(t.to_pylist(), key=lambda r: r["chunk"])
+        crc, size, counted, same, over = 0, 0, 0, True, ""
+
+        def word(w):
+            return lattice.between(w)[2:] if w else (True, 0)
+
+        for r in found:
+            crc, size = joined_crc(crc, r["crc"], r["bytes"]), size + r["bytes"]
+            over += r["head"]
+            if r["tail"] is not None:
+                fits, n = word(over)
+                same, counted, over = same and fits, counted + n + r["counted"], r["tail"]
+            same = same and r["same"]
+        fits, n = word(over)
+        score = found[-1]["end_score"] + sum(r["inner"] for r in found)
+        columns = [pa.array([found[0]["_row"]]), *_digest([(size // 4, crc, score, counted + n, same and fits)])]
+        return pa.table([*columns, *([pa.array([b"".join([r["ids"] for r in found])], pa.binary())] if keep_ids else [])], ["_row", *_NAMES, *["ids"] * keep_ids])
+
+    digests = picked.groupBy("_row").applyInArrow(folded, "_row long, " + _DIGEST + ", ids binary" * keep_ids)
+    return rows.select("_row", *kept).join(digests, "_row").select(*kept, *_NAMES, *["ids"] * keep_ids)
 
 
 def op10_max_plus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
