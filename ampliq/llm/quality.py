@@ -3,10 +3,10 @@
 Base statistics are counted over every whole text in batches. A rule rejects a document whose statistic, an integer from 0 to 100, is
 above the rule's cutoff for the document's stratum (its language). Cutoffs come from the labelled documents, all of them: the labelled good
 documents are the holdout. The grid of cutoffs is fixed beforehand, so nothing is fitted on them. For a stratum and rule, cutoffs are
-tested from the mildest on with an exact binomial test of "more than ``risk`` of the good documents are rejected"; the first one that
+tested from the mildest on with an exact binomial test of "more than its share of ``risk`` of the good documents are rejected"; the first one that
 is not refuted ends the sequence (fixed-sequence testing, no further correction), and the level of each sequence is
-``level`` over the number of strata and rules (Bonferroni). So with probability 1 - level every cutoff in use keeps its rule's false
-rejections below ``risk``. Among the certified cutoffs the one with the best balance of rejected bad and good labelled documents is
+``level`` over the number of strata and rules (Bonferroni). A rule's share is ``risk`` over the number of rules, so with probability 1 - level all rules
+together reject less than ``risk`` of the good documents of every stratum. Among the certified cutoffs the one with the best balance of rejected bad and good labelled documents is
 used, the mildest of equals; where none helps, or too few labels certify one, the rule rejects nothing in that stratum.
 
 Null and empty texts have no words and fail the base rules. A null language is a stratum of its own. A repeated row gets the
@@ -29,8 +29,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
-#: False rejections of good documents that one rule may cause in one stratum, and the chance that any bound fails.
-RISK = 0.005
+#: False rejections of good documents that all rules together may cause in one stratum, and the chance that any bound fails.
+RISK = 0.025
 LEVEL = 0.05
 #: A wrongly rejected good document weighs as much as so many rejected bad ones.
 GOOD_WEIGHT = 10
@@ -155,7 +155,7 @@ def certified_cutoffs(values: DataFrame, labels: DataFrame, rules: list[str], st
             good, bad = np.zeros(TOP + 1), np.zeros(TOP + 1)
             at = pdf[pdf["rule"] == r]
             good[at["bin"]], bad[at["bin"]] = at["good"], at["bad"]
-            out[r] = select_cutoff(good, bad, risk, level / tests)
+            out[r] = select_cutoff(good, bad, risk / len(rules), level / tests)
         return pd.DataFrame([out])
 
     return bins.groupBy("stratum").applyInPandas(f, "stratum string" + "".join(f", {r} int" for r in rules))
