@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -18,9 +19,11 @@ STEP_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests on one machine), a new temporary one."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and all is one process (tests), a new temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: tables must go to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="ampliq-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -29,14 +32,35 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """``df`` written as a table to the shared folder and read again: the lineage ends there, and any executor may be lost."""
     path = f"{shared_folder(spark)}/ampliq/{name}-{uuid.uuid4().hex}"
+    for paths in _SCRATCH[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+#: Paths of the tables written within the ``scratch`` blocks that are open.
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, the tables that ``written`` made within the block; for blocks that store what comes of them."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark, path)
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes all tables that ``written`` left in the shared folder. For after the results that come from them are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/ampliq")
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _delete(spark, f"{shared_folder(spark)}/ampliq")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
