@@ -2,6 +2,11 @@
 
 quality rules: documents that fail the base rules or a certified cutoff go. line dedup: boilerplate lines of many sites go. near copies: of each
 group one document stays. personal data: entities are replaced by surrogates. packing: documents become token pieces in sequences.
+
+Null and empty texts have no words and go in the first stage; so do very short ones. Very long texts are treated like others. Rows that repeat an id and a text
+are exact copies, of which one stays; rows that share an id but not a text are documents of their own; a null id is kept as it is and counts as no one's smallest.
+Of a group of near copies the smallest id stays (ties: the smallest hash of the text). An empty table gives an empty result, and no labels certify no
+cutoff. Further columns, whatever their names, are carried up to packing, which returns its own.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from ampliq.llm.line_dedup import without_shared_lines
 from ampliq.llm.packing import VOCABULARY, packed
 from ampliq.llm.pii import pseudonymised
 from ampliq.llm.quality import accepted
-from ampliq.llm.shared import shared_folder, table, tokenizer_path
+from ampliq.llm.shared import scratch, shared_folder, table, tokenizer_path
 from ampliq.llm.simhash import one_of_each
 
 
@@ -53,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: No SQL: binomial tests, SimHash and the packing program are beyond it. The tests hold run() against a brute-force version.
+#: No SQL: binomial tests, SimHash and the packing program are beyond it. tests/llm/test_pipeline.py holds run() against plain loops over the documents.
 ORACLE_SQL = None
 
 
@@ -61,7 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over ``documents``; what each returns is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/ampliq/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path = f"{shared_folder(spark)}/ampliq-stages/{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
