@@ -132,25 +132,26 @@ def _aligned(q: np.ndarray, lengths: np.ndarray, r: np.ndarray, matrix: np.ndarr
 ALIGNED = T.StructType([T.StructField("ref_name", T.StringType()), T.StructField("ref_idx", T.IntegerType()), T.StructField("aln_seq", T.StringType()), T.StructField("aln_ref", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("min_score", T.DoubleType()), T.StructField("strand", T.StringType())])
 
 
-def alignments(reads: DataFrame, refs: list[dict], gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND, seq: str = "seq", matrix: np.ndarray | None = None, seed_min: int = SEED_MIN) -> DataFrame:
-    """A row for every row of ``reads`` and every reference, with the better strand (forward at equal scores).
+def aligned_reads(reads: DataFrame, refs: list[dict], gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND, seq: str = "seq", matrix: np.ndarray | None = None, seed_min: int = SEED_MIN) -> DataFrame:
+    """``reads`` with ``aligned``: an array with an entry for every reference, in their order, with the better strand (forward at equal scores).
 
     ``refs`` are tens of rows that were built on the driver: name, sequence, incentive, min_score, fw_seeds, rc_seeds. With more than
     ``seed_min`` seeds of one strand and none of the other, only that strand is aligned. Reads should be distinct: the work is per row.
     """
-    names, types = reads.columns, reads.schema
+    names, types = [c for c in reads.columns if c != "aligned"], reads.drop("aligned").schema
     spark = reads.sparkSession
     # few bytes but much work: a fixed number of partitions isn't merged into one for its size
-    reads = reads.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), seq)
-    given = reads.sparkSession.sparkContext.broadcast((refs, scoring_matrix() if matrix is None else matrix))
+    reads = reads.select(*names).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), seq)
+    given = spark.sparkContext.broadcast((refs, scoring_matrix() if matrix is None else matrix))
 
     def f(batches):
         refs, matrix = given.value
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 seqs = [(s or "").upper() for s in part.column(part.schema.get_field_index(seq)).to_pylist()]
-                turned = [rc(s) for s in seqs]
+                turned, cells = [rc(s) for s in seqs], []
                 for idx, ref in enumerate(refs):
                     fw = [sum(x in s for x in ref.get("fw_seeds", ())) for s in seqs]
                     rv = [sum(x in s for x in ref.get("rc_seeds", ())) for s in seqs]
@@ -161,25 +162,44 @@ def alignments(reads: DataFrame, refs: list[dict], gap_open: int = GAP_OPEN, gap
                     for side, wanted, strand in ((seqs, ahead, "+"), (turned, back, "-")):
                         rows = [k for k, w in enumerate(wanted) if w]
                         for k, (s, t, score) in zip(rows, align([side[k] for k in rows], ref["seq"], matrix, incentive, gap_open, gap_extend), strict=True):
-                            if found[k] is None or score > found[k][2]:
-                                found[k] = (s, t, score, strand)
-                    n = len(seqs)
-                    yield pa.record_batch([*part.columns, pa.array([ref["name"]] * n), pa.array([idx] * n, pa.int32()), pa.array([x[0] for x in found]), pa.array([x[1] for x in found]), pa.array([x[2] for x in found], pa.float64()), pa.array([float(ref.get("min_score", MIN_SCORE))] * n, pa.float64()), pa.array([x[3] for x in found])], [*names, *ALIGNED.names])
+                            if found[k] is None or score > found[k][4]:
+                                found[k] = (ref["name"], idx, s, t, score, float(ref.get("min_score", MIN_SCORE)), strand)
+                    cells.append(found)
+                flat = list(zip(*[cells[r][k] for k in range(len(seqs)) for r in range(len(refs))], strict=True)) or [[] for _ in kinds]
+                entries = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, kinds, strict=True)], ALIGNED.names)
+                offsets = pa.array(np.arange(0, len(seqs) * len(refs) + 1, len(refs)) if refs else np.zeros(len(seqs) + 1), pa.int32())
+                yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(offsets, entries)], [*names, "aligned"])
+
+    return reads.mapInArrow(f, T.StructType([*types.fields, T.StructField("aligned", T.ArrayType(ALIGNED))]))
+
+
+def alignments(reads: DataFrame, refs: list[dict], gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND, seq: str = "seq", matrix: np.ndarray | None = None, seed_min: int = SEED_MIN) -> DataFrame:
+    """A row for every row of ``reads`` and every reference (see ``aligned_reads``)."""
+    found = aligned_reads(reads, refs, gap_open, gap_extend, seq, matrix, seed_min)
+    return found.withColumn("_x", F.explode("aligned")).select(*[c for c in found.columns if c != "aligned"], "_x.*")
+
+
+def _best(per: DataFrame, key: list[str]) -> DataFrame:
+    """Of each row's alignments (array ``aligned``, in reference order) those that count, a row each."""
+    counts = F.filter("aligned", lambda x: x["score"] > x["min_score"])
+    per = per.withColumn("_best", F.array_max(F.transform(counts, lambda x: x["score"]))).where("_best IS NOT NULL")
+    per = per.withColumn("_first", F.array_min(F.transform(F.filter(counts, lambda x: x["score"] == F.col("_best")), lambda x: x["ref_idx"])))
+    tied = F.filter("aligned", lambda x: (x["score"] == F.col("_best")) & (x["ref_idx"] >= F.col("_first")))
+    rows = per.select(*key, tied.alias("_tied")).select(*key, F.size("_tied").alias("n_best"), F.posexplode("_tied").alias("nth", "_x"))
+    return rows.select(*key, "_x.*", "n_best", "nth")
+
 
-    return reads.mapInArrow(f, T.StructType([*types.fields, *ALIGNED.fields]))
+def best_alignments(reads: DataFrame, refs: list[dict], gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND, seq: str = "seq", matrix: np.ndarray | None = None, seed_min: int = SEED_MIN) -> DataFrame:
+    """``best_references`` of the rows of ``reads``: chosen within each row, so nothing is aligned twice or shuffled behind the aligner."""
+    found = aligned_reads(reads, refs, gap_open, gap_extend, seq, matrix, seed_min)
+    return _best(found, [c for c in found.columns if c != "aligned"])
 
 
 def best_references(aligned: DataFrame, key: list[str]) -> DataFrame:
-    """Of each read's alignments those with its best score, if that is above the minimum; ``n_best`` tells how many references tie.
+    """Of each read's alignments those with its best score, if that is above the minimum; ``n_best`` tells how many references tie, ``nth`` which of
+    them (from 0, in reference order) a row is.
 
     A reference counts if its score exceeds its own minimum; once one does, later ones (in reference order) with the same score join it.
     """
-    at = lambda c: F.col(c)
-    over = F.when(at("score") > at("min_score"), at("score"))
-    best = aligned.groupBy(*key).agg(F.max(over).alias("best"))
-    met = aligned.join(best, key).where("score = best")
-    firsts = met.where("score > min_score").groupBy(*key).agg(F.min("ref_idx").alias("first_idx"))
-    tied = met.join(firsts, key).where("ref_idx >= first_idx")
-    from pyspark.sql import Window as W
-
-    return tied.withColumn("n_best", F.count(F.lit(1)).over(W.partitionBy(*key))).drop("best", "first_idx")
+    rest = [c for c in aligned.columns if c not in (*key, "ref_idx")]
+    return _best(aligned.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ref_idx", *rest))).alias("aligned")), key)
