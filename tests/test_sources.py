@@ -94,8 +94,30 @@ def test_vcf(spark, tmp_path):
     v = with_edits(spark.createDataFrame([("r", "AC-TACGT", "ACGTACGT", 3), ("r", "ACGTACGT", "ACGTACGT", 1)], "ref_name string, aln_seq string, aln_ref string, n_reads long"), {"r": [2]})
     counts = vcf.edit_counts(v, {"r": ("chr2", 100)}, [])
     assert [tuple(r) for r in counts.collect()] == [("chr2", 101, "CG", "C", 3, 0.75)]
-    vcf.write(counts, str(tmp_path / "v"))
-    assert "chr2\t101\t.\tCG\tC\t.\tPASS\tAF=0.750000;AC=3" in [r.value for r in spark.read.text(str(tmp_path / "v")).collect()]
+    vcf.write(counts, str(tmp_path / "v"), {"chr2": 8})
+    lines = [r.value for r in spark.read.text(str(tmp_path / "v")).collect()]
+    assert "chr2\t101\t.\tCG\tC\t.\tPASS\tAF=0.750" in lines and "##contig=<ID=chr2,length=8>" in lines
+    names = spark.createDataFrame([(c, 1, "A", "C") for c in ("chr10", "chr2", "10", "2")], "chr string, pos long, ref string, alt string")
+    assert [r.chr for r in vcf.sorted_records(names).collect()] == ["2", "10", "chr10", "chr2"]
+
+
+def test_published_tables(spark, tmp_path):
+    from ampliq.operators.alleles import allele_table
+    from ampliq.operators.references import build
+    from ampliq.plans import tables as published
+
+    ref = build("r", "ACGTCACGTACCATGGACGTCCATTGCAAT", ["CACGTACCATGG"], skip_left=0, skip_right=0, plot=5)
+    edited = ref.seq[:10] + "T" + ref.seq[11:]
+    v = with_edits(spark.createDataFrame([("r", ref.seq, ref.seq, 3), ("r", edited, ref.seq, 1)], "ref_name string, aln_seq string, aln_ref string, n_reads long"), {"r": ref.window})
+    made = published.per_guide(allele_table(v, []), ref, "C", "T")
+    published.publish(made, str(tmp_path / "out"))
+    text = lambda name: [r.value for r in spark.read.text(str(tmp_path / "out" / name)).collect()]
+    guide = ref.guides[0].seq
+    rows = text(f"r.Alleles_frequency_table_around_sgRNA_{guide}.txt")
+    assert rows[0].split("\t")[:2] == ["Aligned_Sequence", "Reference_Sequence"] and len(rows) >= 2
+    assert any(line.endswith("False\t3") for line in text(f"10i.r.sgRNA_{guide}.binary_allele_counts.txt"))
+    arrays = {line.split("\t")[0]: line.split("\t")[1:] for line in text(f"10i.r.sgRNA_{guide}.arrays.txt")}
+    assert set(arrays["total_counts"]) == {"4"} and len(arrays) == 6
 
 
 def test_streamed_counts_equal_batch_counts(spark, tmp_path):
