@@ -18,21 +18,29 @@ def lowest(qual: Column) -> Column:
     return F.array_min(scores(qual))
 
 
+def any_below(qual: Column, least: int) -> Column:
+    """Whether any base has a quality below ``least``: one match of a class of characters, without an array."""
+    return qual.rlike(f"[\\x00-\\x{max(0, min(126, BASE + least - 1)):02x}]")
+
+
 def mean(qual: Column) -> Column:
-    s = scores(qual)
-    return F.aggregate(s, F.lit(0).cast("long"), lambda n, x: n + x) / F.size(s)
+    """The mean quality; null of an empty string."""
+    n = F.length(qual)
+    total = F.aggregate(F.split(qual, ""), F.lit(0), lambda s, c: s + F.ascii(c))
+    return F.when(n > 0, total / n - BASE)
 
 
 def masked(seq: Column, qual: Column, least: int) -> Column:
-    """Bases of a quality below ``least`` become N."""
-    return F.array_join(F.zip_with(letters(seq), scores(qual), lambda b, q: F.when(q < least, "N").otherwise(b)), "")
+    """Bases of a quality below ``least`` become N. A read without such a base is left as it is."""
+    marks = F.zip_with(F.split(seq, ""), F.split(qual, ""), lambda b, q: F.when(F.ascii(q) < BASE + least, "N").otherwise(b))
+    return F.when((F.length(qual) > 0) & any_below(qual, least), F.array_join(marks, "")).otherwise(seq)
 
 
 def filtered(reads: DataFrame, min_single: int = 0, min_mean: float = 0, mask_below: int = 0, mates: tuple[tuple[str, str], ...] = (("seq", "qual"),)) -> DataFrame:
     """Reads of which every mate passes; what is masked is masked after the test. A threshold of 0 tests nothing."""
     for _, q in mates:
         if min_single:
-            reads = reads.where(lowest(F.col(q)) >= min_single)
+            reads = reads.where((F.length(q) > 0) & ~any_below(F.col(q), min_single))
         if min_mean:
             reads = reads.where(mean(F.col(q)) >= min_mean)
     if mask_below:

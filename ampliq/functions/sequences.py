@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,8 +40,15 @@ def capitalised(s: Column) -> Column:
     return F.upper(s)
 
 
+def _folded() -> tuple[str, str]:
+    """Letters of the basic plane that decompose to one ASCII character, and these characters."""
+    found = [(chr(k), "".join(c for c in unicodedata.normalize("NFKD", chr(k)) if ord(c) < 128)) for k in (*range(0x80, 0x2600), *range(0xFF01, 0xFF5F))]
+    return "".join(c for c, a in found if len(a) == 1), "".join(a for _, a in found if len(a) == 1)
+
+
 def slug(s: Column) -> Column:
-    """A safe file name: ASCII, with every run of other symbols as one underscore."""
+    """A safe file name: accents fold to ASCII, other symbols beyond ASCII go, and every run of unsafe ones is one underscore."""
+    s = F.regexp_replace(F.translate(s, *_folded()), r"[^\x00-\x7f]", "")
     return F.regexp_replace(F.regexp_replace(F.trim(s), r"[^\w.\-]+", "_"), "_+", "_")
 
 
@@ -87,14 +95,45 @@ def contains_inside(seq: Column, part: Column) -> Column:
     return (F.instr(seq, part) > 1) | (F.instr(seq, reverse_complement(part)) > 1)
 
 
+def contains_fragment(seq: Column, part: str) -> Column:
+    """The same for the part without three bases at each end; null if it has six bases or fewer."""
+    return contains_inside(seq, F.lit(part[3:-3])) if len(part) > 6 else F.lit(None).cast("boolean")
+
+
+def values_at_reference(read: Column, ref: Column) -> Column:
+    """What the read has at each reference position: the aligned base, and behind it the bases inserted there; those before the first base go to it."""
+    columns = F.filter(F.transform(letters(ref), lambda c, k: F.when(c != "-", k)), lambda k: k.isNotNull())
+    ends = F.concat(F.slice(columns, 2, F.greatest(F.size(columns) - 1, F.lit(0))), F.array(F.length(ref)))
+    starts = F.transform(columns, lambda k, n: F.when(n == 0, 0).otherwise(k))
+    return F.zip_with(starts, ends, lambda a, b: F.substring(read, a + 1, b - a))
+
+
 def display_class(name: Column, modified: Column, first: str, hdr: str) -> Column:
     """Labels of read classes in experiments with a repair template."""
     return F.when((name == first) & ~modified, first).when(name == first, "NHEJ").when((name == hdr) & ~modified, hdr).when(name == hdr, f"Imperfect {hdr}").otherwise(name)
 
 
-def edit_text(positions: Column, sizes: Column) -> Column:
-    """Edits as pos(size), joined by semicolons."""
-    return F.array_join(F.zip_with(positions, sizes, lambda p, n: F.concat(p.cast("string"), F.lit("("), n.cast("string"), F.lit(")"))), ";")
+def edit_text(positions: Column, sizes: Column, bases: Column | None = None) -> Column:
+    """Edits as pos(size), or pos(size+bases), joined by semicolons."""
+    whole = F.transform(sizes, lambda n: n.cast("string")) if bases is None else F.zip_with(sizes, bases, lambda n, b: F.concat(n.cast("string"), F.lit("+"), b))
+    return F.array_join(F.zip_with(positions, whole, lambda p, n: F.concat(p.cast("string"), F.lit("("), n, F.lit(")"))), ";")
+
+
+def inserted_bases(read: Column, positions: Column, coordinates: Column, sizes: Column) -> Column:
+    """The bases of each insertion, from the positions of the aligned reference's columns."""
+    return F.zip_with(coordinates, sizes, lambda c, n: F.substring(read, F.array_position(positions, c["start"]).cast("int") + 1, n))
+
+
+def annotation(edits: str = "edits", read: str = "aln_seq") -> dict[str, Column]:
+    """The texts that annotate a read's edits in one reference: MODS, DEL, INS and SUB. A read of several references joins its texts by ``&``."""
+    e = lambda n: F.col(f"{edits}.{n}")
+    starts = lambda c: F.transform(c, lambda x: x["start"])
+    return {
+        "MODS": F.concat(F.lit("D"), e("deletion_n").cast("string"), F.lit(";I"), e("insertion_n").cast("string"), F.lit(";S"), e("substitution_n").cast("string")),
+        "DEL": edit_text(starts(e("deletion_coordinates")), e("deletion_sizes")),
+        "INS": edit_text(starts(e("insertion_coordinates")), e("insertion_sizes"), inserted_bases(F.col(read), e("ref_positions"), e("insertion_coordinates"), e("insertion_sizes"))),
+        "SUB": F.array_join(F.transform(e("substitution_positions"), lambda p: p.cast("string")), ";"),
+    }
 
 
 def any_of(seq: Column, parts: list[str]) -> Column:

@@ -48,11 +48,14 @@ def ordered(alleles: DataFrame) -> DataFrame:
     return alleles.orderBy(*[f(c) for f, c in ORDER])
 
 
-def around_cut(alleles: DataFrame, keys: list[str], cut: Column, left: int, right: int, position: str = "pos", weight: str = "n_reads") -> DataFrame:
+def around_cut(alleles: DataFrame, keys: list[str], cut: Column, left: int, right: int, weight: str = "n_reads", keep_whole: bool = False) -> DataFrame:
     """Alleles of the ``left`` columns up to and with the cut position and the ``right`` ones behind it, summed.
 
-    An insertion at the cut moves columns out of the window, as the window is one of alignment columns.
+    An insertion at the cut moves columns out of the window, as the window is one of alignment columns. With ``keep_whole`` alleles stay apart by
+    their whole sequences, which are kept as whole_seq and whole_ref.
     """
+    keys = [*keys, "whole_seq", "whole_ref"] if keep_whole else keys
+    alleles = alleles.withColumns({"whole_seq": F.col("aln_seq"), "whole_ref": F.col("aln_ref")}) if keep_whole else alleles
     at = F.array_position(ref_positions(F.col("aln_ref")), cut.cast("int")).cast("int")
     cut_out = alleles.withColumn("_at", at).withColumn("_s", F.greatest(F.col("_at") - left + 1, F.lit(1)))
     part = lambda c: F.substring(c, F.col("_s"), F.col("_at") + right - F.col("_s") + 1)
@@ -81,7 +84,29 @@ def reconstituted(alleles: DataFrame, weight: str = "n_reads") -> DataFrame:
     return alleles.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(weight).cast("int")))).withColumn("read_seq", F.translate("aln_seq", "-", ""))
 
 
-def compiled_references(alleles: DataFrame, keys: list[str], least_share: float, rows: int = 1000) -> DataFrame:
-    """References from a run: each key's most frequent allele, and the others with at least the share of its reads."""
-    spans = W.partitionBy(*keys).orderBy(F.desc("n_reads"), "aln_seq")
-    return alleles.withColumn("rank", F.row_number().over(spans)).where((F.col("rank") == 1) | (F.col("pct_reads") >= 100 * least_share)).where(F.col("rank") <= rows)
+def compiled_references(alleles: DataFrame, keys: list[str], least_share: float) -> DataFrame:
+    """References from a run: the sequence without gaps of each key's most frequent allele, and of the others with at least the share of its reads, each
+    once with the reads of its most frequent allele. Only what passes is ranked; a share above zero bounds how many these are."""
+    most = alleles.groupBy(*keys).agg(F.min(F.struct((-F.col("n_reads")).alias("n"), "aln_seq"))["aln_seq"].alias("_most"))
+    passed = alleles.join(most, keys).where((F.col("pct_reads") >= 100 * least_share) | (F.col("aln_seq") == F.col("_most")))
+    each = passed.groupBy(*keys, F.translate("aln_seq", "-", "").alias("ref_seq")).agg(F.min(F.struct((-F.col("n_reads")).alias("n"), "aln_seq", "pct_reads")).alias("x"))
+    each = each.select(*keys, "ref_seq", (-F.col("x.n")).alias("n_reads"), F.col("x.aln_seq").alias("_aln"), F.col("x.pct_reads").alias("pct_reads"))
+    return each.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n_reads"), "_aln"))).drop("_aln")
+
+
+def ambiguous(alleles: DataFrame) -> DataFrame:
+    """Of a stored allele table the reads that fit several references equally well."""
+    return alleles.where(F.col("ref_name").startswith("AMBIGUOUS"))
+
+
+def rewindowed(alleles: DataFrame, cuts: DataFrame, left: int, right: int, keys: list[str], center: int | None = None, weight: str = "n_reads") -> DataFrame:
+    """A stored allele table around each guide's cut (cuts: ref_name, guide, cut), or around ``center`` of every reference, with percents of the key's
+    reads. Alleles of a reference with several guides appear once a guide."""
+    if center is None:
+        met, by = alleles.join(cuts.select("ref_name", "guide", "cut"), "ref_name"), ["ref_name", "guide"]
+    else:
+        met, by = alleles.withColumn("cut", F.lit(center)), ["ref_name"]
+    totals = alleles.groupBy(*keys).agg(F.sum(weight).alias("_all")) if keys else alleles.agg(F.sum(weight).alias("_all"))
+    out = around_cut(met, [*keys, *by], F.col("cut"), left, right, weight)
+    out = out.join(totals, keys) if keys else out.crossJoin(F.broadcast(totals))  # one row
+    return out.withColumn("pct_reads", 100.0 * F.col(weight) / F.col("_all")).drop("_all")

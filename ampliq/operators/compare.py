@@ -21,14 +21,33 @@ def merged_alleles(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return met.withColumn("lfc", log_fold_change(F.col("pct_reads_1"), F.col("pct_reads_2")))
 
 
+def two_samples(alleles: DataFrame, keys: list[str], first: str, second: str, sample: str = "sample") -> DataFrame:
+    """``merged_alleles`` of two samples of one table, in one pass over it: each key's reads and percents of either sample, side by side."""
+    pick = lambda c, s: F.coalesce(F.sum(F.when(F.col(sample) == s, F.col(c))), F.lit(0)).cast(dict(alleles.dtypes)[c])
+    named = {f"{c}_{k}": pick(c, s) for k, s in ((1, first), (2, second)) for c in ("n_reads", "pct_reads")}
+    met = alleles.where(F.col(sample).isin(first, second)).groupBy(*keys).agg(*[v.alias(n) for n, v in sorted(named.items())])
+    return met.withColumn("lfc", log_fold_change(F.col("pct_reads_1"), F.col("pct_reads_2")))
+
+
+def matching_alleles(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(sequence, file_1, file_2): allele files of two runs that can be compared: of amplicons with one sequence, the same cuts and a guide in common.
+
+    first, second: (sequence, guides, cuts, files), arrays in the order of the guides. Files pair by place; what one run has more is left out."""
+    side = lambda df, k: df.select("sequence", *[F.col(c).alias(f"{c}_{k}") for c in ("guides", "cuts", "files")])
+    met = side(first, 1).join(side(second, 2), "sequence").where((F.col("cuts_1") == F.col("cuts_2")) & F.arrays_overlap("guides_1", "guides_2"))
+    pairs = met.select("sequence", F.explode(F.arrays_zip("files_1", "files_2")).alias("x")).select("sequence", F.col("x.files_1").alias("file_1"), F.col("x.files_2").alias("file_2"))
+    return pairs.where("file_1 IS NOT NULL AND file_2 IS NOT NULL")
+
+
 def log_fold_change(a: Column, b: Column) -> Column:
     return F.log2((a + PSEUDO) / (b + PSEUDO))
 
 
 def most_changed(merged: DataFrame, rows: int) -> DataFrame:
-    """The alleles most enriched in the first sample and those most enriched in the second."""
-    up = merged.orderBy(F.desc("lfc"), "aln_seq", "aln_ref").limit(rows).withColumn("side", F.lit("first"))
-    return up.unionByName(merged.orderBy("lfc", "aln_seq", "aln_ref").limit(rows).withColumn("side", F.lit("second")))
+    """The alleles most enriched in the first sample and those most enriched in the second. Each side is a top-k of its own; the merged table is
+    an aggregate, so that its shuffle is planned once and used by both."""
+    side = lambda name, order: merged.orderBy(order, "aln_seq", "aln_ref").limit(rows).withColumn("side", F.lit(name))
+    return side("first", F.desc("lfc")).unionByName(side("second", F.asc("lfc")))
 
 
 def _log_binomial(n: int, k: int) -> float:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import letters
 from .edits import with_edits
 from .positions import ref_positions
 
@@ -32,13 +31,14 @@ def with_scaffold(variants: DataFrame, edited: str, after: int, piece: str) -> D
 
 
 def scaffold_sizes(variants: DataFrame, after: int, scaffold: str, keys: list[str], weight: str = "n_reads") -> DataFrame:
-    """(keys, matched, gap, n_reads): how many scaffold bases follow the extension, and the run of deleted bases behind them."""
+    """(keys, matched, gap, n_reads): how many of the bases behind the extension are the scaffold's, from its start on, and how many of them, from
+    there on, are inserted (have a gap in the reference)."""
     column = F.array_position(ref_positions(F.col("aln_ref")), F.lit(after - 1).cast("int")).cast("int")
-    rest = F.substring(F.col("aln_seq"), column + 1, F.lit(10_000))
-    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
-    pairs = F.zip_with(letters(F.regexp_replace(rest, "-", "")), letters(F.lit(scaffold)), lambda a, b: F.coalesce(a == b, F.lit(False)))
-    matched = F.aggregate(pairs, start, lambda s, same: F.struct(F.when(s["on"] & same, s["n"] + 1).otherwise(s["n"]).alias("n"), (s["on"] & same).alias("on")))["n"]
-    rows = variants.withColumn("matched", matched).withColumn("gap", F.length(F.regexp_extract(rest, "^[ACGTN]*?(-+)", 1)))
+    behind = lambda c: F.substring(F.col(c), column + 1, F.length(c))
+    bases = F.translate(behind("aln_seq"), "-", "")
+    matched = F.array_max(F.array(F.lit(0), *[F.when(bases.startswith(scaffold[:k]), k) for k in range(1, len(scaffold) + 1)]))
+    gap = F.least(F.length(F.regexp_extract(behind("aln_ref"), "^-*", 0)), F.lit(len(scaffold)), F.length(bases))
+    rows = variants.withColumn("matched", matched).withColumn("gap", gap)
     return rows.groupBy(*keys, "matched", "gap").agg(F.sum(weight).alias(weight))
 
 

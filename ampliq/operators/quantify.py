@@ -48,7 +48,7 @@ def run_statistics(variants: DataFrame, unaligned: DataFrame, weight: str = "n_r
     a = variants.agg(
         F.coalesce(F.sum(weight), F.lit(0)).alias("n_aligned"), F.count(F.lit(1)).alias("n_distinct"), F.coalesce(F.sum(F.col(weight) - 1), F.lit(0)).alias("n_repeats"),
         *[total(f"edits.{c}") for c in ("substitution_n", "substitutions_outside_window", "mods_in_window", "mods_outside_window")],
-        F.coalesce(F.sum(F.when(F.col("edits.irregular_ends"), F.col(weight))), F.lit(0)).alias("irregular_ends"), F.max(F.length(F.translate("aln_seq", "-", ""))).alias("read_length"),
+        F.coalesce(F.sum(F.when(F.col("edits.irregular_ends"), F.col(weight))), F.lit(0)).alias("irregular_ends"), F.max(F.length("aln_seq")).alias("read_length"),
     )
     return a.crossJoin(unaligned.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n_unaligned"))).withColumn("n_total", F.col("n_aligned") + F.col("n_unaligned"))
 
@@ -72,23 +72,39 @@ def frames(variants: DataFrame, keys: list[str], exon: Column, splicing: Column,
 
 
 # Thresholds of the checks on a run.
-GUARDRAILS = {"total_reads": 10000, "aligned_share": 0.9, "alternate_share": 0.3, "ratio_outside": 0.01, "ends_modified": 0.01, "outside_window_substitutions": 0.002, "substitution_rate": 0.3, "guide_length": 19, "amplicon_length": 50, "read_length_ratio": 1.5}
+GUARDRAILS = {"total_reads": 10000, "aligned_share": 0.9, "share_in_window": 0.01, "ends_modified": 0.01, "outside_window_substitutions": 0.002, "substitution_rate": 0.3, "guide_length": 19, "amplicon_length": 50, "amplicon_to_read_length": 1.5}
 
 
-def guardrails(stats: DataFrame, amplicon_length: int, guide_length: int, limits: dict | None = None) -> DataFrame:
-    """(check, value, limit, raised): the checks of a run's statistics."""
+def guardrails(stats: DataFrame, by_reference: DataFrame, amplicons: dict[str, int], guides: dict[str, int], limits: dict | None = None) -> DataFrame:
+    """(check, subject, value, limit, raised): the ten checks of a run; a check whose share has nothing below it gives no row.
+
+    stats: of ``run_statistics``; by_reference: (ref_name, n_reads); amplicons and guides: their lengths by name. Checks of one amplicon or guide name it as
+    subject. Reads are spread unevenly where an amplicon has at most the aligned share's limit of its expected reads, or at least the
+    rest of them: that limit, not one of its own, is what published runs use. The read length is the longest aligned read's, gaps included.
+    """
     lim = GUARDRAILS | (limits or {})
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    one = lambda name, value, raised: F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"), F.lit(float(lim[name])).alias("limit"), raised.alias("raised"))
+    row = lambda check, subject, value, limit, raised: F.struct(F.lit(check).alias("check"), F.lit(subject).cast("string").alias("subject"), value.cast("double").alias("value"), F.lit(float(limit)).alias("limit"), raised.alias("raised"))
+    share = lambda a, b: F.when(b > 0, a / b)
     mods = F.col("mods_in_window") + F.col("mods_outside_window")
-    outside = F.when(mods > 0, F.col("mods_outside_window") / mods).otherwise(F.lit(0.0))
     subs = F.col("substitution_n") + F.col("substitutions_outside_window")
-    rate = F.when(mods > 0, subs / mods).otherwise(F.lit(0.0))
+    at_most = lambda name, v: row(name, None, v, lim[name], v <= lim[name])
+    at_least = lambda name, v: row(name, None, v, lim[name], v >= lim[name])
     checks = [
-        one("total_reads", F.col("n_total"), F.col("n_total") < lim["total_reads"]), one("aligned_share", share("n_aligned", "n_total"), share("n_aligned", "n_total") <= lim["aligned_share"]),
-        one("ratio_outside", outside, outside >= lim["ratio_outside"]), one("ends_modified", share("irregular_ends", "n_aligned"), share("irregular_ends", "n_aligned") >= lim["ends_modified"]),
-        one("outside_window_substitutions", share("substitutions_outside_window", "n_aligned"), share("substitutions_outside_window", "n_aligned") >= lim["outside_window_substitutions"]), one("substitution_rate", rate, rate >= lim["substitution_rate"]),
-        one("guide_length", F.lit(guide_length), F.lit(guide_length < lim["guide_length"])), one("amplicon_length", F.lit(amplicon_length), F.lit(amplicon_length < lim["amplicon_length"])),
-        one("read_length_ratio", F.col("read_length") / amplicon_length, F.col("read_length") / amplicon_length > lim["read_length_ratio"]),
+        row("total_reads", None, F.col("n_total"), lim["total_reads"], F.col("n_total") < lim["total_reads"]),
+        at_most("aligned_share", share(F.col("n_aligned"), F.col("n_total"))), at_most("share_in_window", share(F.col("mods_in_window"), mods)),
+        at_least("ends_modified", share(F.col("irregular_ends"), F.col("n_aligned"))), at_least("outside_window_substitutions", share(F.col("substitutions_outside_window"), subs)),
+        at_least("substitution_rate", share(subs, mods)),
+        *[row("amplicon_length", k, F.lit(n), lim["amplicon_length"], F.lit(n < lim["amplicon_length"])) for k, n in sorted(amplicons.items())],
+        *[row("guide_length", k, F.lit(n), lim["guide_length"], F.lit(n < lim["guide_length"])) for k, n in sorted(guides.items())],
+        *[row("amplicon_to_read_length", k, share(F.lit(n), F.col("read_length")), lim["amplicon_to_read_length"], F.col("read_length") * lim["amplicon_to_read_length"] < n) for k, n in sorted(amplicons.items())],
     ]
-    return stats.select(F.explode(F.array(*checks)).alias("x")).select("x.*")
+    out = stats.select(F.explode(F.array(*checks)).alias("x")).select("x.*").where("value IS NOT NULL")
+    if len(amplicons) < 2:
+        return out
+    spark, limit = stats.sparkSession, lim["aligned_share"]
+    names = spark.createDataFrame([(k,) for k in sorted(amplicons)], "subject string")  # tens
+    counts = names.join(by_reference.select(F.col("ref_name").alias("subject"), "n_reads"), "subject", "left").withColumn("_n", F.coalesce("n_reads", F.lit(0)))
+    met = counts.crossJoin(F.broadcast(stats.select((F.col("n_total") / len(amplicons)).alias("_expected"))))  # one row
+    value = F.when(F.col("_expected") > 0, F.col("_n") / F.col("_expected"))
+    spread = (F.col("_n") <= F.col("_expected") * limit) | (F.col("_n") >= F.col("_expected") * (1 - limit))
+    return out.union(met.select(F.lit("proportion"), "subject", value.cast("double"), F.lit(float(limit)), spread).where(value.isNotNull()))

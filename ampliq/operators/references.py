@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -201,6 +201,62 @@ def cloned_guides(source: Reference, target: Reference, least: float = 60.0) ->
     return out
 
 
+def with_annotations_of(source: Reference, target: Reference, least: float = 60.0, incentive: int = GAP_INCENTIVE) -> Reference:
+    """``target`` with the guides, windows and exons of ``source`` where it has none of its own, if the two align with at least ``least``.
+
+    Exons go through the alignment span by span; what they gain or lose in length is added to ``exon_change``, which frameshifts take into account."""
+    aligned, other, score = align([source.seq], target.seq, scoring_matrix(), np.zeros(len(target.seq) + 1, int))[0]
+    if score < least:
+        return target
+    out = replace(target, incentive=np.zeros(len(target.seq) + 1, np.int64) if target.incentive is None else target.incentive.copy())
+    if not out.guides and source.guides:
+        out.guides = cloned_guides(source, target, least)
+        for g in out.guides:
+            out.incentive[g.cut + 1] = incentive
+        out.window = sorted(set(cloned(source.window, source, target))) or out.window
+    if not out.exons and source.exons:
+        left, right = position_maps(aligned, other)
+        exons: list[int] = []
+        for first, last in spans(source.exons):
+            there = range(max(left[first], 0), min(right[last], len(target.seq) - 1) + 1)
+            exons += there
+            out.exon_change += len(there) - (last - first + 1)
+        out.exons, out.splicing = sorted(set(exons)), cloned(source.splicing, source, target)
+    return out
+
+
+def _part_like(part: str, seq: str, gap_open: int, gap_extend: int) -> str:
+    """The piece of ``seq`` that ``part`` aligns to."""
+    a, b, _ = align([part], seq, scoring_matrix(), np.zeros(len(seq) + 1, int), gap_open, gap_extend)[0]
+    return b[len(a) - len(a.lstrip("-")) : len(a.rstrip("-"))].replace("-", "")
+
+
+def prime_editing_guides(seq: str, first: str, edited: str, extension: str, spacer: str, nicking: str = "", extension_window: int = 5, center: int = WINDOW_CENTER, size: int = WINDOW_SIZE, gap_open: int = -50, gap_extend: int = 0) -> list[tuple[str, str, int, int]]:
+    """(name, guide, center, size) of the parts of a prime editing experiment on the reference ``seq``.
+
+    The extension's DNA is at home on the edited reference, the spacer on the first one, and the nicking guide on the first one's reverse
+    complement. On another reference a part is what its home's alignment lays in its place, and a center moves with the bases gained or lost there."""
+    dna = lambda s: s.upper().replace("U", "T")
+    if dna(spacer) not in first and rc(dna(spacer)) not in first:
+        raise ValueError("the spacer is not in the first reference")
+    parts = [("PE Extension", rc(dna(extension)), edited, seq, 0, extension_window), ("PE spacer sgRNA", dna(spacer), first, seq, center, size)]
+    if nicking:
+        parts.append(("PE nicking sgRNA", dna(nicking), rc(first), rc(seq), center, size))
+    out = []
+    for name, part, home, here, at, width in parts:
+        piece = _part_like(part, home, gap_open, gap_extend)
+        if here != home:
+            a, b, _ = align([home], here, scoring_matrix(), np.zeros(len(here) + 1, int))[0]
+            (left, right), (_, back) = position_maps(a, b), position_maps(b, a)
+            start = home.find(piece)
+            stop = start + len(piece)
+            piece = here[left[start] : right[stop] if stop < len(right) else None]
+            end = min(stop, len(right) - 1)
+            at = back[min(end + at, len(back) - 1)] - right[end] if at else 0
+        out.append((name, piece, at, width))
+    return out
+
+
 def flexible_guide(ref: str, guide: str, least: float = 80.0, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> tuple[str, list[float]] | None:
     """The part of the reference most like the guide on either strand, and where they differ (a gap lies half a base before); None below ``least`` percent."""
     best = None

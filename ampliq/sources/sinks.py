@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Column names of the published tables.
+# Column names of the published tables.
 ALLELE_NAMES = {"aln_seq": "Aligned_Sequence", "aln_ref": "Reference_Sequence", "ref_name": "Reference_Name", "read_status": "Read_Status", "n_deleted": "n_deleted", "n_inserted": "n_inserted", "n_mutated": "n_mutated", "n_reads": "#Reads", "pct_reads": "%Reads"}
 EDITING_NAMES = {
     "ref_name": "Amplicon", "unmodified_pct": "Unmodified%", "modified_pct": "Modified%", "n_reads": "Reads_aligned", "unmodified": "Unmodified", "modified": "Modified", "discarded": "Discarded", "insertions": "Insertions", "deletions": "Deletions",
@@ -40,6 +40,20 @@ def wide(counts: DataFrame, bases: DataFrame, path: str, label: str, value: str,
     head.union(body).repartitionByRange(1, "_k").sortWithinPartitions("_k").select("value").write.text(path)
 
 
+def base_edit_files(tables: dict[str, DataFrame], stem: str) -> None:
+    """The files on base edits within reads, from ``base_edit_counts``: combinations with their counts, most frequent first (binary, category, precise: a cell
+    a position), counts by position (arrays: a row a class), and reads of only reference or only target bases (counts)."""
+    for form in ("binary", "category", "precise"):
+        cells = F.array_join(F.split("combination", "," if form == "precise" else ""), "\t")
+        lines = tables[form].select(cells.alias("cells"), F.initcap(F.col("has_indel").cast("string")).alias("has_indel"), F.col("n_reads").alias("count"))
+        lines.orderBy(F.desc("count"), "cells", "has_indel").select(F.concat_ws("\t", "cells", "has_indel", "count").alias("value")).write.text(f"{stem}.{form}_allele_counts.txt")
+    classes = ("total", "reference", "target", "deletion", "insertion", "other")
+    rows = tables["positions"].agg(F.array_sort(F.collect_list(F.struct("pos", *classes))).alias("r"))  # a row a position
+    per = rows.select(*[F.array_join(F.col(f"r.{c}").cast("array<string>"), "\t").alias(c) for c in classes])
+    per.select(F.explode(F.array(*[F.concat_ws("\t", F.lit(f"{c}_counts"), c) for c in classes])).alias("value")).coalesce(1).write.text(f"{stem}.arrays.txt")
+    tsv(tables["reads"], f"{stem}.counts.txt")
+
+
 def run_info(facts: dict, path: str, spark) -> None:
     """A run's facts as one JSON document of plain types."""
     spark.createDataFrame([(json.dumps(facts, sort_keys=True, default=str),)], "value string").coalesce(1).write.text(path)
