@@ -15,18 +15,17 @@ CUT = 31
 REFS = 20
 
 _CTE = """
-amp AS (
-  SELECT DISTINCT CAST(l_partkey % 20 AS INT) AS ref_id,
-    translate(concat(md5(concat('r', CAST(l_partkey % 20 AS {S}))), md5(concat('s', CAST(l_partkey % 20 AS {S})))),
-              '0123456789abcdef', 'ACGTACGTACGTACGT') AS ref_seq
-  FROM {lineitem}),
+items AS (
+  SELECT l_orderkey, l_linenumber, l_linestatus AS sample, l_returnflag, CAST(l_partkey % 20 AS INT) AS ref_id FROM {lineitem}),
 src AS (
-  SELECT l_orderkey, l_linenumber, l_linestatus AS sample, ref_id, concat('R', CAST(ref_id AS {S})) AS ref_name, ref_seq,
+  SELECT l_orderkey, l_linenumber, sample, ref_id, concat('R', CAST(ref_id AS {S})) AS ref_name,
+    translate(concat(md5(concat('r', CAST(ref_id AS {S}))), md5(concat('s', CAST(ref_id AS {S})))),
+              '0123456789abcdef', 'ACGTACGTACGTACGT') AS ref_seq,
     CAST(20 + l_orderkey % 24 AS INT) AS p, CAST(1 + l_linenumber % 3 AS INT) AS k,
     CASE WHEN l_returnflag = 'R' THEN 'S'
          WHEN l_returnflag = 'A' AND l_linenumber % 2 = 0 THEN 'D'
          WHEN l_returnflag = 'A' THEN 'I' ELSE 'N' END AS e
-  FROM {lineitem} JOIN amp ON l_partkey % 20 = ref_id),
+  FROM items),
 gap AS (
   SELECT *,
     CASE e WHEN 'S' THEN concat(substr(ref_seq, 1, p), translate(substr(ref_seq, p + 1, 1), 'ACGT', 'CGTA'), substr(ref_seq, p + 2))
@@ -59,13 +58,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files give fewer partitions than these: the work on a row is much more than its bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("WITH " + _CTE.replace("{S}", "STRING") + " SELECT * FROM reads", lineitem=table(spark, sf_dir, "lineitem"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_partkey")
+    return spark.sql("WITH " + _CTE.replace("{S}", "STRING") + " SELECT * FROM reads", lineitem=spread(items))
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ref_name, ref_seq): one row per reference."""
-    return reads(spark, sf_dir).groupBy("ref_name").agg(F.first("ref_seq").alias("ref_seq"))
+    return reads(spark, sf_dir).select("ref_name", "ref_seq").distinct()
 
 
 def reference_rows() -> dict[str, list[int]]:

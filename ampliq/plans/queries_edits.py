@@ -9,8 +9,8 @@ from ..functions import sequences as S
 from ..operators import alleles as A
 from ..operators import positions as P
 from ..operators import quantify as Z
-from ..operators.edits import modified
-from .derived import CUT, WINDOW, WITH, alleles, reads, ref_bases, table, variants
+from ..operators.edits import modified, with_edits
+from .derived import CUT, WINDOW, WITH, alleles, reads, ref_bases, reference_rows, table, variants
 from .registry import query
 
 KEYS = ["sample", "ref_name"]
@@ -51,9 +51,13 @@ def discarded_indels(spark, sf):
     return Z.editing(variants(spark, sf), KEYS, discard_indels=True).select(*KEYS, "discarded", "n_reads")
 
 
-@query("C12_irregular_ends", WITH + f"SELECT sample, {_count('FALSE')} AS irregular, {_N} AS n_reads FROM vars GROUP BY sample")
+@query("C12_irregular_ends", WITH + f"SELECT sample, {_count('l_linenumber = 1 OR k = 2')} AS irregular, {_N} AS n_reads FROM vars GROUP BY sample")
 def irregular_ends(spark, sf):
-    return variants(spark, sf).groupBy("sample").agg(F.sum(F.when(F.col("edits.irregular_ends"), F.col("n_reads")).otherwise(0)).alias("irregular"), F.sum("n_reads").alias("n_reads"))
+    """Some reads lack their first base, some have another last one."""
+    r = reads(spark, sf).withColumn("aln_seq", F.when(F.col("l_linenumber") == 1, F.concat(F.lit("-"), F.expr("substr(aln_seq, 2)"))).otherwise(F.col("aln_seq")))
+    r = r.withColumn("aln_seq", F.when(F.col("k") == 2, F.expr("concat(substr(aln_seq, 1, length(aln_seq) - 1), translate(right(aln_seq, 1), 'ACGT', 'CGTA'))")).otherwise(F.col("aln_seq")))
+    counts = r.groupBy("sample", "ref_name", "aln_seq", "aln_ref").agg(F.count(F.lit(1)).alias("n_reads"))
+    return with_edits(counts, reference_rows()).groupBy("sample").agg(F.sum(F.when(F.col("edits.irregular_ends"), F.col("n_reads")).otherwise(0)).alias("irregular"), F.sum("n_reads").alias("n_reads"))
 
 
 @query("C13_enough_reads", WITH + f"SELECT sample, ref_name, {_N} AS n_reads FROM reads GROUP BY sample, ref_name HAVING count(*) >= 1450")
@@ -269,9 +273,9 @@ def high_quality_bases(spark, sf):
 
 
 @query("F42_compiled_references", WITH + """, a AS (SELECT ref_name, aln_seq, CAST(count(*) AS BIGINT) AS n_reads FROM reads GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY ref_name ORDER BY n_reads DESC, aln_seq) AS rank, n_reads / CAST(sum(n_reads) OVER (PARTITION BY ref_name) AS DOUBLE) AS share FROM a)
-SELECT ref_name, aln_seq, n_reads, CAST(rank AS INT) AS rank FROM r WHERE rank = 1 OR share >= 0.02""")
+SELECT ref_name, ref_seq, n_reads, CAST(row_number() OVER (PARTITION BY ref_name ORDER BY n_reads DESC, aln_seq) AS INT) AS rank FROM (SELECT ref_name, replace(aln_seq, '-', '') AS ref_seq, max(n_reads) AS n_reads, arg_min(aln_seq, rank) AS aln_seq FROM r WHERE rank = 1 OR share >= 0.02 GROUP BY ALL) AS t""")
 def compiled_references(spark, sf):
-    return A.compiled_references(percent_by_reference(spark, sf), ["ref_name"], 0.02).select("ref_name", "aln_seq", "n_reads", "rank")
+    return A.compiled_references(percent_by_reference(spark, sf), ["ref_name"], 0.02).select("ref_name", "ref_seq", "n_reads", "rank")
 
 
 @query("B17_edit_text", WITH + "SELECT DISTINCT ref_name, aln_seq, CASE WHEN del_w THEN concat(CAST(p AS VARCHAR), '(', CAST(k AS VARCHAR), ')') ELSE '' END AS deletions FROM vars")
@@ -287,9 +291,9 @@ def window_islands(spark, sf):
     return runs.groupBy(*KEYS, "island").agg(F.min("pos").alias("start"), F.max("pos").alias("stop")).drop("island")
 
 
-@query("H01_ordered_alleles", WITH + f"SELECT aln_seq, aln_ref, {_N} AS n_reads FROM reads WHERE ref_name = 'R3' GROUP BY ALL ORDER BY n_reads DESC, aln_seq, aln_ref LIMIT 100")
+@query("H01_ordered_alleles", WITH + f"SELECT aln_seq, aln_ref, {_N} AS n_reads FROM reads GROUP BY ALL ORDER BY n_reads DESC, aln_seq, aln_ref")
 def ordered_alleles(spark, sf):
-    return A.ordered(A.collapsed(alleles(spark, sf).where("ref_name = 'R3'"), [])).limit(100)
+    return A.ordered(A.collapsed(alleles(spark, sf), []))
 
 
 @query("D14_guide_specific_edits", WITH + f"""SELECT category, {_N} AS n_reads FROM (SELECT CASE WHEN g1 AND g2 THEN 'MODIFIED g1 + g2' WHEN g1 THEN 'MODIFIED g1' WHEN g2 THEN 'MODIFIED g2' ELSE 'UNMODIFIED' END AS category FROM (
@@ -300,14 +304,19 @@ def guide_specific_edits(spark, sf):
     return by_guide(variants(spark, sf), {"g1": list(range(24, 31)), "g2": list(range(29, 37))}, []).groupBy("category").agg(F.sum("n_reads").alias("n_reads"))
 
 
-@query("E02_best_reference")
+@query(
+    "E02_best_reference",
+    WITH + f"""SELECT sample, read_seq, {_N} AS n_reads, ref_name, ref_id AS ref_idx, round_even(100.0 * CASE e WHEN 'S' THEN 63 WHEN 'D' THEN 64 - k ELSE 64 END / CAST(CASE e WHEN 'I' THEN 64 + k ELSE 64 END AS DOUBLE), 3) AS score, '+' AS strand, CAST(1 AS INT) AS n_best
+FROM reads GROUP BY sample, read_seq, ref_name, ref_id, CASE e WHEN 'S' THEN 63 WHEN 'D' THEN 64 - k ELSE 64 END, CASE e WHEN 'I' THEN 64 + k ELSE 64 END""",
+)
 def best_reference(spark, sf):
-    """The aligner on distinct reads against all references, with the best of them."""
-    from ..operators.align import alignments, best_references
+    """The aligner on distinct reads against all references, with the best of them. Where a gap may lie at several places, SQL doesn't know which the aligner
+    takes, but the reference and the score are the same."""
+    from ..operators.align import best_alignments
 
-    r = A.unique_reads(reads(spark, sf), ["sample"], "read_seq")
-    best = best_references(alignments(r.select("read_seq").distinct(), _reference_dicts(spark, sf, [f"R{k}" for k in range(20)]), seq="read_seq"), ["read_seq"])
-    return r.join(best, "read_seq").select(*r.columns, *[c for c in best.columns if c != "read_seq"])
+    r = A.unique_reads(reads(spark, sf), ["sample"], "read_seq").groupBy("read_seq").agg(F.collect_list(F.struct("sample", "n_reads")).alias("_of"))
+    best = best_alignments(r, _reference_dicts(spark, sf, [f"R{k}" for k in range(20)]), seq="read_seq")
+    return best.withColumn("_of", F.explode("_of")).select("read_seq", "_of.sample", "_of.n_reads", "ref_name", "ref_idx", "score", "strand", "n_best")
 
 
 def _reference_dicts(spark, sf, names):
@@ -325,34 +334,68 @@ def table_of_references(spark, sf):
     return references(spark, sf)
 
 
-@query("E07_variants_by_alignment")
+#: What an alignment shows of reads wherever it puts their gaps.
+SEEN = f"{_N} AS n_reads, {_count('sub_w')} AS substitutions, {_count("e = 'S'")} AS substituted, CAST(sum(CASE WHEN e = 'D' THEN k ELSE 0 END) AS BIGINT) AS deleted_bases, {_count("e = 'I'")} AS inserted"
+
+
+def seen(v, keys):
+    """The same from called edits: reads, those with a substitution in the window, substitutions, deleted bases and insertions."""
+    total = lambda c: F.sum(c.cast("long") * F.col("n_reads"))
+    return v.groupBy(*keys).agg(
+        F.sum("n_reads").alias("n_reads"), total(F.col("edits.substitution_n") > 0).alias("substitutions"), total(F.size("edits.all_substitution_positions")).alias("substituted"),
+        total(F.size("edits.all_deletion_positions")).alias("deleted_bases"), total(F.size("edits.all_insertion_left_positions")).alias("inserted"),
+    )
+
+
+@query("E07_variants_by_alignment", WITH + f"SELECT sample, ref_name, {SEEN} FROM vars GROUP BY sample, ref_name")
 def variants_by_alignment(spark, sf):
-    """Reads aligned, edits called, and rates per reference: the whole core on raw reads."""
-    from .analysis import quantified
+    """Reads aligned and their edits called: the whole core on raw reads, by what doesn't depend on where a gap is put."""
+    from .analysis import called
 
     names = [f"R{k}" for k in range(20)]
     r = reads(spark, sf).select("sample", F.col("read_seq").alias("seq"))
-    return quantified(r, _reference_dicts(spark, sf, names), {n: WINDOW for n in names}, ["sample"])
+    return seen(called(r, _reference_dicts(spark, sf, names), {n: WINDOW for n in names}, ["sample"]), KEYS)
+
+
+#: The reference with the inserted bases in place, and how far an edit moves left in it.
+_TEXT = "(CASE WHEN e = 'I' THEN concat(substr(ref_seq, 1, p), substr('GATTACA', 1, k)) ELSE ref_seq END)"
+_LEFT = f"(p - (coalesce(list_min(list_filter(range(1, p + 1), lambda j: substr({_TEXT}, p - j + 1, 1) <> substr({_TEXT}, p + k - j + 1, 1))), p + 1) - 1))"
 
 
-@query("F32_vcf_edits")
+@query(
+    "F32_vcf_edits",
+    WITH + f"""SELECT t.*, n_reads / CAST((SELECT count(*) FROM reads r WHERE r.sample = t.sample) AS DOUBLE) AS frequency FROM (SELECT sample, concat('chr', CAST(ref_id AS VARCHAR)) AS chr, CAST(1000 + p AS BIGINT) AS pos, substr(ref_seq, p + 1, 1) AS ref, substr(aln_seq, p + 1, 1) AS alt, {_N} AS n_reads FROM vars WHERE sub_w GROUP BY ALL
+UNION ALL SELECT sample, concat('chr', CAST(ref_id AS VARCHAR)), CAST(999 + {_LEFT} AS BIGINT), substr(ref_seq, {_LEFT}, k + 1), substr(ref_seq, {_LEFT}, 1), {_N} FROM vars WHERE del_w GROUP BY ALL
+UNION ALL SELECT sample, concat('chr', CAST(ref_id AS VARCHAR)), CAST(999 + {_LEFT} AS BIGINT), substr(ref_seq, {_LEFT}, 1), substr({_TEXT}, {_LEFT}, k + 1), {_N} FROM vars WHERE ins_w GROUP BY ALL) AS t""",
+)
 def vcf_edits(spark, sf):
     from ..sources.vcf import edit_counts
 
     return edit_counts(variants(spark, sf), {f"R{k}": (f"chr{k}", 1000) for k in range(20)}, ["sample"])
 
 
-@query("F25_base_edit_combinations")
-def base_edit_combinations(spark, sf):
-    from ..operators.base_edits import combinations
+_CHECKS = {
+    "total_reads": (10000, "n < 10000", "n"), "aligned_share": (0.9, "n <= 0.9 * n", "1.0"), "share_in_window": (0.01, "mods > 0 AND mods_in <= 0.01 * mods", "mods_in / mods"), "ends_modified": (0.01, "FALSE", "0.0"),
+    "outside_window_substitutions": (0.002, "subs_out >= 0.002 * subs", "subs_out / subs"), "substitution_rate": (0.3, "subs >= 0.3 * mods", "subs / mods"),
+}
+_EACH = "(SELECT DISTINCT ref_name, ref_seq FROM reads) AS a"
 
-    return combinations(alleles(spark, sf), ["sample", "ref_name"], "C", "T")
 
-
-@query("F35_guardrails")
+@query(
+    "F35_guardrails",
+    WITH + """, s AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(n_sub + n_del + n_ins) AS DOUBLE) AS mods_in, CAST(sum(CASE e WHEN 'S' THEN 1 WHEN 'D' THEN k WHEN 'I' THEN 1 ELSE 0 END) AS DOUBLE) AS mods, CAST(sum(CASE WHEN e = 'S' THEN 1 ELSE 0 END) AS DOUBLE) AS subs,
+  CAST(sum(CASE WHEN e = 'S' AND NOT sub_w THEN 1 ELSE 0 END) AS DOUBLE) AS subs_out, CAST(max(length(aln_seq)) AS DOUBLE) AS longest FROM vars)
+"""
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"check\", CAST(NULL AS VARCHAR) AS subject, CAST({v} AS DOUBLE) AS value, CAST({x} AS DOUBLE) AS \"limit\", {t} AS raised FROM s" for c, (x, t, v) in _CHECKS.items())
+    + f""" UNION ALL SELECT 'amplicon_length', ref_name, 64.0, 50.0, FALSE FROM {_EACH} UNION ALL SELECT 'guide_length', substr(ref_seq, 16, 20), 20.0, 19.0, FALSE FROM {_EACH}
+UNION ALL SELECT 'amplicon_to_read_length', ref_name, 64.0 / longest, 1.5, 64.0 > 1.5 * longest FROM s, {_EACH}
+UNION ALL SELECT 'proportion', ref_name, c / (n / 20), 0.9, c <= 0.9 * n / 20 OR c >= 0.1 * n / 20 FROM s, (SELECT ref_name, CAST(count(*) AS DOUBLE) AS c FROM reads GROUP BY ref_name) AS b""",
+)
 def guardrails(spark, sf):
-    v = variants(spark, sf)
-    return Z.guardrails(Z.run_statistics(v, v.where("false")), 64, 20)
+    from .derived import references
+
+    v, seqs = variants(spark, sf), {r["ref_name"]: r["ref_seq"] for r in references(spark, sf).collect()}  # 20 references
+    return Z.guardrails(Z.run_statistics(v, v.where("false")), v.groupBy("ref_name").agg(F.sum("n_reads").alias("n_reads")), {k: len(s) for k, s in seqs.items()}, {s[15:35]: 20 for s in seqs.values()})
 
 
 @query("H09_coordinate_sorted", "SELECT o_orderkey, CAST(o_custkey % 5 AS INT) AS chr, o_custkey AS pos FROM orders")

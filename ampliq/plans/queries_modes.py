@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import amino, guess, prime
 from ..operators import references as R
-from ..operators.align import alignments, best_references
+from ..operators.align import alignments, best_alignments
 from ..operators.alleles import allele_table, unique_reads
-from .derived import REFS, WINDOW, reads, references, variants
+from .derived import REFS, WINDOW, WITH, reads, references, variants
 from .modes import batch, compared, paired, pooled
+from .queries_edits import _N, SEEN, _count, seen
 from .registry import query
 
 NAMES = [f"R{k}" for k in range(REFS)]
@@ -25,14 +26,19 @@ def _raw(spark, sf):
     return reads(spark, sf).select("sample", F.col("read_seq").alias("seq"))
 
 
-@query("J08_pooled")
+@query("J08_pooled", WITH + f"SELECT ref_name, {SEEN} FROM vars GROUP BY ref_name")
 def pooled_rates(spark, sf):
-    return pooled(_raw(spark, sf), _refs(spark, sf, NAMES), 100)["editing"]
+    return seen(pooled(_raw(spark, sf), _refs(spark, sf, NAMES), 100)["variants"], ["ref_name"])
 
 
-@query("J05_batch_from_reads")
+@query("J08_pooled_rates", WITH + f"SELECT ref_name, {_N} AS n_reads, CASE WHEN count(*) > 100 THEN {_count('sub_w')} END AS substitutions FROM vars GROUP BY ref_name")
+def pooled_enough(spark, sf):
+    return pooled(_raw(spark, sf), _refs(spark, sf, NAMES), 100)["editing"].select("ref_name", "n_reads", "substitutions")
+
+
+@query("J05_batch_from_reads", WITH + f"SELECT sample, ref_name, {SEEN} FROM vars GROUP BY sample, ref_name")
 def batch_rates(spark, sf):
-    return batch(_raw(spark, sf), _refs(spark, sf, NAMES))["editing"]
+    return seen(batch(_raw(spark, sf), _refs(spark, sf, NAMES))["variants"], ["sample", "ref_name"])
 
 
 @query("J10_compare")
@@ -41,11 +47,11 @@ def compare_samples(spark, sf):
     return compared(variants(spark, sf), refs, "O", "F")["significant"]
 
 
-@query("E08_paired_variants")
+@query("E08_paired_variants", WITH + f"SELECT sample, ref_name, {_N} AS n_reads, {_count('sub_w')} AS substitutions FROM vars GROUP BY sample, ref_name")
 def paired_variants(spark, sf):
     r = reads(spark, sf).select("sample", F.substring("read_seq", 1, 45).alias("seq1"), F.expr("substr(read_seq, 20)").alias("seq2"), F.substring("qual", 1, 45).alias("qual1"), F.expr("substr(qual, 20)").alias("qual2"))
     found = paired(r, _refs(spark, sf, NAMES), ["sample"])
-    return found.groupBy("sample", "ref_name").agg(F.sum("n_reads").alias("n_reads"), F.sum(F.when(F.col("edits.mods_in_window") > 0, F.col("n_reads")).otherwise(0)).alias("modified"))
+    return found.groupBy("sample", "ref_name").agg(F.sum("n_reads").alias("n_reads"), F.sum(F.when(F.col("edits.substitution_n") > 0, F.col("n_reads")).otherwise(0)).alias("substitutions"))
 
 
 @query("F14_from_first_reference")
@@ -53,8 +59,7 @@ def from_first_reference(spark, sf):
     """Reads under the reference they fit best, with their edits seen from the first one; ambiguous reads count for none."""
     refs = [r.as_row() for r in _refs(spark, sf, NAMES)]
     counts = unique_reads(_raw(spark, sf), [], "seq")
-    best = best_references(alignments(counts.select("seq"), refs), ["seq"]).where("n_best = 1")
-    owned = counts.join(best.select("seq", "ref_name"), "seq")
+    owned = best_alignments(counts, refs).where("n_best = 1").select("seq", "n_reads", "ref_name")
     return prime.from_first(alignments(counts.select("seq"), refs[:1]), owned, NAMES[0], WINDOW).groupBy("assigned_ref").agg(F.sum("n_reads").alias("n_reads"), F.sum(F.col("edits.substitution_n") * F.col("n_reads")).alias("substitutions"))
 
 
@@ -63,7 +68,12 @@ def amino_acid_alleles(spark, sf):
     return amino.amino_alleles(allele_table(variants(spark, sf), ["sample"]), ["sample", "ref_name"], 10, 15, 7)
 
 
-@query("F28_scaffold_sizes")
+#: What follows position 31 in the read and in the reference.
+_REST = "CASE WHEN e = 'I' AND p < 32 THEN substr(aln_seq, 33 + k) ELSE substr(aln_seq, 33) END"
+
+
+@query("F28_scaffold_sizes", WITH + f"""SELECT sample, CAST(list_max(list_transform(range(0, 8), lambda n: CASE WHEN substr(replace({_REST}, '-', ''), 1, n) = substr('GATTACA', 1, n) THEN n ELSE 0 END)) AS INT) AS matched,
+  CAST(CASE WHEN e = 'I' AND p = 32 THEN k ELSE 0 END AS INT) AS gap, {_N} AS n_reads FROM reads GROUP BY ALL""")
 def scaffold_sizes(spark, sf):
     return prime.scaffold_sizes(variants(spark, sf), 32, "GATTACA", ["sample"])
 
@@ -84,7 +94,7 @@ def guessed_guide(spark, sf):
     return spark.createDataFrame(found, "ref_name string, guide string, base_editor boolean")
 
 
-@query("E12_guide_placement")
+@query("E12_guide_placement", WITH + "SELECT DISTINCT ref_name, substr(ref_seq, 16, 20) AS guide, CAST(15 AS INT) AS start, CAST(34 AS INT) AS stop, CAST(31 AS INT) AS cut, '31,32' AS quantified, CAST(22 AS INT) AS plot_start, CAST(41 AS INT) AS plot_stop FROM reads")
 def guide_placement(spark, sf):
-    rows = [(r.name, g.name, g.start, g.end, g.cut, r.window) for r in _refs(spark, sf, NAMES) for g in r.guides]
-    return spark.createDataFrame(rows, "ref_name string, guide string, start int, stop int, cut int, window array<int>")
+    rows = [(r.name, g.seq, g.start, g.end, g.cut, ",".join(map(str, r.window)), g.plot[0], g.plot[-1]) for r in _refs(spark, sf, NAMES) for g in r.guides]
+    return spark.createDataFrame(rows, "ref_name string, guide string, start int, stop int, cut int, quantified string, plot_start int, plot_stop int")

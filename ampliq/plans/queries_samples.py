@@ -19,9 +19,9 @@ _AL = f"SELECT sample, ref_name, aln_seq, aln_ref, NOT modified AS unedited, CAS
 _AK = ", ".join(["ref_name", *C.ALLELE_KEYS])
 
 
-def _side(spark, sf, sample):
-    t = A.allele_table(variants(spark, sf), ["sample"]).where(F.col("sample") == sample)
-    return t.withColumn("unedited", F.col("read_status") == "UNMODIFIED")
+def _both(spark, sf):
+    t = A.allele_table(variants(spark, sf), ["sample"]).withColumn("unedited", F.col("read_status") == "UNMODIFIED")
+    return C.two_samples(t, ["ref_name", *C.ALLELE_KEYS], "O", "F")
 
 
 @query(
@@ -31,7 +31,7 @@ SELECT {', '.join(f'coalesce(a.{k}, b.{k}) AS {k}' for k in _AK.split(', '))}, c
 FROM (SELECT * FROM al WHERE sample = 'O') AS a FULL OUTER JOIN (SELECT * FROM al WHERE sample = 'F') AS b ON {' AND '.join(f'a.{k} = b.{k}' for k in _AK.split(', '))}""",
 )
 def merged_alleles(spark, sf):
-    return C.merged_alleles(_side(spark, sf, "O"), _side(spark, sf, "F"), ["ref_name", *C.ALLELE_KEYS]).drop("lfc")
+    return _both(spark, sf).drop("lfc")
 
 
 @query(
@@ -46,9 +46,14 @@ def log_fold_change(spark, sf):
     return C.merged_alleles(t.where("sample = 'O'"), t.where("sample = 'F'"), keys).select(*keys, F.round("lfc", 9).alias("lfc"))
 
 
-@query("H02_most_changed")
+_CHANGED = f"""SELECT *, log2((pct_reads_1 + {C.PSEUDO}) / (pct_reads_2 + {C.PSEUDO})) AS r FROM (SELECT {_AK}, CAST(coalesce(sum(n_reads) FILTER (WHERE sample = 'O'), 0) AS BIGINT) AS n_reads_1, CAST(coalesce(sum(n_reads) FILTER (WHERE sample = 'F'), 0) AS BIGINT) AS n_reads_2,
+  coalesce(sum(pct) FILTER (WHERE sample = 'O'), 0.0) AS pct_reads_1, coalesce(sum(pct) FILTER (WHERE sample = 'F'), 0.0) AS pct_reads_2 FROM (SELECT *, 100.0 * n_reads / CAST(sum(n_reads) OVER (PARTITION BY sample) AS DOUBLE) AS pct FROM ({_AL}) AS t) AS al GROUP BY {_AK}) AS w"""
+
+
+@query("H02_most_changed", WITH + f"""SELECT * EXCLUDE (r), round(r, 9) AS lfc, 'first' AS side FROM (SELECT * FROM ({_CHANGED}) AS a ORDER BY r DESC, aln_seq, aln_ref LIMIT 20) AS x
+UNION ALL SELECT * EXCLUDE (r), round(r, 9), 'second' FROM (SELECT * FROM ({_CHANGED}) AS a ORDER BY r, aln_seq, aln_ref LIMIT 20) AS y""")
 def most_changed(spark, sf):
-    return C.most_changed(C.merged_alleles(_side(spark, sf, "O"), _side(spark, sf, "F"), ["ref_name", *C.ALLELE_KEYS]), 20)
+    return C.most_changed(_both(spark, sf), 20).withColumn("lfc", F.round("lfc", 9))
 
 
 _RATES = f"SELECT sample, ref_name, {_N} AS n_reads, 100.0 * count(*) FILTER (WHERE modified) / CAST(count(*) AS DOUBLE) AS m FROM vars GROUP BY ALL"
@@ -77,22 +82,12 @@ def _tests(spark, sf):
     return C.position_tests(side(pos, "O"), side(pos, "F"), ["ref_name"], every, side(totals, "O"), side(totals, "F"))
 
 
-@query("F36_fisher_tests")
-def fisher_tests(spark, sf):
-    return _tests(spark, sf)
-
-
 @query("F36_tested_counts", WITH + f"""SELECT r.ref_name, CAST(i AS INT) AS pos, CAST(count(*) FILTER (WHERE sample = 'O') AS BIGINT) AS n_1, CAST(count(*) FILTER (WHERE sample = 'F') AS BIGINT) AS n_2
 FROM (SELECT DISTINCT ref_name FROM reads) AS r CROSS JOIN range(64) AS x(i) LEFT JOIN ({_IN}) AS t ON t.ref_name = r.ref_name AND t.pos = i GROUP BY ALL""")
 def tested_counts(spark, sf):
     return _tests(spark, sf).select("ref_name", "pos", "n_1", "n_2")
 
 
-@query("F37_significant_positions")
-def significant_positions(spark, sf):
-    return C.significant(_tests(spark, sf), ["ref_name"], 0.05, WINDOW)
-
-
 _GENE = "SELECT s_suppkey, CAST(s_suppkey % 5 AS INT) AS chr, s_suppkey * 7 AS tx_start, s_suppkey * 7 + 10 AS tx_end FROM supplier"
 _REGION = "SELECT p_partkey, CAST(p_partkey % 5 AS INT) AS chr, p_partkey * 3 AS start, p_partkey * 3 + p_size AS stop FROM part"
 
@@ -129,9 +124,9 @@ def amplicon_locations(spark, sf):
     return places.join(counts, ["chr", "start", "stop"], "left").select("c_custkey", F.coalesce("n_reads", F.lit(0)).alias("n_reads"))
 
 
-@query("D09_unmatched_regions", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("D09_unmatched_regions", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier)")
 def unmatched_regions(spark, sf):
-    return R.unmatched(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return R.unmatched(table(spark, sf, "part").select("p_partkey"), table(spark, sf, "supplier").select(F.col("s_suppkey").alias("p_partkey")), ["p_partkey"])
 
 
 @query("D05_amplicon_genome_location", WITH + f"SELECT r.ref_name, n.n_name AS place, {_N} AS n_reads FROM reads AS r LEFT JOIN nation AS n ON r.ref_id = n.n_nationkey GROUP BY ALL")
@@ -194,12 +189,11 @@ def sample_summary(spark, sf):
     return M.summary(Z.editing(variants(spark, sf), ["sample", "ref_name"]), ["sample"]).select("sample", "n_reads", "modified", "unmodified", "modified_pct")
 
 
-@query("F30_guide_categories", WITH + f"SELECT sample, category, {_N} AS n_reads FROM (SELECT sample, CASE WHEN modified THEN 'MODIFIED cut' ELSE 'UNMODIFIED' END AS category FROM vars WHERE modified OR e = 'N') AS t GROUP BY ALL")
+@query("F30_guide_categories", WITH + f"SELECT sample, category, {_N} AS n_reads FROM (SELECT sample, CASE WHEN sub_w OR del_w OR (e = 'I' AND p BETWEEN 31 AND 33) THEN 'MODIFIED cut' ELSE 'UNMODIFIED' END AS category FROM vars) AS t GROUP BY ALL")
 def guide_categories(spark, sf):
-    from ..operators.edits import modified
+    from ..operators.guides import by_guide
 
-    v = variants(spark, sf).where(modified() | (F.col("edits.total_mods") == 0))
-    return v.groupBy("sample", F.when(modified(), "MODIFIED cut").otherwise("UNMODIFIED").alias("category")).agg(F.sum("n_reads").alias("n_reads"))
+    return by_guide(variants(spark, sf), {"cut": WINDOW}, ["sample"])
 
 
 @query("F29_frameshift_rollup", WITH + f"SELECT sample, {_count('modified AND change % 3 <> 0')} AS frameshift, {_count('modified AND change % 3 = 0')} AS in_frame FROM (SELECT *, CASE WHEN ins_w OR del_w THEN k ELSE 0 END AS change FROM vars) AS t GROUP BY sample")
@@ -243,22 +237,22 @@ def previous_count(spark, sf):
     return t.withColumn("previous", F.lag("n_reads").over(W.partitionBy("sample").orderBy(F.desc("n_reads"), "ref_name")))
 
 
-@query("H03_demux_order", "SELECT chr, start, n_reads FROM (SELECT CAST(o_custkey % 5 AS INT) AS chr, o_custkey AS start, CAST(count(*) AS BIGINT) AS n_reads FROM orders GROUP BY ALL) AS t ORDER BY chr, start LIMIT 500")
+@query("H03_demux_order", "SELECT chr, start, n_reads FROM (SELECT CAST(o_custkey % 5 AS INT) AS chr, o_custkey AS start, CAST(count(*) AS BIGINT) AS n_reads FROM orders GROUP BY ALL) AS t ORDER BY chr, start")
 def demux_order(spark, sf):
-    return demultiplexed(spark, sf).select("chr", "start", "n_reads").orderBy("chr", "start").limit(500)
+    return demultiplexed(spark, sf).select("chr", "start", "n_reads").orderBy("chr", "start")
 
 
-@query("H04_region_order", "SELECT c, n_reads FROM (SELECT o_custkey AS c, CAST(count(*) AS BIGINT) AS n_reads FROM orders GROUP BY o_custkey) AS t ORDER BY n_reads DESC, c LIMIT 25")
+@query("H04_region_order", "SELECT c, n_reads FROM (SELECT o_custkey AS c, CAST(count(*) AS BIGINT) AS n_reads FROM orders GROUP BY o_custkey) AS t ORDER BY n_reads DESC, c")
 def region_order(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.count(F.lit(1)).alias("n_reads")).orderBy(F.desc("n_reads"), "c").limit(25)
+    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.count(F.lit(1)).alias("n_reads")).orderBy(F.desc("n_reads"), "c")
 
 
-@query("H05_homology_order", WITH + "SELECT aln_seq, score FROM (SELECT aln_seq, max(CASE e WHEN 'S' THEN 63.0 WHEN 'D' THEN 64.0 - k ELSE 64.0 END / CAST(CASE e WHEN 'I' THEN 64 + k ELSE 64 END AS DOUBLE)) AS score FROM reads GROUP BY aln_seq) AS t ORDER BY score DESC, aln_seq DESC LIMIT 30")
+@query("H05_homology_order", WITH + "SELECT aln_seq, score FROM (SELECT aln_seq, max(CASE e WHEN 'S' THEN 63.0 WHEN 'D' THEN 64.0 - k ELSE 64.0 END / CAST(CASE e WHEN 'I' THEN 64 + k ELSE 64 END AS DOUBLE)) AS score FROM reads GROUP BY aln_seq) AS t ORDER BY score DESC, aln_seq DESC")
 def homology_order(spark, sf):
     from ..functions.sequences import homology
 
     a = alleles(spark, sf).groupBy("aln_seq").agg(F.max(homology(F.col("aln_seq"), F.col("aln_ref"))).alias("score"))
-    return a.orderBy(F.desc("score"), F.desc("aln_seq")).limit(30)
+    return a.orderBy(F.desc("score"), F.desc("aln_seq"))
 
 
 @query("H06_combination_order", WITH + f"SELECT e, n, first_seen FROM (SELECT e, {_N} AS n, min(l_orderkey * 10 + l_linenumber) AS first_seen FROM reads GROUP BY e) AS t ORDER BY n DESC, first_seen")
