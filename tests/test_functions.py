@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ampliq.functions import qualities as Q
@@ -5,8 +6,9 @@ from ampliq.functions import sequences as S
 from ampliq.operators import alleles as A
 from ampliq.operators import compare as C
 from ampliq.operators import positions as P
+from ampliq.operators import quantify as Z
 from ampliq.operators import regions as R
-from ampliq.operators.base_edits import combinations
+from ampliq.operators.base_edits import base_edit_counts, combinations
 from ampliq.operators.edits import with_edits
 from ampliq.operators.pairs import consensus
 from ampliq.sources import vcf
@@ -92,7 +94,59 @@ def test_consensus():
     assert consensus(("ACA", "ACT", 90.0, "III"), ("ACG", "ACT", 95.0, "III"))[0] == "ACG"
 
 
-def test_vcf_left_alignment():
-    assert vcf.left_aligned("GCAAAT", 4, "A", "") == (1, "CA", "C")
-    assert vcf.left_aligned("AAAT", 2, "A", "") == (0, "AA", "A")
-    assert vcf.left_aligned("ACGT", 2, "", "G") == (1, "C", "CG")
+@pytest.mark.parametrize(("ref", "pos", "size", "added", "want"), [("GCAAAT", 4, 1, "", (1, "CA", "C")), ("AAAT", 2, 1, "", (0, "AA", "A")), ("ACGT", 2, 1, "G", (1, "C", "CG")), ("ACACACG", 4, 2, "", (0, "ACA", "A")), ("GATATC", 5, 2, "AT", (0, "G", "GAT"))])
+def test_vcf_left_alignment(spark, ref, pos, size, added, want):
+    (row,) = spark.range(1).select(vcf.left_aligned(F.lit(ref), F.lit(pos), F.lit(size), F.lit(added)).alias("x")).select("x.*").collect()
+    assert tuple(row) == want
+
+
+def test_values_at_reference_positions(spark):
+    value = lambda ref, read: spark.range(1).select(S.values_at_reference(F.lit(read), F.lit(ref)).alias("v")).first().v
+    assert value("--A-TGC-", "GGAGTCGA") == ["GGAG", "T", "C", "GA"] and value("ACGT", "A-GT") == ["A", "-", "G", "T"]
+
+
+def test_annotation_of_edits(spark):
+    v = with_edits(spark.createDataFrame([("r", "ACGTTA-T", "AC--TACT")], "ref_name string, aln_seq string, aln_ref string"), {"r": [1, 2, 3, 4]})
+    assert tuple(v.select(*S.annotation().values()).first()) == ("D1;I2;S0", "4(1)", "1(2+GT)", "")
+
+
+def test_slug_folds_accents(spark):
+    assert one(spark, S.slug(F.col("s")), s="Étude № ﬁ 3/日") == "Etude_3_" and spark.range(1).select(S.contains_fragment(F.lit("AACCGG"), "TTTCCGTTT")).first()[0] is True
+
+
+def test_base_edit_tables(spark):
+    a = spark.createDataFrame([("TCA-C", "CCACC", 1, 0, 2), ("CCAAC", "C-AAC", 0, 1, 1), ("TTATT", "CCACC", 0, 0, 4)], "aln_seq string, aln_ref string, n_deleted int, n_inserted int, n_reads long")
+    t = base_edit_counts(a, [], "C", "T")
+    assert {(r.has_indel, r.combination, r.n_reads) for r in t["precise"].collect()} == {(True, "T,C,-,C", 2), (True, "CC,C", 1), (False, "T,T,T,T", 4)}
+    assert {(r.combination, r.n_reads) for r in t["binary"].collect()} == {("TXXX", 2), ("XX", 1), ("TTTT", 4)}
+    assert tuple(t["reads"].first()) == (0, 0, 4, 0, 0, 3)
+    assert {r.pos: (r.total, r.target, r.deletion, r.insertion) for r in t["positions"].collect()} == {0: (7, 6, 0, 1), 1: (6, 4, 0, 0), 3: (7, 4, 2, 0), 4: (6, 4, 0, 0)}
+
+
+def test_allele_files_that_match(spark):
+    kind = "sequence string, guides array<string>, cuts array<int>, files array<string>"
+    one_run = spark.createDataFrame([("A", ["g"], [5], ["a1"]), ("C", ["g"], [5], ["c1"]), ("G", ["g", "h"], [5, 9], ["g1", "g2"])], kind)
+    other = spark.createDataFrame([("A", ["g"], [6], ["a3"]), ("C", ["x"], [5], ["c3"]), ("G", ["h", "g"], [5, 9], ["g3"])], kind)
+    assert [tuple(r) for r in C.matching_alleles(one_run, other).collect()] == [("G", "g1", "g3")]
+
+
+def test_stored_alleles_in_another_window(spark):
+    v = with_edits(spark.createDataFrame([("r", "ACGTACGT", "ACGTACGT", 3), ("AMBIGUOUS", "ACG-ACGT", "ACGTACGT", 1)], "ref_name string, aln_seq string, aln_ref string, n_reads long"), {"r": [2, 3], "AMBIGUOUS": [2, 3]})
+    stored = A.allele_table(v, [])
+    assert A.ambiguous(stored).agg(F.sum("n_reads")).first()[0] == 1
+    got = {(r.ref_name, r.aln_seq, r.n_reads, r.pct_reads) for r in A.rewindowed(stored, None, 2, 2, [], center=3).collect()}
+    assert got == {("r", "GTAC", 3, 75.0), ("AMBIGUOUS", "G-AC", 1, 25.0)}
+    whole = A.around_cut(stored, ["ref_name"], F.lit(3), 1, 1, keep_whole=True).where("ref_name = 'r'").first()
+    assert (whole.aln_seq, whole.whole_seq, whole.n_reads) == ("TA", "ACGTACGT", 3)
+
+
+def test_guardrails_follow_the_published_directions(spark):
+    stats = spark.createDataFrame([(20000, 20000, 99, 9901, 100, 10, 30, 60)], "n_total long, n_aligned long, mods_in_window long, mods_outside_window long, substitution_n long, substitutions_outside_window long, irregular_ends long, read_length int")
+    counts = spark.createDataFrame([("a", 19000), ("b", 1000)], "ref_name string, n_reads long")
+    rows = Z.guardrails(stats, counts, {"a": 100, "b": 45}, {"g": 18}).collect()
+    got = {(r.check, r.subject): r.raised for r in rows}
+    assert got == {
+        ("total_reads", None): False, ("aligned_share", None): False, ("share_in_window", None): True, ("ends_modified", None): False, ("outside_window_substitutions", None): True, ("substitution_rate", None): False,
+        ("amplicon_length", "a"): False, ("amplicon_length", "b"): True, ("guide_length", "g"): True, ("amplicon_to_read_length", "a"): True, ("amplicon_to_read_length", "b"): False, ("proportion", "a"): True, ("proportion", "b"): True,
+    }
+    assert Z.guardrails(stats.selectExpr(*[f"{c} * 0 AS {c}" for c in stats.columns]), counts, {"a": 100}, {}).where("check = 'share_in_window'").count() == 0

@@ -62,6 +62,38 @@ def test_whole_genome(spark):
     assert (row.region, row.n_reads, row.deletions) == ("site", 2, int(55 <= CUT <= 58 or 55 <= CUT + 1 <= 58))
 
 
+def _mapped(spark, reads, start):
+    return spark.createDataFrame([("c", start + 1, c, s) for c, s in reads], "chr string, pos long, cigar string, seq string")
+
+
+def test_pooled_on_a_genome(spark):
+    genome = "".join(RNG.choice(list("ACGT"), 30)) + A + "TTTT" + B
+    contigs = spark.createDataFrame([("c", genome)], "chr string, seq string")
+    at_a = _mapped(spark, [("120M", A)] * 3 + [(f"{CUT - 1}M4D{117 - CUT}M", edited(A, 4))] * 2, 30)
+    records = at_a.union(_mapped(spark, [("120M", B)] * 2, 154))
+    out = modes.pooled_on_genome(records, contigs, [A[50:70]], min_reads=2, skip_left=5, skip_right=5)
+    assert [(r.name, r.n_reads) for r in out["regions"].collect()] == [("REGION_c_31_151", 5)]
+    assert [(r.region, r.n_reads, r.deletions) for r in out["editing"].collect()] == [("REGION_c_31_151", 5, 2)]
+    places = spark.createDataFrame([("a", "c", 31, 150), ("none", "c", 900, 999)], "name string, chr string, bpstart long, bpend long")
+    mixed = modes.pooled_mixed(records, places, REFS, min_reads=1)
+    assert {r.name: r.n_reads for r in mixed["depth"].collect()} == {"a": 5, "none": 0}
+    assert [(r.bpstart, r.n_reads) for r in mixed["unmatched"].collect()] == [(155, 2)] and [(r.region, r.deletions) for r in mixed["editing"].collect()] == [("a", 2)]
+
+
+def test_regions_compared(result):
+    out = modes.regions_compared(result["variants"], REFS, "x", "y")
+    got = {r.ref_name: (r.unmodified_diff, r.n_reads_2) for r in out["difference"].collect()}
+    assert abs(got["a"][0] + 40) < 1e-9 and got["b"] == (None, None)
+    assert {r.ref_name for r in out["significant"].collect()} == {"a"}
+
+
+def test_the_aligner_is_planned_once(spark):
+    rows = spark.createDataFrame([("x", A), ("y", B)], "sample string, seq string")
+    v = modes.called(rows, [r.as_row() for r in REFS], {r.name: r.window for r in REFS}, ["sample"])
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the aligner, and the calling of edits
+
+
 def test_pairs(spark):
     pairs = spark.createDataFrame([(A[:80], A[40:], "I" * 80, "I" * 80)] * 2 + [(edited(A, 4)[:80], edited(A, 4)[40:], "I" * 80, "I" * 76)], "seq1 string, seq2 string, qual1 string, qual2 string")
     got = {r.aln_seq.replace("-", ""): (r.n_reads, r.edits.deletion_n) for r in modes.paired(pairs, REFS, []).collect()}

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["A03_unique_reads", "B09_alignment_cigar", "C03_masked_bases", "D03_merged_alleles", "D06_region_genes", "F03_editing_quantification", "F04_all_edit_positions", "F07_nucleotide_pileup", "F16_alleles_around_cut", "F18_target_base_alleles", "F40_percentile_cut", "G06_previous_count", "J01_modification_summary"]
+QUICK = ["A03_unique_reads", "B09_alignment_cigar", "C03_masked_bases", "D03_merged_alleles", "D06_region_genes", "F03_editing_quantification", "F04_all_edit_positions", "F07_nucleotide_pileup", "F16_alleles_around_cut", "F18_target_base_alleles", "F40_percentile_cut", "G06_previous_count", "J01_modification_summary", "B15_reference_values", "C04_all_quality_filters", "E02_best_reference", "F25_precise_combinations", "F28_scaffold_sizes", "F32_vcf_edits", "F35_guardrails", "F37_significant_positions", "H02_most_changed", "J08_pooled_mixed", "J14_rewindowed_alleles", "K06_base_edit_reads"]
 
 
 def cell(v):

@@ -69,3 +69,23 @@ def test_flexible_guide():
 def test_prime_editing():
     want = REF[:36] + "A" + REF[37:] if REF[36] != "A" else REF[:36] + "C" + REF[37:]
     assert R.prime_edited(REF, GUIDE, R.rc(want[30:46])) == want
+
+
+def test_prime_editing_guides():
+    first = REF
+    edited = first[:41] + "TT" + first[41:]
+    extension, nicking = R.rc(edited[34:50]), R.rc(first)[5:25]
+    found = {name: (seq, center, size) for name, seq, center, size in R.prime_editing_guides(edited, first, edited, extension, GUIDE, nicking)}
+    assert found["PE Extension"] == (edited[34:50], 0, 5) and found["PE spacer sgRNA"] == (GUIDE, -3, 1)
+    on_first = {name: seq for name, seq, _, _ in R.prime_editing_guides(first, first, edited, extension, GUIDE, nicking)}
+    assert on_first == {"PE Extension": first[34:48], "PE spacer sgRNA": GUIDE, "PE nicking sgRNA": nicking}
+    with pytest.raises(ValueError):
+        R.prime_editing_guides(first, first, edited, extension, "A" * 20)
+
+
+def test_annotations_go_to_another_reference():
+    a = R.build("a", REF, [GUIDE], coding=[REF[10:22]], skip_left=0, skip_right=0)
+    b = R.build("b", REF[:14] + REF[16:], [], skip_left=0, skip_right=0)
+    c = R.with_annotations_of(a, b)
+    assert c.guides[0].cut == 34 and c.window == [34, 35] and np.flatnonzero(c.incentive).tolist() == [35]
+    assert (len(c.exons), c.exon_change) == (10, -2) and R.with_annotations_of(a, R.build("d", "ACGT" * 10, [], skip_left=0, skip_right=0)).exons == []
