@@ -54,8 +54,15 @@ def membership(combined: DataFrame, weight: str = "n_reads") -> DataFrame:
     return combined.withColumn("degree", degree).withColumn("rank", F.rank().over(W.orderBy(F.desc(weight))))
 
 
-def subset(members: DataFrame, min_size: int | None = None, max_size: int | None = None, max_rank: int | None = None, min_degree: int | None = None, max_degree: int | None = None, weight: str = "n_reads") -> DataFrame:
-    """The combinations within the given limits, largest first."""
+def subset(members: DataFrame, min_size: int | None = None, max_size: int | None = None, max_rank: int | None = None, min_degree: int | None = None, max_degree: int | None = None, weight: str = "n_reads", present: tuple[int, ...] = (), absent: tuple[int, ...] = ()) -> DataFrame:
+    """The combinations within the given limits, largest first: with the target base at all ``present`` positions (numbers within the combination), at none of
+    the ``absent`` ones."""
+    # the test waits for the sums: Spark would otherwise make the combinations of all reads twice, once below their aggregation
+    target = lambda k: F.when(F.col(weight).isNotNull(), F.substring("combination", k + 1, 1)) == "T"
+    for k in present:
+        members = members.where(target(k))
+    for k in absent:
+        members = members.where(~target(k))
     for column, low, high in ((weight, min_size, max_size), ("rank", None, max_rank), ("degree", min_degree, max_degree)):
         if low is not None:
             members = members.where(F.col(column) >= low)

@@ -16,6 +16,12 @@ def fractions(positions: DataFrame, totals: DataFrame, keys: list[str]) -> DataF
     return met.withColumn("fraction", F.col("n") / F.col("_all")).drop("_all")
 
 
+def of_several(positions: DataFrame, keys: list[str], source: str, least: int = 2) -> DataFrame:
+    """The rows of keys that at least so many sources have: what one source has alone isn't put beside others."""
+    enough = positions.groupBy(*keys).agg(F.count_distinct(source).alias("_n")).where(F.col("_n") >= least).select(*keys)
+    return positions.join(enough, keys, "left_semi")
+
+
 def summary(rates: DataFrame, keys: list[str]) -> DataFrame:
     """Rates per reference summed to samples or regions, with percents of the sums."""
     sums = [c for c, t in rates.dtypes if t == "bigint"]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .edits import modified
+from .positions import ref_positions
 
 #: The seven exclusive combinations of kinds, by name.
 COMBINATIONS = {
@@ -36,10 +38,29 @@ def editing(variants: DataFrame, keys: list[str], ignore: tuple[str, ...] = (),
     return out.withColumn("modified_pct", percent("modified")).withColumn("unmodified_pct", percent("unmodified"))
 
 
-def class_counts(variants: DataFrame, keys: list[str], weight: str = "n_reads") -> DataFrame:
-    """(keys, class_name, n): reads by reference and whether they are modified."""
-    named = variants.withColumn("class_name", F.concat("ref_name", F.when(modified(), "_MODIFIED").otherwise("_UNMODIFIED")))
-    return named.groupBy(*keys, "class_name").agg(F.sum(weight).cast("long").alias("n"))
+def class_counts(variants: DataFrame, keys: list[str], weight: str = "n_reads", discard_indels: bool = False) -> DataFrame:
+    """(keys, class_name, n): reads by reference and whether they are modified. ``discard_indels`` puts those with an insertion or deletion into a class
+    DISCARDED_ and the reference."""
+    name = F.concat("ref_name", F.when(modified(), "_MODIFIED").otherwise("_UNMODIFIED"))
+    if discard_indels:
+        name = F.when(_has("insertion", ()) | _has("deletion", ()), F.concat(F.lit("DISCARDED_"), "ref_name")).otherwise(name)
+    return variants.groupBy(*keys, name.alias("class_name")).agg(F.sum(weight).cast("long").alias("n"))
+
+
+def ordered_classes(counts: DataFrame, keys: list[str], refs: list[str]) -> DataFrame:
+    """``class_counts`` with ``rank``: classes in the order of their references, unmodified before modified, then by name. A key has two or three classes a
+    reference."""
+    order = F.create_map(*[F.lit(x) for k, r in enumerate(refs) for x in (r, k)])
+    ref = F.regexp_replace(F.regexp_replace("class_name", "^DISCARDED_", ""), "_(UN)?MODIFIED$", "")
+    spans = W.partitionBy(*keys).orderBy(F.coalesce(F.element_at(order, ref), F.lit(len(refs))), F.col("class_name").endswith("_MODIFIED"), "class_name")
+    return counts.withColumn("rank", F.row_number().over(spans))
+
+
+def top_unaligned(unaligned: DataFrame, n_total: Column, considered: int = 10_000, rows: int = 10, least_aligned: float = 0.5, seq: str = "seq", order: str = "ord") -> DataFrame:
+    """(seq, n_reads): the most frequent of the first ``considered`` unaligned reads, where less than ``least_aligned`` of all reads are aligned; else nothing."""
+    few = F.broadcast(unaligned.agg(F.count(F.lit(1)).alias("_n")).where(n_total - F.col("_n") < least_aligned * n_total))  # one row or none
+    first = unaligned.orderBy(order).limit(considered).groupBy(seq).agg(F.count(F.lit(1)).alias("n_reads"))
+    return first.orderBy(F.desc("n_reads"), seq).limit(rows).crossJoin(few).drop("_n")
 
 
 def run_statistics(variants: DataFrame, unaligned: DataFrame, weight: str = "n_reads") -> DataFrame:
@@ -71,6 +92,26 @@ def frames(variants: DataFrame, keys: list[str], exon: Column, splicing: Column,
     )
 
 
+def over_references(frames_by_reference: DataFrame, rates: DataFrame, keys: list[str], template: str | None = None) -> DataFrame:
+    """``frames`` summed over references (keys, ref_name, ...). All unmodified reads of a repair template count as edited outside of exons: each is a repair."""
+    met = frames_by_reference.join(rates.select(*keys, "ref_name", "unmodified"), [*keys, "ref_name"], "left")
+    repaired = F.when(F.col("ref_name") == template, F.coalesce("unmodified", F.lit(0))).otherwise(0) if template else F.lit(0)
+    sums = [F.sum(c).alias(c) for c in ("frameshift", "in_frame")] + [F.sum(F.col("non_coding") + repaired).alias("non_coding"), F.sum("splice_sites").alias("splice_sites")]
+    return met.groupBy(*keys).agg(*sums)
+
+
+def base_qualities(aligned: DataFrame, keys: list[str], pos: int, original: str, target: str, least: int) -> DataFrame:
+    """(keys, total, and eight counts): what the reads (aln_seq, aln_ref, qual) have at a reference position: the original base, the target or another one, with a
+    quality of at least ``least`` (high) or less (low), or nothing (deleted). A position beyond a read's alignment counts in the total alone."""
+    at = F.array_position(ref_positions(F.col("aln_ref")), F.lit(pos)).cast("int")
+    base = F.substring(F.col("aln_seq"), F.col("_at"), F.lit(1))
+    quality = F.ascii(F.substring(F.col("qual"), F.length(F.translate(F.substring(F.col("aln_seq"), F.lit(1), F.col("_at")), "-", "")), F.lit(1))) - 33
+    rows = aligned.withColumn("_at", at).withColumn("_base", F.when(F.col("_at") > 0, base)).withColumn("_high", quality >= least)
+    kinds = {"original": F.col("_base") == original, "target": F.col("_base") == target, "other": ~F.col("_base").isin(original, target, "-")}
+    counts = [F.count_if(test & (F.col("_high") if level == "high" else ~F.col("_high"))).alias(f"{k}_{level}") for k, test in kinds.items() for level in ("high", "low")]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), *counts, F.count_if(F.col("_base") == "-").alias("deleted"))
+
+
 # Thresholds of the checks on a run.
 GUARDRAILS = {"total_reads": 10000, "aligned_share": 0.9, "share_in_window": 0.01, "ends_modified": 0.01, "outside_window_substitutions": 0.002, "substitution_rate": 0.3, "guide_length": 19, "amplicon_length": 50, "amplicon_to_read_length": 1.5}
 

@@ -8,6 +8,9 @@ from ..functions.sequences import annotation, contains_fragment, values_at_refer
 from ..operators import alleles as A
 from ..operators import base_edits as B
 from ..operators import compare as C
+from ..operators import multi as M
+from ..operators import positions as P
+from ..operators import quantify as Z
 from ..operators import references as R
 from ..operators.align import rc
 from .derived import CUT, REFS, WINDOW, WITH, alleles, reads, references, table, variants
@@ -216,3 +219,58 @@ def places_of_no_amplicon(spark, sf):
 def _mixed(spark, sf):
     placed = table(spark, sf, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("name"), F.concat(F.lit("chr"), "r_regionkey").alias("chr"), F.lit(1001).cast("long").alias("bpstart"), F.lit(1064).cast("long").alias("bpend"))
     return pooled_mixed(_mapped(spark, sf), placed, _refs(spark, sf, [f"R{k}" for k in range(REFS)]), min_reads=1)
+
+
+@query("C11_discarded_classes", WITH + f"SELECT sample, CASE WHEN del_w OR ins_w THEN concat('DISCARDED_', ref_name) WHEN sub_w THEN concat(ref_name, '_MODIFIED') ELSE concat(ref_name, '_UNMODIFIED') END AS class_name, {_N} AS n FROM vars GROUP BY ALL")
+def discarded_classes(spark, sf):
+    return Z.class_counts(variants(spark, sf), ["sample"], discard_indels=True)
+
+
+@query("F02_class_order", WITH + f"SELECT sample, concat(ref_name, CASE WHEN modified THEN '_MODIFIED' ELSE '_UNMODIFIED' END) AS class_name, {_N} AS n, CAST(row_number() OVER (PARTITION BY sample ORDER BY ref_id, modified) AS INT) AS rank FROM vars GROUP BY sample, ref_id, ref_name, modified")
+def class_order(spark, sf):
+    return Z.ordered_classes(Z.class_counts(variants(spark, sf), ["sample"]), ["sample"], NAMES)
+
+
+@query(
+    "F41_first_unaligned",
+    WITH + f"""SELECT seq, n_reads FROM (SELECT read_seq AS seq, {_N} AS n_reads FROM (SELECT * FROM reads WHERE e IN ('N', 'S') ORDER BY l_orderkey, l_linenumber LIMIT 10000) AS f GROUP BY read_seq) AS t
+WHERE (SELECT count(*) FROM reads WHERE e NOT IN ('N', 'S')) < 0.5 * (SELECT count(*) FROM reads) ORDER BY n_reads DESC, seq LIMIT 10""",
+)
+def first_unaligned(spark, sf):
+    """Reads without an insertion or deletion stand for the unaligned ones."""
+    r = reads(spark, sf).select("e", F.col("read_seq").alias("seq"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return Z.top_unaligned(r.where("e IN ('N', 'S')"), F.lit(r.count()))
+
+
+@query("F26_target_at_positions", WITH + f"""SELECT combination, n_reads FROM (SELECT {_combination(_CODE.replace("'C' THEN 'R'", "'G' THEN 'R'"), '').replace("= 'C')", "= 'G')")} AS combination, {_N} AS n_reads FROM reads GROUP BY ALL) AS t
+WHERE substr(combination, 8, 1) = 'T' AND substr(combination, 1, 1) <> 'T'""")
+def target_at_positions(spark, sf):
+    return B.subset(B.membership(B.combinations(alleles(spark, sf), [], "G", "T")), present=(7,), absent=(0,)).select("combination", "n_reads")
+
+
+NOT = {"high": "", "low": "NOT "}
+#: The column of position 31 in the read as it was sequenced, and its base.
+_QUAL31 = "ascii(substr(qual, CASE WHEN e = 'I' AND p <= 31 THEN 32 + k WHEN e = 'D' AND p + k <= 31 THEN 32 - k ELSE 32 END, 1)) - 33 >= 30"
+_BASE31 = "(CASE WHEN e = 'I' THEN substr(ref_seq, 32, 1) ELSE substr(aln_seq, 32, 1) END)"
+
+
+@query(
+    "F31_base_qualities",
+    WITH + f"""SELECT sample, {_N} AS total, {', '.join(f"{_count(f'{test} AND {NOT[level]}({_QUAL31})')} AS {k}_{level}" for k, test in (('original', f"{_BASE31} = 'C'"), ('target', f"{_BASE31} = 'G'"), ('other', f"{_BASE31} NOT IN ('C', 'G', '-')")) for level in ('high', 'low'))},
+  {_count(f"{_BASE31} = '-'")} AS deleted FROM reads GROUP BY sample""",
+)
+def base_qualities(spark, sf):
+    return Z.base_qualities(reads(spark, sf), ["sample"], 31, "C", "G", 30)
+
+
+@query("F29_with_repair_template", WITH + f"""SELECT sample, {_count('modified AND change % 3 <> 0')} AS frameshift, {_count('modified AND change % 3 = 0')} AS in_frame, {_count("ref_name = 'R1' AND NOT modified")} AS non_coding
+FROM (SELECT *, CASE WHEN ins_w OR del_w THEN k ELSE 0 END AS change FROM vars) AS t GROUP BY sample""")
+def frames_with_template(spark, sf):
+    v = variants(spark, sf)
+    per = Z.frames(v, KEYS, F.array(*map(F.lit, range(64))), F.array().cast("array<int>"))
+    return Z.over_references(per, Z.editing(v, KEYS), ["sample"], "R1").drop("splice_sites")
+
+
+@query("J06_positions_of_several_samples", WITH + f"SELECT sample, ref_name, kind, pos, {_N} AS n FROM ({_IN}) AS t WHERE ref_name IN (SELECT ref_name FROM ({_IN}) AS u GROUP BY ref_name HAVING count(DISTINCT sample) >= 2) GROUP BY ALL")
+def positions_of_several(spark, sf):
+    return M.of_several(P.edit_positions(variants(spark, sf), KEYS, in_window=True), ["ref_name"], "sample")

@@ -43,12 +43,17 @@ def amplicons(spark: SparkSession, path: str) -> DataFrame:
 
 
 def amplicon_problems(amplicons: DataFrame, key: str = "ref_name") -> DataFrame:
-    """Each amplicon with its length, whether it has symbols that are no bases, and how many have its sequence or the reverse complement."""
+    """Each amplicon with its length, whether it has symbols that are no bases, how many have its sequence or the reverse complement, how many its name, and
+    which of its guides (comma-joined in ``guide_seq``, if there is one) it holds on neither strand."""
     seqs = amplicons.groupBy("amplicon_seq").agg(F.count(F.lit(1)).alias("n"))
     out = amplicons.withColumn("turned_seq", reverse_complement(F.col("amplicon_seq")))
     out = out.join(seqs.withColumnRenamed("n", "same"), "amplicon_seq", "left")
     out = out.join(seqs.select(F.col("amplicon_seq").alias("turned_seq"), F.col("n").alias("turned")), "turned_seq", "left")
-    return out.select(key, "amplicon_seq", F.length("amplicon_seq").alias("length"), F.col("amplicon_seq").rlike("[^ACGTN]").alias("bad_bases"), F.coalesce("same", F.lit(0)).alias("same"), F.coalesce("turned", F.lit(0)).alias("turned"))
+    names = amplicons.groupBy(key).agg(F.count(F.lit(1)).alias("same_name"))
+    out = out.join(names, key, "left")
+    guides = F.filter(F.transform(F.split(F.upper("guide_seq"), ","), F.trim), lambda g: g != "") if "guide_seq" in amplicons.columns else F.array().cast("array<string>")
+    missing = F.filter(F.coalesce(guides, F.array().cast("array<string>")), lambda g: ~F.col("amplicon_seq").contains(g) & ~F.col("turned_seq").contains(g))
+    return out.select(key, "amplicon_seq", F.length("amplicon_seq").alias("length"), F.col("amplicon_seq").rlike("[^ACGTN]").alias("bad_bases"), F.coalesce("same", F.lit(0)).alias("same"), F.coalesce("turned", F.lit(0)).alias("turned"), F.coalesce("same_name", F.lit(0)).alias("same_name"), missing.alias("missing_guides"))
 
 
 def regions(spark: SparkSession, path: str) -> DataFrame:
@@ -68,6 +73,9 @@ def batch(spark: SparkSession, path: str, defaults: dict[str, str] | None = None
     df = df.toDF(*[BATCH_ALIASES.get(c.strip(), c.strip()) for c in df.columns])
     for c, v in (defaults or {}).items():
         df = df.withColumn(c, F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v))
+    twice = df.groupBy("name").count().where("count > 1").head(5) if "name" in df.columns else []
+    if twice:
+        raise ValueError(f"batch names occur twice: {[r['name'] for r in twice]}")
     return df
 
 
