@@ -9,6 +9,7 @@ from ..operators import references as R
 from ..operators.align import alignments, best_alignments
 from ..operators.alleles import allele_table, unique_reads
 from .derived import REFS, WINDOW, WITH, reads, references, variants
+from .fisher import BY_KIND, fisher_sql
 from .modes import batch, compared, paired, pooled
 from .queries_edits import _N, SEEN, _count, seen
 from .registry import query
@@ -41,7 +42,7 @@ def batch_rates(spark, sf):
     return seen(batch(_raw(spark, sf), _refs(spark, sf, NAMES))["variants"], ["sample", "ref_name"])
 
 
-@query("J10_compare")
+@query("J10_compare", WITH + f"SELECT ref_name, kind, CAST(sum(CASE WHEN least(1.0, 64 * p) <= 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS n_significant, CAST(sum(CASE WHEN least(1.0, 64 * p) <= 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS n_significant_window FROM ({fisher_sql(BY_KIND, 'ref_name, kind, pos')}) AS t GROUP BY ref_name, kind")
 def compare_samples(spark, sf):
     refs = _refs(spark, sf, NAMES)
     return compared(variants(spark, sf), refs, "O", "F")["significant"]

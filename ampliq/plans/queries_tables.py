@@ -14,8 +14,9 @@ from ..operators import quantify as Z
 from ..operators import references as R
 from ..operators.align import rc
 from .derived import CUT, REFS, WINDOW, WITH, alleles, reads, references, table, variants
+from .fisher import BY_KIND, BY_POSITION, fisher_sql
 from .modes import pooled_mixed, pooled_on_genome, regions_compared
-from .queries_edits import _AT, _IN, KEYS, _N, _count
+from .queries_edits import _AT, _IN, _N, KEYS, _count
 from .queries_modes import NAMES, _refs
 from .queries_samples import _tests
 from .registry import query
@@ -154,24 +155,6 @@ def region_differences(spark, sf):
     return d.select("ref_name", "n_reads_1", "n_reads_2", *[F.round(c, 9).alias(c) for c in ("unmodified_pct_1", "unmodified_pct_2", "unmodified_diff")])
 
 
-def fisher_sql(counts: str, keys: str) -> str:
-    """p of Fisher's exact test in SQL, for rows (keys, n_1, n_2, all_1, all_2): the tables with the same margins that are as likely or less."""
-    logs = "lgamma(all_1 + 1) - lgamma(x + 1) - lgamma(all_1 - x + 1) + lgamma(all_2 + 1) - lgamma(n_1 + n_2 - x + 1) - lgamma(all_2 - n_1 - n_2 + x + 1)"
-    every = "unnest(range(greatest(0, n_1 + n_2 - all_2), least(all_1, n_1 + n_2) + 1))"
-    return f"""SELECT {keys}, n_1, n_2, CASE WHEN all_1 = 0 OR all_2 = 0 OR n_1 + n_2 = 0 OR n_1 + n_2 = all_1 + all_2 THEN 1.0 ELSE least(1.0, sum(exp(l - whole)) FILTER (WHERE l <= seen + 1e-7)) END AS p FROM (
-  SELECT *, {logs} AS l, {logs.replace('x', 'n_1')} AS seen, lgamma(all_1 + all_2 + 1) - lgamma(n_1 + n_2 + 1) - lgamma(all_1 + all_2 - n_1 - n_2 + 1) AS whole FROM (SELECT *, {every} AS x FROM ({counts}) AS c) AS d) AS e GROUP BY {keys}, n_1, n_2, all_1, all_2"""
-
-
-#: Reads of both samples with an edit of each kind at each position, and all of the reference's reads.
-BY_KIND = f"""SELECT r.ref_name, k.kind, CAST(i AS INT) AS pos, count(*) FILTER (WHERE t.sample = 'O') AS n_1, count(*) FILTER (WHERE t.sample = 'F') AS n_2, any_value(r.all_1) AS all_1, any_value(r.all_2) AS all_2
-FROM (SELECT ref_name, count(*) FILTER (WHERE sample = 'O') AS all_1, count(*) FILTER (WHERE sample = 'F') AS all_2 FROM reads GROUP BY ref_name) AS r CROSS JOIN range(64) AS x(i) CROSS JOIN (VALUES ('insertion'), ('deletion'), ('substitution')) AS k(kind)
-LEFT JOIN ({_IN}) AS t ON t.ref_name = r.ref_name AND t.pos = i AND t.kind = k.kind GROUP BY ALL"""
-
-
-#: The same over all kinds.
-BY_POSITION = BY_KIND.replace("r.ref_name, k.kind, ", "r.ref_name, ").replace(" CROSS JOIN (VALUES ('insertion'), ('deletion'), ('substitution')) AS k(kind)", "").replace(" AND t.kind = k.kind", "")
-
-
 @query("F36_fisher_tests", WITH + f"SELECT ref_name, pos, CAST(n_1 AS BIGINT) AS n_1, CAST(n_2 AS BIGINT) AS n_2, round(p, 8) AS p, round(least(1.0, 64 * p), 8) AS q FROM ({fisher_sql(BY_POSITION, 'ref_name, pos')}) AS t")
 def fisher_tests(spark, sf):
     return _tests(spark, sf).withColumns({c: F.round(c, 8) for c in ("p", "q")})
