@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,18 +50,26 @@ def amino_alleles(alleles: DataFrame, keys: list[str], exon_start: int, length:
 
     def f(frames):
         for pdf in frames:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                at = [k for k, c in enumerate(r.aln_ref) if c != "-"]
-                left = at[exon_start] if exon_start < len(at) else len(r.aln_ref)
-                read, ref = (codons_of(s[left:].replace("-", "")) for s in (r.aln_seq, r.aln_ref))
+            made, by_ref = [], defaultdict(set)
+            for aln_seq, aln_ref in zip(pdf["aln_seq"], pdf["aln_ref"], strict=True):
+                at = [k for k, c in enumerate(aln_ref) if c != "-"]
+                left = at[exon_start] if exon_start < len(at) else len(aln_ref)
+                read, ref = (codons_of(s[left:].replace("-", "")) for s in (aln_seq, aln_ref))
                 a, b = ("".join(AMINO.get(c, "X") for c in x) for x in (read, ref))
+                made.append((read, ref, a, b))
+                by_ref[b].add(a)
+            aligned = {}
+            for b, reads in by_ref.items():  # all proteins of a reference at once
                 favour = np.zeros(len(b) + 1, int)
                 if 0 <= cut < len(favour):
                     favour[cut] = 1
-                x, y, _ = align([a], b, scores, favour, -1, -1)[0]
+                ordered = sorted(reads)
+                aligned |= {(a, b): found[:2] for a, found in zip(ordered, align(ordered, b, scores, favour, -1, -1), strict=True)}
+            rows = []
+            for own, (read, ref, a, b) in zip(pdf[kept].itertuples(index=False, name=None), made, strict=True):
+                x, y = aligned[a, b]
                 x = silent_marked(y, ref, x, read)
-                rows.append((*[getattr(r, k) for k in kept], x[:length].upper(), y[:length], [k for k, c in enumerate(x[:length]) if c.islower()]))
+                rows.append((*own, x[:length].upper(), y[:length], [k for k, c in enumerate(x[:length]) if c.islower()]))
             yield pd.DataFrame(rows, columns=[*kept, "aln_seq", "aln_ref", "silent"])
 
     out = alleles.select(*kept, "aln_seq", "aln_ref").mapInPandas(f, ", ".join(f"`{k}` {types[k]}" for k in kept) + ", aln_seq string, aln_ref string, silent array<int>")
