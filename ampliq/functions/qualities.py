@@ -23,6 +23,11 @@ def any_below(qual: Column, least: int) -> Column:
     return qual.rlike(f"[\\x00-\\x{max(0, min(126, BASE + least - 1)):02x}]")
 
 
+def none_below(qual: Column, least: int) -> Column:
+    """Whether there are bases and all have a quality of at least ``least``. Each test refers to the qualities once, as filters make them anew for each reference."""
+    return qual.rlike(f"^[^\\x00-\\x{max(0, min(126, BASE + least - 1)):02x}]+\\z")
+
+
 def mean(qual: Column) -> Column:
     """The mean quality; null of an empty string."""
     n = F.length(qual)
@@ -30,6 +35,11 @@ def mean(qual: Column) -> Column:
     return F.when(n > 0, total / n - BASE)
 
 
+def mean_at_least(qual: Column, least: float) -> Column:
+    """Whether the bases' qualities reach ``least`` on average: what they have above it, less what they lack. An empty string has no mean and fails."""
+    return F.aggregate(F.split(qual, ""), F.lit(0.0), lambda s, c: s + (F.ascii(c) - F.lit(float(BASE + least)))) >= 0
+
+
 def masked(seq: Column, qual: Column, least: int) -> Column:
     """Bases of a quality below ``least`` become N. A read without such a base is left as it is."""
     marks = F.zip_with(F.split(seq, ""), F.split(qual, ""), lambda b, q: F.when(F.ascii(q) < BASE + least, "N").otherwise(b))
@@ -40,9 +50,9 @@ def filtered(reads: DataFrame, min_single: int = 0, min_mean: float = 0, mask_be
     """Reads of which every mate passes; what is masked is masked after the test. A threshold of 0 tests nothing."""
     for _, q in mates:
         if min_single:
-            reads = reads.where((F.length(q) > 0) & ~any_below(F.col(q), min_single))
+            reads = reads.where(none_below(F.col(q), min_single))
         if min_mean:
-            reads = reads.where(mean(F.col(q)) >= min_mean)
+            reads = reads.where(mean_at_least(F.col(q), min_mean))
     if mask_below:
         reads = reads.withColumns({s: masked(F.col(s), F.col(q), mask_below) for s, q in mates})
     return reads
