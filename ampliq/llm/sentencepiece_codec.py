@@ -6,7 +6,8 @@ before it to the scores at its end, and matrices combine associatively. A docume
 its matrix, blocks of matrices are multiplied up, and each chunk gets the scores at its start. From these a chunk knows, for each
 position at which the last piece over its end may begin, where its own first piece begins; these maps combine from the last chunk to the
 first, and each chunk is then backtraced by itself. Its ids are counted, checked and digested by themselves, too; the digests of a document's chunks combine,
-so that its ids never meet in one place (unless they are asked for). Other documents are one chunk.
+so that its ids never meet in one place (unless they are asked for). Texts are read once, for the matrices and for all of the backtrace that doesn't
+depend on where a chunk is entered; what does is a few characters a chunk. Other documents are one chunk.
 
 No piece has a word mark inside, so every path passes every start of a word. Scores between two word starts are therefore sums of best scores of
 words, which are remembered, and only the characters before a chunk's first and behind its last word start need the full matrix; what lies between
@@ -22,7 +23,6 @@ empty table gives no rows; other columns are carried.
 
 from __future__ import annotations
 
-import os
 import struct
 import sys
 import zlib
@@ -192,22 +192,32 @@ class Lattice:
         """Positions from ``first`` on at which a word starts: every path passes them."""
         return [i for i in range(max(first, 1), len(text)) if text[i] == MARK]
 
-    def transfer(self, text: str, first: int) -> np.ndarray:
-        """The matrix (state at the end, state at the start) of ``text`` behind its first ``first`` characters (context), without the score of what lies
-        between its first and its last word start."""
+    def before_gate(self, text: str, first: int) -> np.ndarray:
+        """The scores from each state at the start of a chunk (behind ``first`` characters of context) to the word start at the end of ``text``."""
         unit = np.full((self.reach, self.reach), NEVER)
         np.fill_diagonal(unit, 0.0)
-        gates = self.gates(text, first)
-        if not gates:
-            return self.advance(text, first, unit)[0]
-        a, b = gates[0], gates[-1]
-        entry = self.advance(text[:a], first, unit)[0][-1]
+        return self.advance(text, first, unit)[0]
+
+    def behind_gate(self, text: str) -> tuple[np.ndarray, list]:
+        """The scores of the last ``reach`` positions of a text that begins at a word start, and the arcs taken; positions before it can't be reached."""
         at = np.full((self.reach, 1), NEVER)
         at[-1] = 0.0
-        leave = self.advance(text[b:], 0, at)[0][:, 0]
-        if len(text) - b < self.reach:  # positions before the last gate can't be crossed any more
-            leave[: self.reach - (len(text) - b) - 1] = NEVER
-        return leave[:, None] + entry[None, :]
+        leave, back = self.advance(text, 0, at)
+        leave = leave[:, 0].copy()
+        if len(text) < self.reach:
+            leave[: self.reach - len(text) - 1] = NEVER
+        return leave, back
+
+    def traced(self, text: str, back: list, end: int, least: int) -> tuple[int, bytes]:
+        """Where the path that ends at ``end`` starts at or before ``least``, and its ids."""
+        out = []
+        while end > least:
+            arcs, pick = back[end]
+            start, number, _ = arcs[int(pick[0])]
+            out.append(self.ids(text, start, end, number))
+            end = start
+        ids = [x for p in reversed(out) for x in p]
+        return end, struct.pack(f"<{len(ids)}I", *ids)
 
     def between(self, text: str) -> tuple[float, bytes, bool, int]:
         """Score and ids of whole words in a row, each with its mark, whether the ids decode to them, and the library's number of ids."""
@@ -297,37 +307,83 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep_ids: b
 def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: str, keep_ids: bool) -> DataFrame:
     """The same for documents of many chunks, by matrices, boundary scores, maps and backtraces of chunks."""
     spark = docs.sparkSession
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), spark, "giants")
     of_row = ["_row", "chunk"]
+    cut_names = [*(f"_kept_{c}" for c in kept), *of_row, "block", "first", "piece", "odd"]
+    types = dict(docs.dtypes)
+    cut_types = "".join(f"`_kept_{c}` {types[c]}, " for c in kept) + "_row long, chunk int, block int, first int, piece string, odd boolean"
 
     def cut(batches):
-        lattice = Lattice.of_process(path)
-        for part, texts in steps(batches):
-            for row, t in zip(part.column(part.schema.get_field_index("_row")).to_pylist(), texts, strict=True):
-                m, odd = marked(t), MARK in t.decode()
-                for k, start in enumerate(range(0, len(m), chunk)):
-                    first = min(start, lattice.reach - 1)
-                    text = m[start - first : start + chunk]
-                    yield pa.record_batch([pa.array([row]), pa.array([k], pa.int32()), pa.array([k // BLOCK], pa.int32()), pa.array([first], pa.int32()), pa.array([text]), pa.array([odd])], [*of_row, "block", "first", "piece", "odd"])
-
-    # odd: the text has marks of its own, which ids can't tell from spaces
-    chunks = written(rows.select("_row", "text").mapInArrow(cut, "_row long, chunk int, block int, first int, piece string, odd boolean").repartition("_row", "block", "chunk"), spark, "chunks")
+        from pyspark import TaskContext
 
-    def matrices(batches):
+        lattice, row = Lattice.of_process(path), TaskContext.get().partitionId() << 33
+        for part, texts in steps(batches):
+            for k, t in enumerate(texts):
+                m, row = marked(t), row + 1
+                odd = MARK in t.decode()  # marks of the text's own, which ids can't tell from spaces
+                starts = list(range(0, len(m), chunk))
+                for j in range(0, len(starts), 1000):
+                    some = starts[j : j + 1000]
+                    firsts, n = [min(x, lattice.reach - 1) for x in some], len(some)
+                    own = [part.column(part.schema.get_field_index(c)).slice(k, 1) for c in kept]  # with the first chunk only
+                    held = [pa.concat_arrays([c, pa.nulls(n - 1, c.type)]) if j == 0 else pa.nulls(n, c.type) for c in own]
+                    numbers = [x // chunk for x in some]
+                    pieces = [m[x - f : x + chunk] for x, f in zip(some, firsts, strict=True)]
+                    yield pa.record_batch([*held, pa.array([row] * n), pa.array(numbers, pa.int32()), pa.array([x // BLOCK for x in numbers], pa.int32()), pa.array(firsts, pa.int32()), pa.array(pieces), pa.array([odd] * n)], cut_names)
+
+    chunks = docs.select(*kept, "text").mapInArrow(cut, cut_types).repartition("_row", "block", "chunk")
+
+    def parts(batches):
+        """Of each chunk: its matrix, by the scores to its first word start and from its last one (or whole, where it has none); ids and counts of the words
+        between; ids behind the last word start for each state that the chunk may be left in; and the few characters whose path depends on where it is entered."""
         lattice = Lattice.of_process(path)
+        reach = lattice.reach
         for b in batches:
-            for r in b.to_pylist():
-                yield pa.record_batch([pa.array([r["_row"]]), pa.array([r["chunk"]], pa.int32()), pa.array([r["block"]], pa.int32()), pa.array([lattice.transfer(r["piece"], r["first"]).tobytes()])], [*of_row, "block", "matrix"])
-
-    one = written(chunks.mapInArrow(matrices, "_row long, chunk int, block int, matrix binary"), spark, "matrices")
-    square = lambda x: np.frombuffer(x).reshape(int(np.sqrt(len(x) // 8)), -1)
+            if not b.num_rows:
+                continue
+            at = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in ("first", "piece", "odd")}
+            rows = []
+            for text, first, odd in zip(at["piece"], at["first"], at["odd"], strict=True):
+                gates = lattice.gates(text, first)
+                # whole words from one run of marks to another are counted here; what is before and behind them meets the neighbours' words
+                clean = [g for g in gates if text[g - 1] != MARK]
+                over, tail_text = (text[first : clean[0]], text[clean[-1] :]) if clean else (text[first:], None)
+                if not gates:
+                    rows.append((text, None, lattice.before_gate(text, first).tobytes(), None, 0.0, b"", None, over, tail_text, 0, not odd))
+                    continue
+                a, g = gates[0], gates[-1]
+                inner, middle, same, counted = lattice.between(text[a:g]) if g > a else (0.0, b"", True, 0)
+                if not clean or clean[-1] == clean[0]:
+                    same, counted = True, 0
+                elif (clean[0], clean[-1]) != (a, g):
+                    _, _, same, counted = lattice.between(text[clean[0] : clean[-1]])
+                leave, back = lattice.behind_gate(text[g:])
+                # the path is cut s characters before the end of the chunk
+                ends = [lattice.traced(text[g:], back, len(text) - g - s, 0)[1] if len(text) - g >= s and leave[reach - 1 - s] > NEVER else None for s in range(reach)]
+                rows.append((text[:a], lattice.before_gate(text[:a], first)[-1].tobytes(), None, leave.tobytes(), float(inner), middle, ends, over, tail_text, counted, same and not odd))
+            kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.string(), pa.string(), pa.int64(), pa.bool_()]
+            found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            if not keep_ids:
+                found[5] = pa.array([struct.pack("<QI", len(r[5]), zlib.crc32(r[5])) for r in rows], pa.binary())
+                found[6] = pa.array([None if r[6] is None else [None if x is None else struct.pack("<QI", len(x), zlib.crc32(x)) for x in r[6]] for r in rows], pa.list_(pa.binary()))
+            yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in (*cut_names[: len(kept)], *of_row, "block", "first")), *found], part_names)
+
+    part_names = [*cut_names[: len(kept)], *of_row, "block", "first", "head", "entry", "whole", "leave", "inner", "middle", "ends", "over", "tail", "counted", "same"]
+    part_types = "".join(f"`_kept_{c}` {types[c]}, " for c in kept) + "_row long, chunk int, block int, first int, head string, entry binary, whole binary, leave binary, inner double, middle binary, ends array<binary>, over string, tail string, counted long, same boolean"
+    held = written(chunks.mapInArrow(parts, part_types), spark, "chunks")
+    one = held.select("_row", "chunk", "block", "entry", "whole", "leave")
+
+    def square(r: dict) -> np.ndarray:
+        """The matrix (state at the end, state at the start) of a chunk or of a block of chunks."""
+        if r["whole"] is None:
+            return np.frombuffer(r["leave"])[:, None] + np.frombuffer(r["entry"])[None, :]
+        return np.frombuffer(r["whole"]).reshape(int(np.sqrt(len(r["whole"]) // 8)), -1)
 
     def product(t: pa.Table) -> pa.Table:  # at most BLOCK matrices
-        found = [square(r["matrix"]) for r in sorted(t.to_pylist(), key=lambda r: r["chunk"])]
+        found = [square(r) for r in sorted(t.to_pylist(), key=lambda r: r["chunk"])]
         out = found[0]
         for m in found[1:]:
             out = plus(m, out)
-        return pa.table([t.column("_row").slice(0, 1), t.column("block").slice(0, 1), pa.array([out.tobytes()])], ["_row", "block", "matrix"])
+        return pa.table([t.column("_row").slice(0, 1), t.column("block").slice(0, 1), pa.array([out.tobytes()])], ["_row", "block", "whole"])
 
     def along(found: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
         out = [at]
@@ -337,79 +393,42 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
 
     def block_starts(t: pa.Table) -> pa.Table:  # a matrix for each BLOCK chunks of one document
         found = sorted(t.to_pylist(), key=lambda r: r["block"])
-        at = np.full(len(square(found[0]["matrix"])), NEVER)
+        at = np.full(len(square(found[0])), NEVER)
         at[-1] = 0.0
-        out = along([square(r["matrix"]) for r in found], at)
+        out = along([square(r) for r in found], at)
         return pa.table([pa.array([r["_row"] for r in found]), pa.array([r["block"] for r in found], pa.int32()), pa.array([x.tobytes() for x in out])], ["_row", "block", "before"])
 
     def chunk_starts(t: pa.Table, before: pa.Table) -> pa.Table:
         found = sorted(t.to_pylist(), key=lambda r: r["chunk"])
-        out = along([square(r["matrix"]) for r in found], np.frombuffer(before.column("before")[0].as_py()))
+        out = along([square(r) for r in found], np.frombuffer(before.column("before")[0].as_py()))
         return pa.table([pa.array([r["_row"] for r in found]), pa.array([r["chunk"] for r in found], pa.int32()), pa.array([x.tobytes() for x in out])], [*of_row, "before"])
 
-    blocks = one.groupBy("_row", "block").applyInArrow(product, "_row long, block int, matrix binary")
+    blocks = one.groupBy("_row", "block").applyInArrow(product, "_row long, block int, whole binary")
     starts = blocks.groupBy("_row").applyInArrow(block_starts, "_row long, block int, before binary")
-    entries = written(one.groupBy("_row", "block").cogroup(starts.groupBy("_row", "block")).applyInArrow(chunk_starts, "_row long, chunk int, before binary"), spark, "entries")
+    entries = one.groupBy("_row", "block").cogroup(starts.groupBy("_row", "block")).applyInArrow(chunk_starts, "_row long, chunk int, before binary")
 
-    def traces(batches):
-        """For each state a chunk may be left in: the state it is entered in, its ids, and its score."""
+    def heads(batches):
+        """For each state a chunk may be left in: the state it is entered in, and the ids up to its first word start (or all, where it has none)."""
         lattice = Lattice.of_process(path)
         reach = lattice.reach
         for b in batches:
+            if not b.num_rows:
+                continue
+            rows = []
             for r in b.to_pylist():
-                text, first = r["piece"], r["first"]
-                gates = lattice.gates(text, first)
-                before = np.frombuffer(r["before"])[:, None]
-                # up to the first gate, or to the end where there is none
-                a = gates[0] if gates else len(text)
-                tail, back = lattice.advance(text[:a], first, before)
-
-                def trace(part, back, end, least, lattice=lattice):
-                    out = []
-                    while end > least:
-                        arcs, pick = back[end]
-                        start, number, _ = arcs[int(pick[0])]
-                        out.append(lattice.ids(part, start, end, number))
-                        end = start
-                    return end, np.array([x for p in reversed(out) for x in p], "<u4").tobytes()
-
-                # whole words from one run of marks to another: counted here; what is before and behind them meets the neighbours' words
-                clean = [g for g in gates if text[g - 1] != MARK]
-                head_text, tail_text, counted, same = (text[first : clean[0]], text[clean[-1] :], 0, True) if clean else (text[first:], None, 0, True)
-                entered, ids, total = [], [], []
-                if gates:
-                    end, head = trace(text[:a], back, a, first)
-                    g = gates[-1]
-                    inner, middle, same, counted = lattice.between(text[a:g]) if g > a else (0.0, b"", True, 0)
-                    if clean and (clean[0], clean[-1]) != (a, g):
-                        _, _, same, counted = lattice.between(text[clean[0] : clean[-1]]) if clean[-1] > clean[0] else (0.0, b"", True, 0)
-                    elif not clean:
-                        same, counted = True, 0
-                    at = np.full((reach, 1), NEVER)
-                    at[-1] = 0.0
-                    leave, back2 = lattice.advance(text[g:], 0, at)
-                    for s in range(reach):  # the path is cut s characters before the end of the chunk
-                        stop = len(text) - g - s
-                        ok = stop >= 0 and leave[reach - 1 - s, 0] > NEVER
-                        entered.append(first - end if ok else -1)
-                        ids.append(head + middle + trace(text[g:], back2, stop, 0)[1] if ok else b"")
-                        total.append(float(tail[-1, 0] + leave[reach - 1 - s, 0]) if ok else NEVER)
-                else:
-                    inner = 0.0
-                    for s in range(reach):
-                        stop = len(text) - s
-                        ok = stop >= first and tail[reach - 1 - s, 0] > NEVER
-                        end, x = trace(text, back, stop, first) if ok else (0, b"")
-                        entered.append(first - end if ok else -1)
-                        ids.append(x)
-                        total.append(float(tail[reach - 1 - s, 0]) if ok else NEVER)
-                # all backtraces run together before long: what they share is kept once
-                open_ids = [x for x, e in zip(ids, entered, strict=True) if e >= 0]
-                n = len(os.path.commonprefix(open_ids)) // 4 * 4
-                yield pa.record_batch([pa.array([r["_row"]]), pa.array([r["chunk"]], pa.int32()), pa.array([entered], pa.list_(pa.int32())), pa.array([open_ids[0][:n]], pa.binary()), pa.array([[x[n:] for x in ids]], pa.list_(pa.binary())), pa.array([total[0]]), pa.array([float(inner)]), pa.array([head_text]), pa.array([tail_text], pa.string()), pa.array([counted]), pa.array([same and not r["odd"]])], [*of_row, "entered", "shared", "ids", "end_score", "inner", "head", "tail", "counted", "same"])
-
-    traced = "_row long, chunk int, entered array<int>, shared binary, ids array<binary>, end_score double, inner double, head string, tail string, counted long, same boolean"
-    traced = written(chunks.join(entries, of_row).select(*of_row, "piece", "first", "before", "odd").mapInArrow(traces, traced), spark, "traces")
+                text, first = r["head"], r["first"]
+                scores, back = lattice.advance(text, first, np.frombuffer(r["before"])[:, None])
+                if r["whole"] is None:
+                    end, ids = lattice.traced(text, back, len(text), first)
+                    rows.append((r["_row"], r["chunk"], [first - end] * reach, [ids] * reach, float(scores[-1, 0] + np.frombuffer(r["leave"])[-1])))
+                    continue
+                found = [lattice.traced(text, back, len(text) - s, first) if len(text) - s >= first and scores[reach - 1 - s, 0] > NEVER else None for s in range(reach)]
+                rows.append((r["_row"], r["chunk"], [-1 if x is None else first - x[0] for x in found], [None if x is None else x[1] for x in found], float(scores[-1, 0])))
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.float64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [*of_row, "entered", "heads", "end_score"])
+
+    met = held.select(*of_row, "first", "head", "whole", "leave").join(entries, of_row)
+    traced = written(met.mapInArrow(heads, "_row long, chunk int, entered array<int>, heads array<binary>, end_score double"), spark, "traces")
 
     def states(t: pa.Table) -> pa.Table:  # a few small numbers for each chunk of one document
         found = sorted(t.to_pylist(), key=lambda r: -r["chunk"])
@@ -420,8 +439,9 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
         return pa.table([pa.array([r["_row"] for r in found]), pa.array([r["chunk"] for r in found], pa.int32()), pa.array(out, pa.int32())], [*of_row, "state"])
 
     left = traced.select(*of_row, "entered").groupBy("_row").applyInArrow(states, "_row long, chunk int, state int")
-    picked = traced.join(left, of_row).withColumn("_ids", F.concat("shared", F.element_at("ids", F.col("state") + 1)))
-    picked = picked.select(*of_row, "end_score", "inner", "head", "tail", "counted", "same", F.octet_length("_ids").cast("long").alias("bytes"), F.crc32("_ids").alias("crc"), *([F.col("_ids").alias("ids")] if keep_ids else []))
+    picked = held.select(*of_row, "inner", "middle", "ends", "over", "tail", "counted", "same").join(traced.drop("entered"), of_row).join(left, of_row)
+    at_state = F.col("state") + 1
+    picked = picked.select(*of_row, "inner", "middle", F.element_at("ends", at_state).alias("end"), F.element_at("heads", at_state).alias("head"), "end_score", "over", "tail", "counted", "same")
 
     def folded(t: pa.Table) -> pa.Table:  # a few numbers for each chunk of one document, and the words over its ends
         lattice = Lattice.of_process(path)
@@ -432,8 +452,10 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
             return lattice.between(w)[2:] if w else (True, 0)
 
         for r in found:
-            crc, size = joined_crc(crc, r["crc"], r["bytes"]), size + r["bytes"]
-            over += r["head"]
+            middle, end = ((x and struct.unpack("<QI", x)) if not keep_ids else (x and (len(x), zlib.crc32(x))) for x in (r["middle"], r["end"]))
+            for n, c in ((len(r["head"]), zlib.crc32(r["head"])), middle or (0, 0), end or (0, 0)):
+                crc, size = joined_crc(crc, c, n), size + n
+            over += r["over"]
             if r["tail"] is not None:
                 fits, n = word(over)
                 same, counted, over = same and fits, counted + n + r["counted"], r["tail"]
@@ -441,10 +463,12 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
         fits, n = word(over)
         score = found[-1]["end_score"] + sum(r["inner"] for r in found)
         columns = [pa.array([found[0]["_row"]]), *_digest([(size // 4, crc, score, counted + n, same and fits)])]
-        return pa.table([*columns, *([pa.array([b"".join([r["ids"] for r in found])], pa.binary())] if keep_ids else [])], ["_row", *_NAMES, *["ids"] * keep_ids])
+        ids = [pa.array([b"".join(x for r in found for x in (r["head"], r["middle"], r["end"]) if x)], pa.binary())] if keep_ids else []
+        return pa.table([*columns, *ids], ["_row", *_NAMES, *["ids"] * keep_ids])
 
     digests = picked.groupBy("_row").applyInArrow(folded, "_row long, " + _DIGEST + ", ids binary" * keep_ids)
-    return rows.select("_row", *kept).join(digests, "_row").select(*kept, *_NAMES, *["ids"] * keep_ids)
+    first = held.where("chunk = 0").select("_row", *[F.col(f"_kept_{c}").alias(c) for c in kept])
+    return first.join(digests, "_row").select(*kept, *_NAMES, *["ids"] * keep_ids)
 
 
 def op10_max_plus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
