@@ -6,6 +6,7 @@ import contextlib
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +36,9 @@ def written(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     for paths in _SCRATCH[-1:]:
         paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -43,6 +46,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table if ``df`` is one that ``written`` gave. For when what comes of it is stored."""
+    if df in _PATHS:
+        _delete(df.sparkSession, _PATHS.pop(df))
+
+
+#: Where the tables lie that ``written`` gave and that are still known.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 #: Paths of the tables written within the ``scratch`` blocks that are open.
 _SCRATCH: list[list[str]] = []
 
