@@ -1,19 +1,12 @@
-"""SAM text as DataFrames, and back. A BAM file is decoded block by block in Python tasks, one file a task."""
+"""SAM text as DataFrames, and back. BAM files are in ``bam``."""
 
 from __future__ import annotations
 
-import gzip
-import io
-import struct
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = ["name", "flag", "chr", "pos", "mapq", "cigar", "next_chr", "next_pos", "length", "seq", "qual"]
 SCHEMA = "name string, flag int, chr string, pos long, mapq int, cigar string, next_chr string, next_pos long, length long, seq string, qual string"
-_BASES = "=ACMGRSVTWYHKDBN"
-_OPERATIONS = "MIDNSHP=X"
 
 
 def read(spark: SparkSession, path: str, exclude_flags: int = 0, chrom: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -21,7 +14,7 @@ def read(spark: SparkSession, path: str, exclude_flags: int = 0, chrom: str | No
     cells = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
     kinds = dict(x.split() for x in SCHEMA.split(", "))
-    tags = F.map_from_entries(F.transform(F.filter(F.slice(cells, 12, 10_000), lambda t: t.contains(":")), lambda t: F.struct(F.substring_index(t, ":", 1), F.get(F.split(t, ":", 3), F.lit(2)))))
+    tags = F.map_from_entries(F.transform(F.filter(F.slice(cells, 12, F.greatest(F.size(cells) - 11, F.lit(0))), lambda t: t.contains(":")), lambda t: F.struct(F.substring_index(t, ":", 1), F.get(F.split(t, ":", 3), F.lit(2)))))
     out = rows.select(*[F.get(cells, F.lit(k)).cast(kinds[c]).alias(c) for k, c in enumerate(COLUMNS)], tags.alias("tags"))
     return _selected(out, exclude_flags, chrom, start, end)
 
@@ -38,56 +31,6 @@ def _selected(df: DataFrame, exclude_flags: int, chrom: str | None, start: int |
     return df
 
 
-def read_bam(spark: SparkSession, path: str, **select) -> DataFrame:
-    """Records of BAM files (without optional fields). BGZF is a series of gzip members, so a file streams through gzip."""
-
-    def f(batches):
-        for b in batches:
-            for content in b.column(b.schema.get_field_index("content")):
-                rows: list[tuple] = []
-                for row in _records(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
-                    rows.append(row)
-                    if len(rows) == 5000:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
-
-    df = spark.read.format("binaryFile").load(path).select("content").mapInArrow(f, SCHEMA)
-    return _selected(df, select.get("exclude_flags", 0), select.get("chrom"), select.get("start"), select.get("end"))
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], COLUMNS)
-
-
-def _records(stream):
-    if stream.read(4) != b"BAM\x01":
-        raise ValueError("not a BAM file")
-    stream.read(struct.unpack("<i", stream.read(4))[0])
-    names = []
-    for _ in range(struct.unpack("<i", stream.read(4))[0]):
-        n = struct.unpack("<i", stream.read(4))[0]
-        names.append(stream.read(n)[:-1].decode())
-        stream.read(4)
-    chrom = lambda k: names[k] if 0 <= k < len(names) else "*"
-    while head := stream.read(4):
-        body = stream.read(struct.unpack("<i", head)[0])
-        ref, pos, name_len, mapq, _, ops, flag, n, next_ref, next_pos, length = struct.unpack_from("<iiBBHHHiiii", body)
-        at = 32
-        name = body[at : at + name_len - 1].decode()
-        at += name_len
-        cigar = "".join(f"{x >> 4}{_OPERATIONS[x & 15]}" for x in struct.unpack_from(f"<{ops}I", body, at)) or "*"
-        at += 4 * ops
-        packed = body[at : at + (n + 1) // 2]
-        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:n] or "*"
-        at += (n + 1) // 2
-        quals = body[at : at + n]
-        qual = "*" if not n or quals[0] == 255 else "".join(chr(q + 33) for q in quals)
-        yield name, flag, chrom(ref), pos + 1, mapq, cigar, chrom(next_ref), next_pos + 1, length, seq, qual
-
-
 def write(records: DataFrame, path: str, contigs: dict[str, int], annotation: str | None = None) -> None:
     """SAM text in coordinate order, with a header; ``annotation`` is a column written as an optional text field."""
     spark = records.sparkSession

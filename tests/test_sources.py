@@ -1,10 +1,12 @@
 import gzip
+import random
+import re
 import struct
 
 import pytest
 
 from ampliq.operators.edits import with_edits
-from ampliq.sources import fastq, sam, sinks, tables, vcf
+from ampliq.sources import bam, fastq, sam, sinks, tables, vcf
 from ampliq.streaming import ingest
 
 READS = [("r1", "ACGT", "IIII"), ("r2", "GGGT", "@III"), ("r3", "TTTT", "!!!!")]
@@ -34,6 +36,27 @@ def test_fastq_in_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_fastq_records_are_assembled_where_they_are_read(spark, tmp_path):
+    many = [(f"r{k}", "ACGT" * (1 + k % 5), "@" * 4 * (1 + k % 5)) for k in range(12)]
+    (tmp_path / "in").mkdir()
+    a, b = fastq_file(tmp_path / "in" / "a.fastq", many), fastq_file(tmp_path / "in" / "b.fastq", READS)
+    for path, more in ((a, "\n\n"), (b, "")):
+        with open(path, "a") as f:
+            f.write(more)
+    for size in ("61", "1m"):  # shorter than a record, and than a line
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            reads = fastq.read(spark, str(tmp_path / "in"))
+            assert [tuple(r) for r in reads.orderBy("ord").collect()] == [(k, *r) for k, r in enumerate([*many, *READS])]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plan = reads._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FileScan text") - 600 : plan.index("FileScan text")]
+    assert "MapInArrow" in scan and "Exchange" not in scan
+    (tmp_path / "none.fastq").write_text("")
+    assert fastq.read(spark, str(tmp_path / "none.fastq")).count() == 0
+
+
 def test_fastq_checks(spark, tmp_path):
     fastq.validate(spark, fastq_file(tmp_path / "a.fastq"))
     (tmp_path / "bad.fastq").write_text("@a\nACGT\n+\nII\n")
@@ -63,10 +86,95 @@ def test_bam(spark, tmp_path):
     body = struct.pack("<iiBBHHHiiii", 0, 4, len(name), 60, 0, 1, 16, 4, -1, -1, 0) + name + cigar + seq + bytes([40] * 4)
     raw = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 100) + struct.pack("<i", len(body)) + body
     (tmp_path / "a.bam").write_bytes(gzip.compress(raw[:30]) + gzip.compress(raw[30:]))
-    (row,) = sam.read_bam(spark, str(tmp_path / "a.bam")).collect()
+    (row,) = bam.read(spark, str(tmp_path / "a.bam")).collect()
     assert (row.name, row.flag, row.chr, row.pos, row.cigar, row.seq, row.qual) == ("r1", 16, "chr1", 5, "4M", "ACGT", "IIII")
 
 
+CONTIGS = {"chr1": 5_000_000, "chr2": 40_000_000}
+
+
+def mapped(n=6000):
+    """Records of several blocks: all kinds of optional fields' forms that the writer knows, reads of odd lengths, without qualities, without a place."""
+    rng, rows = random.Random(7), []
+    for k in range(n):
+        seq = "".join(rng.choice("ACGTN") for _ in range(rng.choice([1, 35, 100, 151])))
+        chrom = rng.choice(["chr1", "chr2", "chr2"]) if k % 50 else "*"
+        pos = rng.randrange(1, 4_900_000) if chrom != "*" else 0
+        cigar = "*" if chrom == "*" else f"{len(seq)}M" if len(seq) < 35 else f"5S{len(seq) - 15}M10I" if k % 3 else f"{len(seq) - 5}M{rng.choice([3, 70_000])}N5M"
+        rows.append((f"r{k}", [0, 16, 256, 1024][k % 4] if chrom != "*" else 4, chrom, pos, k % 61, cigar, "*", 0, 0, seq, "*" if k % 7 == 0 else "".join(chr(33 + rng.randrange(40)) for _ in seq), {"NM": str(k % 9), "MD": "4A"} if k % 2 else {}))
+    return rows
+
+
+def as_tuple(r):
+    return (*(r[c] for c in bam.COLUMNS[:-1]), tuple(sorted(r["tags"].items())))
+
+
+def reference_end(pos, cigar):
+    return pos - 1 + max(1, sum(int(n) for n, op in re.findall(r"(\d+)([A-Z=])", cigar) if op in "MDN=X"))
+
+
+def test_bam_in_splits(spark, tmp_path):
+    rows = mapped()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        bam.write(spark.createDataFrame(rows, bam.SCHEMA).repartition(3), str(tmp_path / "out"), CONTIGS)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted((*r[:-1], tuple(sorted(r[-1].items()))) for r in rows)
+    whole = bam.read(spark, str(tmp_path / "out"), places=True)
+    assert sorted(as_tuple(r) for r in whole.collect()) == want
+    for size in (20_000, 70_001):  # splits within blocks: less than a block, and some blocks
+        parts = bam.read(spark, str(tmp_path / "out"), split_bytes=size)
+        assert parts.rdd.getNumPartitions() > whole.rdd.getNumPartitions()
+        assert sorted(as_tuple(r) for r in parts.collect()) == want
+    # the files, in the order of their names, are in the order of places
+    got = [(list(CONTIGS).index(r.chr) if r.chr != "*" else 9, r.pos) for r in whole.orderBy("file", "place").collect()]
+    assert got == sorted(got)
+    assert whole.select("file").distinct().count() > 1
+
+
+def test_bam_regions_and_flags(spark, tmp_path):
+    rows = mapped()
+    df = spark.createDataFrame(rows, bam.SCHEMA)
+    bam.write(df.coalesce(1), str(tmp_path / "out"), CONTIGS)
+    want = lambda c, a, b, mask=0: sorted(r[0] for r in rows if r[2] == c and r[3] <= b and reference_end(r[3], r[5]) >= a and not r[1] & mask)
+    for c, a, b in (("chr1", 1, 100_000), ("chr2", 2_000_000, 2_000_300), ("chr2", 4_800_000, 40_000_000)):
+        with_index = bam.read(spark, str(tmp_path / "out"), chrom=c, start=a, end=b, exclude_flags=0x100)
+        assert sorted(r.name for r in with_index.collect()) == want(c, a, b, 0x100)
+    assert bam.read(spark, str(tmp_path / "out"), chrom="chr9", start=1, end=5).count() == 0
+    for p in (tmp_path / "out").glob("*.bai"):
+        p.unlink()
+    assert sorted(r.name for r in bam.read(spark, str(tmp_path / "out"), chrom="chr2", start=2_000_000, end=2_000_300).collect()) == want("chr2", 2_000_000, 2_000_300)
+    assert bam.read(spark, str(tmp_path / "out"), chrom="chr1").count() == sum(r[2] == "chr1" for r in rows)
+
+
+def test_index_names_the_chunks_of_a_region(tmp_path):
+    rng = random.Random(1)
+    entries, place = [], 100
+    for pos in sorted(rng.randrange(0, 3_000_000) for _ in range(2000)):
+        entries.append((1, pos, pos + rng.choice([1, 150, 40_000]), place, place + 10))
+        place += 10
+    data = bam.index_bytes(entries, 3)
+    for a, b in ((0, 10), (16_000, 17_000), (1_000_000, 1_300_000), (2_999_000, 2_999_001)):
+        chunks = bam.indexed_chunks(data, 1, a, b)
+        held = [e for e in entries if any(x <= e[3] and e[4] <= y for x, y in chunks)]
+        assert {e for e in entries if e[1] < b and e[2] > a} <= set(held) and bam.indexed_chunks(data, 0, a, b) == []
+        assert len(held) < 1000
+
+
+def test_annotated_bam(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0, "chr1", 5, "2M", "AC", "II", {"NM": "1", "c2": "old"}, "D0;I0;S1"), ("b", 4, "*", 0, "*", "G", "!", {}, None)], "name string, flag int, chr string, pos long, cigar string, seq string, qual string, tags map<string,string>, note string")
+    bam.write(df, str(tmp_path / "out"), CONTIGS, annotation="note")
+    assert {r.name: r.tags for r in bam.read(spark, str(tmp_path / "out")).collect()} == {"a": {"NM": "1", "c2": "D0;I0;S1"}, "b": {"c2": ""}}
+    bam.write(df.limit(0), str(tmp_path / "none"), CONTIGS)
+    assert bam.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_optional_fields_of_every_form():
+    body = b"XAAxXcc\xffXCC\xffXss\xfe\xffXSS\x01\x01Xii\xff\xff\xff\xffXII\x05\0\0\0Xff\0\0\xc0?XZZhi\0XHH1A\0XBBs\x02\0\0\0\x01\0\xff\xff"
+    assert dict(bam._tags(body, 0)) == {"XA": "x", "Xc": "-1", "XC": "255", "Xs": "-2", "XS": "257", "Xi": "-1", "XI": "5", "Xf": "1.5", "XZ": "hi", "XH": "1A", "XB": "s,1,-1"}
+
+
 def test_amplicon_tables(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("one\tacgt\tCG\ntwo\tGGGG\tNA\n")
     assert [(r.amplicon_name, r.amplicon_seq, r.guide_seq) for r in tables.amplicons(spark, str(tmp_path / "a.tsv")).collect()] == [("one", "ACGT", "CG"), ("two", "GGGG", None)]
