@@ -1,11 +1,12 @@
 """The vectorised aligner against a plain triple loop, and edit calling."""
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ampliq.operators.align import DELETE, INSERT, MATCH, align, rc, scoring_matrix
-from ampliq.operators.edits import call_edits
+from ampliq.operators.edits import Windows, call_edits, edits_of
 
 
 def plain(read, ref, matrix, favour, opening=-20, extension=-2):
@@ -79,3 +80,56 @@ def test_edits_at_the_ends():
 def test_deletion_that_meets_an_insertion_has_no_positions():
     e = call_edits("A-TTC", "AG--C", {0, 1, 2})
     assert len(e["all_deletion_coordinates"]) == 1 and e["all_deletion_positions"] == []
+
+
+def plain_edits(read, ref, window, either_flank):
+    """Edit calling by walking along the columns of one pair."""
+    positions, seen = [], 0
+    for c in ref:
+        seen += c != "-"
+        positions.append(seen - 1 if c != "-" else -seen if seen else -1)
+    subs = [(p, x) for p, x, y in zip(positions, read, ref, strict=True) if y != "-" and x not in (y, "-", "N")]
+    insertions, deletions, k = [], [], 0
+    while k < len(ref):
+        end = k
+        while end < len(ref) and ref[end] == "-":
+            end += 1
+        if end > k:
+            left = sum(c != "-" for c in ref[:k]) - 1
+            insertions += [(left, end - k)] if left >= 0 and end < len(ref) else []
+        k = max(end, k + 1)
+    k = 0
+    while k < len(read):
+        end = k
+        while end < len(read) and read[end] == "-":
+            end += 1
+        if end > k:
+            deletions.append((positions[k] if k else 0, positions[end] if end < len(read) else positions[-1] + 1))
+        k = max(end, k + 1)
+    counted = [x for x in insertions if ((x[0] in window) + (x[0] + 1 in window)) >= (1 if either_flank else 2)]
+    hit = [x for x in deletions if set(range(*x)) & window]
+    subs_in = [x for x in subs if x[0] in window]
+    pair = lambda found: [{"start": a, "end": b} for a, b in found]
+    total = len(insertions) + sum(len(range(*x)) for x in deletions) + len(subs)
+    inside = len(subs_in) + sum(b - a for a, b in hit) + sum(n for _, n in counted)
+    return {
+        "all_insertion_positions": [p for a, _ in insertions for p in (a, a + 1)], "all_insertion_left_positions": [a for a, _ in insertions], "insertion_positions": [p for a, _ in counted for p in (a, a + 1)],
+        "insertion_coordinates": pair((a, a + 1) for a, _ in counted), "insertion_sizes": [n for _, n in counted], "insertion_n": sum(n for _, n in counted),
+        "all_deletion_positions": [p for x in deletions for p in range(*x)], "all_deletion_coordinates": pair(deletions), "deletion_positions": [p for x in hit for p in range(*x)], "deletion_coordinates": pair(hit),
+        "deletion_sizes": [b - a for a, b in hit], "deletion_n": sum(b - a for a, b in hit), "all_substitution_positions": [p for p, _ in subs], "substitution_positions": [p for p, _ in subs_in],
+        "all_substitution_values": [x for _, x in subs], "substitution_values": [x for _, x in subs_in], "substitution_n": len(subs_in), "ref_positions": positions,
+        "irregular_ends": bool(read) and (read[0] != ref[0] or read[0] == "-" or read[-1] != ref[-1] or read[-1] == "-"), "insertions_outside_window": len(insertions) - len(counted),
+        "deletions_outside_window": len(deletions) - len(hit), "substitutions_outside_window": len(subs) - len(subs_in), "total_mods": total, "mods_in_window": inside, "mods_outside_window": total - inside,
+    }
+
+
+COLUMN = st.sampled_from([x + y for x in "ACGTN-" for y in "ACGT-" if x + y != "--"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.lists(COLUMN, max_size=14), st.booleans()), max_size=6), st.sets(st.integers(0, 12), max_size=5), st.booleans())
+def test_batches_of_edits_same_as_walking_along(pairs, window, either_flank):
+    rows = [("".join(c[0] for c in p), "".join(c[1] for c in p), "w" if in_w else "none") for p, in_w in pairs]
+    column = lambda k: pa.array(["x" * 3, *[r[k] for r in rows]], pa.string())[1:]
+    got = edits_of(column(0), column(1), column(2), Windows({"none": [], "w": sorted(window)}), either_flank).to_pylist()
+    assert got == [plain_edits(a, b, window if w == "w" else set(), either_flank) for a, b, w in rows]
