@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Width of the bins in which intervals of one chromosome meet.
 BIN = 10_000
+#: Bases in a block of a genome.
+BLOCK = 1 << 16
 
 
 def overlapping(a: DataFrame, b: DataFrame, chrom: str, start: tuple[str, str], end: tuple[str, str], width: int = BIN, how: str = "inner") -> DataFrame:
@@ -54,32 +56,56 @@ def covering(records: DataFrame, regions: DataFrame, chrom: str = "chr") -> Data
 
     ends = records.withColumn("_end", F.col("pos") + cigar_length(F.col("cigar"), "MDN=X") - 1)
     met = overlapping(ends, regions, chrom, ("pos", "bpstart"), ("_end", "bpend")).where((F.col("pos") <= F.col("bpstart")) & (F.col("_end") >= F.col("bpend")))
-    at = read_offsets(F.col("pos"), F.col("cigar"))
-    met = met.withColumn("_at", at)
-    first = F.array_position("_at", F.col("bpstart").cast("long")).cast("int")
-    last = (F.size("_at") - F.array_position(F.reverse("_at"), F.col("bpend").cast("long")) + 1).cast("int")
-    met = met.withColumn("_first", first).withColumn("_last", last).where((F.col("_first") > 0) & F.array_contains("_at", F.col("bpend").cast("long")))
-    return met.withColumn("seq", F.substring(F.col("seq"), F.col("_first"), F.col("_last") - F.col("_first") + 1)).drop("_at", "_first", "_last", "_end")
+    first, last = (read_offset(F.col("pos"), F.col("cigar"), F.col(c)) for c in ("bpstart", "bpend"))
+    met = met.withColumn("_first", first).withColumn("_last", last).where(F.col("_first").isNotNull() & F.col("_last").isNotNull())
+    return met.withColumn("seq", F.substring(F.col("seq"), F.col("_first") + 1, F.col("_last") - F.col("_first") + 1)).drop("_first", "_last", "_end")
 
 
-def read_offsets(pos: Column, cigar: Column) -> Column:
-    """For each base of a read its position on the chromosome; null for clipped and inserted ones."""
-    runs = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
-    start = F.struct(pos.cast("long").alias("p"), F.array().cast("array<bigint>").alias("out"))
+def _laid_runs(pos: Column, cigar: Column) -> Column:
+    """A CIGAR's runs with where each begins on the chromosome and in the read: running sums over the runs."""
+    runs = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNS=X])"), F.lit(1))
+    runs = F.transform(runs, lambda r: F.struct(F.regexp_extract(r, r"^(\d+)", 1).cast("int").alias("n"), F.substring(r, -1, 1).alias("kind")))
+    none = F.array().cast("array<struct<kind: string, n: int, ref: bigint, read: int>>")
+    start = F.struct(pos.cast("long").alias("ref"), F.lit(0).alias("read"), none.alias("out"))
 
     def step(a, r):
-        n, kind = F.regexp_extract(r, r"^(\d+)", 1).cast("int"), F.substring(r, -1, 1)
-        stays = F.array_repeat(F.lit(None).cast("long"), n)
-        return (
-            F.when(kind.isin("M", "=", "X"), F.struct((a["p"] + n).alias("p"), F.concat(a["out"], F.sequence(a["p"], a["p"] + n - 1)).alias("out")))
-            .when(kind.isin("S", "I"), F.struct(a["p"].alias("p"), F.concat(a["out"], stays).alias("out")))
-            .when(kind.isin("D", "N"), F.struct((a["p"] + n).alias("p"), a["out"].alias("out")))
-            .otherwise(a)
-        )
+        on_ref, in_read = r["kind"].isin("M", "=", "X", "D", "N"), r["kind"].isin("M", "=", "X", "S", "I")
+        laid = F.struct(r["kind"].alias("kind"), r["n"].alias("n"), a["ref"].alias("ref"), a["read"].alias("read"))
+        return F.struct((a["ref"] + F.when(on_ref, r["n"]).otherwise(0)).alias("ref"), (a["read"] + F.when(in_read, r["n"]).otherwise(0)).alias("read"), F.concat(a["out"], F.array(laid)).alias("out"))
 
     return F.aggregate(runs, start, step)["out"]
 
 
-def fetched(contigs: DataFrame, ranges: DataFrame, chrom: str = "chr") -> DataFrame:
-    """Reference bases of (chr, start, end): 0-based, half-open."""
-    return ranges.join(contigs, chrom).withColumn("ref_seq", F.substring(F.upper(F.col("seq")), F.col("start") + 1, F.col("end") - F.col("start"))).drop("seq")
+def read_offset(pos: Column, cigar: Column, at: Column) -> Column:
+    """The place (from 0) in a read of the base that lies on a position; null if none does."""
+    holds = lambda r: r["kind"].isin("M", "=", "X") & (at >= r["ref"]) & (at < r["ref"] + r["n"])
+    run = F.get(F.filter(_laid_runs(pos, cigar), holds), F.lit(0))
+    return (run["read"] + at - run["ref"]).cast("int")
+
+
+def read_offsets(pos: Column, cigar: Column) -> Column:
+    """For each base of a read its position on the chromosome; null for clipped and inserted ones."""
+    none = F.array().cast("array<bigint>")
+    laid = F.filter(_laid_runs(pos, cigar), lambda r: r["n"] > 0)
+    return F.flatten(F.transform(laid, lambda r: F.when(r["kind"].isin("M", "=", "X"), F.sequence(r["ref"], r["ref"] + r["n"] - 1)).when(r["kind"].isin("S", "I"), F.array_repeat(F.lit(None).cast("long"), r["n"])).otherwise(none)))
+
+
+def in_blocks(contigs: DataFrame, chrom: str = "chr", width: int = BLOCK) -> DataFrame:
+    """(chr, block, bases) of contigs (chr, seq): block k has the bases from k * width on, in capitals."""
+    cut = contigs.where(F.length("seq") > 0).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("seq") - 1) / width))))
+    return cut.select(chrom, "block", F.upper(F.substring(F.col("seq"), (F.col("block") * width + 1).cast("int"), F.lit(width))).alias("bases"))
+
+
+def fetched(genome: DataFrame, ranges: DataFrame, chrom: str = "chr", width: int = BLOCK) -> DataFrame:
+    """Reference bases of each different row of ``ranges`` (chr, start, end): 0-based, half-open; empty where the contig has none.
+
+    genome: blocks (chr, block, bases), or whole contigs (chr, seq), which are cut first. A range meets the blocks it lies in and no others."""
+    blocks = genome if "block" in genome.columns else in_blocks(genome, chrom, width)
+    names = ranges.columns
+    start, end = F.greatest(F.col("start"), F.lit(0)).cast("long"), F.col("end").cast("long")
+    wanted = ranges.distinct().withColumn("block", F.explode_outer(F.when(end > start, F.sequence(F.floor(start / width), F.floor((end - 1) / width)))))
+    met = wanted.join(blocks.select(chrom, "block", "bases"), [chrom, "block"], "left")
+    first = F.greatest(start - F.col("block") * width, F.lit(0))
+    part = F.substring(F.col("bases"), (first + 1).cast("int"), (F.least(end - F.col("block") * width, F.lit(width)) - first).cast("int"))
+    parts = F.sort_array(F.collect_list(F.when(F.col("bases").isNotNull(), F.struct("block", part.alias("bases")))))
+    return met.groupBy(*names).agg(parts.alias("parts")).select(*names, F.array_join(F.transform("parts", lambda p: p["bases"]), "").alias("ref_seq"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_edits, queries_modes, queries_reads, queries_samples, queries_tables  # noqa: F401
+from . import queries_edits, queries_files, queries_modes, queries_reads, queries_samples, queries_tables  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -265,9 +265,9 @@ def summary_order(spark, sf):
     return reads(spark, sf).groupBy("ref_name").agg(F.count(F.lit(1)).alias("n_reads")).orderBy("ref_name")
 
 
-@query("H10_limits", WITH + "SELECT l_orderkey, l_linenumber, read_seq FROM reads ORDER BY l_orderkey, l_linenumber LIMIT 100")
+@query("H10_limits", WITH + "SELECT l_orderkey, l_linenumber, read_seq FROM reads ORDER BY l_orderkey, l_linenumber, read_seq LIMIT 100")
 def limits(spark, sf):
-    return reads(spark, sf).select("l_orderkey", "l_linenumber", "read_seq").orderBy("l_orderkey", "l_linenumber").limit(100)
+    return reads(spark, sf).select("l_orderkey", "l_linenumber", "read_seq").orderBy("l_orderkey", "l_linenumber", "read_seq").limit(100)
 
 
 @query("I01_union_of_samples", WITH + f"SELECT sample, {_N} AS n_reads FROM reads GROUP BY sample UNION ALL SELECT 'all', {_N} FROM reads")

@@ -216,12 +216,12 @@ def class_order(spark, sf):
 
 @query(
     "F41_first_unaligned",
-    WITH + f"""SELECT seq, n_reads FROM (SELECT read_seq AS seq, {_N} AS n_reads FROM (SELECT * FROM reads WHERE e IN ('N', 'S') ORDER BY l_orderkey, l_linenumber LIMIT 10000) AS f GROUP BY read_seq) AS t
+    WITH + f"""SELECT seq, n_reads FROM (SELECT read_seq AS seq, {_N} AS n_reads FROM (SELECT * FROM reads WHERE e IN ('N', 'S') ORDER BY l_orderkey, l_linenumber, read_seq LIMIT 10000) AS f GROUP BY read_seq) AS t
 WHERE (SELECT count(*) FROM reads WHERE e NOT IN ('N', 'S')) < 0.5 * (SELECT count(*) FROM reads) ORDER BY n_reads DESC, seq LIMIT 10""",
 )
 def first_unaligned(spark, sf):
     """Reads without an insertion or deletion stand for the unaligned ones."""
-    r = reads(spark, sf).select("e", F.col("read_seq").alias("seq"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    r = reads(spark, sf).select("e", F.col("read_seq").alias("seq"), F.struct("l_orderkey", "l_linenumber", "read_seq").alias("ord"))
     return Z.top_unaligned(r.where("e IN ('N', 'S')"), F.lit(r.count()))
 
 

@@ -1,4 +1,10 @@
+import re
+import time
+from math import comb
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ampliq.functions import qualities as Q
@@ -60,6 +66,24 @@ def test_fisher():
     assert C.fisher_exact(0, 0, 0, 0) == 1.0 and abs(C.fisher_exact(5, 5, 5, 5) - 1) < 1e-9
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.tuples(*[st.integers(0, 60)] * 4))
+def test_fisher_same_as_counting_tables(table):
+    a, b, c, d = table
+    rows, other, first = a + b, c + d, a + c
+    ways = {k: comb(rows, k) * comb(other, first - k) for k in range(max(0, first - other), min(first, rows) + 1)}
+    want = sum(w for w in ways.values() if w <= ways[a]) / sum(ways.values())
+    assert abs(C.fisher_exact(*table) - want) <= 1e-11 * want
+
+
+def test_fisher_of_many_reads_is_quick():
+    assert abs(C.fisher_exact(0, 100_000, 30, 100_000) / 1.8586164995e-09 - 1) < 1e-6  # summed table by table
+    start = time.process_time()
+    for _ in range(50):
+        C.fisher_exact(5_000_000, 5_000_000, 4_999_000, 5_001_000)
+    assert (time.process_time() - start) / 50 < 0.01  # some 0.5 ms
+
+
 def test_merged_alleles(spark):
     kind = "aln_seq string, n_reads long, pct_reads double"
     a, b = spark.createDataFrame([("A", 1, 50.0), ("B", 1, 50.0)], kind), spark.createDataFrame([("B", 3, 100.0)], kind)
@@ -150,3 +174,18 @@ def test_guardrails_follow_the_published_directions(spark):
         ("amplicon_length", "a"): False, ("amplicon_length", "b"): True, ("guide_length", "g"): True, ("amplicon_to_read_length", "a"): True, ("amplicon_to_read_length", "b"): False, ("proportion", "a"): True, ("proportion", "b"): True,
     }
     assert Z.guardrails(stats.selectExpr(*[f"{c} * 0 AS {c}" for c in stats.columns]), counts, {"a": 100}, {}).where("check = 'share_in_window'").count() == 0
+
+
+def test_places_of_bases_by_running_sums(spark):
+    def plain(pos, cigar):
+        out = []
+        for n, op in re.findall(r"(\d+)([A-Z=])", cigar):
+            out += list(range(pos, pos + int(n))) if op in "M=X" else [None] * int(n) if op in "SI" else []
+            pos += int(n) if op in "M=XDN" else 0
+        return out
+
+    cigars = ["10M", "3S4M2I5M1D2M4S", "5H2S3=1X4N6M", "*", "2D3M", "4I", "1M1000000N1M"]
+    df = spark.createDataFrame([(c, p) for c in cigars for p in (1, 5, 8, 12, 16, 1_000_006)], "cigar string, at int")
+    for r in df.select("cigar", "at", R.read_offsets(F.lit(5), F.col("cigar")).alias("every"), R.read_offset(F.lit(5), F.col("cigar"), F.col("at")).alias("one")).collect():
+        want = plain(5, r.cigar)
+        assert r.every == want and r.one == (want.index(r["at"]) if r["at"] in want else None)

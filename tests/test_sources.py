@@ -5,8 +5,9 @@ import struct
 
 import pytest
 
+from ampliq.operators import regions
 from ampliq.operators.edits import with_edits
-from ampliq.sources import bam, fastq, sam, sinks, tables, vcf
+from ampliq.sources import bam, fasta, fastq, sam, sinks, tables, vcf
 from ampliq.streaming import ingest
 
 READS = [("r1", "ACGT", "IIII"), ("r2", "GGGT", "@III"), ("r3", "TTTT", "!!!!")]
@@ -175,6 +176,30 @@ def test_optional_fields_of_every_form():
     assert dict(bam._tags(body, 0)) == {"XA": "x", "Xc": "-1", "XC": "255", "Xs": "-2", "XS": "257", "Xi": "-1", "XI": "5", "Xf": "1.5", "XZ": "hi", "XH": "1A", "XB": "s,1,-1"}
 
 
+def test_fasta_in_splits(spark, tmp_path):
+    rng = random.Random(3)
+    contigs = {f"c{k}": "".join(rng.choice("ACGTN") for _ in range(n)) for k, n in enumerate((0, 1, 59, 700, 2500))}
+    (tmp_path / "in").mkdir()
+    lines = [x for c, s in contigs.items() for x in (f">{c} some note", *(s[i : i + 40].lower() for i in range(0, len(s), 40)))]
+    (tmp_path / "in" / "a.fa").write_text("\n".join(lines) + "\n")
+    (tmp_path / "in" / "b.fa").write_text(">other\nACGT\r\nGG")
+    contigs["other"] = "ACGTGG"
+    for size in ("700", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            blocks = fasta.read(spark, str(tmp_path / "in"), 128).collect()
+            found = {r.chr: r.length for r in fasta.lengths(spark, str(tmp_path / "in")).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert found == {c: len(s) for c, s in contigs.items()}
+        assert {(r.chr, r.block): r.bases for r in blocks} == {(c, k): s[128 * k : 128 * k + 128] for c, s in contigs.items() for k in range(-(-len(s) // 128))} and len(blocks) == sum(-(-len(s) // 128) for s in contigs.values())
+    ranges = [(c, a, b) for c in (*contigs, "none") for a, b in ((0, 5), (100, 900), (127, 129), (600, 600), (690, 5000), (-3, 4))]
+    got = regions.fetched(spark.createDataFrame([(r.chr, r.block, r.bases) for r in blocks], "chr string, block long, bases string"), spark.createDataFrame(ranges, "chr string, start int, end int"), width=128)
+    assert {(r.chr, r.start, r.end): r.ref_seq for r in got.collect()} == {(c, a, b): contigs.get(c, "")[max(a, 0) : b] for c, a, b in ranges}
+    fasta.write(spark.createDataFrame([(c, s) for c, s in contigs.items() if s], "chr string, seq string"), str(tmp_path / "out"), 30)
+    assert {r.chr: r.bases for r in fasta.read(spark, str(tmp_path / "out")).collect()} == {c: s for c, s in contigs.items() if s}
+
+
 def test_amplicon_tables(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("one\tacgt\tCG\ntwo\tGGGG\tNA\n")
     assert [(r.amplicon_name, r.amplicon_seq, r.guide_seq) for r in tables.amplicons(spark, str(tmp_path / "a.tsv")).collect()] == [("one", "ACGT", "CG"), ("two", "GGGG", None)]
