@@ -132,6 +132,19 @@ def _aligned(q: np.ndarray, lengths: np.ndarray, r: np.ndarray, matrix: np.ndarr
 ALIGNED = T.StructType([T.StructField("ref_name", T.StringType()), T.StructField("ref_idx", T.IntegerType()), T.StructField("aln_seq", T.StringType()), T.StructField("aln_ref", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("min_score", T.DoubleType()), T.StructField("strand", T.StringType())])
 
 
+def _spread(reads: DataFrame, seq: str) -> DataFrame:
+    """Few bytes but much work: a fixed number of partitions isn't merged into one for its size."""
+    spark = reads.sparkSession
+    return reads.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), seq)
+
+
+def _wanted(seqs: list[str], ref: dict, seed_min: int) -> tuple[list[bool], list[bool]]:
+    """Which reads are aligned forward, and which turned: with more than ``seed_min`` seeds of one strand and none of the other only that one is."""
+    fw = [sum(x in s for x in ref.get("fw_seeds", ())) for s in seqs]
+    rv = [sum(x in s for x in ref.get("rc_seeds", ())) for s in seqs]
+    return [not (b > seed_min and a == 0) for a, b in zip(fw, rv, strict=True)], [not (a > seed_min and b == 0) for a, b in zip(fw, rv, strict=True)]
+
+
 def aligned_reads(reads: DataFrame, refs: list[dict], gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND, seq: str = "seq", matrix: np.ndarray | None = None, seed_min: int = SEED_MIN) -> DataFrame:
     """``reads`` with ``aligned``: an array with an entry for every reference, in their order, with the better strand (forward at equal scores).
 
@@ -140,8 +153,7 @@ def aligned_reads(reads: DataFrame, refs: list[dict], gap_open: int = GAP_OPEN,
     """
     names, types = [c for c in reads.columns if c != "aligned"], reads.drop("aligned").schema
     spark = reads.sparkSession
-    # few bytes but much work: a fixed number of partitions isn't merged into one for its size
-    reads = reads.select(*names).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), seq)
+    reads = _spread(reads.select(*names), seq)
     given = spark.sparkContext.broadcast((refs, scoring_matrix() if matrix is None else matrix))
 
     def f(batches):
@@ -153,10 +165,7 @@ def aligned_reads(reads: DataFrame, refs: list[dict], gap_open: int = GAP_OPEN,
                 seqs = [(s or "").upper() for s in part.column(part.schema.get_field_index(seq)).to_pylist()]
                 turned, cells = [rc(s) for s in seqs], []
                 for idx, ref in enumerate(refs):
-                    fw = [sum(x in s for x in ref.get("fw_seeds", ())) for s in seqs]
-                    rv = [sum(x in s for x in ref.get("rc_seeds", ())) for s in seqs]
-                    ahead = [not (b > seed_min and a == 0) for a, b in zip(fw, rv, strict=True)]
-                    back = [not (a > seed_min and b == 0) for a, b in zip(fw, rv, strict=True)]
+                    ahead, back = _wanted(seqs, ref, seed_min)
                     incentive = np.asarray(ref["incentive"])
                     found: list = [None] * len(seqs)
                     for side, wanted, strand in ((seqs, ahead, "+"), (turned, back, "-")):
@@ -189,10 +198,86 @@ def _best(per: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(*key, "_x.*", "n_best", "nth")
 
 
+def common_length(reads: list[str], ref: str) -> np.ndarray:
+    """The length of each read's longest common subsequence with the reference, in bits of 64-bit words for all reads at once.
+
+    One bit a reference base; a base of the reads clears the bits at which the subsequence grows (an addition whose carries run to the next free base)."""
+    n, words = len(ref), -(-len(ref) // 64) or 1
+    holds = np.zeros((256, words), np.uint64)
+    for k, c in enumerate(ref.encode()):
+        holds[c, k // 64] |= np.uint64(1 << k % 64)
+    width = max(map(len, reads), default=0)
+    q = np.frombuffer("".join(s.ljust(width, "\0") for s in reads).encode("latin-1", "replace"), np.uint8).reshape(len(reads), width)
+    free = np.full((words, len(reads)), ~np.uint64(0))
+    for j in range(width):
+        here = holds[q[:, j]]
+        carry = np.zeros(len(reads), bool)
+        for w in range(words):
+            v, m = free[w], here[:, w]
+            added = v + (v & m)
+            over = added < v
+            added += carry
+            carry = over | (carry & (added == 0))
+            free[w] = added | (v & ~m)
+    used = np.array([(1 << min(64, n - 64 * w)) - 1 for w in range(words)], np.uint64)
+    return np.bitwise_count(~free & used[:, None]).sum(0).astype(np.int64)
+
+
 def best_alignments(reads: DataFrame, refs: list[dict], gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND, seq: str = "seq", matrix: np.ndarray | None = None, seed_min: int = SEED_MIN) -> DataFrame:
-    """``best_references`` of the rows of ``reads``: chosen within each row, so nothing is aligned twice or shuffled behind the aligner."""
-    found = aligned_reads(reads, refs, gap_open, gap_extend, seq, matrix, seed_min)
-    return _best(found, [c for c in found.columns if c != "aligned"])
+    """``best_references`` of the rows of ``reads``, aligned and chosen in one step, so that only what counts leaves it.
+
+    Equal columns of an alignment are a common subsequence, and it has no fewer columns than the longer of its two sequences has bases. This bounds a score before anything is
+    aligned: each read is aligned where its bound is highest, and then only where the bound reaches the score that was found."""
+    names, types = [c for c in reads.columns if c not in (*ALIGNED.names, "n_best", "nth")], dict(reads.dtypes)
+    spark = reads.sparkSession
+    reads = _spread(reads.select(*names), seq)
+    given = spark.sparkContext.broadcast((refs, scoring_matrix() if matrix is None else matrix))
+    schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", ref_name string, ref_idx int, aln_seq string, aln_ref string, score double, min_score double, strand string, n_best int, nth int"
+
+    def f(batches):
+        refs, matrix = given.value
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.int32()]
+        for batch in batches:
+            for start in range(0, batch.num_rows if refs else 0, 512):
+                part = batch.slice(start, 512)
+                seqs = [(s or "").upper() for s in part.column(part.schema.get_field_index(seq)).to_pylist()]
+                sides = seqs, [rc(s) for s in seqs]
+                lengths, found = np.array([len(s) for s in seqs]), [{} for _ in seqs]
+                bound = np.full((2 * len(refs), len(seqs)), -np.inf)
+                for idx, ref in enumerate(refs):
+                    for t, wanted in enumerate(_wanted(seqs, ref, seed_min)):
+                        rows = np.flatnonzero(wanted)
+                        if len(rows):
+                            most = common_length([sides[t][k] for k in rows.tolist()], ref["seq"])
+                            bound[2 * idx + t, rows] = 100 * most / np.maximum(np.maximum(lengths[rows], len(ref["seq"])), 1) + 0.001
+
+                def run(asked, sides=sides, found=found):
+                    for at in np.flatnonzero(asked.any(1)).tolist():
+                        idx, t, rows = at // 2, at % 2, np.flatnonzero(asked[at]).tolist()
+                        ref = refs[idx]
+                        for k, (s, u, score) in zip(rows, align([sides[t][k] for k in rows], ref["seq"], matrix, np.asarray(ref["incentive"]), gap_open, gap_extend), strict=True):
+                            known = found[k].get(idx)
+                            if known is None or score > known[4] or (score == known[4] and not t):
+                                found[k][idx] = (ref["name"], idx, s, u, score, float(ref.get("min_score", MIN_SCORE)), "+-"[t])
+
+                highest = np.arange(len(bound))[:, None] == bound.argmax(0)
+                run(highest & (bound > -np.inf))
+                sure = np.array([max((x[4] for x in cells.values() if x[4] > x[5]), default=-np.inf) for cells in found])
+                run((bound >= sure) & (bound > -np.inf) & ~highest)
+                rows, kept = [], []
+                for k, cells in enumerate(found):
+                    counted = [x for x in cells.values() if x[4] > x[5]]
+                    if counted:
+                        best = max(x[4] for x in counted)
+                        first = min(x[1] for x in counted if x[4] == best)
+                        tied = [cells[i] for i in sorted(cells) if cells[i][4] == best and i >= first]
+                        rows += [(*x, len(tied), nth) for nth, x in enumerate(tied)]
+                        kept += [k] * len(tied)
+                if rows:
+                    chosen = part.take(pa.array(kept))
+                    yield pa.record_batch([*chosen.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], [*names, *ALIGNED.names, "n_best", "nth"])
+
+    return reads.mapInArrow(f, schema)
 
 
 def best_references(aligned: DataFrame, key: list[str]) -> DataFrame:

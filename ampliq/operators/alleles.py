@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +22,25 @@ def unique_reads(reads: DataFrame, keys: list[str] | None = None, seq: str = "se
     return reads.groupBy(*(keys or []), seq).agg(*aggs)
 
 
+def _met(reads: DataFrame, counts: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """Reads and a table with one row for each value of the columns. Nulls are equal, which also spares the filters that would work out derived columns a second time."""
+    renamed = counts.withColumnsRenamed({c: f"_{c}" for c in columns})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+    return reads.join(renamed, reduce(and_, same), how).drop(*[f"_{c}" for c in columns])
+
+
+def annotated(reads: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """Every read with ``n_reads``, the number of reads of its key that are equal to it. Reads meet their counts, so that a frequent one is no single task's."""
+    columns = [*keys, seq]
+    return _met(reads, unique_reads(reads.select(*columns), keys, seq), columns, "left")
+
+
+def seen_often(reads: DataFrame, keys: list[str], more_than: int, seq: str = "seq") -> DataFrame:
+    """The reads that occur more than so many times in their key."""
+    columns = [*keys, seq]
+    return _met(reads, unique_reads(reads.select(*columns), keys, seq).where(F.col("n_reads") > more_than), columns, "left_semi")
+
+
 def unique_pairs(pairs: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Distinct read pairs with their number and the qualities of the first."""
     return pairs.groupBy(*keys, "seq1", "seq2").agg(F.count(F.lit(1)).alias("n_reads"), F.min_by("qual1", order).alias("qual1"), F.min_by("qual2", order).alias("qual2"))

@@ -238,11 +238,9 @@ def strand_merged(spark, sf):
 
 @query("D02_annotated_reads", WITH + "SELECT l_orderkey, l_linenumber, read_seq, CAST(count(*) OVER (PARTITION BY sample, read_seq) AS BIGINT) AS n_reads FROM reads")
 def annotated_reads(spark, sf):
-    r = reads(spark, sf)
-    return r.join(A.unique_reads(r, ["sample"], "read_seq"), ["sample", "read_seq"], "left").select("l_orderkey", "l_linenumber", "read_seq", "n_reads")
+    return A.annotated(reads(spark, sf).select("l_orderkey", "l_linenumber", "sample", "read_seq"), ["sample"], "read_seq").drop("sample")
 
 
 @query("D11_pairs_seen_again", WITH + "SELECT l_orderkey, l_linenumber FROM reads WHERE (sample, read_seq) IN (SELECT (sample, read_seq) FROM reads GROUP BY sample, read_seq HAVING count(*) > 20)")
 def pairs_seen_again(spark, sf):
-    r = reads(spark, sf)
-    return r.join(A.unique_reads(r, ["sample"], "read_seq").where("n_reads > 20"), ["sample", "read_seq"], "left_semi").select("l_orderkey", "l_linenumber")
+    return A.seen_often(reads(spark, sf).select("l_orderkey", "l_linenumber", "sample", "read_seq"), ["sample"], 20, "read_seq").select("l_orderkey", "l_linenumber")

@@ -5,7 +5,9 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ampliq.operators.align import DELETE, INSERT, MATCH, align, rc, scoring_matrix
+from pyspark.sql import functions as F
+
+from ampliq.operators.align import ALIGNED, DELETE, INSERT, MATCH, align, aligned_reads, best_alignments, best_references, common_length, rc, scoring_matrix
 from ampliq.operators.edits import Windows, call_edits, edits_of
 
 
@@ -133,3 +135,39 @@ def test_batches_of_edits_same_as_walking_along(pairs, window, either_flank):
     column = lambda k: pa.array(["x" * 3, *[r[k] for r in rows]], pa.string())[1:]
     got = edits_of(column(0), column(1), column(2), Windows({"none": [], "w": sorted(window)}), either_flank).to_pylist()
     assert got == [plain_edits(a, b, window if w == "w" else set(), either_flank) for a, b, w in rows]
+
+
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ACGTN", max_size=90), min_size=1, max_size=4), st.text("ACGT", max_size=150))
+def test_common_length_in_bits(reads, ref):
+    assert common_length(reads, ref).tolist() == [plain_common(r, ref) for r in reads]
+
+
+def test_best_alignments_same_as_aligning_to_all(spark):
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(rng.choice(list("ACGT"), n))
+    base = [letters(40), letters(48), letters(70)]
+    refs = [{"name": f"r{k}", "seq": s, "incentive": [0] * 20 + [1] + [0] * (len(s) - 20), "min_score": m, "fw_seeds": [s[5:15]], "rc_seeds": [rc(s[5:15])]} for k, (s, m) in enumerate([(base[0], 60), (base[1], 60), (base[0][:-1] + "A", 60), (base[2], 90), (base[0], 60)])]
+    reads = []
+    for k in range(150):
+        s = list(base[k % 3])
+        for _ in range(k % 6):
+            p = int(rng.integers(len(s)))
+            s[p : p + 1] = [["A"], [], ["G", "T"]][int(rng.integers(3))]
+        reads.append("".join(s) if k % 2 else rc("".join(s)))
+    df = spark.createDataFrame([(k, s) for k, s in enumerate([*reads, "", "ACGT", None, letters(200)])], "id int, seq string")
+    names = ["id", "seq", *ALIGNED.names, "n_best", "nth"]
+    every = aligned_reads(df, refs)
+    want = {tuple(r[c] for c in names) for r in best_references(every.select("id", "seq", F.explode("aligned").alias("x")).select("id", "seq", "x.*"), ["id", "seq"]).collect()}
+    got = [tuple(r[c] for c in names) for r in best_alignments(df, refs).collect()]
+    assert set(got) == want and len(got) == len(want) and any(x[-2] > 1 for x in want)
