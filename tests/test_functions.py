@@ -1,7 +1,9 @@
+import random
 import re
 import time
 from math import comb
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -189,3 +191,18 @@ def test_places_of_bases_by_running_sums(spark):
     for r in df.select("cigar", "at", R.read_offsets(F.lit(5), F.col("cigar")).alias("every"), R.read_offset(F.lit(5), F.col("cigar"), F.col("at")).alias("one")).collect():
         want = plain(5, r.cigar)
         assert r.every == want and r.one == (want.index(r["at"]) if r["at"] in want else None)
+
+
+def test_batches_of_qualities_same_as_plain():
+    rng = random.Random(4)
+    rows = [("".join(rng.choice("ACGT") for _ in range(n)), "".join(chr(33 + rng.randrange(41)) for _ in range(n + rng.choice([0, 0, 0, -1, 2]) if n > 3 else n))) for n in rng.choices(range(9), k=200)] + [(None, "II"), ("AC", None), (None, None)]
+    for some in (rows, [r for r in rows if r[0] is not None and r[1] is not None and len(r[0]) == len(r[1])], []):
+        seq, qual = (pa.array(["x", *[r[k] for r in some]], pa.string())[1:] for k in (0, 1))
+        for least, mean, below in ((0, 0, 10), (3, 0, 0), (0, 22.5, 20), (2, 15, 5)):
+            want = []
+            for s, q in some:
+                values = [ord(c) - 33 for c in q or ""]
+                keep = not (least or mean) or bool(values) and min(values) >= least and sum(values) / len(values) >= mean
+                masked = s if s is None else "".join("N" if k < len(values) and values[k] < below else c for k, c in enumerate(s))
+                want.append({"keep": keep, "seq": masked if below else s})
+            assert Q.checked(seq, qual, least, mean, below).to_pylist() == want
