@@ -99,6 +99,7 @@ def filtered(reads: DataFrame, min_single: int = 0, min_mean: float = 0, mask_be
         return checked(seq, qual, min_single, min_mean, mask_below)
 
     columns = reads.columns
+    check = check.asNondeterministic()  # else the test is moved below, and made again behind, all that derives the reads
     reads = reads.withColumns({f"_checked{k}": check(F.col(s), F.col(q)) for k, (s, q) in enumerate(mates)})
     for k in range(len(mates) if min_single or min_mean else 0):
         reads = reads.where(F.col(f"_checked{k}.keep"))
