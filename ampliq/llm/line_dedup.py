@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import fresh, table, written
 
 MIN_SITES = 12
 MIN_CHARS = 10
@@ -56,20 +56,21 @@ def without_shared_lines(docs: DataFrame, site: str = "source", min_sites: int =
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     boilerplate = written(shared_lines(docs, site, min_sites, min_chars), spark, "boilerplate")
+    id_, gone_, lines_, kept_ = fresh(docs.columns, "_id", "_gone", "_lines", "_kept")
     row = F.xxhash64("doc_id", "text")
-    keyed = docs.select(row.alias("_id"), F.explode(F.array_distinct(F.filter(_lines("text"), lambda x: _known(x, min_chars)))).alias("line"))
-    hit = keyed.select("_id", _hashes(F.trim("line")).alias("line")).join(boilerplate, "line")
-    gone = hit.groupBy("_id").agg(F.collect_set("line").alias("_gone"))
-    met = docs.select(*names).withColumn("_id", row).join(gone, "_id", "left")
-    is_gone = lambda x: _known(x, min_chars) & F.coalesce(F.array_contains("_gone", _hashes(F.trim(x))), F.lit(False))
+    keyed = docs.select(row.alias(id_), F.explode(F.array_distinct(F.filter(_lines("text"), lambda x: _known(x, min_chars)))).alias("line"))
+    hit = keyed.select(id_, _hashes(F.trim("line")).alias("line")).join(boilerplate, "line")
+    gone = hit.groupBy(id_).agg(F.collect_set("line").alias(gone_))
+    met = docs.select(*names).withColumn(id_, row).join(gone, id_, "left")
+    is_gone = lambda x: _known(x, min_chars) & F.coalesce(F.array_contains(gone_, _hashes(F.trim(x))), F.lit(False))
     chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.length(F.trim(x)))
-    parts = met.withColumn("_lines", _lines("text")).withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~is_gone(x))))
-    untouched = F.col("_gone").isNull() | (chars(F.col("_lines")) - chars(F.col("_kept")) > max_share * chars(F.col("_lines")))
-    parts = parts.withColumn("_kept", F.when(untouched, F.col("_lines")).otherwise(F.col("_kept")))
+    parts = met.withColumn(lines_, _lines("text")).withColumn(kept_, F.when(F.col(gone_).isNull(), F.col(lines_)).otherwise(F.filter(lines_, lambda x: ~is_gone(x))))
+    untouched = F.col(gone_).isNull() | (chars(F.col(lines_)) - chars(F.col(kept_)) > max_share * chars(F.col(lines_)))
+    parts = parts.withColumn(kept_, F.when(untouched, F.col(lines_)).otherwise(F.col(kept_)))
     return parts.select(
-        *[F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n")).alias("text") if c == "text" else F.col(c) for c in names],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed"),
+        *[F.when(F.col("text").isNotNull(), F.array_join(kept_, "\n")).alias("text") if c == "text" else F.col(c) for c in names],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_) - F.size(kept_)).cast("long").alias("n_removed"),
     )
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import fresh, table, written
 
 KEY = "change me: the deployment's secret"
 MOST_ATTEMPTS = 50
@@ -183,17 +183,18 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     spark = docs.sparkSession
     names = [c for c in docs.columns if c != "n_entities"]
     possible = docs.where(F.col("text").rlike("[0-9@=:]|" + "|".join(x for x in f"{MALE}|{FEMALE}|{OTHER}".split("|"))))
+    id_, new_ = fresh(docs.columns, "_id", "_new")
     row = F.xxhash64("doc_id", "text")  # rows that shared it would only know each other's entities, whose surrogates are the same everywhere
-    found = possible.select(row.alias("_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))).alias("entity"))
+    found = possible.select(row.alias(id_), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))).alias("entity"))
     found = found.withColumn("kind", kind_of(F.col("entity"))).withColumn("normal", normal_form(F.col("kind"), F.col("entity")))
     found = written(found, spark, "entities")
     new = assigned(found, key)
-    pairs = found.join(new, ["kind", "normal"]).select("_id", F.struct("entity", _spelled(F.col("kind"), F.col("entity"), F.col("new")).alias("new")).alias("pair"))
-    maps = pairs.groupBy("_id").agg(F.map_from_entries(F.array_distinct(F.collect_list("pair"))).alias("_new"))
-    met = docs.select(*names).withColumn("_id", row).join(maps, "_id", "left")
+    pairs = found.join(new, ["kind", "normal"]).select(id_, F.struct("entity", _spelled(F.col("kind"), F.col("entity"), F.col("new")).alias("new")).alias("pair"))
+    maps = pairs.groupBy(id_).agg(F.map_from_entries(F.array_distinct(F.collect_list("pair"))).alias(new_))
+    met = docs.select(*names).withColumn(id_, row).join(maps, id_, "left")
     hits, rest = F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), F.split("text", ANY, -1)
-    replaced = F.array_join(F.zip_with(rest, hits, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(F.element_at("_new", b), b, F.lit("")))), "")
-    touched = F.col("_new").isNotNull() & F.col("text").isNotNull()
+    replaced = F.array_join(F.zip_with(rest, hits, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(F.element_at(new_, b), b, F.lit("")))), "")
+    touched = F.col(new_).isNotNull() & F.col("text").isNotNull()
     return met.select(*[F.when(touched, replaced).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in names], F.when(touched, F.size(hits)).otherwise(0).cast("long").alias("n_entities"))
 
 

@@ -1,13 +1,13 @@
 """Quality rules whose cutoffs come with a guarantee on false rejections.
 
-Base statistics are counted over every whole text in batches. A rule rejects a document whose statistic, an integer from 0 to 100, is
-above the rule's cutoff for the document's stratum (its language). Cutoffs come from the labelled documents, all of them: the labelled good
-documents are the holdout. The grid of cutoffs is fixed beforehand, so nothing is fitted on them. For a stratum and rule, cutoffs are
-tested from the mildest on with an exact binomial test of "more than its share of ``risk`` of the good documents are rejected"; the first one that
-is not refuted ends the sequence (fixed-sequence testing, no further correction), and the level of each sequence is
-``level`` over the number of strata and rules (Bonferroni). A rule's share is ``risk`` over the number of rules, so with probability 1 - level all rules
-together reject less than ``risk`` of the good documents of every stratum. Among the certified cutoffs the one with the best balance of rejected bad and good labelled documents is
-used, the mildest of equals; where none helps, or too few labels certify one, the rule rejects nothing in that stratum.
+Base statistics are counted over every whole text in batches. Five rules give a document's severities, integers from 0 to 100 on scales that are
+fixed beforehand, so that 50 is where a rule alone is commonly set. A joint cutoff is one number for all rules: it rejects a document whose severity by any rule, that is its
+worst one, is above. Cutoffs are certified by stratum (the document's language) with all its labelled good documents as the holdout; scales and grid are fixed, so nothing is fitted on
+them. They are tested from the mildest on with an exact binomial test of "``risk`` of the good documents or more are rejected"; the first one that is not refuted ends the
+sequence (fixed-sequence testing, no further correction), and the level of a stratum's sequence is ``level`` over the number of strata (Bonferroni): with
+probability 1 - level the rules together reject less than ``risk`` of the good documents of every stratum. Without a false rejection 174 good labels certify a cutoff where there are
+four strata. Among the certified cutoffs the one with the best balance of rejected bad and good labelled documents is used, the mildest of equals; where none helps, or too few labels
+certify one, only the base rules reject.
 
 Null and empty texts have no words and fail the base rules. A null language is a stratum of its own. A repeated row gets the
 same answer as its twin; a label of an unknown document has no effect; an empty label table certifies nothing. Other columns are carried.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACES, steps, table, written
+from .shared import SPACES, fresh, set_aside, steps, table, written
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -106,15 +106,16 @@ def base_failed() -> Column:
 
 
 def rule_values() -> dict[str, Column]:
-    """The rules: each an integer from 0 to 100 of the statistics; higher is worse."""
+    """The severities, each an integer from 0 to TOP of the statistics. 50 is 10 symbols in 100 words, 15 % of words in repeated windows, an equal line for
+    each 8 words, and words of 10 or of 3 characters on average."""
     words = F.greatest(F.col("n_words"), F.lit(1))
-    percent = lambda c: F.least(F.lit(TOP), F.floor(c)).cast("int")
+    scaled = lambda c: F.least(F.lit(TOP), F.floor(c)).cast("int")
     return {
-        "symbols": percent(100 * F.col("n_symbols") / words),
-        "repeats": percent(100 * F.col("n_repeat_words") / words),
-        "same_lines": percent(400 * F.col("n_dup_lines") / words),
-        "long_words": percent(4 * F.col("word_chars") / words),
-        "short_words": F.lit(TOP) - percent(10 * F.col("word_chars") / words),
+        "symbols": scaled(500 * F.col("n_symbols") / words),
+        "repeats": scaled(1000 * F.col("n_repeat_words") / (3 * words)),
+        "same_lines": scaled(400 * F.col("n_dup_lines") / words),
+        "long_words": scaled(5 * F.col("word_chars") / words),
+        "short_words": scaled(150 * words / F.greatest(F.col("word_chars"), F.lit(1))),
     }
 
 
@@ -139,47 +140,42 @@ def select_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, level: float,
     return best
 
 
-def certified_cutoffs(values: DataFrame, labels: DataFrame, rules: list[str], stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """(stratum, one cutoff per rule) from the labelled rows of ``values`` (doc_id, stratum, a column per rule, base_failed)."""
+def certified_cutoffs(values: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """(stratum, cut) from the labelled rows of ``values`` (doc_id, stratum, worst, base_failed)."""
     spark = values.sparkSession
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled = values.where(~F.col("base_failed")).join(marks, "doc_id").select(F.col(stratum).alias("stratum"), "quality", *rules)
-    bins = labelled.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in rules])).alias("x"))
-    bins = bins.groupBy("stratum", "x.rule", "x.bin").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"))
+    labelled = values.where(~F.col("base_failed")).join(marks, "doc_id").select(F.col(stratum).alias("stratum"), "quality", "worst")
+    bins = labelled.groupBy("stratum", "worst").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"))
     bins = written(bins, spark, "bins")
-    tests = max(1, bins.select("stratum").distinct().count() * len(rules))
+    strata = max(1, bins.select("stratum").distinct().count())
 
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:  # at most TOP + 1 rows a rule
-        out = {"stratum": pdf["stratum"].iloc[0]}
-        for r in rules:
-            good, bad = np.zeros(TOP + 1), np.zeros(TOP + 1)
-            at = pdf[pdf["rule"] == r]
-            good[at["bin"]], bad[at["bin"]] = at["good"], at["bad"]
-            out[r] = select_cutoff(good, bad, risk / len(rules), level / tests)
-        return pd.DataFrame([out])
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:  # at most TOP + 1 rows
+        good, bad = np.zeros(TOP + 1), np.zeros(TOP + 1)
+        good[pdf["worst"]], bad[pdf["worst"]] = pdf["good"], pdf["bad"]
+        return pd.DataFrame([{"stratum": pdf["stratum"].iloc[0], "cut": select_cutoff(good, bad, risk, level / strata)}])
 
-    return bins.groupBy("stratum").applyInPandas(f, "stratum string" + "".join(f", {r} int" for r in rules))
+    return bins.groupBy("stratum").applyInPandas(f, "stratum string, cut int")
 
 
 def with_rules(stats: DataFrame) -> DataFrame:
-    return stats.withColumn("base_failed", base_failed()).withColumns({f"rule_{k}": v for k, v in rule_values().items()})
+    """``stats`` with base_failed and worst, the largest severity."""
+    return stats.withColumn("base_failed", base_failed()).withColumn("worst", F.greatest(*rule_values().values()))
 
 
 def cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """The table of certified cutoffs, written; broadcast where it has at most ``BROADCAST_ROWS`` rows."""
-    rules = list(rule_values())
-    cut = written(certified_cutoffs(with_rules(stats), labels, [f"rule_{k}" for k in rules], stratum, risk, level), stats.sparkSession, "cutoffs")
-    cut = cut.select(F.col("stratum").alias("_stratum"), *[F.col(f"rule_{k}").alias(f"cut_{k}") for k in rules])
+    values = with_rules(stats.select("doc_id", stratum, *STATISTICS))
+    cut = written(certified_cutoffs(values, labels, stratum, risk, level), stats.sparkSession, "cutoffs")
     return F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut
 
 
 def verdicts(stats: DataFrame, cut: DataFrame, stratum: str = "lang") -> DataFrame:
     """``stats`` with base_failed and kept."""
-    rejected = F.lit(False)
-    for k in rule_values():
-        rejected = rejected | F.coalesce(F.col(f"rule_{k}") > F.col(f"cut_{k}"), F.lit(False))
-    met = with_rules(stats).join(cut, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
-    return met.select(*stats.columns, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
+    worst, of, most = fresh(stats.columns, "_worst", "_stratum", "_cut")
+    rejected = F.coalesce(F.col(worst) > F.col(most), F.lit(False))
+    given = stats.withColumn(worst, F.greatest(*rule_values().values()))
+    met = given.join(cut.select(F.col("stratum").alias(of), F.col("cut").alias(most)), F.col(stratum).eqNullSafe(F.col(of)), "left")
+    return met.select(*stats.columns, base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
@@ -191,8 +187,7 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: floa
 
 def accepted(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """The rows of ``docs`` that are kept. Statistics are counted twice, which costs less than moving all texts to meet their verdicts."""
-    own = {c: f"_own_{c}" for c in docs.columns if c in (*STATISTICS, "base_failed", "kept")}  # columns of the same names stay as they are
-    apart = docs.withColumnsRenamed(own)
+    apart, own = set_aside(docs, *STATISTICS, "base_failed", "kept")  # columns of the same names stay as they are
     cut = cutoffs(text_statistics(apart).drop("text"), labels, stratum, risk, level)
     return verdicts(text_statistics(apart), cut, stratum).where("kept").select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 

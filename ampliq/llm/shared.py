@@ -78,6 +78,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each changed as far as needed for none of the columns to have it (whatever its capitals)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its own columns of these names under names that nothing else has, and what each is called now."""
+    wanted = {n.lower() for n in names}
+    own = [c for c in df.columns if c.lower() in wanted]
+    called = dict(zip(own, fresh([*df.columns, *names], *[f"_own_{c}" for c in own]), strict=True))
+    return df.withColumnsRenamed(called), called
+
+
 def text_bytes(text: str | Column) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(F.col(text) if isinstance(text, str) else text), F.lit(0)).cast("long")

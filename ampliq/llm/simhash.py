@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import steps, table, written
+from .shared import fresh, steps, table, written
 
 SEED = 42
 BIG = 256
@@ -360,13 +360,16 @@ def near_copies(docs: DataFrame, shingle: int = 3, words: int = 1, scheme: Schem
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, words: int = 8, scheme: Sampled = WIDE) -> DataFrame:
-    """Of each group of near copies the row of ``docs`` with the smallest doc_id (and, of rows that share it, the smallest hash of its text); a row
-    without an id goes by its text's hash. Rows that share an id but not a group are kept apart by their texts."""
+    """Of each group of near copies the row of ``docs`` with the smallest doc_id (and, of rows that share it, the smallest hash of its text). Rows without an
+    id come behind all that have one, by their texts' hashes. Rows that share an id but not a group are kept apart by their texts."""
     names = docs.columns
-    keyed = docs.withColumn("_text", F.xxhash64("text")).withColumn("_key", F.coalesce("doc_id", F.col("_text")))
-    found = near_copies(keyed.select(F.col("_key").alias("doc_id"), "text", "_text"), shingle, words, scheme, with_root=True)
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "_text")).alias("least")).select(F.col("least.doc_id").alias("_key"), "least._text")
-    return keyed.join(first, ["_key", "_text"], "left_semi").dropDuplicates(["_key", "_text"]).select(*names)
+    key = fresh(names, "_unnumbered", "_number", "_text")
+    keyed = docs.withColumns(dict(zip(key, [F.col("doc_id").isNull(), F.coalesce("doc_id", F.xxhash64("text")), F.xxhash64("text")], strict=True)))
+    unnumbered, number, text = key
+    found = near_copies(keyed.select(F.col(number).alias("doc_id"), "text", F.col(unnumbered).alias("unnumbered"), F.col(text).alias("hash")), shingle, words, scheme, with_root=True)
+    first = found.groupBy("root").agg(F.min(F.struct("unnumbered", "doc_id", "hash")).alias("least"))
+    first = first.select(*[F.col(f"least.{c}").alias(k) for c, k in zip(("unnumbered", "doc_id", "hash"), key, strict=True)])
+    return keyed.join(first, key, "left_semi").dropDuplicates(key).select(*names)
 
 
 def op3_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ group one document stays. personal data: entities are replaced by surrogates. pa
 
 Null and empty texts have no words and go in the first stage; so do very short ones. Very long texts are treated like others. Rows that repeat an id and a text
 are exact copies, of which one stays; rows that share an id but not a text are documents of their own; a null id is kept as it is and counts as no one's smallest.
-Of a group of near copies the smallest id stays (ties: the smallest hash of the text). An empty table gives an empty result, and no labels certify no
+Of a group of near copies the smallest id stays (ties: the smallest hash of the text), and a row without an id only if none of the group has one. An empty table gives an empty result, and no labels certify no
 cutoff. Further columns, whatever their names, are carried up to packing, which returns its own.
 """
 
@@ -21,13 +21,14 @@ from ampliq.llm.line_dedup import without_shared_lines
 from ampliq.llm.packing import VOCABULARY, packed
 from ampliq.llm.pii import pseudonymised
 from ampliq.llm.quality import accepted
-from ampliq.llm.shared import scratch, shared_folder, table, tokenizer_path
+from ampliq.llm.shared import scratch, set_aside, shared_folder, table, tokenizer_path
 from ampliq.llm.simhash import one_of_each
 
 
-def _with_chars(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, with n_chars as the text now is."""
-    return changed.select(*[F.coalesce(F.length("text"), F.lit(0)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
+def _with_chars(changed: DataFrame, docs: DataFrame, called: dict[str, str]) -> DataFrame:
+    """The columns of ``docs``, some of which are called otherwise in ``changed``, with n_chars as the text now is."""
+    chars = F.coalesce(F.length("text"), F.lit(0))
+    return changed.select(*[chars.cast(t).alias(c) if c == "n_chars" else F.col(called.get(c, c)).alias(c) for c, t in docs.dtypes])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_chars(without_shared_lines(docs), docs)
+    apart, called = set_aside(docs, "n_lines", "n_removed")
+    return _with_chars(without_shared_lines(apart), docs, called)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_chars(pseudonymised(docs), docs)
+    apart, called = set_aside(docs, "n_entities")
+    return _with_chars(pseudonymised(apart), docs, called)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -277,6 +277,21 @@ def test_cutoffs_keep_their_promise():
     assert abs(quality.binomial_tail(2, 10, 0.3) - 0.3827827864) < 1e-9
 
 
+def test_joint_cutoffs_of_few_labels(spark):
+    """174 good labels certify a cutoff where there are four strata, and all rules together keep within the risk."""
+    good, bad = np.eye(101)[20] * 174, np.eye(101)[90] * 30
+    assert quality.select_cutoff(good, bad, quality.RISK, quality.LEVEL / 4) == 89
+    assert quality.select_cutoff(good - np.eye(101)[20], bad, quality.RISK, quality.LEVEL / 4) == 100
+    rng, broken, cuts = np.random.default_rng(1), 0, set()
+    for _ in range(300):  # the worst of five severities; the true share above a cutoff is known
+        worst = np.minimum(rng.geometric(0.05, (400, 5)), 100).max(1)
+        bad = np.bincount(np.minimum(rng.geometric(0.01, (400, 5)), 100).max(1), minlength=101)
+        cut = quality.select_cutoff(np.bincount(worst, minlength=101), bad, 0.1, quality.LEVEL, weight=1)
+        cuts.add(cut)
+        broken += cut < 100 and 1 - (1 - 0.95**cut) ** 5 > 0.1
+    assert broken <= 25 and min(cuts) < 100
+
+
 def test_quality_verdicts(spark, docs_of):
     rng = np.random.default_rng(4)
     text = lambda k, junk: " ".join(("###" if junk else "") + f"word{rng.integers(1000)}" for _ in range(40))
@@ -289,6 +304,30 @@ def test_quality_verdicts(spark, docs_of):
     assert {r.doc_id for r in quality.accepted(docs_of(AWKWARD), labels.where("false")).collect()} == {r.doc_id for r in quality.judged(docs_of(AWKWARD), labels.where("false")).where("kept").collect()}
 
 
+def test_columns_of_any_name_are_carried(spark, tmp_path):
+    import corpus_pipeline
+
+    odd = ["_id", "_gone", "_lines", "_kept", "_new", "_text", "_key", "_number", "_unnumbered", "_worst", "_stratum", "_cut", "n_lines", "N_REMOVED", "n_entities", "kept", "worst", "unnumbered", "hash", "root", "fp"]
+    rng = np.random.default_rng(8)
+    words = lambda: " ".join(rng.choice([f"term{k}" for k in range(900)], 60))
+    rows = [(k, words() + "\nmail me at someone@example.org", "en", f"s{k}", 5, *[f"{c}-{k}" for c in odd]) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in odd))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *odd]
+    got = docs.collect()
+    assert len(got) == 12 and all(r[c] == f"{c}-{r.doc_id}" for r in got for c in odd) and all("someone" not in r.text and r.n_chars == len(r.text) for r in got)
+
+
+def test_a_row_without_an_id_gives_way_to_its_copies(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice([f"term{k}" for k in range(900)], 60)) for _ in range(10)]
+    rows = [(None, t) for t in texts] + [(100 + k, t) for k, t in enumerate(texts[:8])] + [(None, texts[9])]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in got) == sorted([(False, 100 + k, t) for k, t in enumerate(texts[:8])] + [(True, 0, t) for t in texts[8:]])
+
+
 def test_shards(spark, docs_of, corpus, tmp_path):
     for bucket in (7, 4096):
         rows = sharding.assign_shards(docs_of(corpus), bucket_rows=bucket).collect()
