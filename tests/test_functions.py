@@ -18,7 +18,7 @@ from ampliq.operators import quantify as Z
 from ampliq.operators import regions as R
 from ampliq.operators.base_edits import base_edit_counts, combinations
 from ampliq.operators.edits import with_edits
-from ampliq.operators.pairs import consensus
+from ampliq.operators.pairs import Mates, bounds_of, consensus, consensus_of
 from ampliq.sources import vcf
 
 
@@ -206,3 +206,62 @@ def test_batches_of_qualities_same_as_plain():
                 masked = s if s is None else "".join("N" if k < len(values) and values[k] < below else c for k, c in enumerate(s))
                 want.append({"keep": keep, "seq": masked if below else s})
             assert Q.checked(seq, qual, least, mean, below).to_pylist() == want
+
+
+def plain_consensus(first, second):
+    """A walk along the columns of one pair."""
+    def laid(read, ref, qual):
+        out, pos, inserted, q = {}, 0, 0, iter(qual)
+        for b, r in zip(read, ref, strict=True):
+            pos, inserted = (pos + 1, 0) if r != "-" else (pos, inserted + 1)
+            out[pos, inserted] = (b, r, next(q) if b != "-" else "")
+        return out
+
+    cells = [laid(x[0], x[1], x[3]) for x in (first, second)]
+    spans = [[k for k, c in m.items() if c[0] != "-"] for m in cells]
+    columns, settled = [], True
+    for key in sorted(set(cells[0]) | set(cells[1])):
+        at = [m.get(key) for m in cells]
+        have = [c for c in at if c and c[0] != "-"]
+        ref = next(c[1] for c in at if c)
+        if len(have) == 2:
+            settled &= have[0][0] == have[1][0]
+            order = (have[0][2], first[2] >= second[2]), (have[1][2], first[2] < second[2])
+            columns.append((*(have[0] if order[0] > order[1] else have[1])[::2], ref))
+        elif have:
+            columns.append((*have[0][::2], ref))
+        elif not key[1]:
+            columns.append(("-" if any(s and s[0] <= key <= s[-1] for s in spans) else "N", "", ref))
+    kept = [k for k, c in enumerate(columns) if c[2] != "-"]
+    columns = columns[kept[0] : kept[-1] + 1] if kept else columns
+    seq, qual, ref = ("".join(c[k] for c in columns) for k in range(3))
+    return seq, qual, ref, round(100 * sum(a == b for a, b in zip(seq, ref, strict=True)) / float(max(1, len(ref))), 3), settled
+
+
+MATE = st.lists(st.sampled_from([x + y for x in "ACG-" for y in "ACG-" if x + y != "--"]), max_size=10)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(MATE, MATE, st.sampled_from([80.0, 90.0]), st.sampled_from([80.0, 90.0]), st.randoms(use_true_random=False)), min_size=1, max_size=5))
+def test_consensus_of_batches_same_as_walking_along(rows):
+    sides = [[], []]
+    for one, two, a, b, rng in rows:
+        for side, mate, score in zip(sides, (one, two), (a, b), strict=True):
+            read = "".join(c[0] for c in mate)
+            side.append((read, "".join(c[1] for c in mate), score, "".join(rng.choice("#5I") for c in read if c != "-")))
+    found = consensus_of(*(Mates.of(*zip(*side, strict=True)) for side in sides))
+    got = list(zip(found.texts(found.read), found.qualities(), found.texts(found.ref), found.score.tolist(), found.settled.tolist(), strict=True))
+    assert got == [plain_consensus(*x) for x in zip(*sides, strict=True)]
+
+
+def test_bounds_hold_whatever_the_qualities():
+    rng, sides = random.Random(6), [[], []]
+    for _ in range(300):
+        ref = rng.choices("ACG", k=rng.randrange(1, 9))
+        for side in sides:
+            columns = [c for r in ref for c in [*(rng.choice("ACG") + "-" for _ in range(rng.choice([0, 0, 0, 2]))), rng.choice([r, r, "A", "-"]) + r]]
+            read = "".join(c[0] for c in columns)
+            side.append((read, "".join(c[1] for c in columns), rng.choice([80.0, 90.0]), "".join(rng.choice("#5I") for c in read if c != "-")))
+    found = consensus_of(*(Mates.of(*zip(*side, strict=True)) for side in sides))
+    low, high = bounds_of(*(Mates.of(*list(zip(*side, strict=True))[:3]) for side in sides))
+    assert ((low <= found.score) & (found.score <= high)).all() and (low < high).any() and (low == high)[found.settled].all()
