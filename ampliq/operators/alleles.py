@@ -70,7 +70,7 @@ def ordered(alleles: DataFrame) -> DataFrame:
     return alleles.orderBy(*[f(c) for f, c in ORDER])
 
 
-def around_cut(alleles: DataFrame, keys: list[str], cut: Column, left: int, right: int, weight: str = "n_reads", keep_whole: bool = False) -> DataFrame:
+def around_cut(alleles: DataFrame, keys: list[str], cut: Column, left: int | Column, right: int | Column, weight: str = "n_reads", keep_whole: bool = False) -> DataFrame:
     """Alleles of the ``left`` columns up to and with the cut position and the ``right`` ones behind it, summed.
 
     An insertion at the cut moves columns out of the window, as the window is one of alignment columns. With ``keep_whole`` alleles stay apart by

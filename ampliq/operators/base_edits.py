@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 from ..functions.sequences import letters, values_at_reference
 
 
-def _cells(source: str, target: str, positions: list[int] | None) -> Column:
-    """For each reference position with the source base (among ``positions``): what was read there, and its code.
+def _cells(source: str, target: str, positions: list[int] | Column | None) -> Column:
+    """For each reference position with the source base (among ``positions``, numbers or a column of arrays): what was read there, and its code.
 
     R: the reference base, T: the target base, D: deleted, I: bases inserted behind it, N: another base."""
     code = lambda v: F.when(v == source, "R").when(v == target, "T").when(v == "-", "D").when(F.length(v) != 1, "I").otherwise("N")
     values = values_at_reference(F.col("aln_seq"), F.col("aln_ref"))
     pairs = F.zip_with(values, letters(F.translate("aln_ref", "-", "")), lambda v, r: F.struct(v.alias("value"), r.alias("base")))
     placed = F.transform(pairs, lambda x, k: F.struct(k.alias("pos"), x["base"].alias("base"), x["value"].alias("value"), code(x["value"]).alias("code")))
-    return F.filter(placed, lambda x: (x["base"] == source) & (F.lit(True) if positions is None else x["pos"].isin(positions)))
+    among = (lambda pos: F.lit(True)) if positions is None else (lambda pos: F.array_contains(positions, pos)) if isinstance(positions, Column) else (lambda pos: pos.isin(positions))
+    return F.filter(placed, lambda x: (x["base"] == source) & among(x["pos"]))
 
 
-def combinations(alleles: DataFrame, keys: list[str], source: str, target: str, weight: str = "n_reads", form: str = "category", positions: list[int] | None = None) -> DataFrame:
+def combinations(alleles: DataFrame, keys: list[str], source: str, target: str, weight: str = "n_reads", form: str = "category", positions: list[int] | Column | None = None) -> DataFrame:
     """(keys, combination, n_reads): at each position of the source base what was read, a text a read.
 
     ``form``: category, a letter a position (R, T, D, I, N); binary, T where the target base was read and X elsewhere; precise, what was read, joined by commas.
@@ -33,7 +34,7 @@ def combinations(alleles: DataFrame, keys: list[str], source: str, target: str,
     return alleles.groupBy(*keys, texts[form].alias("combination")).agg(F.sum(weight).alias(weight))
 
 
-def base_edit_counts(alleles: DataFrame, keys: list[str], source: str, target: str, weight: str = "n_reads", positions: list[int] | None = None) -> dict[str, DataFrame]:
+def base_edit_counts(alleles: DataFrame, keys: list[str], source: str, target: str, weight: str = "n_reads", positions: list[int] | Column | None = None) -> dict[str, DataFrame]:
     """The tables on base edits within reads, from alleles with n_deleted and n_inserted: reads by combination in each form and whether the read has an
     insertion or deletion; reads by position and code; and reads whose positions are all the reference's, all the target's, or neither."""
     marked = alleles.withColumn("has_indel", (F.col("n_deleted") > 0) | (F.col("n_inserted") > 0))

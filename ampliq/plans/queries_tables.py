@@ -13,14 +13,16 @@ from ..operators import positions as P
 from ..operators import quantify as Z
 from ..operators import references as R
 from ..operators.align import rc
+from ..sources.files import shared_folder
+from ..sources.sinks import EDITING_NAMES, publish_lines, published_lines
 from .derived import CUT, REFS, WINDOW, WITH, alleles, reads, references, table, variants
 from .fisher import BY_KIND, BY_POSITION, fisher_sql
 from .modes import pooled_mixed, pooled_on_genome, regions_compared
-from .queries_edits import _AT, _IN, _N, KEYS, _count
+from .queries_edits import _ALL, _AT, _IN, _N, _PILE, KEYS, _count
 from .queries_modes import NAMES, _refs
 from .queries_samples import _tests
 from .registry import query
-from .tables import per_guide
+from .tables import VECTORS, around_guides, guides_of, published
 
 #: What a read has at reference position i, by construction.
 _VALUE = "(CASE WHEN e = 'I' AND i = p - 1 THEN concat(substr(ref_seq, i + 1, 1), substr('GATTACA', 1, k)) WHEN e = 'I' THEN substr(ref_seq, i + 1, 1) ELSE substr(aln_seq, i + 1, 1) END)"
@@ -137,13 +139,63 @@ def base_edit_reads(spark, sf):
     WITH + f"""SELECT ref_name, substr(aln_seq, {_AT} - 9, 20) AS aln_seq, substr(aln_ref, {_AT} - 9, 20) AS aln_ref, NOT modified AS unedited, {_N} AS n_reads FROM vars GROUP BY ALL""",
 )
 def tables_around_guides(spark, sf):
-    """The allele table around the guide of every reference, put together again."""
-    stored = A.allele_table(variants(spark, sf), []).cache()  # read once for each of the 20 references
-    parts = [per_guide(stored, r)[f"{r.name}.Alleles_frequency_table_around_sgRNA_{r.guides[0].seq}"].withColumn("ref_name", F.lit(r.name)) for r in _refs(spark, sf, NAMES)]
-    whole = parts[0]
-    for t in parts[1:]:
-        whole = whole.unionByName(t)
-    return whole.groupBy("ref_name", "aln_seq", "aln_ref", "unedited").agg(F.sum("n_reads").alias("n_reads"))
+    """The allele table around the guide of every reference, in one plan."""
+    found = around_guides(A.allele_table(variants(spark, sf), []), [], guides_of(spark, _refs(spark, sf, NAMES)))
+    return found.groupBy("ref_name", "aln_seq", "aln_ref", "unedited").agg(F.sum("n_reads").alias("n_reads"))
+
+
+def _published(spark, sf):
+    """Every table of the two samples and 20 references as text, read back: sample, ref_name (or none), name, and the cells of each line but headers."""
+    path = f"{shared_folder(spark)}/published"
+    publish_lines(published(variants(spark, sf), _refs(spark, sf, NAMES), ["sample"]), path)
+    parts = F.split("table", r"\.")
+    lines = published_lines(spark, path).select(parts[0].alias("sample"), F.when(F.size(parts) > 2, parts[1]).alias("ref_name"), F.element_at(parts, -1).alias("name"), F.split("value", "\t").alias("cells"))
+    return lines.where(~F.col("cells")[0].isin("", "Sequence", "Amplicon", "Aligned_Sequence"))
+
+
+def _vectors(spark, sf, name, labels):
+    """(sample, ref_name, kind, pos, n) of wide tables: what isn't 0."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), F.col("cells")[0])
+    rows = _published(spark, sf).where(F.col("name") == name).select("sample", "ref_name", kind.alias("kind"), F.posexplode(F.slice("cells", 2, 64)).alias("pos", "n"))
+    return rows.select("sample", "ref_name", "kind", "pos", F.col("n").cast("double").cast("long").alias("n")).where("n > 0")
+
+
+@query("K03_count_vectors", WITH + f"""SELECT sample, ref_name, kind, pos, {_N} AS n FROM ({_ALL} UNION ALL SELECT sample, ref_name, 'insertion_left', p - 1 FROM vars WHERE e = 'I') AS t GROUP BY ALL UNION ALL SELECT sample, ref_name, 'total', pos, {_N} FROM ({_ALL}) AS t GROUP BY ALL
+UNION ALL SELECT sample, ref_name, 'reads', CAST(i AS INT), {_N} FROM vars, range(64) AS r(i) GROUP BY ALL""")
+def count_vectors(spark, sf):
+    return _vectors(spark, sf, "Modification_count_vectors", VECTORS)
+
+
+@query("K03_window_vectors", WITH + f"SELECT sample, ref_name, kind, pos, {_N} AS n FROM ({_IN}) AS t GROUP BY ALL UNION ALL SELECT sample, ref_name, 'total', pos, {_N} FROM ({_IN}) AS t GROUP BY ALL UNION ALL SELECT sample, ref_name, 'reads', CAST(i AS INT), {_N} FROM vars, range(64) AS r(i) GROUP BY ALL")
+def window_vectors(spark, sf):
+    return _vectors(spark, sf, "Quantification_window_modification_count_vectors", VECTORS)
+
+
+@query("K04_nucleotide_table", WITH + f"SELECT sample, ref_name, base AS kind, pos, CAST(sum(n) AS BIGINT) AS n FROM ({_PILE}) AS t GROUP BY ALL")
+def nucleotide_table(spark, sf):
+    return _vectors(spark, sf, "Nucleotide_frequency_table", {b: b for b in P.BASES})
+
+
+@query("K01_allele_file", WITH + f"SELECT sample, ref_name, aln_seq, aln_ref, modified, {_N} AS n_reads, round(100.0 * count(*) / CAST(sum(count(*)) OVER (PARTITION BY sample) AS DOUBLE), 6) AS pct FROM vars GROUP BY sample, ref_name, aln_seq, aln_ref, modified")
+def allele_file(spark, sf):
+    c = lambda k: F.col("cells")[k]
+    rows = _published(spark, sf).where("name = 'Alleles_frequency_table'")
+    return rows.select("sample", c(2).alias("ref_name"), c(0).alias("aln_seq"), c(1).alias("aln_ref"), (c(3) == "MODIFIED").alias("modified"), c(7).cast("long").alias("n_reads"), F.round(c(8).cast("double"), 6).alias("pct"))
+
+
+@query("K02_editing_file", WITH + f"SELECT sample, ref_name, {_N} AS n_reads, round(100.0 * {_count('modified')} / CAST(count(*) AS DOUBLE), 6) AS modified_pct FROM vars GROUP BY sample, ref_name")
+def editing_file(spark, sf):
+    names = [c for c in EDITING_NAMES if c in Z.editing(variants(spark, sf), ["sample", "ref_name"]).columns]
+    at = lambda c: F.col("cells")[names.index(c)]
+    rows = _published(spark, sf).where("name = 'quantification_of_editing_frequency'")
+    return rows.select("sample", at("ref_name").alias("ref_name"), at("n_reads").cast("long").alias("n_reads"), F.round(at("modified_pct").cast("double"), 6).alias("modified_pct"))
+
+
+@query("K05_guide_files", WITH + f"SELECT sample, ref_name, substr(aln_seq, {_AT} - 9, 20) AS aln_seq, substr(aln_ref, {_AT} - 9, 20) AS aln_ref, NOT modified AS unedited, {_N} AS n_reads FROM vars GROUP BY ALL")
+def guide_files(spark, sf):
+    c = lambda k: F.col("cells")[k]
+    rows = _published(spark, sf).where("name LIKE 'Alleles_frequency_table_around_sgRNA_%'").select("sample", "ref_name", c(0).alias("aln_seq"), c(1).alias("aln_ref"), (c(2) == "true").alias("unedited"), c(6).cast("long").alias("n"))
+    return rows.groupBy("sample", "ref_name", "aln_seq", "aln_ref", "unedited").agg(F.sum("n").alias("n_reads"))
 
 
 _RATES = f"SELECT sample, ref_name, 100.0 * {_count('NOT modified')} / CAST(count(*) AS DOUBLE) AS u, {_N} AS n_reads FROM vars GROUP BY ALL"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alleles as A
@@ -10,8 +12,9 @@ from ..operators import amino, prime
 from ..operators import positions as P
 from ..operators.base_edits import base_edit_counts
 from ..operators.multi import totals
+from ..operators.quantify import editing
 from ..operators.references import Guide, Reference
-from ..sources.sinks import ALLELE_NAMES, base_edit_files, tsv
+from ..sources.sinks import ALLELE_NAMES, EDITING_NAMES, base_edit_files, tsv, tsv_lines, wide_lines
 
 
 def label(guide: Guide) -> str:
@@ -39,6 +42,63 @@ def per_guide(alleles: DataFrame, ref: Reference, source: str | None = None, tar
     return out
 
 
+def guides_of(spark: SparkSession, refs: list[Reference]) -> DataFrame:
+    """(ref_name, guide, cut, half, plot, inside): a row per guide, with the positions that its tables show and those it lies on."""
+    rows = [(r.name, label(g), g.cut, len(g.plot) // 2, g.plot, list(range(g.start, g.end + 1))) for r in refs for g in r.guides]
+    return spark.createDataFrame(rows, "ref_name string, guide string, cut int, half int, plot array<int>, inside array<int>")
+
+
+def around_guides(alleles: DataFrame, keys: list[str], guides: DataFrame) -> DataFrame:
+    """Alleles around the cut of every guide, in one plan whatever the number of references: (keys, ref_name, guide, aln_seq, aln_ref, unedited, n_deleted, n_inserted,
+    n_mutated, n_reads, pct_reads), percents being those of the guide's reads."""
+    keys = [*keys, "ref_name", "guide"]
+    return A.with_percent(A.around_cut(alleles.join(guides, "ref_name"), keys, F.col("cut"), F.col("half"), F.col("half")), keys)
+
+
+def base_edits_in_guides(alleles: DataFrame, keys: list[str], guides: DataFrame, source: str, target: str) -> dict[str, DataFrame]:
+    """``base_edit_counts`` within every guide, by keys, ref_name and guide."""
+    return base_edit_counts(alleles.join(guides, "ref_name"), [*keys, "ref_name", "guide"], source, target, positions=F.col("inside"))
+
+
+#: The published rows of count vectors, and the kinds they hold.
+VECTORS = {"Insertions": "insertion", "Insertions_Left": "insertion_left", "Deletions": "deletion", "Substitutions": "substitution", "All_modifications": "total", "Total": "reads"}
+
+
+def published(variants: DataFrame, refs: list[Reference], keys: list[str]) -> DataFrame:
+    """The lines (table, head, weight, line) of the tables of all keys and references in one plan, for ``publish_lines``: editing frequencies and alleles of each key; of
+    each reference the counts of edits by position, over all and in the window, and of nucleotides; and the alleles around each guide.
+
+    A table is called as published ones are, behind its keys and its reference."""
+    spark = variants.sparkSession
+    own = lambda *more: F.concat_ws(".", *keys, *more)
+    guides, bases = guides_of(spark, refs), spark.createDataFrame([(r.name, r.seq) for r in refs], "ref_name string, ref_seq string")
+    both, alleles = [*keys, "ref_name"], A.allele_table(variants, keys)
+    reads = totals(variants, both)
+    named = lambda name: own("ref_name", F.lit(name))
+    there = lambda name: reads.select(named(name).alias("table"), "ref_name")
+
+    def vectors(name: str, in_window: bool) -> DataFrame:
+        labels = {k: v for k, v in VECTORS.items() if not (in_window and v == "insertion_left")}
+        counts = P.with_totals(P.edit_positions(variants, both, in_window), both)
+        every = reads.join(bases, "ref_name").select(*both, F.lit("reads").alias("kind"), F.explode(F.sequence(F.lit(0), F.length("ref_seq") - 1)).alias("pos"), F.col("n_reads").alias("n"))
+        of_kind = F.element_at(F.create_map(*[F.lit(x) for k, v in labels.items() for x in (v, k)]), F.col("kind"))
+        counts = counts.select(*both, "kind", "pos", "n").unionByName(every).select(named(name).alias("table"), of_kind.alias("label"), "pos", F.col("n").alias("value"))
+        return wide_lines(counts, there(name), bases, list(labels), "Sequence")
+
+    pile = P.nucleotides(variants, both).select(named("Nucleotide_frequency_table").alias("table"), F.col("base").alias("label"), "pos", F.col("n").cast("double").alias("value"))
+    rates = editing(variants, both)
+    around = around_guides(alleles, keys, guides)
+    names = {c: ALLELE_NAMES.get(c, c) for c in around.columns if c not in (*keys, "ref_name", "guide")}
+    parts = [
+        tsv_lines(rates, own(F.lit("quantification_of_editing_frequency")), {c: n for c, n in EDITING_NAMES.items() if c in rates.columns}, F.lit(0)),
+        tsv_lines(alleles, own(F.lit("Alleles_frequency_table")), {c: n for c, n in ALLELE_NAMES.items() if c in alleles.columns}, F.col("n_reads")),
+        vectors("Modification_count_vectors", False), vectors("Quantification_window_modification_count_vectors", True),
+        wide_lines(pile, there("Nucleotide_frequency_table"), bases, list(P.BASES)),
+        tsv_lines(around, own("ref_name", F.concat(F.lit("Alleles_frequency_table_around_"), "guide")), names, F.col("n_reads")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def coding(alleles: DataFrame, ref: Reference, parts: list[tuple[str, str]], cut: int, width: int) -> dict[str, DataFrame]:
     """The amino acid table of each coding part (name, sequence) of one reference."""
     own = alleles.where(F.col("ref_name") == ref.name)

@@ -40,6 +40,42 @@ def wide(counts: DataFrame, bases: DataFrame, path: str, label: str, value: str,
     head.union(body).repartitionByRange(1, "_k").sortWithinPartitions("_k").select("value").write.text(path)
 
 
+def tsv_lines(df: DataFrame, table: Column, names: dict[str, str], weight: Column) -> DataFrame:
+    """(table, head, weight, line): the lines of many tab-separated tables with their headers; ``table`` names the one that a row belongs to. Rows go by falling weight.
+
+    names: columns and what they are called. A null is NA, numbers are rounded half to even at the eighth place."""
+    kinds = dict(df.dtypes)
+    rows = df.select(F.coalesce(table, F.lit("")).alias("table"), F.lit(1).alias("head"), weight.cast("long").alias("weight"), F.concat_ws("\t", *[_text(c, kinds[c]) for c in names]).alias("line"))
+    heads = rows.select("table").distinct().select("table", F.lit(0).alias("head"), F.lit(0).cast("long").alias("weight"), F.lit("\t".join(names.values())).alias("line"))
+    return heads.unionByName(rows)
+
+
+def wide_lines(counts: DataFrame, tables: DataFrame, refs: DataFrame, labels: list[str], first: str = "") -> DataFrame:
+    """(table, head, weight, line): the lines of many tables with a row per label and a cell per position of a reference, whose bases are the header.
+
+    counts: (table, label, pos, value); tables: (table, ref_name), the tables that there are; refs: (ref_name, ref_seq). A position without a count is 0.
+    A table's rows are its labels, as many cells each as the reference has bases, so its lines are bounded."""
+    bases = refs.select("ref_name", F.regexp_extract_all("ref_seq", F.lit("."), F.lit(0)).alias("bases"))
+    every = tables.select(F.coalesce("table", F.lit("")).alias("table"), "ref_name").join(bases, "ref_name")
+    held = counts.groupBy("table", "label").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col("value").cast("string")))).alias("held"))
+    asked = every.select("table", "bases", F.posexplode(F.array(*map(F.lit, labels))).alias("k", "label")).join(held, ["table", "label"], "left")
+    cells = F.array_join(F.transform("bases", lambda _, k: F.coalesce(F.element_at("held", k), F.lit("0"))), "\t")
+    rows = asked.select("table", F.lit(1).alias("head"), (-F.col("k")).cast("long").alias("weight"), F.concat_ws("\t", "label", cells).alias("line"))
+    return every.select("table", F.lit(0).alias("head"), F.lit(0).cast("long").alias("weight"), F.concat_ws("\t", F.lit(first), F.array_join("bases", "\t")).alias("line")).unionByName(rows)
+
+
+def publish_lines(lines: DataFrame, path: str) -> None:
+    """Many tables in one job, each in a folder ``table=<name>`` of text files that follow each other by their names. Tables are dealt out by ranges of their
+    lines, so that a long one is written by several tasks; the header is the first line of the first file."""
+    order = [F.asc("table"), F.asc("head"), F.desc("weight"), F.asc("line")]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("table", F.col("line").alias("value")).write.partitionBy("table").text(path)
+
+
+def published_lines(spark, path: str) -> DataFrame:
+    """(table, value): the lines of all published tables."""
+    return spark.read.option("basePath", path).schema("value string, table string").text(path).select("table", "value")
+
+
 def base_edit_files(tables: dict[str, DataFrame], stem: str) -> None:
     """The files on base edits within reads, from ``base_edit_counts``: combinations with their counts, most frequent first (binary, category, precise: a cell
     a position), counts by position (arrays: a row a class), and reads of only reference or only target bases (counts)."""

@@ -253,6 +253,32 @@ def test_published_tables(spark, tmp_path):
     assert set(arrays["total_counts"]) == {"4"} and len(arrays) == 6
 
 
+def test_tables_of_all_keys_in_one_plan(spark, tmp_path):
+    from ampliq.operators.references import build
+    from ampliq.plans import tables as published
+
+    seqs = ["ACGTCACGTACCATGGACGTCCATTGCAAT", "TTGTCACGTACCATGGACGTCCATTGCGG"]
+    refs = [build(f"r{k}", s, ["CACGTACCATGG"], skip_left=0, skip_right=0, plot=5) for k, s in enumerate(seqs)]
+    rows = [(sample, r.name, r.seq[:p] + "-" + r.seq[p + 1 :] if p else r.seq, r.seq, n) for sample in "ab" for r in refs for p, n in ((0, 3), (9, 2), (13, 1)) if (sample, r.name) != ("b", "r1")]
+    v = with_edits(spark.createDataFrame(rows, "sample string, ref_name string, aln_seq string, aln_ref string, n_reads long"), {r.name: r.window for r in refs})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.publish_lines(published.published(v, refs, ["sample"]), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = lambda name: [line for p in sorted((tmp_path / "out" / f"table={name}").glob("part-*")) for line in p.read_text().splitlines()]
+    wide = [line.split("\t") for line in files("a.r0.Modification_count_vectors")]
+    assert wide[0] == ["Sequence", *seqs[0]] and [w[0] for w in wide[1:]] == list(published.VECTORS)
+    assert wide[3][1:] == ["2" if k == 9 else "1" if k == 13 else "0" for k in range(30)] and set(wide[1][1:]) == {"0"} and set(wide[6][1:]) == {"6"}
+    assert [line.split("\t")[0] for line in files("b.r0.Nucleotide_frequency_table")] == ["", *"ACGTN-"] and files("b.r0.Nucleotide_frequency_table")[6].split("\t")[10] == "2.0"
+    alleles = [line.split("\t") for line in files("a.Alleles_frequency_table")]
+    assert alleles[0][:4] == ["Aligned_Sequence", "Reference_Sequence", "Reference_Name", "Read_Status"] and [x[7] for x in alleles[1:]] == ["3", "3", "2", "2", "1", "1"]
+    assert files("a.quantification_of_editing_frequency")[0].startswith("Amplicon\tUnmodified%") and not files("b.r1.Modification_count_vectors")
+    # as many steps for two references as for one
+    size = lambda some: published.published(v, some, ["sample"])._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert size(refs) == size(refs[:1])
+
+
 def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     reads = spark.createDataFrame([("s", "ACGT")] * 3 + [("s", "TTTT")], "sample string, seq string")
     reads.repartition(2).write.parquet(str(tmp_path / "in"))
