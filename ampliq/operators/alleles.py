@@ -52,10 +52,15 @@ def strand_merged(reads: DataFrame, keys: list[str], seq: str = "seq", order: st
     return both.groupBy(*keys, "_key").agg(F.min_by(seq, F.struct(order, seq)).alias(seq), F.sum(weight).alias(weight), F.min(order).alias(order)).drop("_key")
 
 
-def allele_table(variants: DataFrame, keys: list[str], ignore: tuple[str, ...] = ()) -> DataFrame:
-    """A row per aligned pair: status, numbers of edited bases, reads and percent of the key's reads."""
+def allele_rows(variants: DataFrame, keys: list[str], ignore: tuple[str, ...] = ()) -> DataFrame:
+    """A row per aligned pair: status, numbers of edited bases, and reads."""
     rows = variants.groupBy(*keys, "ref_name", "aln_seq", "aln_ref", F.when(modified(ignore), "MODIFIED").otherwise("UNMODIFIED").alias("read_status"), F.col("edits.deletion_n").alias("n_deleted"), F.col("edits.insertion_n").alias("n_inserted"), F.col("edits.substitution_n").alias("n_mutated"))
-    return with_percent(rows.agg(F.sum("n_reads").alias("n_reads")), keys)
+    return rows.agg(F.sum("n_reads").alias("n_reads"))
+
+
+def allele_table(variants: DataFrame, keys: list[str], ignore: tuple[str, ...] = ()) -> DataFrame:
+    """``allele_rows`` with the percent of the key's reads."""
+    return with_percent(allele_rows(variants, keys, ignore), keys)
 
 
 def with_percent(alleles: DataFrame, keys: list[str], name: str = "pct_reads") -> DataFrame:

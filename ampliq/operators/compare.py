@@ -101,14 +101,16 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, math.exp(min(0.0, log(a) - log(mode))) * tail / whole)
 
 
-def position_tests(a: DataFrame, b: DataFrame, keys: list[str], positions: DataFrame, totals_a: DataFrame, totals_b: DataFrame) -> DataFrame:
-    """(keys, pos, n_1, n_2, p, q): per position Fisher's exact test of modified against other reads, with Bonferroni's correction.
-
-    ``positions`` has every (keys, pos) to test; the correction is by the number of positions of the key.
-    """
-    met = positions.join(a.select(*keys, "pos", F.col("n").alias("n_1")), [*keys, "pos"], "left").join(b.select(*keys, "pos", F.col("n").alias("n_2")), [*keys, "pos"], "left")
+def position_tests(counts: DataFrame, totals: DataFrame, keys: list[str], positions: DataFrame, first: str, second: str, sample: str = "sample", of_total: list[str] | None = None) -> DataFrame:
+    """(keys, pos, n_1, n_2, p, q): per position Fisher's exact test of modified against other reads of two samples, with Bonferroni's correction.
+
+    counts: (sample, keys, pos, n); totals: (sample, of_total, n_reads), where ``of_total`` are those of the keys that reads are summed by. Both samples are taken from either
+    table in one pass. ``positions`` has every (keys, pos) to test; the correction is by the number of positions of the key."""
+    of_total = keys if of_total is None else of_total
+    pick = lambda c, s, n: F.sum(F.when(F.col(sample) == s, F.col(c)).otherwise(0)).alias(n)
+    both = lambda df, by, c, n: df.where(F.col(sample).isin(first, second)).groupBy(*by).agg(pick(c, first, f"{n}_1"), pick(c, second, f"{n}_2"))
+    met = positions.join(both(counts, [*keys, "pos"], "n", "n"), [*keys, "pos"], "left").join(both(totals, of_total, "n_reads", "all"), of_total, "left")
     met = met.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_1", "n_2")})
-    met = met.join(totals_a.select(*keys, F.col("n_reads").alias("all_1")), keys, "left").join(totals_b.select(*keys, F.col("n_reads").alias("all_2")), keys, "left")
     m = positions.groupBy(*keys).agg(F.count(F.lit(1)).alias("tests"))
 
     @F.pandas_udf("double")

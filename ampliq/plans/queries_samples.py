@@ -11,6 +11,7 @@ from ..operators import multi as M
 from ..operators import positions as P
 from ..operators import quantify as Z
 from ..operators import regions as R
+from ..sources.files import stored
 from .derived import WINDOW, WITH, alleles, reads, table, variants
 from .queries_edits import _IN, _N, _PILE, _count
 from .registry import query
@@ -20,7 +21,8 @@ _AK = ", ".join(["ref_name", *C.ALLELE_KEYS])
 
 
 def _both(spark, sf):
-    t = A.allele_table(variants(spark, sf), ["sample"]).withColumn("unedited", F.col("read_status") == "UNMODIFIED")
+    rows = stored(A.allele_rows(variants(spark, sf), ["sample"]), "alleles")  # called once, then summed and compared
+    t = A.with_percent(rows, ["sample"]).withColumn("unedited", F.col("read_status") == "UNMODIFIED")
     return C.two_samples(t, ["ref_name", *C.ALLELE_KEYS], "O", "F")
 
 
@@ -74,12 +76,10 @@ def editing_difference(spark, sf):
 
 
 def _tests(spark, sf):
-    v = variants(spark, sf)
-    pos = P.edit_positions(v, ["sample", "ref_name"], in_window=True).groupBy("sample", "ref_name", "pos").agg(F.sum("n").alias("n"))
-    totals = v.groupBy("sample", "ref_name").agg(F.sum("n_reads").alias("n_reads"))
+    pos = P.edit_positions(variants(spark, sf), ["sample", "ref_name"], in_window=True)
+    totals = alleles(spark, sf).groupBy("sample", "ref_name").agg(F.sum("n_reads").alias("n_reads"))
     every = totals.select("ref_name").distinct().withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    side = lambda df, s: df.where(F.col("sample") == s).drop("sample")
-    return C.position_tests(side(pos, "O"), side(pos, "F"), ["ref_name"], every, side(totals, "O"), side(totals, "F"))
+    return C.position_tests(pos, totals, ["ref_name"], every, "O", "F")
 
 
 @query("F36_tested_counts", WITH + f"""SELECT r.ref_name, CAST(i AS INT) AS pos, CAST(count(*) FILTER (WHERE sample = 'O') AS BIGINT) AS n_1, CAST(count(*) FILTER (WHERE sample = 'F') AS BIGINT) AS n_2

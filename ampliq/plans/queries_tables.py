@@ -13,7 +13,7 @@ from ..operators import positions as P
 from ..operators import quantify as Z
 from ..operators import references as R
 from ..operators.align import rc
-from ..sources.files import shared_folder
+from ..sources.files import shared_folder, stored
 from ..sources.sinks import EDITING_NAMES, publish_lines, published_lines
 from .derived import CUT, REFS, WINDOW, WITH, alleles, reads, references, table, variants
 from .fisher import BY_KIND, BY_POSITION, fisher_sql
@@ -147,7 +147,7 @@ def tables_around_guides(spark, sf):
 def _published(spark, sf):
     """Every table of the two samples and 20 references as text, read back: sample, ref_name (or none), name, and the cells of each line but headers."""
     path = f"{shared_folder(spark)}/published"
-    publish_lines(published(variants(spark, sf), _refs(spark, sf, NAMES), ["sample"]), path)
+    publish_lines(published(stored(variants(spark, sf), "variants"), _refs(spark, sf, NAMES), ["sample"]), path)
     parts = F.split("table", r"\.")
     lines = published_lines(spark, path).select(parts[0].alias("sample"), F.when(F.size(parts) > 2, parts[1]).alias("ref_name"), F.element_at(parts, -1).alias("name"), F.split("value", "\t").alias("cells"))
     return lines.where(~F.col("cells")[0].isin("", "Sequence", "Amplicon", "Aligned_Sequence"))
@@ -220,7 +220,7 @@ def significant_positions(spark, sf):
 
 @query("J11_significant_positions", WITH + f"SELECT ref_name, kind, CAST(sum(CASE WHEN least(1.0, 64 * p) <= 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS n_significant FROM ({fisher_sql(BY_KIND, 'ref_name, kind, pos')}) AS t GROUP BY ref_name, kind")
 def significant_by_region(spark, sf):
-    return regions_compared(variants(spark, sf), _refs(spark, sf, NAMES), "O", "F")["significant"].select("ref_name", "kind", "n_significant")
+    return regions_compared(stored(variants(spark, sf), "variants"), _refs(spark, sf, NAMES), "O", "F")["significant"].select("ref_name", "kind", "n_significant")
 
 
 def _mapped(spark, sf):

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -35,3 +35,10 @@ def shared_folder(spark: SparkSession) -> str:
         at = "file://" + tempfile.mkdtemp(prefix="ampliq-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/ampliq/files-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: for what several branches of a plan use, and for ending its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
