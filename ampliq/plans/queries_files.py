@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import alignment_cigar, reverse_complement
 from ..operators import regions as R
-from ..sources import bam, fasta, fastq, sam
-from ..sources.files import shared_folder
-from .derived import WITH, reads, references
+from ..operators.quantify import editing
+from ..sources import bam, fasta, fastq, runs, sam, tables, vcf
+from ..sources.files import shared_folder, stored
+from .derived import WITH, reads, references, table, variants
 from .modes import whole_genome
 from .queries_edits import _N, _count
 from .queries_modes import NAMES, _refs
@@ -177,3 +178,57 @@ def whole_genome_regions(spark, sf):
     records = _mapped(spark, sf).withColumn("pos", F.lit(1001).cast("long")).select("chr", "pos", "cigar", "seq")
     regions = records.select("chr").distinct().select("chr", F.lit(1001).cast("long").alias("bpstart"), F.lit(1064).cast("long").alias("bpend"), F.col("chr").alias("name"))
     return whole_genome(records, regions, {r.name: r for r in _refs(spark, sf, NAMES)})["editing"].select("region", "n_reads", "substitutions")
+
+
+@query("A19_nested_runs", WITH + f"""SELECT run, part_of, ref_name, CASE WHEN run = 'F' THEN NULL ELSE n_reads END AS n_reads, modified FROM (
+  SELECT sample AS run, CASE WHEN sample = 'F' THEN 'batch' ELSE 'batch/pool' END AS part_of, ref_name, {_N} AS n_reads, {_count('modified')} AS modified FROM vars GROUP BY sample, ref_name) AS t
+UNION ALL SELECT 'alone', '', ref_name, {_N}, {_count('modified')} FROM vars GROUP BY ref_name""")
+def nested_runs(spark, sf):
+    """A batch of a run and a pool of another, and a single run; one that isn't over and one that never began count for nothing. One run lacks a column."""
+    v, folder = stored(variants(spark, sf), "variants"), shared_folder(spark)
+    rates = lambda df: editing(df, ["ref_name"]).select("ref_name", "n_reads", "modified")
+    runs.write(spark, f"{folder}/b/F", "F", {"editing": rates(v.where("sample = 'F'")).drop("n_reads")})
+    runs.write(spark, f"{folder}/b/pool/O", "O", {"editing": rates(v.where("sample = 'O'"))})
+    runs.write(spark, f"{folder}/b/pool", "pool", {}, "pooled", parts=["O", "never"])
+    runs.write(spark, f"{folder}/b", "batch", {}, "batch", parts=["F", "pool"])
+    runs.write(spark, f"{folder}/alone", "alone", {"editing": rates(v)})
+    runs.write(spark, f"{folder}/broken", "broken", {}, status="running")
+    found = runs.table(spark, runs.unrolled(runs.catalogue(spark, folder)), "editing")
+    return found.select("run", F.array_join("part_of", "/").alias("part_of"), "ref_name", "n_reads", "modified")
+
+
+@query("K09_vcf_file", WITH + f"SELECT concat('chr', CAST(ref_id AS VARCHAR)) AS chr, CAST(1000 + p AS BIGINT) AS pos, substr(ref_seq, p + 1, 1) AS ref, substr(aln_seq, p + 1, 1) AS alt, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY p, substr(aln_seq, p + 1, 1)) AS INT) AS nth FROM (SELECT DISTINCT ref_id, ref_seq, aln_seq, p FROM vars WHERE sub_w) AS s")
+def vcf_file(spark, sf):
+    """Substitutions of a written file, in the order of its lines within their chromosome."""
+    path = f"{shared_folder(spark)}/edits"
+    v = variants(spark, sf).where("edits.deletion_n = 0 AND edits.insertion_n = 0")
+    vcf.write(vcf.edit_counts(v, {n: (f"chr{n[1:]}", 1000) for n in NAMES}, []), path, {f"chr{n[1:]}": 2000 for n in NAMES})
+    lines = spark.read.text(path).where(~F.col("value").startswith("#")).withColumn("line", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()))
+    c = lambda k: F.split("value", "\t")[k]
+    rows = lines.select("line", c(0).alias("chr"), c(1).cast("long").alias("pos"), c(3).alias("ref"), c(4).alias("alt"))
+    return rows.select("chr", "pos", "ref", "alt", F.row_number().over(W.partitionBy("chr").orderBy("line")).cast("int").alias("nth"))
+
+
+@query("A13_region_file", "SELECT concat('chr', CAST(CAST(p_partkey % 5 AS INT) AS VARCHAR)) AS chr_id, CAST(sum(p_partkey * 3) AS BIGINT) AS starts, CAST(sum(p_partkey * 3 + p_size) AS BIGINT) AS ends, max(concat('region_', CAST(p_partkey AS VARCHAR))) AS name, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY ALL")
+def region_file(spark, sf):
+    path = f"{shared_folder(spark)}/regions"
+    p = table(spark, sf, "part")
+    start = F.col("p_partkey") * 3
+    p.select(F.concat_ws("\t", F.concat(F.lit("chr"), (F.col("p_partkey") % 5).cast("string")), start.cast("string"), (start + F.col("p_size")).cast("string"), F.concat(F.lit("region "), F.col("p_partkey").cast("string")), F.lit("NA")).alias("value")).write.text(path)
+    r = tables.regions(spark, path).where(F.col("guide_seq").isNull())
+    return r.groupBy("chr_id").agg(F.sum("bpstart").alias("starts"), F.sum("bpend").alias("ends"), F.max("name").alias("name"), F.count(F.lit(1)).alias("n"))
+
+
+@query("A15_alternate_alleles", WITH + "SELECT region_name, reference_name, max(reference_seq) AS reference_seq FROM (SELECT ref_name AS region_name, unnest(['whole', 'half']) AS reference_name, unnest([ref_seq, substr(ref_seq, 1, 32)]) AS reference_seq FROM reads) AS t GROUP BY ALL")
+def alternate_alleles(spark, sf):
+    path = f"{shared_folder(spark)}/alternates"
+    references(spark, sf).select(F.concat_ws("\t", "ref_name", F.concat_ws(",", "ref_seq", F.substring("ref_seq", 1, 32)), F.lit("whole,half")).alias("value")).write.text(path)
+    return tables.alternate_alleles(spark, path).select("region_name", "reference_name", "reference_seq")
+
+
+@query("A14_batch_file", "SELECT concat('s', CAST(s_suppkey AS VARCHAR)) AS name, concat('reads/', CAST(s_suppkey AS VARCHAR), '.fastq') AS fastq_r1, CASE WHEN s_suppkey % 3 = 0 THEN 'GGGG' ELSE concat('ACGT', repeat('A', CAST(s_suppkey % 5 AS INT))) END AS amplicon_seq FROM supplier")
+def batch_file(spark, sf):
+    path = f"{shared_folder(spark)}/batch"
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("n"), F.concat(F.lit("reads/"), F.col("s_suppkey").cast("string"), F.lit(".fastq")).alias("r1"), F.when(F.col("s_suppkey") % 3 == 0, "NA").otherwise(F.concat(F.lit("ACGT"), F.repeat(F.lit("A"), (F.col("s_suppkey") % 5).cast("int")))).alias("a"))
+    s.write.option("sep", "\t").option("header", True).csv(path)
+    return tables.batch(spark, path, {"amplicon_seq": "GGGG"}).select("name", "fastq_r1", "amplicon_seq")

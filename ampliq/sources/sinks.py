@@ -93,8 +93,3 @@ def base_edit_files(tables: dict[str, DataFrame], stem: str) -> None:
 def run_info(facts: dict, path: str, spark) -> None:
     """A run's facts as one JSON document of plain types."""
     spark.createDataFrame([(json.dumps(facts, sort_keys=True, default=str),)], "value string").coalesce(1).write.text(path)
-
-
-def runs(spark, path: str) -> DataFrame:
-    """Finished runs below a folder: tables written with ``partitionBy("run")``, found by listing partitions."""
-    return spark.read.parquet(path)

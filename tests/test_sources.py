@@ -7,7 +7,7 @@ import pytest
 
 from ampliq.operators import regions
 from ampliq.operators.edits import with_edits
-from ampliq.sources import bam, fasta, fastq, sam, sinks, tables, vcf
+from ampliq.sources import bam, fasta, fastq, runs, sam, sinks, tables, vcf
 from ampliq.streaming import ingest
 
 READS = [("r1", "ACGT", "IIII"), ("r2", "GGGT", "@III"), ("r3", "TTTT", "!!!!")]
@@ -279,6 +279,21 @@ def test_tables_of_all_keys_in_one_plan(spark, tmp_path):
     assert size(refs) == size(refs[:1])
 
 
+def test_nested_runs(spark, tmp_path):
+    rows = lambda kind, *x: {"t": spark.createDataFrame(list(x), kind)}
+    at = str(tmp_path / "all")
+    runs.write(spark, f"{at}/b/one", "one", rows("a int", (1,), (2,)))
+    runs.write(spark, f"{at}/b/w/two", "two", rows("a int, b string", (3, "x")))
+    runs.write(spark, f"{at}/b/w", "w", {}, "wgs", parts=["two", "gone"])
+    runs.write(spark, f"{at}/b", "b", {}, "batch", parts=["one", "w"])
+    runs.write(spark, f"{at}/open", "open", rows("a int", (9,)), status="running")
+    found = runs.unrolled(runs.catalogue(spark, at))
+    assert {r.name: (r.status, r.part_of) for r in found.collect()} == {"one": ("complete", ["b"]), "two": ("complete", ["b", "w"]), "gone": ("missing", ["b", "w"]), "open": ("running", [])}
+    assert sorted((r.run, r.a, r.b, r.part_of) for r in runs.table(spark, found, "t").collect()) == [("one", 1, None, ["b"]), ("one", 2, None, ["b"]), ("two", 3, "x", ["b", "w"])]
+    with pytest.raises(ValueError, match="no complete run"):
+        runs.table(spark, found.where("name = 'open'"), "t")
+
+
 def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     reads = spark.createDataFrame([("s", "ACGT")] * 3 + [("s", "TTTT")], "sample string, seq string")
     reads.repartition(2).write.parquet(str(tmp_path / "in"))
