@@ -152,20 +152,28 @@ def call_edits(read: str, ref: str, window: set[int], either_flank: bool = False
     return edits_of(pa.array([read]), pa.array([ref]), pa.array([""]), Windows({"": sorted(window)}), either_flank)[0].as_py()
 
 
-def with_edits(pairs: DataFrame, windows: dict[str, list[int]], either_flank: bool = False) -> DataFrame:
-    """``pairs`` (aln_seq, aln_ref, ref_name, ...) with the column ``edits``; windows by reference, built on the driver."""
-    names = [c for c in pairs.columns if c != "edits"]
-    pairs = pairs.select(*names)
-    given = pairs.sparkSession.sparkContext.broadcast(Windows(windows))
+def with_edits(pairs: DataFrame, windows: dict[str, list[int]] | str, either_flank: bool = False) -> DataFrame:
+    """``pairs`` (aln_seq, aln_ref, ref_name, ...) with the column ``edits``. Windows by reference, built on the driver; or the column that has each row's own,
+    the same for all rows of a reference, which is left out then."""
+    own = windows if isinstance(windows, str) else None
+    names = [c for c in pairs.columns if c not in ("edits", own)]
+    pairs = pairs.select(*names, *([own] if own else []))
+    given = None if own else pairs.sparkSession.sparkContext.broadcast(Windows(windows))
 
     def f(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 b = whole.slice(start, ROWS)
                 read, ref, name = (b.column(b.schema.get_field_index(c)) for c in ("aln_seq", "aln_ref", "ref_name"))
-                yield pa.record_batch([*b.columns, edits_of(read, ref, name, given.value, either_flank)], [*names, "edits"])
-
-    return pairs.mapInArrow(f, T.StructType([*pairs.schema.fields, T.StructField("edits", EDITS)]))
+                if own:
+                    coded, held = name.dictionary_encode(), b.column(b.schema.get_field_index(own))
+                    _, firsts = np.unique(coded.indices.to_numpy(zero_copy_only=False), return_index=True)
+                    known = Windows({k: held[at].as_py() for k, at in zip(coded.dictionary.to_pylist(), firsts.tolist(), strict=True)})
+                else:
+                    known = given.value
+                yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in names), edits_of(read, ref, name, known, either_flank)], [*names, "edits"])
+
+    return pairs.mapInArrow(f, T.StructType([*pairs.select(*names).schema.fields, T.StructField("edits", EDITS)]))
 
 
 def _arrow(t: T.DataType) -> pa.DataType:
