@@ -11,7 +11,7 @@ depend on where a chunk is entered; what does is a few characters a chunk. Other
 
 No piece has a word mark inside, so every path passes every start of a word. Scores between two word starts are therefore sums of best scores of
 words, which are remembered, and only the characters before a chunk's first and behind its last word start need the full matrix; what lies between
-adds the same to all its entries, and is added once at the end.
+adds the same to all its entries, and is added once at the end. The words of many texts are segmented together, in array steps.
 Ties go to the longer last piece, as in the library. Scores are added in double precision.
 
 The given vocabulary is a merge (BPE) model. Its merges are no sum of scores, so the scan can't give the library's ids for it: the scan gives the ids
@@ -38,9 +38,13 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of a chunk; longer documents are cut.
 CHUNK = 8_192
+#: Chunks whose words are made together.
+AHEAD = 128
 #: Chunks whose matrices one task multiplies.
 BLOCK = 64
 REMEMBERED = 500_000
+#: New words are made together, up to so many at a time; longer words and small numbers of words one by one.
+TOGETHER, SHORT, FEW = 16_384, 40, 64
 NEVER = -np.inf
 #: What an unknown character costs beyond the lowest score.
 UNKNOWN = 10.0
@@ -68,6 +72,8 @@ class Lattice:
         self.byte_ids = frozenset(self.byte.values())
         self.unknown = min(s for _, s in self.piece.values()) - UNKNOWN
         self.known: dict[str, tuple[float, bytes, bool, int]] = {}
+        self.recent: dict[str, tuple[float, bytes, bool, int]] = {}
+        self._as_arrays()
         self.known_runs: dict[str, int] = {}
 
     @classmethod
@@ -121,18 +127,115 @@ class Lattice:
         out.reverse()
         return best[-1], out
 
+    def _as_arrays(self) -> None:
+        """The tree as arrays, for many words at once: edges (node and character as one number, sorted) with the node they lead to, and of each node its piece."""
+        edges, piece, todo = [], [(-1, NEVER)], [(0, self.tree)]
+        while todo:
+            node, branches = todo.pop()
+            for c, (below, hit) in branches.items():
+                edges.append((node << 21 | ord(c), len(piece)))
+                todo.append((len(piece), below))
+                piece.append(hit or (-1, NEVER))
+        edges.sort()
+        self.edges, self.leads = (np.array(x, np.int64) for x in zip(*edges, strict=True))
+        self.node_id, self.node_score = np.array([i for i, _ in piece], np.int64), np.array([x for _, x in piece])
+        #: The byte pieces of ASCII characters, by code, and what each piece shows alone.
+        self.ascii = np.array([self.byte.get(b, -1) for b in range(128)], np.int64)
+        self.shown = list(self.plain)
+        for b, i in self.byte.items():
+            self.shown[i] = chr(b) if b < 128 else self.plain[i]
+        self.shown_length = np.array([len(p) for p in self.shown], np.int64)
+
+    def _words(self, words: list[str]) -> list[tuple[float, bytes, bool]]:
+        """``word`` for many short words at once: the same sums in the same order, one array step for each start and length of a piece."""
+        order = sorted(range(len(words)), key=lambda k: -len(words[k]))  # so that the words which are long enough come first
+        laid = [MARK + words[k] for k in order]
+        size = np.array(list(map(len, laid)))
+        n, width = len(laid), int(size[0])
+        codes = np.frombuffer("".join([w.ljust(width, "\0") for w in laid]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, width).astype(np.int64)
+        best = np.full((width + 1, n), NEVER)
+        start_of, number = np.zeros((width + 1, n), np.int64), np.full((width + 1, n), -1, np.int64)
+        best[0] = 0.0
+        enough = [int(np.searchsorted(-size, -k, "left")) for k in range(width + 1)]  # words of more than k characters
+        for start in range(width):
+            rows = np.arange(enough[start])
+            node, single = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+            for end in range(start + 1, min(width, start + self.reach) + 1):
+                inside = rows < enough[end - 1]
+                rows, node = rows[inside], node[inside]
+                key = node << 21 | codes[rows, end - 1]
+                at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+                on = self.edges[at] == key
+                rows, node = rows[on], self.leads[at[on]]
+                if not len(rows):
+                    break
+                if end == start + 1:
+                    single[rows] = self.node_id[node] >= 0
+                score = best[start, rows] + self.node_score[node]
+                better = score > best[end, rows]
+                won = rows[better]
+                best[end, won], start_of[end, won], number[end, won] = score[better], start, self.node_id[node[better]]
+            lone = np.flatnonzero(~single)
+            score = best[start, lone] + self.unknown
+            better = score > best[start + 1, lone]
+            won = lone[better]
+            best[start + 1, won], start_of[start + 1, won] = score[better], start
+            code = codes[won, start]
+            number[start + 1, won] = np.where(code < 128, self.ascii[np.minimum(code, 127)], -1)
+        every = np.arange(n)
+        at, steps_back, unknown = size.copy(), [], np.zeros(n, bool)
+        while at.any():
+            going = at > 0
+            piece = np.where(going, number[at, every], -2)
+            unknown |= piece == -1
+            steps_back.append(piece)
+            at = np.where(going, start_of[at, every], 0)
+        ids = np.stack(steps_back[::-1], axis=1)
+        taken = ids >= 0
+        held, length = ids[taken].astype("<u4").tobytes(), taken.sum(axis=1)
+        stops = 4 * np.cumsum(length)
+        fits = np.where(taken, self.shown_length[np.where(taken, ids, 0)], 0).sum(axis=1) == size
+        same = bool((fits | unknown).all()) and "".join(map(self.shown.__getitem__, ids[taken & ~unknown[:, None]].tolist())) == "".join([" " + w[1:] for w, odd in zip(laid, unknown.tolist(), strict=True) if not odd])
+        out: list = [None] * n
+        for k, word, score, stop, count, odd in zip(order, laid, best[size, every].tolist(), stops.tolist(), length.tolist(), unknown.tolist(), strict=True):
+            if odd:  # a character outside the vocabulary of several bytes
+                score, own = self.word(word)
+                out[k] = score, struct.pack(f"<{len(own)}I", *own), decode(own, self) == word[1:]
+            else:
+                own = held[stop - 4 * count : stop]
+                out[k] = score, own, same or decode(unpacked(own), self) == word[1:]
+        return out
+
+    def _made(self, new: list[str]) -> dict[str, tuple[float, bytes, bool, int]]:
+        """The entries of words that aren't known yet."""
+        made: dict[str, tuple[float, bytes, bool, int]] = {}
+        for k in range(0, len(new), TOGETHER):
+            some = new[k : k + TOGETHER]
+            counted = list(map(len, self.library.encode(some, num_threads=1)))
+            short = [w for w in some if len(w) <= SHORT and "\0" not in w] if len(some) > FEW else []
+            many = dict(zip(short, self._words(short), strict=True)) if short else {}
+            for w, n in zip(some, counted, strict=True):
+                found = many.get(w)
+                if found is None:
+                    score, ids = self.word(MARK + w)
+                    found = score, struct.pack(f"<{len(ids)}I", *ids), decode(ids, self) == w
+                made[w] = *found, n
+        if len(self.known) < REMEMBERED:
+            self.known.update(made)
+        return made
+
+    def ahead(self, texts: list[str]) -> None:
+        """Makes the entries of all words of some texts, so that those of each text are at hand."""
+        self.recent = self._made([w for w in dict.fromkeys(" ".join(texts).split(" ")) if w not in self.known])
+
     def entries(self, words: list[str]) -> list[tuple[float, bytes, bool, int]]:
         """For each word, given without its mark: best score, ids, whether these decode to it, and how many ids the library gives."""
         found = list(map(self.known.get, words))
         if None in found:
-            new = list(dict.fromkeys(w for w, f in zip(words, found, strict=True) if f is None))
-            made = {}
-            for w, counted in zip(new, self.library.encode(new, num_threads=1), strict=True):
-                score, ids = self.word(MARK + w)
-                made[w] = score, struct.pack(f"<{len(ids)}I", *ids), decode(ids, self) == w, len(counted)
-            found = [made[w] if f is None else f for w, f in zip(words, found, strict=True)]
-            if len(self.known) < REMEMBERED:
-                self.known.update(made)
+            found = [f or self.recent.get(w) for w, f in zip(words, found, strict=True)]
+            if None in found:
+                made = self._made(list(dict.fromkeys(w for w, f in zip(words, found, strict=True) if f is None)))
+                found = [f or made[w] for w, f in zip(words, found, strict=True)]
         return found
 
     def whole(self, marked: str) -> tuple[float, bytes]:
@@ -293,8 +396,10 @@ def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK, keep_ids: b
         lattice = Lattice.of_process(path)
         for part, texts in steps(batches, most=1 << 20):
             rows, held = [], []
+            texts = [t.decode() for t in texts]
+            lattice.ahead(texts)
             for t in texts:
-                ids, score, counted, same = lattice.digest(t.decode())
+                ids, score, counted, same = lattice.digest(t)
                 rows.append((len(ids) // 4, zlib.crc32(ids), float(score), counted, same))
                 held.append(ids)
             yield pa.record_batch([*(part.column(part.schema.get_field_index(c)) for c in kept), *_digest(rows), *([pa.array(held, pa.binary())] if keep_ids else [])], [*kept, *_NAMES, *["ids"] * keep_ids])
@@ -342,7 +447,9 @@ def _giants(docs: DataFrame, path: str, chunk: int, kept: list[str], columns: st
                 continue
             at = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in ("first", "piece", "odd")}
             rows = []
-            for text, first, odd in zip(at["piece"], at["first"], at["odd"], strict=True):
+            for k, (text, first, odd) in enumerate(zip(at["piece"], at["first"], at["odd"], strict=True)):
+                if k % AHEAD == 0:
+                    lattice.ahead([p.replace(MARK, " ") for p in at["piece"][k : k + AHEAD]])
                 gates = lattice.gates(text, first)
                 # whole words from one run of marks to another are counted here; what is before and behind them meets the neighbours' words
                 clean = [g for g in gates if text[g - 1] != MARK]

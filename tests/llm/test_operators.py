@@ -423,6 +423,18 @@ def test_max_plus_scan(docs_of):
             assert bytes(r.ids) == bytes(w.ids) and abs(r.score - w.score) < 1e-6 and (r.decoded, r.n_library, r.n_ids, r.ids_crc32) == (True, w.n_library, w.n_ids, zlib.crc32(bytes(w.ids)))
 
 
+def test_words_together_and_one_by_one():
+    lattice = sentencepiece_codec.Lattice(tokenizer_path(sentencepiece_codec.VOCABULARY))
+    rng = np.random.default_rng(2)
+    letters = [*"abcdeéñßü▁#*\n\t.,0123", "漢", "😀", "\x07"]
+    words = list(dict.fromkeys(["", "▁", *("".join(rng.choice(letters, int(rng.integers(0, 30)))) for _ in range(3000))]))
+    for w, (score, ids, same) in zip(words, lattice._words(words), strict=True):
+        want = lattice.word("▁" + w)
+        assert (score, sentencepiece_codec.unpacked(ids)) == want and same == (sentencepiece_codec.decode(want[1], lattice) == w)
+    made = lattice._made([*words, "x" * 90, "\0"])
+    assert all(made[w][3] == n for w, n in zip(words, map(len, lattice.library.encode(words)), strict=True)) and len(made) == len(words) + 2
+
+
 def test_chunks_with_spaces_and_marks_at_their_ends(docs_of):
     path = tokenizer_path(sentencepiece_codec.VOCABULARY)
     lattice = sentencepiece_codec.Lattice(path)
