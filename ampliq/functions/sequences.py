@@ -40,15 +40,26 @@ def capitalised(s: Column) -> Column:
     return F.upper(s)
 
 
-def _folded() -> tuple[str, str]:
-    """Letters of the basic plane that decompose to one ASCII character, and these characters."""
-    found = [(chr(k), "".join(c for c in unicodedata.normalize("NFKD", chr(k)) if ord(c) < 128)) for k in (*range(0x80, 0x2600), *range(0xFF01, 0xFF5F))]
-    return "".join(c for c, a in found if len(a) == 1), "".join(a for _, a in found if len(a) == 1)
+def _folded() -> tuple[str, str, str]:
+    """Letters of the basic plane that decompose to one ASCII character, and these; all that decompose to several, or lie beyond that plane, as pairs for ``str_to_map``."""
+    one, single, several = [], [], []
+    for k in (*range(0x80, 0xD800), *range(0xE000, 0x20000)):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(k)) if ord(c) < 128)
+        if len(plain) == 1 and k < 0x10000:
+            one.append(chr(k))
+            single.append(plain)
+        elif plain:
+            several.append(f"{chr(k)}\x02{plain}")
+    return "".join(one), "".join(single), "\x01".join(several)
 
 
 def slug(s: Column) -> Column:
-    """A safe file name: accents fold to ASCII, other symbols beyond ASCII go, and every run of unsafe ones is one underscore."""
-    s = F.regexp_replace(F.translate(s, *_folded()), r"[^\x00-\x7f]", "")
+    """A safe file name: accents, ligatures, fractions and the like fold to ASCII, other symbols beyond it go, and every run of unsafe ones is one underscore."""
+    one, single, several = _folded()
+    s = F.translate(s, one, single)
+    table = F.str_to_map(F.lit(several), F.lit("\x01"), F.lit("\x02"))
+    long = F.array_join(F.transform(letters(s), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    s = F.regexp_replace(F.when(s.rlike(r"[^\x00-\x7f]"), long).otherwise(s), r"[^\x00-\x7f]", "")
     return F.regexp_replace(F.regexp_replace(F.trim(s), r"[^\w.\-]+", "_"), "_+", "_")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import amino, guess, prime
+from ..operators import amino, guess, guide_search, prime
 from ..operators import references as R
 from ..operators.align import alignments, best_alignments
 from ..operators.alleles import allele_table, unique_reads
@@ -99,3 +99,30 @@ def guessed_guide(spark, sf):
 def guide_placement(spark, sf):
     rows = [(r.name, g.seq, g.start, g.end, g.cut, ",".join(map(str, r.window)), g.plot[0], g.plot[-1]) for r in _refs(spark, sf, NAMES) for g in r.guides]
     return spark.createDataFrame(rows, "ref_name string, guide string, start int, stop int, cut int, quantified string, plot_start int, plot_stop int")
+
+
+#: Guides with one base changed, laid on both strands of every reference at every place, and where they differ.
+_SITES = """, amps AS (SELECT DISTINCT ref_name, ref_seq FROM reads),
+asked AS (SELECT ref_name AS guide_name, concat(substr(ref_seq, 16, 4), translate(substr(ref_seq, 20, 1), 'ACGT', 'CGTA'), substr(ref_seq, 21, 15)) AS guide FROM amps),
+laid AS (SELECT *, '+' AS strand, guide AS laid FROM asked UNION ALL SELECT *, '-', reverse(translate(guide, 'ACGT', 'TGCA')) FROM asked),
+put AS (SELECT guide_name, ref_name, strand, CAST(place AS INT) AS start, laid, substr(ref_seq, CAST(place AS INT) + 1, 20) AS found FROM laid, amps, range(0, 45) AS t(place)),
+seen AS (SELECT *, list_filter(range(0, 20), lambda i: substr(found, CAST(i AS INT) + 1, 1) <> substr(laid, CAST(i AS INT) + 1, 1)) AS wrong FROM put)
+SELECT guide_name, ref_name, strand, start, CASE strand WHEN '+' THEN found ELSE reverse(translate(found, 'ACGT', 'TGCA')) END AS site, CAST(len(wrong) AS INT) AS n_mismatches,
+  array_to_string(CASE strand WHEN '+' THEN wrong ELSE list_reverse(list_transform(wrong, lambda i: 19 - i)) END, ',') AS mismatches FROM seen WHERE len(wrong) <= 8"""
+
+
+@query("E20_guide_sites", WITH + _SITES)
+def guide_sites(spark, sf):
+    """Every place on any reference, on either strand, where a guide with one changed base fits with at most eight mismatches."""
+    refs = references(spark, sf)
+    changed = F.concat(F.substring("ref_seq", 16, 4), F.translate(F.substring("ref_seq", 20, 1), "ACGT", "CGTA"), F.substring("ref_seq", 21, 15))
+    found = guide_search.sites(refs, refs.select(F.col("ref_name").alias("guide_name"), changed.alias("guide")), 8)
+    return found.select("guide_name", "ref_name", "strand", "start", "site", "n_mismatches", F.array_join(F.col("mismatches").cast("array<string>"), ",").alias("mismatches"))
+
+
+@query("E14_cloned_windows", WITH + "SELECT DISTINCT ref_name, array_to_string(list_concat(range(5, 15), range(47, 57)), ',') AS there FROM reads")
+def cloned_windows(spark, sf):
+    """The windows 5-14 and 50-59 of every reference on itself without three bases between the two."""
+    target = F.concat(F.substring("ref_seq", 1, 32), F.expr("substr(ref_seq, 36)"))
+    pairs = references(spark, sf).select("ref_name", F.col("ref_seq").alias("source_seq"), target.alias("target_seq"), F.lit("5-14_50-59").alias("coordinates"))
+    return guide_search.with_cloned_windows(pairs).select("ref_name", F.array_join(F.col("window").cast("array<string>"), ",").alias("there"))
