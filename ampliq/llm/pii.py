@@ -9,8 +9,8 @@ script, so that a surname alone still refers to the same person. It is written b
 
 Collision checks: no two entities of a type get one surrogate, and no surrogate equals an entity found in the corpus. Entities in a
 clash (all but the smallest) are drawn again with the next attempt number, until there is none. Given names and surnames are checked word by
-word, whatever their capitals: distinct words get distinct surrogates in all names that hold them, so distinct names do. Their first draw is from short lists; each
-further attempt adds a syllable, and so has 80 times the space. Secrets and addresses grow after LONGER attempts, as very short ones may
+word, whatever their capitals: distinct words get distinct surrogates in all names that hold them, so distinct names do. They are a word of a short list and a
+syllable; each further attempt adds a syllable, and so has 80 times the space. A word in capitals stays one; middle names are given names. Secrets and addresses grow after LONGER attempts, as very short ones may
 have no free surrogate of their length. What holds no letter or digit to be drawn is not detected.
 
 Null texts stay null. Repeated rows and shared or null ids are treated alike, text by text. Empty tables give empty results. Other
@@ -50,7 +50,7 @@ CARD = r"(?<!\d)\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4}(?!\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 CLOUD = r"AKIA[A-Z0-9]{16}"
 SECRET = r"(?<=\b(?:password|passwd|pwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)(?=[_\-]*[A-Za-z0-9])[A-Za-z0-9_\-]{6,}"
-NAME = rf"\b(?:{MALE}|{FEMALE}|{OTHER})\.? \p{{Lu}}[\p{{L}}'\-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'\-]{{1,40}})?"
+NAME = rf"\b(?:{MALE}|{FEMALE}|{OTHER})\.? \p{{Lu}}[\p{{L}}'\-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'\-]{{1,40}}){{0,2}}"
 ANY = "|".join((SECRET, EMAIL, PHONE, SSN, CARD, IP, CLOUD, NAME))
 
 
@@ -98,25 +98,41 @@ def _luhn(digits: Column, weigh_last: bool) -> Column:
     return F.aggregate(rest, F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
 
 
-def _name_words(entity: Column) -> Column:
-    """The words of a name as entities of their own: its surname and, where there is one, its given name behind its gender."""
-    words = F.split(entity, " ")
-    address, given, last = F.element_at(words, 1), F.lower(F.element_at(words, 2)), F.lower(F.element_at(words, -1))
-    female = address.rlike(rf"^(?:{FEMALE})\.?$") | (~address.rlike(rf"^(?:{MALE})\.?$") & (F.pmod(F.xxhash64(given), F.lit(2)) == 0))
-    pair = lambda kind, normal: F.struct(F.lit(kind).alias("kind"), normal.alias("normal"))
-    surname = pair("surname", last)
-    return F.when(F.size(words) > 2, F.array(surname, pair("given", F.concat(F.when(female, "f").otherwise("m"), F.lit("|"), given)))).otherwise(F.array(surname))
+def _named(names: DataFrame) -> DataFrame:
+    """(kind, normal) of names, with surname, given and middle: their words as entities of their own, given names behind their gender.
+
+    The gender is the form of address's. A neutral one (Dr, Prof) takes that of the other forms in front of the same full name; where there are none (or as
+    many of either), of those in front of the same given name; then of the lists below; then any, by the given name's hash. So a person is one, however addressed."""
+    words = F.split("normal", " ")
+    parts = names.withColumn("surname", F.lower(F.element_at(words, -1)))
+    for k, c in ((1, "given"), (2, "middle")):
+        parts = parts.withColumn(c, F.when(F.size(words) > k + 1, F.lower(F.get(words, F.lit(k)))))
+    address = F.element_at(words, 1)
+    parts = parts.withColumn("says", F.when(address.rlike(rf"^(?:{FEMALE})\.?$"), -1).when(address.rlike(rf"^(?:{MALE})\.?$"), 1).otherwise(0))
+    said = parts.where("given IS NOT NULL AND says <> 0")
+    person, first = ["surname", "given", "middle"], ["given"]
+    by_person, by_first = (said.groupBy(*keys).agg(F.sign(F.sum("says")).cast("int").alias(c)) for keys, c in ((person, "by_person"), (first, "by_first")))
+    neutral = parts.where("given IS NOT NULL AND says = 0")
+    by_person = by_person.select(*[F.col(c).alias(f"_{c}") for c in person], "by_person")
+    neutral = neutral.join(by_person, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in person], "left").join(by_first, "given", "left")
+    listed = lambda which: F.col("given").isin([x.lower() for script in ("latin", "cyrillic") for x in GIVEN[f"{script}_{which}"]])
+    drawn = F.when(listed("m"), 1).when(listed("f") | (F.pmod(F.xxhash64("given"), F.lit(2)) == 0), -1).otherwise(1)
+    neutral = neutral.withColumn("says", F.coalesce(F.nullif("by_person", F.lit(0)), F.nullif("by_first", F.lit(0)), drawn))
+    kept = ["kind", "normal", "surname", "given", "middle", "says"]
+    every = parts.where("given IS NULL OR says <> 0").select(kept).union(neutral.select(kept))
+    behind = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.when(F.col("says") < 0, "f|").otherwise("m|"), F.col(c))).alias(c)
+    return every.select("kind", "normal", "surname", behind("given"), behind("middle"))
 
 
 def _word(kind: Column, normal: Column, attempt: Column, seed: Column) -> Column:
-    """A given name or surname in lower case: one of a list and a syllable for each attempt."""
+    """A given name or surname in lower case: one of a list and a syllable, and one more for each further attempt."""
     pick = lambda names: F.element_at(F.array(*[F.lit(x.lower()) for x in names]), _draw(seed, F.lit(0), len(names)) + 1)
     letter = lambda letters, i: F.substring(F.lit(letters), _draw(seed, i, len(letters)) + 1, F.lit(1))
 
     def drawn(script, consonants, vowels):
         stem = F.when(kind == "surname", pick(SURNAMES[script])).when(normal.startswith("f|"), pick(GIVEN[f"{script}_f"])).otherwise(pick(GIVEN[f"{script}_m"]))
-        syllables = F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: F.concat(letter(consonants, 2 * i), letter(vowels, 2 * i + 1)))
-        return F.concat(stem, F.when(attempt > 0, F.array_join(syllables, "")).otherwise(""))
+        syllables = F.transform(F.sequence(F.lit(1), attempt + 1), lambda i: F.concat(letter(consonants, 2 * i), letter(vowels, 2 * i + 1)))
+        return F.concat(stem, F.array_join(syllables, ""))
 
     return F.when(normal.rlike(r"\p{IsCyrillic}"), drawn("cyrillic", "бвгдзклмнпрстфхш", "аеиоу")).otherwise(drawn("latin", "bdfghklmnprstvwz", "aeiou"))
 
@@ -156,8 +172,9 @@ def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, normal) -> (kind, normal, new): surrogates without clashes."""
     spark = entities.sparkSession
     named, other = (entities.where(x).select("kind", "normal").distinct() for x in (F.col("kind") == "name", F.col("kind") != "name"))
-    named = named.withColumn("words", _name_words(F.col("normal")))
-    drawn = other.union(named.select(F.inline("words")).distinct()).withColumn("attempt", F.lit(0))
+    named = written(_named(named), spark, "names")
+    words = named.select(F.lit("surname").alias("kind"), F.col("surname").alias("normal")).union(named.select(F.lit("given"), F.explode(F.array("given", "middle"))))
+    drawn = other.union(words.where("normal IS NOT NULL").distinct()).withColumn("attempt", F.lit(0))
     for _ in range(MOST_ATTEMPTS):
         drawn = written(drawn.withColumn("new", surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key)), spark, "surrogates")
         # how often a surrogate is drawn, who keeps it, and whether it is an entity itself
@@ -171,10 +188,12 @@ def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
         drawn = met.select("kind", "normal", (F.col("attempt") + F.when(clash, 1).otherwise(0)).alias("attempt"))
     else:
         raise ValueError(f"surrogates still clash after {MOST_ATTEMPTS} attempts")
-    surnames, given = (drawn.where(F.col("kind") == k).select(F.col("normal").alias(k), F.initcap("new").alias(f"new_{k}")) for k in ("surname", "given"))
-    named = named.withColumn("surname", F.col("words")[0]["normal"]).withColumn("given", F.get("words", F.lit(1))["normal"])
-    named = named.join(surnames, "surname").join(given, "given", "left")
-    names = named.select("kind", "normal", F.concat_ws(" ", F.element_at(F.split("normal", " "), 1), "new_given", "new_surname").alias("new"))
+    own = F.split("normal", " ")
+    for k, c in ((-1, "surname"), (2, "given"), (3, "middle")):
+        new = drawn.where(F.col("kind") == ("surname" if c == "surname" else "given")).select(F.col("normal").alias(c), F.col("new").alias(f"new_{c}"))
+        word = F.element_at(own, k) if k < 0 else F.get(own, F.lit(k - 1))
+        named = named.join(new, c, "left").withColumn(f"new_{c}", F.when(word == F.upper(word), F.upper(f"new_{c}")).otherwise(F.initcap(f"new_{c}")))
+    names = named.select("kind", "normal", F.concat_ws(" ", F.element_at(own, 1), "new_given", "new_middle", "new_surname").alias("new"))
     return drawn.where(~F.col("kind").isin("given", "surname")).select("kind", "normal", "new").union(names)
 
 

@@ -242,6 +242,23 @@ def test_names_stay_distinct_and_the_same_person(spark):
     assert {r.new for r in pii.assigned(few).collect()}.isdisjoint({f"_____{k}" for k in range(10)})
 
 
+def test_one_person_under_all_titles(spark):
+    male, female, neutral = pii.MALE.split("|"), pii.FEMALE.split("|"), pii.OTHER.split("|")
+    people = [(g, f"{g} {m}{s}", t) for g, t in (("Zorba", male), ("Zelda", female), ("Kim", male)) for m in ("", "Quin ") for s in ("Weber", "SMITH", "Jones")] + [("Kim", "Kim Lane", female)]
+    names = [f"{a}{dot} {full}" for _, full, titles in people for a in (*titles, *neutral) for dot in ("", ".")] + ["Dr Zorba Onlyhere", "Prof Emma Onlythere", "Dr Paul Onlythere", "Dr. Nobodyknows Atall"]
+    new = {r.normal: r.new for r in pii.assigned(spark.createDataFrame([("name", n) for n in names], "kind string, normal string")).collect()}
+    assert set(new) == set(names)
+    bare = lambda n: n.split(" ", 1)[1]
+    lists = {t: tuple(x for script in ("latin", "cyrillic") for x in pii.GIVEN[f"{script}_{t}"]) for t in "mf"}
+    for _, full, titles in people:
+        (one,) = {bare(new[n]) for n in names if bare(n) == full}  # whatever the title
+        assert not set(one.lower().split()) & set(full.lower().split()) and len(one.split()) == len(full.split())
+        assert one.split()[0].startswith(lists["m" if titles is male else "f"]) and (one.split()[-1].isupper() == full.endswith("SMITH"))
+    assert bare(new["Dr Zorba Onlyhere"]).split()[0] == bare(new["Mr Zorba Weber"]).split()[0]
+    assert bare(new["Prof Emma Onlythere"]).startswith(lists["f"]) and bare(new["Dr Paul Onlythere"]).startswith(lists["m"])
+    assert len({bare(n).lower() for n in names}) == len({bare(x).lower() for x in new.values()})
+
+
 def test_values_without_a_letter_or_digit_are_left(docs_of):
     rows = [(1, "password: ------ and token=______ but -@-.com. End"), (2, "password: --abc1")]
     got = {r.doc_id: (r.text, r.n_entities) for r in pii.pseudonymised(docs_of(rows)).collect()}
