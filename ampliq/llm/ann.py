@@ -1,13 +1,15 @@
 """Nearest neighbours by additive quantisation.
 
-A vector is approximated by the sum of one code vector from each of ``BOOKS`` codebooks over all dimensions. Codebooks are fitted on a bounded
-sample (at most ``SAMPLE`` vectors, those with the smallest hashes of their ids) by residual k-means, each on what the ones before leave. Every vector is encoded by beam search and stored as its codes and the ratio of its norm
-to its approximation's norm, which corrects the approximation's length.
+A vector's direction is approximated by a multiple of the sum of one code vector from each of ``BOOKS`` codebooks over all dimensions. Codebooks are fitted
+on a bounded sample (at most ``SAMPLE`` vectors, those with the smallest hashes of their ids) by residual k-means, each on what the ones before leave.
+Every vector is encoded by beam search and stored as its codes, its length, the multiple that comes nearest to it and how far that stays away from it.
 
-Equal vectors form one class with its smallest ids, so that copies don't fill a query's list. Codes are packed into blocks, queries into
-blocks of fixed size, and each block of queries passes over the blocks of codes one by one: tables of inner products of query and code
-vectors, summed by lookup, and a running list of the best ``depth``. Those are scored again in double precision on the original vectors, and
-the best classes are expanded to their ids.
+Equal vectors form one class with its smallest ids, so that copies don't fill a query's list. Codes are packed into blocks with their vectors, queries into
+blocks of fixed size, and every block of queries meets every block of codes: tables of inner products of query and code vectors, summed by lookup, estimate
+all scores. By Cauchy and Schwarz an estimate is off by no more than the query's length times what the approximation leaves. Classes that can't reach the last place
+of a query's list within that bound are passed over; the others are scored in double precision on the original vectors. So the result
+doesn't depend on how well the codebooks fit (only the work does), and the index, the scan and the lists of a task are bounded by the sizes of its two splits. The lists of
+all tasks are merged and the best classes expanded to their ids.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components, and rows without an id take no part, as
 query or candidate. An id that occurs with several vectors is a candidate with each and a query with the smallest. Repeated rows count once. An
@@ -26,8 +28,12 @@ from .shared import table, written
 
 BOOKS, CODES, BEAM = 24, 256, 4
 SAMPLE = 16384
-TOP, DEPTH = 20, 200
-CODE_BLOCK, QUERY_BLOCK = 8192, 256
+TOP = 20
+#: Vectors in a block and bytes that they may take, classes that a step scores, queries in a block, blocks of queries in a split.
+CODE_BLOCK, BLOCK_BYTES, STEP = 8192, 4 << 20, 2048
+QUERY_BLOCK, QUERY_SPLIT = 256, 16
+#: Pairs whose products are added up together.
+PAIRS = 65536
 
 
 def encode(x: np.ndarray, codebooks: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -78,99 +84,166 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("vector") == (common["n"] if common else 0)).distinct()
 
 
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
+def _directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``x`` at length one, and their lengths."""
+    x = x.astype(np.float64)
+    most = np.abs(x).max(axis=1, keepdims=True)
+    x = x / most
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / norm, (most * norm)[:, 0]
+
+
 def encoded(classes: DataFrame, codebooks: np.ndarray) -> DataFrame:
-    """Blocks (block, ids, codes, ratios) of the classes (least, vector)."""
-    spark = classes.sparkSession
-    books = spark.sparkContext.broadcast(codebooks)
+    """Blocks of the classes (class, members, vector): numbers, first and second ids (alike if there is one), codes, lengths, multiples, errors of unit vectors, vectors."""
+    books = classes.sparkSession.sparkContext.broadcast(codebooks)
+
+    def f(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kept = _matrix(b.column(3))
+            size = max(STEP // 8, min(CODE_BLOCK, BLOCK_BYTES // (kept.itemsize * kept.shape[1])))
+            for start in range(0, b.num_rows, size):
+                x = kept[start : start + size]
+                u, norm = _directions(x)
+                codes = np.concatenate([encode(u[k : k + 1024].astype(np.float32), books.value) for k in range(0, len(u), 1024)])
+                rebuilt = sum(books.value[m][codes[:, m]].astype(np.float64) for m in range(codes.shape[1]))
+                ratio = (u * rebuilt).sum(1) / np.maximum((rebuilt**2).sum(1), 1e-24)
+                error = np.linalg.norm(u - ratio[:, None] * rebuilt, axis=1)
+                ids = [b.column(c).slice(start, size).to_numpy().astype("<i8") for c in range(3)]
+                columns = [*ids, codes.astype("<u2"), norm.astype("<f8"), ratio.astype("<f8"), error.astype("<f8"), x.astype(x.dtype.newbyteorder("<"))]
+                yield pa.record_batch([pa.array([c.tobytes()]) for c in columns], _INDEX)
+
+    narrow = dict(classes.dtypes)["vector"] == "array<float>"
+    second = F.coalesce(F.try_element_at("members", F.lit(2)), F.element_at("members", 1))
+    vector = F.col("vector") if narrow else F.col("vector").cast("array<double>")
+    return classes.select("class", F.element_at("members", 1), second, vector).mapInArrow(f, ", ".join(f"{c} binary" for c in _INDEX))
+
+
+_INDEX = ["classes", "firsts", "seconds", "codes", "lengths", "ratios", "errors", "vectors"]
+
+
+def asked_blocks(queries: DataFrame) -> DataFrame:
+    """Blocks (qb, asked, q) of the queries (query_id, query)."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    rows = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("qb"), "query_id", F.col("query").cast("array<double>").alias("q"))
+    rows = rows.groupBy("qb").agg(F.sort_array(F.collect_list(F.struct("query_id", "q"))).alias("asked"))
 
     def f(batches):
         for b in batches:
-            for start in range(0, b.num_rows, CODE_BLOCK):
-                part = b.slice(start, CODE_BLOCK)
-                ids, x, codes = part.column(0).to_numpy(), _matrix(part.column(1)), []
-                for k in range(0, len(x), 1024):
-                    codes.append(encode(x[k : k + 1024], books.value))
-                codes = np.concatenate(codes)
-                rebuilt = sum(books.value[m][codes[:, m]] for m in range(codes.shape[1]))
-                ratio = np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(rebuilt, axis=1), 1e-12)
-                yield pa.record_batch([pa.array([ids.astype("<i8").tobytes()]), pa.array([codes.astype("<u2").tobytes()]), pa.array([ratio.astype("<f4").tobytes()])], ["ids", "codes", "ratios"])
-
-    return classes.select("least", "vector").mapInArrow(f, "ids binary, codes binary, ratios binary")
-
-
-def search(index: DataFrame, queries: DataFrame, codebooks: np.ndarray, depth: int = DEPTH) -> DataFrame:
-    """(query_id, least): the ``depth`` classes of ``index`` with the largest estimated inner products for each of ``queries``."""
-    spark = index.sparkSession
-    books = spark.sparkContext.broadcast(codebooks)
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"), "query_id", F.col("query").alias("q"))
-    asked = asked.groupBy("qb").agg(F.sort_array(F.collect_list(F.struct("query_id", "q"))).alias("asked"))
-    dealt = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "qb")
-    # the hash keeps this exchange apart from the join's, whose partitions Spark may split
-    dealt = dealt.repartition(blocks, F.hash("qb")).sortWithinPartitions("qb")
-
-    def best(ids, scores, more_ids, more_scores):
-        ids, scores = np.concatenate([ids, more_ids], axis=1), np.concatenate([scores, more_scores], axis=1)
-        if ids.shape[1] > depth:
-            top = np.argpartition(-scores, depth - 1, axis=1)[:, :depth]
-            ids, scores = np.take_along_axis(ids, top, 1), np.take_along_axis(scores, top, 1)
-        return ids, scores
+            for qb, asked in zip(b.column(0), b.column(1), strict=True):
+                ids, q = asked.values.field("query_id").to_numpy(), _matrix(asked.values.field("q"))
+                yield pa.record_batch([pa.array([qb.as_py()]), pa.array([ids.astype("<i8").tobytes()]), pa.array([q.astype("<f8").tobytes()])], ["qb", "asked", "q"])
+
+    return rows.mapInArrow(f, "qb long, asked binary, q binary").repartition(-(-blocks // QUERY_SPLIT))
+
+
+class _Lists:
+    """The best classes so far of a block of queries: numbers of queries, scores, smallest other ids and classes, in order; and the score that a class needs."""
+
+    def __init__(self, n: int, top: int):
+        self.top, self.least = top, np.full(n, -np.inf)
+        self.held = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, *found: np.ndarray) -> None:
+        query, score, first, number = (np.concatenate(x) for x in zip(self.held, found, strict=True))
+        order = np.lexsort((number, first, -score, query))
+        starts = np.searchsorted(query[order], np.arange(len(self.least)))
+        place = np.arange(len(order)) - starts[query[order]]
+        last = order[place == self.top - 1]
+        self.least[query[last]] = score[last]
+        order = order[place < self.top]
+        self.held = query[order], score[order], first[order], number[order]
+
+
+class _Block:
+    """A block of queries with its tables."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, books: np.ndarray):
+        self.ids, self.q, self.columns = ids, q, np.ascontiguousarray(q.T)
+        unit, self.lengths = _directions(q)
+        m, k, d = books.shape
+        self.tables = np.ascontiguousarray((unit.astype(np.float32) @ books.reshape(-1, d).T).reshape(len(q), m, k).transpose(1, 2, 0))
+        # what single precision can add to an estimate before it is multiplied
+        self.rounding = (d + m + 8) * np.finfo(np.float32).eps * float(np.linalg.norm(books, axis=2).max(axis=1).sum())
+
+    def meet(self, lists: _Lists, classes, firsts, seconds, codes, lengths, ratios, errors, x) -> None:
+        """Adds the classes that can reach the lists."""
+        estimate = sum(self.tables[m][codes[:, m]] for m in range(codes.shape[1])).T * ratios
+        off = errors + np.abs(ratios) * self.rounding + 1e-9
+        scale = self.lengths[:, None] * lengths
+        alone = (self.ids[:, None] == firsts) & (firsts == seconds)  # nothing but the query itself
+        need = lists.least
+        if len(classes) >= lists.top and np.isneginf(need).any():
+            low = np.where(alone, -np.inf, (estimate - off) * scale)
+            need = np.maximum(need, np.partition(low, len(classes) - lists.top, axis=1)[:, len(classes) - lists.top])
+        able = ~((estimate + off) * scale < need[:, None]) & ~alone
+        some = np.flatnonzero(able.any(axis=0))
+        if not len(some):
+            return
+        x = x[some].astype(np.float64)
+        near = self.q @ x.T
+        able = able[:, some] & ~(near + 4 * x.shape[1] * np.finfo(float).eps * scale[:, some] < need[:, None])
+        query, row = np.nonzero(able)
+        x, found = np.ascontiguousarray(x.T), []
+        for k in range(0, len(query), PAIRS):  # products are added in the order of the components
+            i, j = query[k : k + PAIRS], row[k : k + PAIRS]
+            score = np.zeros(len(i))
+            for d in range(len(x)):
+                score += self.columns[d][i] * x[d][j]
+            found.append(score)
+        if found:
+            row = some[row]
+            lists.add(query, np.concatenate(found), np.where(firsts[row] == self.ids[query], seconds[row], firsts[row]), classes[row])
+
+
+def search(index: DataFrame, asked: DataFrame, codebooks: np.ndarray, top: int = TOP, narrow: bool = True) -> DataFrame:
+    """(query_id, class, first, score): the ``top`` classes of each split of ``index`` with the largest inner products for each query of the blocks ``asked``;
+    ``first`` is a class's smallest id but the query's own, smaller ones are nearer at the same score."""
+    books = index.sparkSession.sparkContext.broadcast(codebooks)
 
     def f(batches):
-        at, held = None, None
+        lists: dict[int, tuple[np.ndarray, _Lists]] = {}
         for b in batches:
             for row in b.to_pylist():
-                if at is None or row["qb"] != at["qb"]:
-                    if at is not None:
-                        yield out(at["ids"], held)
-                    q = np.array([x["q"] for x in row["asked"]], np.float32)
-                    at = {"qb": row["qb"], "ids": [x["query_id"] for x in row["asked"]], "tables": np.einsum("qd,mkd->mkq", q, books.value)}
-                    held = np.empty((len(q), 0), np.int64), np.empty((len(q), 0), np.float32)
-                ids, ratio = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["ratios"], "<f4")
-                codes = np.frombuffer(row["codes"], "<u2").reshape(len(ids), -1)
-                for k in range(0, len(ids), 2048):
-                    c = codes[k : k + 2048]
-                    scores = sum(at["tables"][m][c[:, m]] for m in range(c.shape[1])) * ratio[k : k + 2048, None]
-                    held = best(*held, np.broadcast_to(ids[k : k + 2048], (scores.shape[1], len(c))), scores.T)
-        if at is not None:
-            yield out(at["ids"], held)
-
-    def out(query_ids, held):
-        ids = held[0]
-        return pa.record_batch([pa.array(np.repeat(np.array(query_ids, np.int64), ids.shape[1])), pa.array(ids.reshape(-1))], ["query_id", "least"])
-
-    return dealt.mapInArrow(f, "query_id long, least long")
-
-
-def neighbours(vectors: DataFrame, asked: Column, top: int = TOP, depth: int = DEPTH) -> DataFrame:
+                ids = np.frombuffer(row["asked"], "<i8")
+                block = _Block(ids, np.frombuffer(row["q"], "<f8").reshape(len(ids), -1), books.value)
+                held = lists.setdefault(row["qb"], (ids, _Lists(len(ids), top)))[1]
+                types = ["<i8", "<i8", "<i8", "<u2", "<f8", "<f8", "<f8", "<f4" if narrow else "<f8"]
+                parts = [np.frombuffer(row[c], t) for c, t in zip(_INDEX, types, strict=True)]
+                parts = [p.reshape(len(parts[0]), -1) if c in ("codes", "vectors") else p for c, p in zip(_INDEX, parts, strict=True)]
+                for k in range(0, len(parts[0]), STEP):
+                    block.meet(held, *(p[k : k + STEP] for p in parts))
+        for ids, held in lists.values():
+            query, score, first, number = held.held
+            yield pa.record_batch([pa.array(ids[query]), pa.array(number), pa.array(first), pa.array(score)], ["query_id", "class", "first", "score"])
+
+    return index.crossJoin(asked).mapInArrow(f, "query_id long, class long, first long, score double")
+
+
+def neighbours(vectors: DataFrame, asked: Column, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, embedding) that meets ``asked``, its nearest others."""
     spark = vectors.sparkSession
     rows = written(usable(vectors), spark, "vectors")
     first = W.partitionBy("vector").orderBy("vec_id")
     classes = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= top + 1).groupBy("vector").agg(F.min("vec_id").alias("least"), F.sort_array(F.collect_list("vec_id")).alias("members"))
     # an id with several vectors is the least of each: classes are told apart by a number made of id and vector
-    classes = written(classes.select(F.xxhash64("least", "vector").alias("least"), "vector", "members"), spark, "classes")
+    classes = written(classes.select(F.xxhash64("least", "vector").alias("class"), "vector", "members"), spark, "classes")
     queries = rows.where(asked).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("query"))
-    sample = classes.orderBy(F.xxhash64("least"), "least").limit(SAMPLE).select("vector").collect()
+    sample = classes.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("vector").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    codebooks = fit(np.array([r["vector"] for r in sample], np.float32))
+    codebooks = fit(_directions(np.array([r["vector"] for r in sample]))[0])
     index = written(encoded(classes, codebooks), spark, "index")
-    found = search(index, queries, codebooks, max(depth, top + 1))
-    scored = found.join(classes.select("least", "vector"), "least").join(queries, "query_id").select("query_id", "least", _dot("query", "vector").alias("score"))
-    scored = written(scored, spark, "scored")
-    near = scored.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "least"))).where(F.col("n") <= depth)
-    near = near.join(classes.select("least", "members"), "least").select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")
+    narrow = dict(classes.dtypes)["vector"] == "array<float>"
+    found = written(search(index, asked_blocks(queries), codebooks, top, narrow), spark, "found")
+    near = found.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "first", "class"))).where(F.col("n") <= top)
+    near = near.join(classes.select("class", "members"), "class").select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

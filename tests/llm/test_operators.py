@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small table, and on awkward rows."""
 
 import collections
+import functools
 import hashlib
 import re
 import zlib
@@ -76,6 +77,61 @@ def test_nearest_neighbours(spark):
     assert ann.neighbours(df.where("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("rows", ["spread", "near copies", "ties", "lengths"])
+def test_nearest_neighbours_do_not_depend_on_the_codebooks(spark, monkeypatch, rows):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 48))
+    if rows == "near copies":
+        x[::3] = x[0] + 1e-4 * x[::3]
+    if rows == "ties":
+        x = rng.integers(-1, 2, size=x.shape).astype(float)
+    if rows == "lengths":
+        x *= np.exp(2 * rng.normal(size=(3000, 1)))
+    x = x.astype(np.float32)
+    monkeypatch.setattr(ann, "SAMPLE", 300)
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.neighbours(df, F.pmod("vec_id", F.lit(100)) == 0).collect()}
+    x = x.astype(np.float64)
+    want = {}
+    for q in range(0, 3000, 100):
+        scores = np.zeros(len(x))
+        for d in range(x.shape[1]):
+            scores += x[q, d] * x[:, d]
+        for rank, k in enumerate([k for k in np.lexsort((np.arange(3000), -scores)).tolist() if k != q][:20]):
+            want[q, rank + 1] = k, scores[k]
+    assert got == want
+
+
+def test_nearest_neighbours_of_split_tables(spark, monkeypatch):
+    """Blocks, steps and splits of any size, double precision, copies in several blocks, an id with many vectors, and no broadcast give the same rows."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 6)).round(1)
+    x[100:140] = x[100]
+    rows = [(k, x[k].tolist()) for k in range(900)] + [(10, x[k].tolist()) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    ask = lambda: sorted(map(tuple, ann.neighbours(df, F.pmod("vec_id", F.lit(10)) == 0, top=7).collect()))
+    whole = ask()
+    assert len(whole) == 7 * 90
+    for name, value in {"CODE_BLOCK": 64, "STEP": 50, "QUERY_BLOCK": 8, "QUERY_SPLIT": 2, "PAIRS": 10}.items():
+        monkeypatch.setattr(ann, name, value)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert ask() == whole
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    query = {q: min(tuple(v) for k, v in rows if k == q) for q in range(0, 900, 10)}
+    for q, v in query.items():
+        scores = collections.Counter()
+        for k, w in set((k, tuple(w)) for k, w in rows if k != q):
+            scores[k, w] = functools.reduce(lambda s, ab: s + ab[0] * ab[1], zip(v, w, strict=True), 0.0)
+        want = sorted((-s, k) for (k, _), s in scores.items())[:7]
+        assert [(i, r, k, s) for i, r, k, s in whole if i == q] == [(q, n + 1, k, -s) for n, (s, k) in enumerate(want)]
+
+
 def _fingerprint(text, k=3):
     w = (text or "").encode().lower().split()
     hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), 42) for i in range(max(1, len(w) - k + 1))] if w else []
