@@ -20,7 +20,7 @@ Null and empty texts: the end token alone. Repeated rows and shared ids: each ro
 
 from __future__ import annotations
 
-import string
+import re
 import struct
 import sys
 import zlib
@@ -54,10 +54,14 @@ class UnitEncoder:
 
     Byte-level splitting puts a single space in front of the word that follows and leaves a single line end by itself, and letters never share
     a piece with the punctuation behind them. So a text falls into words with their space, line ends, and cores and tails of words, each encoded by
-    itself. Where white space meets white space, the run and what touches it stay together. Frequent units are remembered, up to ``REMEMBERED``."""
+    itself. Where white space meets white space, the run and what touches it stay together. Units are remembered, up to ``REMEMBERED``. Cores of
+    Latin letters are one piece each and go to the library's model at once, all else through the whole of the library."""
 
     def __init__(self, path: str):
         self.tokenizer, self.known = load_tokenizer(path), {}
+        # what the vocabulary writes for the characters of such words, whose letters are one piece to its model
+        self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x250)) if c == " " or WORD.fullmatch(c)}
+        self.space = self.letters[ord(" ")]
 
     @classmethod
     def of_process(cls, path: str) -> UnitEncoder:
@@ -94,39 +98,58 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known, split = self.known, [self.units(t) for t in texts]
-        found = [list(map(known.get, s)) for s in split]
-        gaps = [k for k, f in enumerate(found) if None in f]
+        found, gaps, missing = [], [], []
+        for s in split:
+            f = list(map(known.get, s))
+            if None in f:
+                at = [i for i, x in enumerate(f) if x is None]
+                gaps.append((f, at, [s[i] for i in at]))
+                missing += gaps[-1][2]
+            found.append(f)
         if gaps:
-            new = self._encoded({u for k in gaps for u, x in zip(split[k], found[k], strict=True) if x is None})
-            for k in gaps:
-                found[k] = [new[u] if x is None else x for u, x in zip(split[k], found[k], strict=True)]
+            new = self._encoded(set(missing))
+            for f, at, units in gaps:
+                for i, u in zip(at, units, strict=True):
+                    f[i] = new[u]
             if len(known) < REMEMBERED:
                 known.update(new)
         return [b"".join(f) for f in found]
 
     def _encoded(self, missing: set[str]) -> dict[str, bytes]:
         """The ids of units that aren't remembered: cores and tails of words apart, each part once."""
-        known, new = self.known, {}
-        cores = {u: _core(u) for u in missing}
-        wanted = {x for u, n in cores.items() for x in ((u[:n], u[n:]) if n else (u,)) if x not in known}
-        listed = list(wanted)
+        known, split, words, others = self.known, [], set(), set()
+        for u in missing:
+            m = WORD.fullmatch(u)
+            if m is None:
+                others.add(u)
+            elif m[2]:
+                split.append((u, m[1], m[2]))
+                words.add(m[1])
+                others.add(m[2])
+            else:
+                words.add(u)
+        new = {x: known[x] for x in (words | others) & known.keys()}
+        tokenize, space, letters = self.tokenizer.model.tokenize, self.space, self.letters
+        for u in words - new.keys():
+            ids = [t.id for t in tokenize(u.replace(" ", space) if u.isascii() else u.translate(letters))]
+            new[u] = struct.pack(f"<{len(ids)}I", *ids)
+        listed = list(others - new.keys())
         for k in range(0, len(listed), 2000):
             part = listed[k : k + 2000]
-            for u, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 ids = e.ids
                 new[u] = struct.pack(f"<{len(ids)}I", *ids)
-        either = lambda u: known[u] if u in known else new[u]
-        return new | {u: either(u[:n]) + either(u[n:]) for u, n in cores.items() if n}
+        for u, core, tail in split:
+            new[u] = new[core] + new[tail]
+        return new
 
 
 #: Everything that Python or the vocabulary's pattern takes for white space.
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
 
 
-def _core(unit: str) -> int:
-    """How much of a unit is a word of letters (with its space) before a tail of punctuation; 0 if it isn't made like that."""
-    core = unit.rstrip(string.punctuation)
-    return len(core) if len(core) < len(unit) and (core[1:] if core[:1] == " " else core).isalpha() else 0
+#: A word of Latin letters, with or without a space before it, and its tail of punctuation.
+WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@[-`{-~]*)")
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:

@@ -481,6 +481,31 @@ def test_plans_hold_every_piece(histogram):
     assert held == collections.Counter(histogram) and least <= sum(t for t, _ in plan) <= alone
 
 
+def test_latin_words_go_to_the_model_at_once():
+    """Same ids as the library gives for whole texts; words of Latin letters don't pass through its splitter."""
+    path, rng = tokenizer_path(packing.VOCABULARY), np.random.default_rng(6)
+    library, encoder, asked = load_tokenizer(path), packing.UnitEncoder(path), []
+
+    class Spy:
+        model, pre_tokenizer = encoder.tokenizer.model, encoder.tokenizer.pre_tokenizer
+
+        def __getattr__(self, name):
+            def f(texts, **how):
+                asked.extend(texts)
+                return getattr(library, name)(texts, **how)
+
+            return f
+
+    encoder.tokenizer = Spy()
+    some = ["the", "Étude", "naïve", "straße", "ñandú", "ÿĀžƀɏ", "don't", "x'", "O'Neil", "e.g.", "a" * 300, "é" * 90, "ɐɑ", "µm", "nº", "e\u0301te\u0301", "日本語", "слово", "№5", "3rd", "<|endoftext|>", "end<|endoftext|>", "a<|", "|>", "'s", "'ll", "÷×", "\x00", "\u2028", "\xa0", "ﬁn", "###", "-", ""]
+    word = lambda: "".join(rng.choice(some, int(rng.integers(1, 4)))) if rng.random() < 0.5 else str(rng.choice(some)) + str(rng.choice(["", ",", "...", "%%%", "'", "\"", "')"]))
+    texts = ["".join(word() + str(rng.choice([" ", " ", " ", "\n", "  ", "\t"])) for _ in range(int(rng.integers(0, 30)))).strip(" ") for _ in range(600)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    for k in (0, 1):  # with nothing remembered, and with all
+        assert [encoder.encode(texts[i : i + 100]) for i in range(0, 600, 100)] == [want[i : i + 100] for i in range(0, 600, 100)]
+    assert asked and not [u for u in asked if re.fullmatch(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+", u)]
+
+
 def test_max_plus_scan(docs_of):
     path = tokenizer_path(sentencepiece_codec.VOCABULARY)
     rng = np.random.default_rng(0)
