@@ -48,17 +48,31 @@ def excluding_flags(records: DataFrame, mask: int) -> DataFrame:
     return records.where(F.col("flag").bitwiseAND(F.lit(mask)) == 0)
 
 
-def covering(records: DataFrame, regions: DataFrame, chrom: str = "chr") -> DataFrame:
-    """Records that cover a region entirely, cut to it: the read bases at and between the region's end positions.
+def _once(value: Column) -> Column:
+    """A column that is worked out where it stands. A filter on a plain one is moved below all that derives it, and derives it there again, for each time it is named."""
+    return F.explode_outer(F.array(value))
+
+
+def spanning(records: DataFrame, regions: DataFrame, chrom: str = "chr") -> DataFrame:
+    """Records with each region that they cover entirely.
 
     records: chr, pos (1-based), cigar, seq; regions: chr, bpstart, bpend (1-based, inclusive), name."""
     from ..functions.sequences import cigar_length
 
-    ends = records.withColumn("_end", F.col("pos") + cigar_length(F.col("cigar"), "MDN=X") - 1)
-    met = overlapping(ends, regions, chrom, ("pos", "bpstart"), ("_end", "bpend")).where((F.col("pos") <= F.col("bpstart")) & (F.col("_end") >= F.col("bpend")))
-    first, last = (read_offset(F.col("pos"), F.col("cigar"), F.col(c)) for c in ("bpstart", "bpend"))
-    met = met.withColumn("_first", first).withColumn("_last", last).where(F.col("_first").isNotNull() & F.col("_last").isNotNull())
-    return met.withColumn("seq", F.substring(F.col("seq"), F.col("_first") + 1, F.col("_last") - F.col("_first") + 1)).drop("_first", "_last", "_end")
+    ends = records.withColumn("_end", _once(F.col("pos") + cigar_length(F.col("cigar"), "MDN=X") - 1))
+    return overlapping(ends, regions, chrom, ("pos", "bpstart"), ("_end", "bpend")).where((F.col("pos") <= F.col("bpstart")) & (F.col("_end") >= F.col("bpend"))).drop("_end")
+
+
+def trimmed(met: DataFrame) -> DataFrame:
+    """Records of ``spanning`` cut to their regions: the read bases at and between the region's end positions; none where an end lies on no base."""
+    met = met.withColumn("_runs", _once(_laid_runs(F.col("pos"), F.col("cigar"))))
+    met = met.withColumn("_first", _offset(F.col("_runs"), F.col("bpstart"))).withColumn("_last", _offset(F.col("_runs"), F.col("bpend"))).where(F.col("_first").isNotNull() & F.col("_last").isNotNull())
+    return met.withColumn("seq", F.substring(F.col("seq"), F.col("_first") + 1, F.col("_last") - F.col("_first") + 1)).drop("_first", "_last", "_runs")
+
+
+def covering(records: DataFrame, regions: DataFrame, chrom: str = "chr") -> DataFrame:
+    """Records that cover a region entirely, cut to it (see ``spanning`` and ``trimmed``)."""
+    return trimmed(spanning(records, regions, chrom))
 
 
 def _laid_runs(pos: Column, cigar: Column) -> Column:
@@ -78,8 +92,12 @@ def _laid_runs(pos: Column, cigar: Column) -> Column:
 
 def read_offset(pos: Column, cigar: Column, at: Column) -> Column:
     """The place (from 0) in a read of the base that lies on a position; null if none does."""
+    return _offset(_laid_runs(pos, cigar), at)
+
+
+def _offset(runs: Column, at: Column) -> Column:
     holds = lambda r: r["kind"].isin("M", "=", "X") & (at >= r["ref"]) & (at < r["ref"] + r["n"])
-    run = F.get(F.filter(_laid_runs(pos, cigar), holds), F.lit(0))
+    run = F.get(F.filter(runs, holds), F.lit(0))
     return (run["read"] + at - run["ref"]).cast("int")
 
 

@@ -175,9 +175,9 @@ def trimmed_reads(spark, sf):
 @query("J09_whole_genome", WITH + f"SELECT ref_name AS region, {_N} AS n_reads, {_count('sub_w')} AS substitutions FROM vars GROUP BY ref_name")
 def whole_genome_regions(spark, sf):
     """Every reference's piece of the genome is a region."""
-    records = _mapped(spark, sf).withColumn("pos", F.lit(1001).cast("long")).select("chr", "pos", "cigar", "seq")
-    regions = records.select("chr").distinct().select("chr", F.lit(1001).cast("long").alias("bpstart"), F.lit(1064).cast("long").alias("bpend"), F.col("chr").alias("name"))
-    return whole_genome(records, regions, {r.name: r for r in _refs(spark, sf, NAMES)})["editing"].select("region", "n_reads", "substitutions")
+    records, refs = _mapped(spark, sf).withColumn("pos", F.lit(1001).cast("long")).select("chr", "pos", "cigar", "seq"), _refs(spark, sf, NAMES)
+    regions = spark.createDataFrame([(r.name, 1001, 1000 + len(r.seq), r.name) for r in refs], "chr string, bpstart long, bpend long, name string")
+    return whole_genome(records, F.broadcast(regions), {r.name: r for r in refs})["editing"].select("region", "n_reads", "substitutions")
 
 
 @query("A19_nested_runs", WITH + f"""SELECT run, part_of, ref_name, CASE WHEN run = 'F' THEN NULL ELSE n_reads END AS n_reads, modified FROM (

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import time
@@ -265,3 +266,14 @@ def test_bounds_hold_whatever_the_qualities():
     found = consensus_of(*(Mates.of(*zip(*side, strict=True)) for side in sides))
     low, high = bounds_of(*(Mates.of(*list(zip(*side, strict=True))[:3]) for side in sides))
     assert ((low <= found.score) & (found.score <= high)).all() and (low < high).any() and (low == high)[found.settled].all()
+
+
+def test_cigars_of_all_kinds_of_pairs(spark):
+    pairs = [("ACGT", "ACGT"), ("A--T", "ACGT"), ("ACGT", "A--T"), ("--GT", "ACGT"), ("ACG-", "A-GT"), ("-CGT", "A--T"), ("A-GT", "A-GT"), ("-", "A"), ("A", "-"), ("", ""), (None, "A"), ("A", None), ("ACG", "A"), ("NNac", "NN-c")]
+
+    def plain(q, r):
+        kinds = ["D" if a == "-" else "I" if b == "-" else "M" for a, b in itertools.zip_longest(q, r)]
+        return "".join(f"{len(list(run))}{k}" for k, run in itertools.groupby(kinds))
+
+    df = spark.createDataFrame(pairs, "q string, r string").select("q", "r", S.alignment_cigar(F.col("q"), F.col("r")).alias("cigar"))
+    assert {(x.q, x.r): x.cigar for x in df.collect()} == {(q, r): None if q is None or r is None else plain(q, r) for q, r in pairs}

@@ -62,6 +62,24 @@ def test_whole_genome(spark):
     assert (row.region, row.n_reads, row.deletions) == ("site", 2, int(55 <= CUT <= 58 or 55 <= CUT + 1 <= 58))
 
 
+def test_whole_genome_derives_a_record_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def cigar(note):
+        seen.add(1)
+        return note
+
+    rows = [("120M", A)] * 30 + [(f"{CUT - 1}M4D{117 - CUT}M", edited(A, 4))] * 9 + [("100M", A[:100])]
+    records = spark.createDataFrame(rows, "note string, seq string").select(F.lit("c").alias("chr"), F.lit(31).cast("long").alias("pos"), cigar("note").alias("cigar"), "seq")
+    regions = spark.createDataFrame([("c", 31, 150, "site"), ("c", 31, 130, "b")], "chr string, bpstart long, bpend long, name string")
+    out = modes.whole_genome(records, regions, {"site": REFS[0], "b": REFS[1]}, min_reads=40)
+    assert [tuple(r) for r in out["depth"].collect()] == [("b", 40)] and seen.value == len(rows)
+    out = modes.whole_genome(records, regions, {"site": REFS[0]})
+    assert [(r.region, r.n_reads, r.deletions) for r in out["editing"].collect()] == [("site", 39, 9)]
+    assert seen.value == 2 * len(rows)  # filters on what comes of it are not moved below it, and the depth is summed from the same reads
+
+
 def _mapped(spark, reads, start):
     return spark.createDataFrame([("c", start + 1, c, s) for c, s in reads], "chr string, pos long, cigar string, seq string")
 

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from ampliq.plans.derived import reads, references
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,3 +39,8 @@ def test_every_sql_has_its_query():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_references_are_those_of_all_reads(spark):
+    assert sorted(references(spark, SF).collect()) == sorted(reads(spark, SF).select("ref_name", "ref_seq").distinct().collect())
